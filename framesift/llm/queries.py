@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language_id import op2_language_id
 from .media import op3_media
 from .mixing import OP9_SQL, op9_mixing
+from .ngram_join import OP8_SQL, op8_ngram_join
 from .quality import op6_quality
 from .sharding import op5_sharding
 from .toxicity import op1_toxicity
@@ -15,7 +16,8 @@ QUERIES = {
     "op3_media": op3_media,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL = {"op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op8_ngram_join": OP8_SQL, "op9_mixing": OP9_SQL}
