@@ -8,12 +8,14 @@ from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .quality import op6_quality
 from .sharding import op5_sharding
+from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_media": op3_media,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op8_ngram_join": op8_ngram_join,
