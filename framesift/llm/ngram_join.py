@@ -45,7 +45,7 @@ FREQUENT_SHARE, FREQUENT_LEAST = 1000, 48
 #: Distinct documents whose shingles are counted together, in one task.
 WINDOW_DOCS = 4096
 
-MEASURED = "doc_id long, n_shingles long, node long, shingle long, hits long"
+MEASURED = "doc_id long, h long, n_shingles long, node long, shingle long, hits long"
 
 
 def bands_of(n: int) -> list[tuple[int, int, int]]:
@@ -89,15 +89,15 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """A row with doc_id, n_shingles and node for every document, and rows with a shingle and in how many documents of a window it is, if in several."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64()), ("hits", pa.int64())])
+    """A row with doc_id, h (a hash of the text), n_shingles and node for every document, and rows with a shingle and in how many documents of a window it is, if in several."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64()), ("hits", pa.int64())])
 
     def counted(window: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, hits = np.unique(np.concatenate(window), return_counts=True)
         s, hits = s[hits >= 3], hits[hits >= 3]
         if len(s):
             none = pa.nulls(len(s), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(s.view(np.int64)), pa.array(hits)], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(s.view(np.int64)), pa.array(hits)], schema=schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: dict[int, np.ndarray] = {}
@@ -115,11 +115,11 @@ def measure(docs: DataFrame) -> DataFrame:
                         window, held = {}, 0
             none = pa.nulls(len(nodes), pa.int64())
             ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, b.column(b.schema.get_field_index("h")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], schema=schema)
         if window:
             yield from counted(list(window.values()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, MEASURED)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, MEASURED)
 
 
 def index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -200,11 +200,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text)."""
+    """doc_id, n_shingles, component_id, and h (xxhash64 of the text) and root (a name of the component; null for empty sets), for every row of docs (columns doc_id, text)."""
     spark = docs.sparkSession
     short_batches(spark)
     measured = cut(measure(docs), "measured")
-    rows = measured.filter("n_shingles is not null").select("doc_id", "n_shingles", "node")
+    rows = measured.filter("n_shingles is not null").select("doc_id", "h", "n_shingles", "node")
     least = max(FREQUENT_LEAST, rows.count() // FREQUENT_SHARE)
     # at most (shingles of a mean document) * FREQUENT_SHARE of them
     frequent = measured.filter("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
@@ -230,16 +230,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         roots = cut(components(links.unionAll(more)), "roots")
     named = rows.filter("node is not null").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    root_of = reps.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(lowest, "root").select("node", "component_id")
+    root_of = reps.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(lowest, "root").select("node", "component_id", "root")
     for done in (grouped, sets, cross, rest):
         drop_cut(done)
-    full = rows.filter("node is not null").join(root_of, "node").select("doc_id", "n_shingles", "component_id")
-    return full.unionAll(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = rows.filter("node is not null").join(root_of, "node").select("doc_id", "n_shingles", "component_id", "h", "root")
+    return full.unionAll(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("root")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: one of each component (the smallest doc_id; a null only if there is no other), and all with an empty set. All columns stay."""
+    rows = cut(jaccard_components(docs), "components")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
+    kept = cut(first.unionAll(rows.filter("root is null").select("doc_id", "h")).distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "kept")
+    repeated = cut(rows.filter("root is not null").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_rid"), F.col("h").alias("_rh")), "repeated")
+    h = F.xxhash64(docs["text"])
+    stay = docs.join(small(kept), docs["doc_id"].eqNullSafe(F.col("_id")) & (h == F.col("_h")), "left_semi")
+    again = stay["doc_id"].eqNullSafe(F.col("_rid")) & (F.xxhash64(stay["text"]) == F.col("_rh"))
+    twice = small(repeated)
+    return stay.join(twice, again, "left_anti").unionAll(stay.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 100 * intersection >= 75 * union of their shingle sets."""
-    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = r"""

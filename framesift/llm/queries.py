@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_decontamination
 from .language_id import op2_language_id
 from .media import op3_media
 from .mixing import OP9_SQL, op9_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {"op8_ngram_join": OP8_SQL, "op9_mixing": OP9_SQL}
