@@ -31,6 +31,11 @@ def short_batches(spark: SparkSession) -> None:
             raise
 
 
+def many_rows(spark: SparkSession) -> None:
+    """Longer Arrow batches, for stages whose rows are a few numbers; bytes are bounded as before."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, else (local tests) an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None)

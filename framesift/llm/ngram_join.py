@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, drop_cut, mix, short_batches, small, table, texts
+from .common import batches, cut, drop_cut, many_rows, mix, short_batches, small, table, texts
 from .components import components
 from .shingles import set_digest, shingle_sets
 
@@ -40,12 +40,12 @@ from .shingles import set_digest, shingle_sets
 FIRST_BAND, BAND_RATIO = 512, 8
 #: Shingles of a segment, at the upper end of a band. Up to this, a set has many more non-empty segments than can differ.
 SEGMENT_FILL = 2.8
-#: A shingle counts as frequent in one of so many documents, or in FREQUENT_LEAST.
-FREQUENT_SHARE, FREQUENT_LEAST = 1000, 48
-#: Distinct documents whose shingles are counted together, in one task.
-WINDOW_DOCS = 4096
+#: A shingle is frequent if windows of documents have it so often; at most so many frequent shingles are sent to the tasks, the most frequent first.
+FREQUENT_LEAST, FREQUENT_MOST = 32, 1_000_000
+#: Distinct documents, and shingles, that are counted together in one task.
+WINDOW_DOCS, WINDOW_SHINGLES = 8192, 3_000_000
 
-MEASURED = "doc_id long, h long, n_shingles long, node long, shingle long, hits long"
+MEASURED = "doc_id long, h long, n_shingles long, node long, bits binary, shingle long, hits long"
 
 
 def bands_of(n: int) -> list[tuple[int, int, int]]:
@@ -65,12 +65,15 @@ def segments_of(s: np.ndarray, band: int, high: int) -> np.ndarray:
     return h if band == 0 else (h >> np.uint64(32)) % np.uint64(int(high / SEGMENT_FILL))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Hashes of the indexed segment contents of a set (sorted distinct hashes); ``frequent`` is sorted."""
+def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the indexed segment contents of a set (sorted distinct hashes), and a key for each: 2^40 * owned + n.
+
+    ``frequent`` is sorted. ``owned`` is 0 but for a frequent content of the
+    lowest band: there it is the number of the set's rare shingles. All rare
+    ones are indexed then, so two sets that meet in frequent contents only
+    differ in the rare ones of both."""
     n = len(s)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    out = []
+    out, keys = [], []
     rare = np.ones(n, bool)
     if len(frequent):
         rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
@@ -84,38 +87,57 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         cheap = np.logical_or.reduceat(rare[order], first)
         # the order that all sets share: contents with a rare shingle first, then by hash
         rank = (content >> np.uint64(1)) | np.where(cheap, np.uint64(0), np.uint64(1 << 63))
-        out.append(content[np.argpartition(rank, differ)[: differ + 1]] if differ + 1 < len(rank) else content)
-    return np.concatenate(out)
+        pick = np.argpartition(rank, differ)[: differ + 1] if differ + 1 < len(rank) else np.arange(len(rank))
+        out.append(content[pick])
+        keys.append(np.where(cheap[pick] | (band > 0), 0, int(rare.sum())) * (1 << 40) + n)
+    return np.concatenate(out), np.concatenate(keys)
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set if an odd number of them has it; 2 to 4 bits a shingle.
+
+    Sets that differ in d elements have bitmaps that differ in at most d bits."""
+    size = 1 << max(3, (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ; the larger is folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """A row with doc_id, h (a hash of the text), n_shingles and node for every document, and rows with a shingle and in how many documents of a window it is, if in several."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64()), ("hits", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("hits", pa.int64())])
 
     def counted(window: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, hits = np.unique(np.concatenate(window), return_counts=True)
-        s, hits = s[hits >= 3], hits[hits >= 3]
+        s, hits = s[hits >= 2], hits[hits >= 2]
         if len(s):
             none = pa.nulls(len(s), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(s.view(np.int64)), pa.array(hits)], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(s), pa.binary()), pa.array(s.view(np.int64)), pa.array(hits)], schema=schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: dict[int, np.ndarray] = {}
         held = 0
         for b in it:
-            nodes, sizes = [], []
+            nodes, sizes, bits = [], [], []
             for s in shingle_sets(texts(b)):
                 sizes.append(len(s))
                 nodes.append(set_digest(s) if len(s) else None)
+                bits.append(parity_bits(s) if len(s) else None)
                 if len(s) and nodes[-1] not in window:
                     window[nodes[-1]] = s
                     held += len(s)
-                    if len(window) >= WINDOW_DOCS or held > 3_000_000:
+                    if len(window) >= WINDOW_DOCS or held > WINDOW_SHINGLES:
                         yield from counted(list(window.values()))
                         window, held = {}, 0
             none = pa.nulls(len(nodes), pa.int64())
             ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, b.column(b.schema.get_field_index("h")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, b.column(b.schema.get_field_index("h")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), none, none], schema=schema)
         if window:
             yield from counted(list(window.values()))
 
@@ -123,58 +145,79 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """sig, node: the indexed contents of every document; copies within a batch once."""
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+    """sig, key, node: the indexed contents of every document; copies within a batch once."""
+    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            done: dict[int, np.ndarray] = {}
+            done: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for s in shingle_sets(texts(b)):
                 if len(s) and (node := set_digest(s)) not in done:
                     done[node] = signatures(s, sent.value)
             if done:
-                sig = np.concatenate(list(done.values())).view(np.int64)
-                node = np.repeat(np.fromiter(done, np.int64, len(done)), [len(x) for x in done.values()])
-                yield from batches({"sig": pa.array(sig), "node": pa.array(node)}, schema)
+                sig = np.concatenate([x for x, _ in done.values()]).view(np.int64)
+                key = np.concatenate([k for _, k in done.values()])
+                node = np.repeat(np.fromiter(done, np.int64, len(done)), [len(x) for x, _ in done.values()])
+                yield from batches({"sig": pa.array(sig), "key": pa.array(key), "node": pa.array(node)}, schema)
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(run, "sig long, key long, node long")
 
 
 def groups(indexed: DataFrame) -> DataFrame:
-    """sig, hub, node for every node but the first of each content's group. sig is null if the group is a mere pair.
+    """sig, hub, node, with their keys, for every node but the first of each content's group. sig is null if the group is a mere pair.
 
     Rows of one content come sorted to one task and stream through; only the
-    first node of the group at hand is held."""
-    schema = pa.schema([("sig", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+    first node of the group at hand, the one with the fewest rare shingles, is
+    held. A node of more rare shingles than can differ, with the hub's, from
+    any partner is in no pair of this group."""
+    names = ("sig", "hub_key", "hub", "key", "node")
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # sig, hub, node of the row before
+        last = None  # sig, hub key, hub, node of the row before
         for b in it:
             if not b.num_rows:
                 continue
-            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sig, key, node = (c.to_numpy() for c in b.columns)
             fresh = np.append(last is None or last[0] != sig[0], sig[1:] != sig[:-1])
             first = np.flatnonzero(fresh)
             group = np.cumsum(fresh) - 1  # -1: goes on from the batch before
-            hub = np.where(group >= 0, node[first[np.maximum(group, 0)]] if len(first) else 0, last[1] if last else 0)
-            again = np.append(last is not None and last[0] == sig[0] and last[2] == node[0], (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
-            keep = (node != hub) & ~again
+            of = first[np.maximum(group, 0)] if len(first) else np.zeros(len(sig), np.int64)
+            hub = np.where(group >= 0, node[of], last[2] if last else 0)
+            hub_key = np.where(group >= 0, key[of], last[1] if last else 0)
+            again = np.append(last is not None and last[0] == sig[0] and last[3] == node[0], (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
+            size = key & ((1 << 40) - 1)
+            keep = (node != hub) & ~again & ((hub_key >> 40) + (key >> 40) <= size // 3)
             count = np.bincount(group[keep] + 1, minlength=group[-1] + 2)
             whole = np.ones(len(count), bool)
             whole[0] = whole[-1] = False  # may go on before or after
             pair = (count == 1) & whole
-            own = pa.array(sig[keep], mask=pair[group[keep] + 1])
-            last = (sig[-1], hub[-1], node[-1])
+            last = (sig[-1], hub_key[-1], hub[-1], node[-1])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([own, pa.array(hub[keep]), pa.array(node[keep])], schema=schema)
+                own = pa.array(sig[keep], mask=pair[group[keep] + 1])
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x[keep]) for x in (hub_key, hub, key, node))], schema=schema)
+
+    dealt = indexed.repartition("sig").sortWithinPartitions("sig", "key", "node")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    dealt = indexed.repartition("sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "sig long, hub long, node long")
 
+def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that their sizes and bitmaps don't rule out."""
 
-def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, elements of the wanted nodes (columns node, doc_id: one document each), from the texts again."""
+    @F.arrow_udf("int")
+    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([bits_apart(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32())
+
+    n = nodes.select("node", "n_shingles", "bits")
+    a, b = n.toDF("a", "xa", "ba"), n.toDF("b", "xb", "bb")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").filter("4 * xa >= 3 * xb and 4 * xb >= 3 * xa")
+    return both.withColumn("_apart", apart("ba", "bb")).filter("_apart <= floor((xa + xb) / 7)").select("a", "b")
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, elements of the nodes in ``pairs``, from the texts again."""
+    wanted = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
     schema = pa.schema([("node", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,33 +248,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     short_batches(spark)
     measured = cut(measure(docs), "measured")
     rows = measured.filter("n_shingles is not null").select("doc_id", "h", "n_shingles", "node")
-    least = max(FREQUENT_LEAST, rows.count() // FREQUENT_SHARE)
-    # at most (shingles of a mean document) * FREQUENT_SHARE of them
-    frequent = measured.filter("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    indexed = index(docs, np.sort(frequent.view(np.uint64)))
-    grouped = cut(groups(indexed), "groups")
+    found = measured.filter("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= FREQUENT_LEAST)
+    frequent = found.orderBy(F.desc("hits"), "shingle").limit(FREQUENT_MOST).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    nodes = cut(measured.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "nodes")
+    many_rows(spark)
+    grouped = cut(groups(index(docs, np.sort(frequent.view(np.uint64)))), "groups")
+    short_batches(spark)
+    # every node of a group with its first
     pairs = cut(grouped.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    members = grouped.filter("sig is not null")
-    members = members.select("sig", "node").unionAll(members.select("sig", F.col("hub").alias("node"))).distinct()
-    found = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(reps.join(found, "node"), "wanted")
-    sets = cut(node_sets(docs, wanted), "sets")
-    links = cut(verify(pairs, sets), "links")
+    near = cut(may_link(pairs, nodes), "near")
+    sets = cut(node_sets(docs, nodes, near), "sets")
+    links = cut(verify(near, sets), "links")
     roots = cut(components(links), "roots")
-    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    # what is left of groups of three and more: pairs that lie in different components
+    members = grouped.filter("sig is not null")
+    members = members.select("sig", "key", "node").unionAll(members.select("sig", F.col("hub_key").alias("key"), F.col("hub").alias("node"))).distinct()
+    placed = members.join(roots, "node", "left").select("sig", "key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    rest = cut(placed.join(mixed, "sig"), "rest")
+    rest = cut(placed.join(mixed, "sig").selectExpr("sig", "node", "root", "shiftright(key, 40) as owned", f"key & {(1 << 40) - 1} as n"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, F.expr("x.sig = y.sig and x.root <> y.root and x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    cross = cut(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-    more = cut(verify(cross, sets), "links")
+    can = "x.sig = y.sig and x.root <> y.root and x.node < y.node and 4 * x.n >= 3 * y.n and 4 * y.n >= 3 * x.n and x.owned + y.owned <= floor((x.n + y.n) / 7)"
+    cross = x.join(y, F.expr(can)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    both_ways = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = cut(may_link(cross.join(both_ways, ["a", "b"], "left_anti"), nodes), "near")
+    more_sets = cut(node_sets(docs, nodes, near), "sets")
+    more = cut(verify(near, more_sets), "links")
     if more.limit(1).count():
         roots = cut(components(links.unionAll(more)), "roots")
     named = rows.filter("node is not null").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    root_of = reps.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(lowest, "root").select("node", "component_id", "root")
-    for done in (grouped, sets, cross, rest):
+    root_of = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(lowest, "root").select("node", "component_id", "root")
+    for done in (grouped, sets, more_sets, rest):
         drop_cut(done)
     full = rows.filter("node is not null").join(root_of, "node").select("doc_id", "n_shingles", "component_id", "h", "root")
     return full.unionAll(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("root")))
