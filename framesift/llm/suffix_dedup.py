@@ -41,7 +41,7 @@ GRAM = 32
 TILE = 1 << 19
 HOT_RUNS = 256
 #: Suffix arrays are built over so many bytes at a time, groups kept whole.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def runs(text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -69,21 +69,59 @@ def runs(text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def suffix_array(a: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Order of the suffixes by their first 2^levels symbols (ties by position), and the ranks by 2, 4, 8 .. symbols.
-
-    ``a`` holds small non-negative integers; what lies behind the end is smaller than all."""
-    ranks = []
-    r = a.astype(np.int64) + 1
-    for j in range(levels):
-        key = r * (int(r.max()) + 1)
-        key[: len(r) - (1 << j)] += r[1 << j :]
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        r = np.empty(len(a), np.int64)
-        r[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))
-        ranks.append(r.astype(np.int32))
-    return order, ranks
+#: Never in UTF-8, so no match of valid text crosses it.
+SEPARATOR = 255
+
+
+#: Bytes of the first ranks.
+START = 5
+
+
+def sorted_with(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys below 2^42, and the keys in that order. Few enough are sorted with their places in the low bits."""
+    n = len(key)
+    if n >= 1 << 20 or int(key.max(initial=0)) >= 1 << 43:
+        order = np.argsort(key)
+        return order, key[order]
+    both = np.sort((key << np.uint64(20)) | np.arange(n, dtype=np.uint64))
+    return (both & np.uint64((1 << 20) - 1)).astype(np.int64), both >> np.uint64(20)
+
+
+def suffix_array(a: np.ndarray, depth: int, keep_ranks: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Order of the suffixes of a byte array by their first ``depth`` bytes, and each position's rank: the place in the order
+    of the first suffix that agrees with it so far. Behind the end counts as separators.
+
+    Prefix doubling from 5 bytes on; suffixes already told apart from all others are left alone."""
+    n = len(a)
+    wide = np.concatenate([a, np.full(START - 1, SEPARATOR, np.uint8)])
+    key = wide[:n].astype(np.uint64)
+    for k in range(1, START):
+        key = (key << np.uint64(8)) | wide[k : k + n]
+    if depth < START:
+        key >>= np.uint64(8 * (START - depth))
+    order, key = sorted_with(key)
+    fresh = np.append(True, key[1:] != key[:-1])
+    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank = np.empty(n + 1, np.int64)
+    rank[order], rank[n] = head, n
+    ranks, have = [(min(START, depth), rank[:n].copy())] if keep_ranks else [], START
+    while have < depth:
+        step = min(have, depth - have)
+        at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(at):
+            break
+        own = order[at]
+        # within the range of each old rank, by the rank ``step`` further on
+        by, key = sorted_with((head[at] * (n + 1) + rank[np.minimum(own + step, n)]).astype(np.uint64))
+        order[at] = own[by]
+        new = np.append(True, key[1:] != key[:-1])
+        fresh[at] = new
+        head[at] = np.maximum.accumulate(np.where(new, at, 0))
+        rank[order[at]] = head[at]
+        have += step
+        if keep_ranks:
+            ranks.append((have, rank[:n].copy()))
+    return order, rank[:n], ranks
 
 
 def smaller_before(x: np.ndarray) -> np.ndarray:
@@ -96,45 +134,45 @@ def smaller_before(x: np.ndarray) -> np.ndarray:
     return at
 
 
-def common_prefix(i: np.ndarray, j: np.ndarray, a: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
-    """Length of the common prefix of suffixes i and j, up to 2^(levels+1) - 1, by the ranks."""
-    n, out = len(a), np.zeros(len(i), np.int64)
-    for level in range(len(ranks), -1, -1):
-        x, y = i + out, j + out
-        inside = (x < n) & (y < n)
-        r = ranks[level - 1] if level else a
-        same = np.zeros(len(i), bool)
-        same[inside] = r[x[inside]] == r[y[inside]]
-        fits = np.maximum(x, y) + (1 << level) <= n
-        out += (same & fits).astype(np.int64) << level
-    return out
-
-
-def previous_factors(a: np.ndarray, length: int, later: bool = False) -> np.ndarray:
-    """Longest previous factor of every position, up to some bound of at least ``length``; with ``later`` the longest following one."""
-    levels = max(1, int(np.ceil(np.log2(length + 1))) - 1)
-    order, ranks = suffix_array(a, levels + 1)
-    ranks = ranks[: levels + 1]
-    x = -order if later else order
-    out = np.zeros(len(a), np.int64)
-    for side in (smaller_before(x), len(x) - 1 - smaller_before(x[::-1])[::-1]):
-        has = np.flatnonzero((side >= 0) & (side < len(x)))
-        out[order[has]] = np.maximum(out[order[has]], common_prefix(order[has], order[side[has]], a, ranks))
+def previous_factors(a: np.ndarray, depth: int) -> np.ndarray:
+    """Longest previous factor of every position of a byte array, up to ``depth``: the longer common prefix with the
+    previous or the next smaller position in suffix order. It may overlap the position; nothing crosses a separator."""
+    order, _, ranks = suffix_array(a, depth, keep_ranks=True)
+    n = len(a)
+    end = np.append(np.flatnonzero(a == SEPARATOR), n)
+    left = end[np.searchsorted(end, np.arange(n))] - np.arange(n)  # bytes up to the next separator
+    out = np.zeros(n, np.int64)
+    for side in (smaller_before(order), n - 1 - smaller_before(order[::-1])[::-1]):
+        has = np.flatnonzero((side >= 0) & (side < n))
+        i, j = order[has], order[side[has]]
+        room, match = np.minimum(left[i], left[j]), np.zeros(len(has), np.int64)
+        for size, rank in [*reversed(ranks), *[(1, a)] * 8]:
+            for _ in range(2 if size == ranks[0][0] else 1):
+                x, y = np.minimum(i + match, n - 1), np.minimum(j + match, n - 1)
+                match += np.where((match + size <= room) & (rank[x] == rank[y]), size, 0)
+        out[i] = np.maximum(out[i], np.minimum(match, depth))
     return out
 
 
 def repeated_windows(pieces: list[bytes], counts: list[int], length: int, keep: str) -> list[np.ndarray]:
-    """For each piece, which of its first ``counts`` windows occur in an earlier piece or place (keep "first") or elsewhere (keep "none")."""
-    size = [len(p) + 1 for p in pieces]
-    a = np.empty(sum(size), np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    for i, p in enumerate(pieces):
-        a[begin[i] : begin[i + 1] - 1] = np.frombuffer(p, np.uint8)
-        a[begin[i + 1] - 1] = 256 + i  # each separator differs, so no match crosses one
-    hit = previous_factors(a, length) >= length
+    """For each piece, which of its first ``counts`` windows occur in an earlier piece or place (keep "first") or elsewhere (keep "none").
+
+    A window's longest previous factor reaches ``length`` where the previous or
+    the next smaller position in suffix order is in its own class of suffixes
+    that agree in ``length`` bytes: for all of a class but its smallest
+    position. Counted from the end, for all but the largest."""
+    size = np.array([len(p) + 1 for p in pieces])
+    a = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)
+    begin = np.cumsum(size) - size
+    order, rank, _ = suffix_array(a, length)
+    first = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0))
+    smallest, largest = np.minimum.reduceat(order, first), np.maximum.reduceat(order, first)
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    hit = np.zeros(len(a), bool)
+    hit[order] = order != smallest[of]
     if keep == "none":
-        hit |= previous_factors(a, length, later=True) >= length
-    return [hit[b : b + c] for b, c in zip(begin, counts, strict=False)]
+        hit[order] |= order != largest[of]
+    return [hit[b : b + c] for b, c in zip(begin, counts, strict=True)]
 
 
 def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +230,7 @@ def fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             got: list[tuple] = []
+            hot: list[tuple] = []
             held = 0
             for d, h, body, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw = body.as_buffer()
@@ -199,16 +238,25 @@ def fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     piece = raw.slice(r["at"], r["cnt"] + length - 1)
                     if r["hot"]:
                         p, down = prefix_hash(np.frombuffer(piece, np.uint8))
-                        win = mix((p[length:] - p[:-length]) * down[: r["cnt"]]).view(np.int64)
-                        got += [(d, h, r["anchor"], r["at"] + i, 1, None, w) for i, w in enumerate(win.tolist())]
+                        hot.append((d, h, r["anchor"], r["at"], mix((p[length:] - p[:-length]) * down[: r["cnt"]])))
+                        held += 64 * r["cnt"]
                     else:
                         got.append((d, h, r["anchor"], r["at"], r["cnt"], piece.to_pybytes(), None))
                         held += len(piece)
-                    if len(got) > 20_000 or held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
-                        got, held = [], 0
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
+                    if held > 8 << 20:
+                        yield from told(got, hot)
+                        got, hot, held = [], [], 0
+            yield from told(got, hot)
+
+    def told(got: list[tuple], hot: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
+        if hot:
+            n = [len(x[4]) for x in hot]
+            wide = lambda i, kind: pa.array([x[i] for x in hot], kind).take(pa.array(np.repeat(np.arange(len(hot)), n)))
+            at = np.concatenate([x[3] + np.arange(k) for x, k in zip(hot, n, strict=True)]).astype(np.int32)
+            win = np.concatenate([x[4] for x in hot]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([wide(0, pa.int64()), wide(1, pa.int64()), wide(2, pa.int64()), pa.array(at), pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.binary()), pa.array(win)], schema=schema)
 
     return rows.mapInArrow(run, f"{KEY}, anchor long, at int, cnt int, piece binary, win long")
 
