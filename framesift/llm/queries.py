@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .compact_windows import op7_compact_windows
 from .decontamination import op10_decontamination
 from .language_id import op2_language_id
 from .media import op3_media
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_compact_windows": op7_compact_windows,
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,

@@ -124,13 +124,15 @@ def suffix_array(a: np.ndarray, depth: int, keep_ranks: bool = False) -> tuple[n
     return order, rank[:n], ranks
 
 
-def smaller_before(x: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value to the left, or -1."""
+def smaller_before(x: np.ndarray, strict: bool = True) -> np.ndarray:
+    """Index of the nearest value to the left that is smaller (unless ``strict``: or equal), or -1."""
     at = np.arange(len(x)) - 1
-    open_ = np.flatnonzero((at >= 0) & (x[at] > x))
+    open_ = np.arange(len(x))
     while len(open_):
+        here, own = at[open_], x[open_]
+        there = x[here]
+        open_ = open_[(here >= 0) & ((there >= own) if strict else (there > own))]
         at[open_] = at[at[open_]]
-        open_ = open_[(at[open_] >= 0) & (x[at[open_]] > x[open_])]
     return at
 
 
