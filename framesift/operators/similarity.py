@@ -40,7 +40,7 @@ def hamming_pairs(hashes: DataFrame, radius: int, *, key: str = "h", id: str = "
             masks += _masks(width, k)
         part = F.expr(f"shiftrightunsigned(h, {lo}) & {(1 << width) - 1 if width < 63 else -1}")
         i = one.select("id", "h", F.lit(b).alias("band"), part.alias("v"))
-        p = one.select("id", "h", F.lit(b).alias("band"), F.explode(F.array(*[part.bitwiseXOR(F.lit(x)) for x in masks])).alias("v"))
+        p = one.select("id", "h", F.explode(F.lit(masks).cast("array<bigint>")).alias("_m")).select("id", "h", F.lit(b).alias("band"), part.bitwiseXOR(F.col("_m")).alias("v"))
         index, probe = (i, p) if index is None else (index.unionAll(i), probe.unionAll(p))
     x, y = probe.alias("x"), index.alias("y")
     near = x.join(y, F.expr("x.band = y.band and x.v = y.v and x.h < y.h")).filter(hamming("x.h", "y.h") <= radius)

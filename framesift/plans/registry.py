@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import library
+from . import advanced, library  # noqa: F401  (advanced adds its queries to library's)
 
 
 def queries() -> dict:
