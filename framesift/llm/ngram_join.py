@@ -9,13 +9,15 @@ By the pigeonhole principle at most H = (x + y) / 7 of a set's
 non-empty segments differ from the partner's. So, in any order of segment
 contents that all sets share, the first H + 1 contents of either set have one
 in common: those are indexed. The order is by cost: contents made of very
-frequent shingles come last. Candidates are verified on the whole sets.
+frequent shingles come last, and before them those of a single shingle, which
+unlike texts may share. Candidates are verified on the whole sets.
 
 Large groups: equal sets are one node. In a group of nodes under one content
-each is paired with the first only; components of verified pairs follow; what
-then still lies in different components of one group is paired and verified
-too. So no link that joins two components is lost, and a group of near copies
-costs its size, not its square.
+each is paired with the first only; components of verified pairs follow. While
+many pairs of a group still lie in different components, the members are paired
+with one more node of the group; what then is left is paired and verified too.
+So no link that joins two components is lost, and a group of near copies costs
+its size, not its square.
 
 Defined results: null or empty text has the empty set, linked with nothing,
 and its component is its own doc_id; fewer than five words are one shingle;
@@ -37,9 +39,11 @@ from .components import components
 from .shingles import set_digest, shingle_sets
 
 #: The bands of sizes: below FIRST_BAND, where every shingle is a segment of its own, then each BAND_RATIO times as far.
-FIRST_BAND, BAND_RATIO = 512, 8
-#: Shingles of a segment, at the upper end of a band. Up to this, a set has many more non-empty segments than can differ.
-SEGMENT_FILL = 2.8
+FIRST_BAND, BAND_RATIO = 64, 2
+#: Shingles of a segment, at the upper end of a band. Up to this, a set has many more non-empty segments than can differ (by 8 deviations).
+SEGMENT_FILL = 2.0
+#: Groups are paired with further single nodes while more pairs than so many for each member lie in different components, and so often at most.
+OPEN_PAIRS, HUB_ROUNDS = 4, 6
 #: A shingle is frequent if windows of documents have it so often; at most so many frequent shingles are sent to the tasks, the most frequent first.
 FREQUENT_LEAST, FREQUENT_MOST = 32, 1_000_000
 #: Distinct documents, and shingles, that are counted together in one task.
@@ -85,8 +89,9 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
         first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
         content = mix(np.add.reduceat(mix(member + np.uint64(band)), first) ^ mix(seg[first] + np.uint64(band)))
         cheap = np.logical_or.reduceat(rare[order], first)
-        # the order that all sets share: contents with a rare shingle first, then by hash
-        rank = (content >> np.uint64(1)) | np.where(cheap, np.uint64(0), np.uint64(1 << 63))
+        several = np.diff(np.append(first, n)) > 1
+        # the order that all sets share: contents of several shingles with a rare one, single rare ones, frequent ones; then by hash
+        rank = (content >> np.uint64(2)) | np.where(cheap, np.where(several, np.uint64(0), np.uint64(1 << 62)), np.uint64(1 << 63))
         pick = np.argpartition(rank, differ)[: differ + 1] if differ + 1 < len(rank) else np.arange(len(rank))
         out.append(content[pick])
         keys.append(np.where(cheap[pick] | (band > 0), 0, int(rare.sum())) * (1 << 40) + n)
@@ -242,6 +247,30 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.withColumn("_i", F.size(F.array_intersect("ea", "eb"))).filter(100 * F.col("_i") >= 75 * (x + y - F.col("_i"))).select("a", "b")
 
 
+def link(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, links: DataFrame | None, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links and roots with what is found among the pairs (a, b) added to them."""
+    near = cut(may_link(pairs, nodes), "near")
+    if links is not None and near.isEmpty():
+        return links, roots
+    sets = cut(node_sets(docs, nodes, near), "sets")
+    found = cut(verify(near, sets), "links")
+    drop_cut(sets)
+    if links is not None and found.isEmpty():
+        return links, roots
+    links = found if links is None else links.unionAll(found)
+    return links, cut(components(links), "roots")
+
+
+def left_open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+    """Members (sig, node, root, owned, n) of the groups that lie in several components; how many pairs do; how many members there are."""
+    placed = members.join(roots, "node", "left").select("sig", "key", "node", F.coalesce("root", "node").alias("root"))
+    counts = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+    mixed = cut(counts.filter("c * c > cc"), "mixed")
+    total = mixed.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2), F.sum("c")).first()
+    rest = placed.join(mixed, "sig").selectExpr("sig", "node", "root", "shiftright(key, 40) as owned", f"key & {(1 << 40) - 1} as n")
+    return cut(rest, "rest"), int(total[0] or 0), int(total[1] or 0)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, and h (xxhash64 of the text) and root (a name of the component; null for empty sets), for every row of docs (columns doc_id, text)."""
     spark = docs.sparkSession
@@ -256,30 +285,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     short_batches(spark)
     # every node of a group with its first
     pairs = cut(grouped.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    near = cut(may_link(pairs, nodes), "near")
-    sets = cut(node_sets(docs, nodes, near), "sets")
-    links = cut(verify(near, sets), "links")
-    roots = cut(components(links), "roots")
+    links, roots = link(docs, nodes, pairs, None, None)
     # what is left of groups of three and more: pairs that lie in different components
     members = grouped.filter("sig is not null")
-    members = members.select("sig", "key", "node").unionAll(members.select("sig", F.col("hub_key").alias("key"), F.col("hub").alias("node"))).distinct()
-    placed = members.join(roots, "node", "left").select("sig", "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    rest = cut(placed.join(mixed, "sig").selectExpr("sig", "node", "root", "shiftright(key, 40) as owned", f"key & {(1 << 40) - 1} as n"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    can = "x.sig = y.sig and x.root <> y.root and x.node < y.node and 4 * x.n >= 3 * y.n and 4 * y.n >= 3 * x.n and x.owned + y.owned <= floor((x.n + y.n) / 7)"
-    cross = x.join(y, F.expr(can)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    both_ways = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = cut(may_link(cross.join(both_ways, ["a", "b"], "left_anti"), nodes), "near")
-    more_sets = cut(node_sets(docs, nodes, near), "sets")
-    more = cut(verify(near, more_sets), "links")
-    if more.limit(1).count():
-        roots = cut(components(links.unionAll(more)), "roots")
+    members = cut(members.select("sig", "key", "node").unionAll(members.select("sig", F.col("hub_key").alias("key"), F.col("hub").alias("node"))).distinct(), "members")
+    done = pairs
+    for round_ in range(HUB_ROUNDS):
+        rest, crossing, size = left_open(members, roots)
+        if crossing <= OPEN_PAIRS * size:
+            break
+        hubs = rest.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("at"), "node", "root", "owned", "n")).alias("h"))
+        x = rest.join(hubs, "sig").filter("root <> h.root and 4 * n >= 3 * h.n and 4 * h.n >= 3 * n and owned + h.owned <= floor((n + h.n) / 7)")
+        tried = cut(x.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
+        links, roots = link(docs, nodes, tried, links, roots)
+        done = done.unionAll(tried)
+        drop_cut(rest)
+    else:
+        rest, crossing, size = left_open(members, roots)
+    if crossing:
+        x, y = rest.alias("x"), rest.alias("y")
+        can = "x.sig = y.sig and x.root <> y.root and x.node < y.node and 4 * x.n >= 3 * y.n and 4 * y.n >= 3 * x.n and x.owned + y.owned <= floor((x.n + y.n) / 7)"
+        cross = x.join(y, F.expr(can)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        before = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links, roots = link(docs, nodes, cross.join(before, ["a", "b"], "left_anti"), links, roots)
     named = rows.filter("node is not null").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     root_of = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(lowest, "root").select("node", "component_id", "root")
-    for done in (grouped, sets, more_sets, rest):
-        drop_cut(done)
+    for old in (grouped, members, rest):
+        drop_cut(old)
     full = rows.filter("node is not null").join(root_of, "node").select("doc_id", "n_shingles", "component_id", "h", "root")
     return full.unionAll(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("root")))
 
