@@ -14,8 +14,11 @@ later copies. ``keep="first"`` removes what has an earlier copy,
 ``keep="none"`` everything that has any other copy.
 
 An anchor with more distinct runs than ``HOT_RUNS`` goes another exact way: its
-windows are dealt out by a hash of all their bytes and counted, so no task gets
-the whole group.
+runs are cut into parts of windows at the same offsets from the anchor. Windows
+can be equal only if the bytes are that all windows of their parts share: parts
+are dealt out by these. A part alone repeats nothing; parts with the same bytes
+throughout repeat whole; the windows of the others are dealt out by a hash of
+all their bytes and counted. So no task gets the whole group.
 
 Defined results: null text is the empty text; texts shorter than ``length``
 keep all; repeated rows are copies of each other; rows are told apart by
@@ -40,6 +43,8 @@ GRAM = 32
 #: Windows are hashed in tiles of so many; positions take 20 bits of a key.
 TILE = 1 << 19
 HOT_RUNS = 256
+#: Windows of a part, for lengths from four times that.
+PART = 25
 #: Suffix arrays are built over so many bytes at a time, groups kept whole.
 BLOCK = 1 << 19
 
@@ -177,6 +182,19 @@ def repeated_windows(pieces: list[bytes], counts: list[int], length: int, keep:
     return [hit[b : b + c] for b, c in zip(begin, counts, strict=True)]
 
 
+def parts_of(piece: bytes, off: int, count: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, windows, hash of the shared bytes and hash of all bytes of each part of a run; hash of each window."""
+    p, down = prefix_hash(np.frombuffer(piece, np.uint8))
+    over = lambda lo, hi: (p[hi] - p[lo]) * down[lo]
+    size = max(1, min(PART, length // 4))
+    q = np.arange((off - count + 1) // size, off // size + 1)
+    low, high = np.maximum(off - count + 1, q * size), np.minimum(off, q * size + size - 1)
+    first, n = off - high, high - low + 1
+    shared = mix(mix(over(off - q * size, off - (q * size + size - 1) + length)) + q.astype(np.uint64))
+    whole = mix(mix(over(first, first + n - 1 + length)) + (low.astype(np.uint64) << np.uint64(32)) + high.astype(np.uint64))
+    return first, n, shared, whole, mix((p[length:] - p[:-length]) * down[:count])
+
+
 def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -224,43 +242,37 @@ def find_runs(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted runs (KEY, anchor, at, cnt, hot). A hot run comes as a hash of each of its windows instead: key, window."""
-    per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "at", "cnt", "hot")).alias("runs"))
+    """Bytes of the wanted runs (KEY, anchor, at, cnt, off, hot). A hot run comes as its parts instead: shared, whole, windows."""
+    per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "at", "cnt", "off", "hot")).alias("runs"))
     rows = keyed.alias("k").join(per_doc.alias("w"), F.expr("k.doc_id <=> w.doc_id and k.h = w.h")).select("k.doc_id", "k.h", "body", "runs")
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("cnt", pa.int32()), ("piece", pa.binary()), ("win", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("cnt", pa.int32()), ("piece", pa.binary()), ("shared", pa.int64()), ("whole", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             got: list[tuple] = []
-            hot: list[tuple] = []
             held = 0
             for d, h, body, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw = body.as_buffer()
                 for r in own.as_py():
                     piece = raw.slice(r["at"], r["cnt"] + length - 1)
                     if r["hot"]:
-                        p, down = prefix_hash(np.frombuffer(piece, np.uint8))
-                        hot.append((d, h, r["anchor"], r["at"], mix((p[length:] - p[:-length]) * down[: r["cnt"]])))
+                        first, n, shared, whole, win = parts_of(piece, r["off"], r["cnt"], length)
+                        for f, k, x, y in zip(first.tolist(), n.tolist(), shared.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
+                            got.append((d, h, r["anchor"], r["at"] + f, k, None, x, y, win[f : f + k].view(np.int64)))
                         held += 64 * r["cnt"]
                     else:
-                        got.append((d, h, r["anchor"], r["at"], r["cnt"], piece.to_pybytes(), None))
+                        got.append((d, h, r["anchor"], r["at"], r["cnt"], piece.to_pybytes(), None, None, None))
                         held += len(piece)
                     if held > 8 << 20:
-                        yield from told(got, hot)
-                        got, hot, held = [], [], 0
-            yield from told(got, hot)
+                        yield told(got)
+                        got, held = [], 0
+            if got:
+                yield told(got)
 
-    def told(got: list[tuple], hot: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
-        if hot:
-            n = [len(x[4]) for x in hot]
-            wide = lambda i, kind: pa.array([x[i] for x in hot], kind).take(pa.array(np.repeat(np.arange(len(hot)), n)))
-            at = np.concatenate([x[3] + np.arange(k) for x, k in zip(hot, n, strict=True)]).astype(np.int32)
-            win = np.concatenate([x[4] for x in hot]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([wide(0, pa.int64()), wide(1, pa.int64()), wide(2, pa.int64()), pa.array(at), pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.binary()), pa.array(win)], schema=schema)
+    def told(got: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, f"{KEY}, anchor long, at int, cnt int, piece binary, win long")
+    return rows.mapInArrow(run, f"{KEY}, anchor long, at int, cnt int, piece binary, shared long, whole long, windows array<long>")
 
 
 def match(pieces: DataFrame, length: int, keep: str) -> DataFrame:
@@ -302,8 +314,8 @@ def repeated_spans(keyed: DataFrame, *, length: int = 400, keep: str = "none") -
     anchors = found.groupBy("anchor").agg(F.sum(size).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("n > 1")
     again = cut(found.join(anchors.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchor"), "again")
     # distinct runs of an anchor: how often, and where first
-    kinds = again.groupBy("anchor", "digest").agg(F.sum(size).alias("n"), F.first("alike").alias("alike"), F.min(F.struct("doc_id", "h", F.array_min("starts").alias("at"), "cnt")).alias("r"))
-    kinds = cut(kinds.select("anchor", "digest", "n", "alike", "r.*"), "kinds")
+    kinds = again.groupBy("anchor", "digest").agg(F.sum(size).alias("n"), F.first("alike").alias("alike"), F.first("off").alias("off"), F.min(F.struct("doc_id", "h", F.array_min("starts").alias("at"), "cnt")).alias("r"))
+    kinds = cut(kinds.select("anchor", "digest", "n", "alike", "off", "r.*"), "kinds")
     many = kinds.filter("n > 1").select("anchor", "digest", F.struct("doc_id", "h", "at").alias("rep"))
     copies = again.join(many, ["anchor", "digest"]).withColumn("at", F.explode("starts"))
     if keep == "first":
@@ -312,15 +324,21 @@ def repeated_spans(keyed: DataFrame, *, length: int = 400, keep: str = "none") -
     # distinct runs that share an anchor with others: only those may match in part
     varied = kinds.filter("not alike")
     hot = varied.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_RUNS).alias("hot"))
-    wanted = cut(varied.join(hot, "anchor").select("doc_id", "h", "anchor", "at", "cnt", "hot", (F.lit(keep == "first") | (F.col("n") == 1)).alias("check")), "wanted")
+    wanted = cut(varied.join(hot, "anchor").select("doc_id", "h", "anchor", "at", "cnt", "off", "hot", (F.lit(keep == "first") | (F.col("n") == 1)).alias("check")), "wanted")
     pieces = cut(fetch(keyed, wanted, length), "pieces")
     checked = pieces.filter("piece is not null").alias("p").join(wanted.filter("not hot").alias("w"), F.expr("p.doc_id <=> w.doc_id and p.h = w.h and p.at = w.at")).select("p.*", "w.check")
     spans = spans.unionAll(match(checked, length, keep))
-    windows = pieces.filter("win is not null").select("doc_id", "h", "at", "win")
-    seen = windows.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at")).alias("rep")).filter("n > 1").select("win", "rep")
+    place = F.struct("doc_id", "h", "at")
+    parts = pieces.filter("piece is null").select("doc_id", "h", "at", "cnt", "shared", "whole", "windows")
+    met = parts.groupBy("shared").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike"), F.min(place).alias("rep")).filter("n > 1").drop("n")
+    met = cut(parts.join(met, "shared"), "parts")
+    whole = met.filter("alike")
+    windows = met.filter("not alike").select("doc_id", "h", "at", F.posexplode("windows").alias("o", "win")).select("doc_id", "h", (F.col("at") + F.col("o")).alias("at"), "win")
+    seen = windows.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep")).filter("n > 1").select("win", "rep")
     hits = windows.join(seen, "win")
     if keep == "first":
-        hits = hits.filter(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("rep")))
+        whole, hits = (x.filter(~place.eqNullSafe(F.col("rep"))) for x in (whole, hits))
+    spans = spans.unionAll(whole.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("cnt") + (length - 1)).cast("int").alias("hi")))
     return spans.unionAll(hits.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
 
 
