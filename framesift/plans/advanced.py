@@ -21,9 +21,13 @@ DUCK_HASH = "xor(user_id * 6364136223846793 + (user_id % 7) * 40503, ((event_id
 HASHES_SQL = f"hashes as (select event_id as id, {DUCK_HASH} as h from events where event_id % 5 = 0)"
 
 
+def all_hashes(s, d):
+    return table(s, d, "events").select(F.col("event_id").alias("id"), F.expr(SPARK_HASH).alias("h"))
+
+
 def hashes(s, d):
-    """A fifth of the events: the pairs of all would be as many as their square over the users."""
-    return table(s, d, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.expr(SPARK_HASH).alias("h"))
+    """The fifth of the events that HASHES_SQL takes; the queries named _whole take all."""
+    return all_hashes(s, d).filter("id % 5 = 0")
 
 
 @query("hamming_pairs", "+ one as (select h, min(id) as id from hashes group by 1) select least(x.id, y.id) as a, greatest(x.id, y.id) as b, bit_count(xor(x.h, y.h))::int as distance from one x join one y on x.h < y.h and bit_count(xor(x.h, y.h)) <= 6 union all select o.id, p.id, 0 from hashes p join one o using (h) where p.id <> o.id", HASHES_SQL)
@@ -36,6 +40,17 @@ def hamming_components(s, d):
     return M.components(M.hamming_pairs(hashes(s, d), 4).select("a", "b"))
 
 
+@query("hamming_pairs_whole")
+def hamming_pairs_whole(s, d):
+    """Pairs among all events: representatives (the first id of each hash) within 6 bits, and each other id with its representative at distance 0."""
+    return M.hamming_pairs(all_hashes(s, d), 6)
+
+
+@query("hamming_components_whole")
+def hamming_components_whole(s, d):
+    return M.components(M.hamming_pairs(all_hashes(s, d), 4).select("a", "b"))
+
+
 @query("cosine_pairs", "+ x as (select vec_id, embedding::double[] as e from v) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from x a join x b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.35", "v as (select * from embeddings)")
 def cosine_pairs(s, d):
     return M.cosine_pairs(table(s, d, "embeddings"), 0.35).select("a", "b", F.round("cosine", 6).alias("cosine"))
@@ -130,14 +145,14 @@ def sniff_formats(s, d):
 def frame_measures(s, d):
     """Kernels on small frames made from the events, 24 x 16 pixels."""
     n = 24 * 16 * 3
-    p = table(s, d, "events").filter("event_id % 20 = 0").select(F.col("event_id").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((i * (F.col("event_id") % 17 + 1) + F.col("user_id")) % 256), 2, "0")), "")).alias("pixels"))
+    p = table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((i * (F.col("event_id") % 17 + 1) + F.col("user_id")) % 256), 2, "0")), "")).alias("pixels"))
     return K.measure(p).select("id", "measures.dhash", "measures.sharpness", "measures.exposure", "measures.highlight_clipping", "measures.leading_lines")
 
 
 @query("edited_frames")
 def edited_frames(s, d):
     n = 24 * 16 * 3
-    p = table(s, d, "events").filter("event_id % 50 = 0").select(F.col("event_id").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("user_id")) % 256), 2, "0")), "")).alias("pixels"), F.create_map(F.lit("contrast"), F.lit(20.0), F.lit("vignette"), F.lit(30.0)).alias("edits"))
+    p = table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("user_id")) % 256), 2, "0")), "")).alias("pixels"), F.create_map(F.lit("contrast"), F.lit(20.0), F.lit("vignette"), F.lit(30.0)).alias("edits"))
     return K.edited(p).select("id", F.sha2("pixels", 256).alias("digest"))
 
 

@@ -425,9 +425,18 @@ def time_band_pairs(s, d):
 
 @query("client_feedback", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos where id < 400), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
 def client_feedback(s, d):
-    p = photos(s, d, "id", "file_name")
-    f = p.filter("id < 400").selectExpr("id as ordinal", "case when id % 2 = 0 then (id * 3) % 500 end as photo_id", "concat('IMG_', lpad(cast((id * 5) % 700 as string), 7, '0'), '.jpg') as file_name", "case when id % 3 = 0 then 'yes' else 'no' end as verdict")
-    return J.apply_feedback(f, p)
+    return J.apply_feedback(feedback(s, d).filter("ordinal < 400"), photos(s, d, "id", "file_name"))
+
+
+@query("client_feedback_whole")
+def client_feedback_whole(s, d):
+    """Every photo's entry is read, not only the first 400."""
+    return J.apply_feedback(feedback(s, d), photos(s, d, "id", "file_name"))
+
+
+def feedback(s, d):
+    """ordinal, photo_id, file_name, verdict: an entry made from each photo."""
+    return photos(s, d, "id").selectExpr("id as ordinal", "case when id % 2 = 0 then (id * 3) % 500 end as photo_id", "concat('IMG_', lpad(cast((id * 5) % 700 as string), 7, '0'), '.jpg') as file_name", "case when id % 3 = 0 then 'yes' else 'no' end as verdict")
 
 
 @query("restore_backup", "+ b as (select file_name, captured_at, case when id % 4 = 0 then 'candidate' when id % 4 = 1 then 'selected' else status end as ns, rating as nr from photos where id % 2 = 1 or id % 4 = 0) select p.id, b.ns as new_status, b.nr as new_rating from photos p join b using (file_name, captured_at) where b.ns in ('selected', 'rejected', 'review', 'pending') and (p.status is distinct from b.ns or p.rating is distinct from b.nr)")
