@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import dot, hamming, norm
@@ -12,37 +13,62 @@ from ..functions.expr import dot, hamming, norm
 HASH_BITS = 64
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster has none that all executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="framesift-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the cluster's shared checkpoint folder."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/framesift-checkpoints"
-    path = f"{at.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bands(radius: int, rows: int = 100_000) -> tuple[int, int, int]:
+    """Into how many bands to cut a hash, and how many bits of a band to flip on either side: what costs least in rows to be dealt (eight times a candidate) and, for about so many hashes, in candidates."""
+    from math import comb
+
+    def masks(m: int, flips: int) -> int:
+        return sum(comb(-(-HASH_BITS // m), k) for k in range(flips + 1))
+
+    def cost(m: int) -> float:
+        f = radius // m
+        return m * (8 * (masks(m, f - f // 2) + masks(m, f // 2)) + masks(m, f) * rows / 2 ** (HASH_BITS // m))
+
+    m = min(range(1, 17), key=cost)
+    f = radius // m
+    return m, f - f // 2, f // 2
+
+
 def hamming_pairs(hashes: DataFrame, radius: int, *, key: str = "h", id: str = "id") -> DataFrame:
     """a, b, distance of all pairs within ``radius`` bits: multi-index hashing.
 
-    The hash is cut into bands. With m bands some band of a pair differs in at
-    most radius div m bits; every row is indexed under its bands and probed
-    under their neighbours within that many bits, and pairs are verified.
-    Equal hashes are one row in the search, with a link to the first of them."""
-    m = max(1, min(8, (radius + 1) // 2 if radius else 1))
-    flips = radius // m
+    The hash is cut into m bands: some band of a pair differs in at most radius
+    div m bits. Rows meet where a band agrees after some bits of it are flipped
+    on either side, and pairs are verified. Equal hashes are one row in the
+    search, with a link to the first of them."""
+    m, left, right = bands(radius)
     edges = [HASH_BITS * i // m for i in range(m + 1)]
     one = hashes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("h")).agg(F.min(id).alias("id"))
-    index, probe = None, None
-    for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        width = hi - lo
-        masks = [0]
-        for k in range(1, flips + 1):
-            masks += _masks(width, k)
-        part = F.expr(f"shiftrightunsigned(h, {lo}) & {(1 << width) - 1 if width < 63 else -1}")
-        i = one.select("id", "h", F.lit(b).alias("band"), part.alias("v"))
-        p = one.select("id", "h", F.explode(F.lit(masks).cast("array<bigint>")).alias("_m")).select("id", "h", F.lit(b).alias("band"), part.bitwiseXOR(F.col("_m")).alias("v"))
-        index, probe = (i, p) if index is None else (index.unionAll(i), probe.unionAll(p))
-    x, y = probe.alias("x"), index.alias("y")
+
+    def keys(b: int, flips: int) -> Column:
+        lo, hi = edges[b], edges[b + 1]
+        part = F.expr(f"shiftrightunsigned(h, {lo}) & {(1 << (hi - lo)) - 1 if hi - lo < 63 else -1}")
+        masks = F.lit([x for k in range(flips + 1) for x in _masks(hi - lo, k)]).cast("array<bigint>")
+        return F.transform(masks, lambda x: F.struct(F.lit(b).alias("band"), part.bitwiseXOR(x).alias("v")))
+
+    def under(flips: int) -> DataFrame:
+        return one.select("id", "h", F.explode(F.concat(*[keys(b, flips) for b in range(m)])).alias("k")).select("id", "h", "k.band", "k.v")
+
+    x, y = under(left).alias("x"), under(right).alias("y")
     near = x.join(y, F.expr("x.band = y.band and x.v = y.v and x.h < y.h")).filter(hamming("x.h", "y.h") <= radius)
     pairs = near.select(F.col("x.id").alias("a0"), F.col("y.id").alias("b0"), hamming("x.h", "y.h").alias("distance")).distinct()
     equal = hashes.join(one.select(F.col("h").alias(key), F.col("id").alias("_first")), key).filter(F.col(id) != F.col("_first"))

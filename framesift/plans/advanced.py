@@ -9,57 +9,51 @@ from ..operators import joins as J
 from ..operators import pixels as K
 from ..operators import scoring as S
 from ..operators import similarity as M
-from ..operators.similarity import checkpointed
+from ..operators.similarity import checkpointed, shared_folder
 from ..sources import files
 from ..sources.bindings import PHOTOS_SQL, corrections, photos, table
 from .library import query
 
-#: A 64-bit hash in which frames of one user are near each other, and a few bits that move.
-HASH = "(user_id * 6364136223846793 + (user_id % 7) * 40503) # (((event_id * 37) % 61) * 16777216 + (event_id * 11) % 13)"
-SPARK_HASH = HASH.replace("#", "^")
-DUCK_HASH = "xor(user_id * 6364136223846793 + (user_id % 7) * 40503, ((event_id * 37) % 61) * 16777216 + (event_id * 11) % 13)"
-HASHES_SQL = f"hashes as (select event_id as id, {DUCK_HASH} as h from events where event_id % 5 = 0)"
-
-
-def all_hashes(s, d):
-    return table(s, d, "events").select(F.col("event_id").alias("id"), F.expr(SPARK_HASH).alias("h"))
+#: A 62-bit hash, from bounded products, in which frames of one user are near each other, and a few bits that move.
+BASE = "((user_id * 48271 + 11) % 2147483647) * 2147483648 + (user_id * 69621 + (user_id % 7) * 40503) % 2147483647"
+MOVES = "((event_id * 37) % 61) * 16777216 + (event_id * 11) % 13"
+SPARK_HASH = f"({BASE}) ^ ({MOVES})"
+DUCK_HASH = f"xor({BASE}, {MOVES})"
+HASHES_SQL = f"hashes as (select event_id as id, {DUCK_HASH} as h from events)"
+PAIRS_SQL = "+ one as (select h, min(id) as id from hashes group by 1) select least(x.id, y.id) as a, greatest(x.id, y.id) as b, bit_count(xor(x.h, y.h))::int as distance from one x join one y on x.h < y.h and bit_count(xor(x.h, y.h)) <= 6 union all select o.id, p.id, 0 from hashes p join one o using (h) where p.id <> o.id"
+COMPONENTS_SQL = "+ p as (select x.id as a, y.id as b from hashes x join hashes y on x.id <> y.id and bit_count(xor(x.h, y.h)) <= 4), r as (select id as a, id as b from hashes union select r.a, p.b from r join p on r.b = p.a) select a as node, min(b) as root from r where a in (select a from p) group by 1"
+RECURSIVE_SQL = HASHES_SQL.replace("hashes as", "recursive hashes as")
 
 
 def hashes(s, d):
-    """The fifth of the events that HASHES_SQL takes; the queries named _whole take all."""
-    return all_hashes(s, d).filter("id % 5 = 0")
+    return table(s, d, "events").select(F.col("event_id").alias("id"), F.expr(SPARK_HASH).alias("h"))
 
 
-@query("hamming_pairs", "+ one as (select h, min(id) as id from hashes group by 1) select least(x.id, y.id) as a, greatest(x.id, y.id) as b, bit_count(xor(x.h, y.h))::int as distance from one x join one y on x.h < y.h and bit_count(xor(x.h, y.h)) <= 6 union all select o.id, p.id, 0 from hashes p join one o using (h) where p.id <> o.id", HASHES_SQL)
+@query("hamming_pairs", PAIRS_SQL, HASHES_SQL)
+@query("hamming_pairs_whole", PAIRS_SQL, HASHES_SQL)
 def hamming_pairs(s, d):
+    """Pairs among all events: representatives (the first id of each hash) within 6 bits, and each other id with its representative at distance 0."""
     return M.hamming_pairs(hashes(s, d), 6)
 
 
-@query("hamming_components", "+ p as (select x.id as a, y.id as b from hashes x join hashes y on x.id <> y.id and bit_count(xor(x.h, y.h)) <= 4), r as (select id as a, id as b from hashes union select r.a, p.b from r join p on r.b = p.a) select a as node, min(b) as root from r where a in (select a from p) group by 1".replace("+ p", "+ p"), HASHES_SQL.replace("hashes as", "recursive hashes as"))
+@query("hamming_components", COMPONENTS_SQL, RECURSIVE_SQL)
+@query("hamming_components_whole", COMPONENTS_SQL, RECURSIVE_SQL)
 def hamming_components(s, d):
     return M.components(M.hamming_pairs(hashes(s, d), 4).select("a", "b"))
 
 
-@query("hamming_pairs_whole")
-def hamming_pairs_whole(s, d):
-    """Pairs among all events: representatives (the first id of each hash) within 6 bits, and each other id with its representative at distance 0."""
-    return M.hamming_pairs(all_hashes(s, d), 6)
-
-
-@query("hamming_components_whole")
-def hamming_components_whole(s, d):
-    return M.components(M.hamming_pairs(all_hashes(s, d), 4).select("a", "b"))
-
-
 @query("cosine_pairs", "+ x as (select vec_id, embedding::double[] as e from v) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from x a join x b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.35", "v as (select * from embeddings)")
 def cosine_pairs(s, d):
     return M.cosine_pairs(table(s, d, "embeddings"), 0.35).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("best_match", "+ f as (select vec_id as face_id, embedding::double[] as e from embeddings), p as (select label as person_id, embedding::double[] as r from embeddings where vec_id < 40), j as (select face_id, person_id, list_cosine_similarity(e, r) as s from f, p), b as (select *, row_number() over (partition by face_id order by s desc, person_id desc) as k from j) select face_id, person_id, round(s, 6) as similarity from b where k = 1 and s >= 0.3", "z as (select 1)")
+@query("best_match", "+ f as (select vec_id as face_id, embedding::double[] as e from embeddings), u as (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as x from u group by 1, 2), p as (select label as person_id, list(x order by i) as r from m group by 1), j as (select face_id, person_id, list_cosine_similarity(e, r) as s from f, p), b as (select *, row_number() over (partition by face_id order by s desc, person_id desc) as k from j) select face_id, person_id, round(s, 6) as similarity from b where k = 1 and s >= 0.2", "z as (select 1)")
 def best_match(s, d):
+    """Every face against all persons; a person's reference is the mean of its vectors."""
     e = table(s, d, "embeddings")
-    return M.best_match(e.withColumnRenamed("vec_id", "face_id"), e.filter("vec_id < 40").select(F.col("label").alias("person_id"), "embedding"), 0.3).withColumn("similarity", F.round("similarity", 6))
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    p = mean.groupBy(F.col("label").alias("person_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("embedding"))
+    return M.best_match(e.withColumnRenamed("vec_id", "face_id"), p, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("face_clusters")
@@ -189,7 +183,7 @@ def stream_learner(s, d):
 
     from ..streaming.library import DECISION, learner
 
-    at = (s.conf.get("spark.checkpoint.dir", None) or "/tmp/framesift-checkpoints").rstrip("/") + f"/learner-{uuid.uuid4().hex}"
+    at = f"{shared_folder(s)}/learner-{uuid.uuid4().hex}"
     decisions(s, d).select("context_key", "features", "ai_decision", "user_decision", "ts", "id").coalesce(1).write.parquet(f"{at}/in")
     q = learner(s.readStream.schema(DECISION).parquet(f"{at}/in")).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{at}/out")).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -423,14 +423,10 @@ def time_band_pairs(s, d):
     return J.time_band_pairs(photos(s, d, "id", "captured_at", "user_id"), 480_000, by="user_id")
 
 
-@query("client_feedback", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos where id < 400), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
+@query("client_feedback", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
+@query("client_feedback_whole", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
 def client_feedback(s, d):
-    return J.apply_feedback(feedback(s, d).filter("ordinal < 400"), photos(s, d, "id", "file_name"))
-
-
-@query("client_feedback_whole")
-def client_feedback_whole(s, d):
-    """Every photo's entry is read, not only the first 400."""
+    """An entry for every photo."""
     return J.apply_feedback(feedback(s, d), photos(s, d, "id", "file_name"))
 
 

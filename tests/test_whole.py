@@ -1,4 +1,4 @@
-"""Queries that take every row, against plain versions (SQL has none of them)."""
+"""Queries that take every row, against plain versions."""
 
 from pathlib import Path
 
