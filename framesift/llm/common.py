@@ -37,12 +37,14 @@ def many_rows(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local tests) an own one."""
+    """The folder that all executors share: spark.checkpoint.dir, else the session's checkpoint folder. Only a local session gets one of its own where both are unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="framesift-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -71,6 +73,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of df is called so."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def boxed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The rows of docs as one struct ``row``, and columns by name beside it: no column of docs can clash with those of an operator."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
 def fold(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id as text, mod k: the fold that a contract names."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,10 +12,14 @@ in common: those are indexed. The order is by cost: contents made of very
 frequent shingles come last. Candidates are verified on the whole sets.
 
 Large groups: equal sets are one node. In a group of nodes under one content
-each is paired with the first only; components of verified pairs follow; what
-then still lies in different components of one group is paired and verified
-too. So no link that joins two components is lost, and a group of near copies
-costs its size, not its square.
+each is paired with the first, the hub; components of verified pairs follow. A
+link that is still to be found joins two nodes that have met one hub, and one
+of them is not in the hub's component. So those are compared with all that have
+met the hub: once for each hub, however many contents they share, in parts of
+STAR_PART, and by parity bitmaps, so that a pair becomes a row only if it can
+be a link. No link that joins two components is lost; what lies in the hub's
+component, as most near copies do, is not paired among itself. The comparisons
+(not the rows) are the product of both sides.
 
 Defined results: null or empty text has the empty set, linked with nothing,
 and its component is its own doc_id; fewer than five words are one shingle;
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, drop_cut, many_rows, mix, short_batches, small, table, texts
+from .common import batches, boxed, cut, drop_cut, many_rows, mix, short_batches, small, table, texts
 from .components import components
 from .shingles import set_digest, shingle_sets
 
@@ -44,8 +48,10 @@ SEGMENT_FILL = 2.8
 FREQUENT_LEAST, FREQUENT_MOST = 32, 1_000_000
 #: Distinct documents, and shingles, that are counted together in one task.
 WINDOW_DOCS, WINDOW_SHINGLES = 8192, 3_000_000
+#: So many nodes outside a hub's component, at about, are compared in one task with all that have met the hub.
+STAR_PART = 1024
 
-MEASURED = "doc_id long, h long, n_shingles long, node long, bits binary, shingle long, hits long"
+MEASURED = "doc_id long, h long, n_shingles long, node long, bits array<long>, shingle long, hits long"
 
 
 def bands_of(n: int) -> list[tuple[int, int, int]]:
@@ -93,32 +99,36 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out), np.concatenate(keys)
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """A bit for each residue of the hashes, set if an odd number of them has it; 2 to 4 bits a shingle.
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes, set if an odd number of them has it; 2 to 4 bits a shingle, 64 at least.
 
-    Sets that differ in d elements have bitmaps that differ in at most d bits."""
-    size = 1 << max(3, (2 * len(s) - 1).bit_length())
-    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+    Sets that differ in d elements have bitmaps that differ in at most d bits.
+    The two halves of a bitmap, by exclusive or, are the one of half the size."""
+    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def bits_apart(a: bytes, b: bytes) -> int:
-    """In how many bits two bitmaps differ; the larger is folded to the size of the smaller."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+def may_be_link(x: str, y: str) -> str:
+    """SQL: sizes and bitmaps (n_shingles and bits of x and y) allow the similarity."""
+    folded = lambda b, to: f"zip_with(slice({b}, 1, size({to})), slice({b}, size({to}) + 1, size({to})), (p, q) -> p ^ q)"
+    apart = lambda a, b: f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k)"
+    a, b, n, m = f"{x}.bits", f"{y}.bits", f"{x}.n_shingles", f"{y}.n_shingles"
+    # sizes that fit differ in one doubling of the bitmap at most
+    bits = f"case when size({a}) = size({b}) then {apart(a, b)} when size({a}) > size({b}) then {apart(folded(a, b), b)} else {apart(a, folded(b, a))} end"
+    return f"case when 4 * {n} >= 3 * {m} and 4 * {m} >= 3 * {n} then {bits} <= floor(({n} + {m}) / 7) else false end"
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """A row with doc_id, h (a hash of the text), n_shingles and node for every document, and rows with a shingle and in how many documents of a window it is, if in several."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("hits", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingle", pa.int64()), ("hits", pa.int64())])
 
     def counted(window: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, hits = np.unique(np.concatenate(window), return_counts=True)
         s, hits = s[hits >= 2], hits[hits >= 2]
         if len(s):
             none = pa.nulls(len(s), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(s), pa.binary()), pa.array(s.view(np.int64)), pa.array(hits)], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(s), pa.list_(pa.int64())), pa.array(s.view(np.int64)), pa.array(hits)], schema=schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: dict[int, np.ndarray] = {}
@@ -137,7 +147,7 @@ def measure(docs: DataFrame) -> DataFrame:
                         window, held = {}, 0
             none = pa.nulls(len(nodes), pa.int64())
             ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, b.column(b.schema.get_field_index("h")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, b.column(b.schema.get_field_index("h")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), none, none], schema=schema)
         if window:
             yield from counted(list(window.values()))
 
@@ -204,15 +214,28 @@ def groups(indexed: DataFrame) -> DataFrame:
 
 def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those pairs (a, b) that their sizes and bitmaps don't rule out."""
-
-    @F.arrow_udf("int")
-    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([bits_apart(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32())
-
     n = nodes.select("node", "n_shingles", "bits")
-    a, b = n.toDF("a", "xa", "ba"), n.toDF("b", "xb", "bb")
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").filter("4 * xa >= 3 * xb and 4 * xb >= 3 * xa")
-    return both.withColumn("_apart", apart("ba", "bb")).filter("_apart <= floor((xa + xb) / 7)").select("a", "b")
+    both = pairs.select("a", "b").alias("p").join(n.alias("x"), F.expr("p.a = x.node")).join(n.alias("y"), F.expr("p.b = y.node"))
+    return both.filter(F.expr(may_be_link("x", "y"))).select("p.a", "p.b")
+
+
+def across(grouped: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that have met one hub, and that sizes and bitmaps don't rule out."""
+    met = grouped.filter("sig is not null").select("hub", "node").distinct()
+    r = roots.select(F.col("node").alias("of"), "root")
+    met = met.join(r, F.expr("node = of"), "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    met = cut(met.alias("m").join(r.alias("r"), F.expr("m.hub = r.of"), "left").select("hub", "node", "m.root", F.coalesce("r.root", "hub").alias("home")), "met")
+    star = met.groupBy("hub").agg(F.count_if(F.expr("root <> home")).alias("outside"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    star = star.filter("outside > 0 and lo <> hi").select("hub", F.ceil(F.col("outside") / STAR_PART).cast("int").alias("parts"))
+    full = met.join(star, "hub").join(nodes.select("node", "n_shingles", "bits"), "node")
+    full = cut(full, "stars")
+    x = full.filter("root <> home").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).alias("x")
+    y = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    can = f"x.hub = y.hub and x.part = y.part and case when x.root <> y.root and (y.root = y.home or x.node < y.node) then {may_be_link('x', 'y')} else false end"
+    found = cut(x.join(y, F.expr(can)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
+    drop_cut(met)
+    drop_cut(full)
+    return found
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -260,25 +283,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = cut(node_sets(docs, nodes, near), "sets")
     links = cut(verify(near, sets), "links")
     roots = cut(components(links), "roots")
-    # what is left of groups of three and more: pairs that lie in different components
-    members = grouped.filter("sig is not null")
-    members = members.select("sig", "key", "node").unionAll(members.select("sig", F.col("hub_key").alias("key"), F.col("hub").alias("node"))).distinct()
-    placed = members.join(roots, "node", "left").select("sig", "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    rest = cut(placed.join(mixed, "sig").selectExpr("sig", "node", "root", "shiftright(key, 40) as owned", f"key & {(1 << 40) - 1} as n"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    can = "x.sig = y.sig and x.root <> y.root and x.node < y.node and 4 * x.n >= 3 * y.n and 4 * y.n >= 3 * x.n and x.owned + y.owned <= floor((x.n + y.n) / 7)"
-    cross = x.join(y, F.expr(can)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    both_ways = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = cut(may_link(cross.join(both_ways, ["a", "b"], "left_anti"), nodes), "near")
+    # what is left: pairs that have met one hub and lie in different components
+    near = across(grouped, nodes, roots)
     more_sets = cut(node_sets(docs, nodes, near), "sets")
-    more = cut(verify(near, more_sets), "links")
+    r = roots.select(F.col("node").alias("of"), "root")
+    more = verify(near, more_sets).join(r.alias("x"), F.expr("a = x.of"), "left").join(r.alias("y"), F.expr("b = y.of"), "left")
+    more = cut(more.select(F.coalesce("x.root", "a").alias("a"), F.coalesce("y.root", "b").alias("b")).distinct(), "links")
+    placed = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     if more.limit(1).count():
-        roots = cut(components(links.unionAll(more)), "roots")
-    named = rows.filter("node is not null").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    root_of = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(lowest, "root").select("node", "component_id", "root")
-    for done in (grouped, sets, more_sets, rest):
+        joined = components(more)
+        placed = placed.join(joined.toDF("of", "lower"), F.expr("root = of"), "left").select("node", F.coalesce("lower", "root").alias("root"))
+    placed = cut(placed, "placed")
+    lowest = rows.filter("node is not null").join(placed, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    root_of = cut(placed.join(lowest, "root").select("node", "component_id", "root"), "root-of")
+    for done in (grouped, pairs, sets, more_sets, placed):
         drop_cut(done)
     full = rows.filter("node is not null").join(root_of, "node").select("doc_id", "n_shingles", "component_id", "h", "root")
     return full.unionAll(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("root")))
@@ -286,15 +304,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one of each component (the smallest doc_id; a null only if there is no other), and all with an empty set. All columns stay."""
-    rows = cut(jaccard_components(docs), "components")
+    rows = cut(jaccard_components(docs.select("doc_id", "text")), "components")
     first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
-    kept = cut(first.unionAll(rows.filter("root is null").select("doc_id", "h")).distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "kept")
-    repeated = cut(rows.filter("root is not null").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_rid"), F.col("h").alias("_rh")), "repeated")
-    h = F.xxhash64(docs["text"])
-    stay = docs.join(small(kept), docs["doc_id"].eqNullSafe(F.col("_id")) & (h == F.col("_h")), "left_semi")
-    again = stay["doc_id"].eqNullSafe(F.col("_rid")) & (F.xxhash64(stay["text"]) == F.col("_rh"))
-    twice = small(repeated)
-    return stay.join(twice, again, "left_anti").unionAll(stay.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = cut(first.unionAll(rows.filter("root is null").select("doc_id", "h")).distinct(), "kept")
+    repeated = cut(rows.filter("root is not null").groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", "h"), "repeated")
+    drop_cut(rows)
+    boxes = boxed(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
+    stay = boxes.join(small(kept), F.expr("id <=> doc_id and hash = h"), "left_semi")
+    twice, again = small(repeated), F.expr("id <=> doc_id and hash = h")
+    one = stay.join(twice, again, "left_semi").withColumn("body", F.col("row.text")).dropDuplicates(["id", "body"])
+    return stay.join(twice, again, "left_anti").select("row.*").unionAll(one.select("row.*"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
