@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches, small, table
+from .common import boxed, cut, short_batches, small, table
 
 SHINGLE = 5
 #: At a similarity of 3/4 SimHashes differ in 11 bits on average, with a deviation of 3.
@@ -90,8 +90,9 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found; all columns stay."""
-    bad = cut(findings(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "leaks")
-    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")), "left_anti")
+    bad = cut(findings(docs.select("doc_id", "text"), benchmark).select("doc_id", "h").distinct(), "leaks")
+    boxes = boxed(docs, id=F.col("doc_id"), hash=F.xxhash64(F.coalesce("text", F.lit(""))))
+    return boxes.join(small(bad), F.expr("id <=> doc_id and hash = h"), "left_anti").select("row.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

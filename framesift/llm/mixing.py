@@ -14,8 +14,9 @@ so no task sees a whole source.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 take nothing; repeated rows are rows of
-their own; an empty table gives an empty result. Needs no columns but those
-named; others pass through ``mix``.
+their own, taken alike; rows of null doc_id are told apart by their texts; an
+empty table gives an empty result. Needs no columns but doc_id, source and
+text; others pass through ``mix``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import boxed, cut, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
@@ -52,10 +53,16 @@ def targets(sizes: DataFrame, *, total_share: float = 1.5, max_epochs: float = 2
     return s.withColumn("_final", final).select("source", "source_size", "weight", F.coalesce(F.least(F.col("_cap"), F.col("_final") * F.col("weight")), F.col("_cap")).alias("target"))
 
 
+def order_key(seed: str, size: Column) -> Column:
+    """The seeded order key of a row; rows without a doc_id are told apart by their texts."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
+    return F.md5(F.concat_ws("|", F.lit(seed), own, size.cast("string")))
+
+
 def measure(docs: DataFrame, seed: str) -> DataFrame:
-    """Add size and the seeded order key of each row; rows of one id and size share a key and are taken alike."""
-    d = docs.withColumn("size", words())
-    return d.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))))
+    """doc_id, source, size and the order key of each row; equal rows share a key and are taken alike."""
+    sized = docs.select("doc_id", "source", "text", words().alias("size"))
+    return sized.select("doc_id", "source", "size", order_key(seed, F.col("size")).alias("_key"))
 
 
 def plan_mix(measured: DataFrame, *, total_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -77,33 +84,37 @@ def plan_mix(measured: DataFrame, *, total_share: float = 1.5, max_epochs: float
 
 
 def apply_mix(measured: DataFrame, plan: DataFrame) -> DataFrame:
-    """Add source_size, target, repeats and taken to measured rows."""
+    """Add source_size, target, repeats and taken to measured rows (all their columns but _key stay)."""
     p = small(plan.select(F.col("source").alias("_source"), *plan.columns[1:]))
     d = measured.join(p, measured["source"].eqNullSafe(F.col("_source")), "left")
     d = d.withColumn("repeats", (F.col("_whole") + (F.col("_key") <= F.col("_cut")).cast("long")).cast("int"))
     return d.withColumn("taken", F.col("repeats") * F.col("size")).drop("_source", "_whole", "_cut", "_key")
 
 
+NEW = ("size", "source_size", "target", "repeats", "taken")
+
+
 def mix(docs: DataFrame, *, seed: str = SEED, total_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Add size, source_size, target, repeats (times a document is taken) and taken (words).
 
-    Columns of docs with these names are replaced."""
-    own = docs.drop("size", "source_size", "target", "repeats", "taken")
-    plan = plan_mix(cut(measure(docs.select("doc_id", "source", "text"), seed).select("source", "size", "_key"), "mix-sizes"), total_share=total_share, max_epochs=max_epochs, weights=weights)
-    return apply_mix(measure(own, seed), plan)
+    Columns of docs with these names are replaced; all others stay."""
+    plan = plan_mix(cut(measure(docs, seed), "mix-sizes"), total_share=total_share, max_epochs=max_epochs, weights=weights)
+    sized = boxed(docs.drop(*NEW), source=F.col("source"), doc_id=F.col("doc_id"), text=F.col("text"), size=words())
+    keyed = sized.select("row", "source", "size", order_key(seed, F.col("size")).alias("_key"))
+    return apply_mix(keyed, plan).select("row.*", *NEW)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, sources weighing 5, 2, 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    measured = cut(measure(docs, SEED).select("doc_id", "source", "size", "_key"), "mix-sizes")
+    measured = cut(measure(docs, SEED), "mix-sizes")
     return apply_mix(measured, plan_mix(measured)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = f"""
 WITH m AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-k AS (SELECT *, md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)) AS key FROM m),
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+k AS (SELECT doc_id, source, size, md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, ''))) || '|' || CAST(size AS VARCHAR)) AS key FROM m),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 n AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ord, source_size * 2.0::DOUBLE AS cap FROM s),

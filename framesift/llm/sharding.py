@@ -10,7 +10,8 @@ any row's place follows from its number, n and the seed (``place``).
 
 Defined results: null text is 0 bytes (size 1, crc32 of no bytes); null doc_id
 sorts first; repeated rows get different numbers; an empty table gives an
-empty result.
+empty result. Other columns are ignored (``shard_documents``) or stay
+(``shard_rows``), whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, table
+from .common import boxed, mix, table
 
 ROUNDS = 6
 #: Keys of one bucket are numbered by one task; so many buckets at least.
@@ -50,15 +51,16 @@ def place(row: int, n: int, shards: int, seed: int) -> tuple[int, int]:
     return v % shards, v // shards
 
 
-def number_rows(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """One row for each row, with the columns ``keys`` and a gapless ``row_number`` from 0 that depends on the keys alone."""
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    totals = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
+def number_rows(rows: DataFrame, keys: list[str], carried: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """One row for each row, with the columns ``keys`` (and ``carried``, alike in rows of equal keys) and a gapless ``row_number`` from 0 that depends on the keys alone."""
+    held = [F.first(c).alias(c) for c in carried or []]
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *held).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    totals = rows.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = totals.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     own = Window.partitionBy("_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     first = F.col("_before") + F.sum("_copies").over(own) - F.col("_copies")
-    spans = counted.join(F.broadcast(before), "_bucket").select(*keys, first.alias("_first"), "_copies")  # at most ``buckets`` rows are broadcast
-    return spans.select(*keys, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias("row_number"))
+    spans = counted.join(F.broadcast(before), "_bucket").select(*keys, *(carried or []), first.alias("_first"), "_copies")  # at most ``buckets`` rows are broadcast
+    return spans.select(*keys, *(carried or []), F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias("row_number"))
 
 
 def shuffle_into(numbered: DataFrame, n: int, shards: int, seed: int, row: str = "row_number") -> DataFrame:
@@ -77,12 +79,31 @@ def size_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
 
 
+NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def crc_of(text: str = "text") -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _placed(keyed: DataFrame, keys: list[str], carried: list[str] | None, n: int, shards: int, seed: int) -> DataFrame:
+    placed = shuffle_into(number_rows(keyed, keys, carried), n, shards, seed)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def shard_documents(docs: DataFrame, *, shards: int = 8, seed: int = 20_240_501) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, under the law ``rows``."""
-    keys = docs.select("doc_id", (size_of() + 1).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    n = keys.count()
-    placed = shuffle_into(number_rows(keys, ["doc_id", "size", "text_crc32"]), n, shards, seed)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    keyed = docs.select("doc_id", (size_of() + 1).alias("size"), crc_of().alias("text_crc32"))
+    return _placed(keyed, ["doc_id", "size", "text_crc32"], None, keyed.count(), shards, seed).select("doc_id", *NEW)
+
+
+def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20_240_501) -> DataFrame:
+    """The rows of docs, whole, with size, text_crc32, law, shard, slot and grown_shard (columns of these names are replaced).
+
+    Rows that are equal in every column share a key and are counted; the corpus is shuffled once."""
+    own = docs.drop(*NEW)
+    keyed = boxed(own, id=F.col("doc_id"), size=size_of() + 1, text_crc32=crc_of(), whole=F.xxhash64(*[F.col(f"`{c}`") for c in own.columns]))
+    return _placed(keyed, ["id", "size", "text_crc32", "whole"], ["row"], docs.count(), shards, seed).select("row.*", *NEW)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
