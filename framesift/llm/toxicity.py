@@ -7,8 +7,9 @@ estimator of Kiryo et al. (2017):
     R = prior * E_P[l(+z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)])
 
 with the logistic loss l, minimised by Adam with a soft threshold (an L1
-penalty) after each step. Rows that are labelled "not toxic" are never used:
-they count as unlabelled.
+penalty) after each step. Rows that are labelled "not toxic" are never
+examples: they count as unlabelled. Their number is used for one thing, the
+class prior, which is the share of toxic rows among the labelled ones.
 
 Defined results: a null or empty text, and one without any learned word, gets
 the score of the bias alone; equal texts get equal scores; a null doc_id is
@@ -57,16 +58,16 @@ def train_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, *,
     flat = ToxicityModel(float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return flat
-    docs = [set(WORD.findall(t.lower())) for t in positive + unlabelled]
     seen: dict[bytes, int] = {}
-    for d in docs[: len(positive)]:
-        for w in d:
+    for t in positive:
+        for w in set(WORD.findall(t.lower())):
             seen[w] = seen.get(w, 0) + 1
     least = max(min_df * len(positive), min(3, len(positive)))
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= least))}
     if not vocab:
         return flat
-    at = [np.fromiter((vocab[w] for w in d if w in vocab), np.int64) for d in docs]
+    # the words of a text are held one text at a time
+    at = [np.array(sorted(vocab[w] for w in vocab.keys() & set(WORD.findall(t.lower()))), np.int64) for ts in (positive, unlabelled) for t in ts]
     row = np.repeat(np.arange(len(at)), [len(x) for x in at])
     col = np.concatenate(at)
     n_p, n_u = len(positive), len(unlabelled)
