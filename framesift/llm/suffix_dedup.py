@@ -9,16 +9,23 @@ the same bytes, all of them repeat. For the others the bytes of each distinct
 run are fetched, and blocks of them get a suffix array, built by prefix
 doubling. The longest previous factor of a position is the longer match with
 the previous or the next smaller position in suffix order: where it reaches
-``length`` an earlier copy exists. With positions counted backwards it tells of
-later copies. ``keep="first"`` removes what has an earlier copy,
+``length`` an earlier copy exists. The previous and next larger positions tell
+of later copies alike. ``keep="first"`` removes what has an earlier copy,
 ``keep="none"`` everything that has any other copy.
 
-An anchor with more distinct runs than ``HOT_RUNS`` goes another exact way: its
-runs are cut into parts of windows at the same offsets from the anchor. Windows
-can be equal only if the bytes are that all windows of their parts share: parts
-are dealt out by these. A part alone repeats nothing; parts with the same bytes
-throughout repeat whole; the windows of the others are dealt out by a hash of
-all their bytes and counted. So no task gets the whole group.
+An anchor with more distinct runs than ``HOT_RUNS`` goes another exact way,
+without suffix arrays: its runs are cut into parts of windows at the same
+offsets from the anchor. Windows can be equal only if the bytes are that all
+windows of their parts share: parts are dealt out by these. A part alone
+repeats nothing; parts with the same bytes throughout repeat whole; the others
+are cut into smaller parts, and those that are still open into single windows,
+which are counted. So no task gets the whole group, and about ten rows are made
+for each place where a repeated passage begins or ends.
+
+Runs, parts and windows are the same if their 64-bit hashes are (two different
+ones in a billion agree with a chance of 1 in 40; the hash is a polynomial
+modulo 2^64 over mixed bytes, for which a text can be built that fools it).
+Within suffix arrays bytes are compared.
 
 Defined results: null text is the empty text; texts shorter than ``length``
 keep all; repeated rows are copies of each other; rows are told apart by
@@ -36,15 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, mix, short_batches, table
+from .common import batches, cut, drop_cut, mix, short_batches, table
 from .shingles import prefix_hash
 
 GRAM = 32
 #: Windows are hashed in tiles of so many; positions take 20 bits of a key.
 TILE = 1 << 19
 HOT_RUNS = 256
-#: Windows of a part, for lengths from four times that.
-PART = 25
+#: Windows of a part and of a smaller part, for lengths from four times that.
+PART, SMALLER = 25, 5
 #: Suffix arrays are built over so many bytes at a time, groups kept whole.
 BLOCK = 1 << 19
 
@@ -161,38 +168,57 @@ def previous_factors(a: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(pieces: list[bytes], counts: list[int], length: int, keep: str) -> list[np.ndarray]:
-    """For each piece, which of its first ``counts`` windows occur in an earlier piece or place (keep "first") or elsewhere (keep "none").
+def matched(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which positions have a longest previous factor of the depth to which ``rank`` tells suffixes apart.
+
+    The factor is that of the previous or the next smaller position in suffix
+    order; it has that length if the ranks are the same."""
+    n, hit = len(order), np.zeros(len(order), bool)
+    for side in (smaller_before(order), n - 1 - smaller_before(order[::-1])[::-1]):
+        has = np.flatnonzero((side >= 0) & (side < n))
+        i, j = order[has], order[side[has]]
+        hit[i] |= rank[i] == rank[j]
+    return hit
+
 
-    A window's longest previous factor reaches ``length`` where the previous or
-    the next smaller position in suffix order is in its own class of suffixes
-    that agree in ``length`` bytes: for all of a class but its smallest
-    position. Counted from the end, for all but the largest."""
+def repeated_windows(pieces: list[bytes], counts: list[int], length: int, keep: str) -> list[np.ndarray]:
+    """For each piece, which of its first ``counts`` windows occur in an earlier piece or place (keep "first") or elsewhere (keep "none")."""
     size = np.array([len(p) + 1 for p in pieces])
     a = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)
     begin = np.cumsum(size) - size
     order, rank, _ = suffix_array(a, length)
-    first = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0))
-    smallest, largest = np.minimum.reduceat(order, first), np.maximum.reduceat(order, first)
-    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    # places of suffixes that are like no other can't match
+    open_ = np.flatnonzero(np.append(False, np.diff(rank[order]) == 0) | np.append(np.diff(rank[order]) == 0, False))
+    at, dense = np.unique(order[open_], return_inverse=True)
     hit = np.zeros(len(a), bool)
-    hit[order] = order != smallest[of]
+    hit[at] = matched(dense, rank[at])
     if keep == "none":
-        hit[order] |= order != largest[of]
+        # larger positions are smaller ones counted from the end
+        hit[at] |= matched(len(at) - 1 - dense, rank[at][::-1])[::-1]
     return [hit[b : b + c] for b, c in zip(begin, counts, strict=True)]
 
 
-def parts_of(piece: bytes, off: int, count: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, windows, hash of the shared bytes and hash of all bytes of each part of a run; hash of each window."""
+def parts_of(piece: bytes, off: int, count: int, length: int) -> tuple:
+    """First window, windows, hash of the shared bytes and hash of all bytes of each part of a run; the smaller parts of each; hash of each window."""
     p, down = prefix_hash(np.frombuffer(piece, np.uint8))
     over = lambda lo, hi: (p[hi] - p[lo]) * down[lo]
+
+    def parts(size: int) -> tuple[np.ndarray, ...]:
+        q = np.arange((off - count + 1) // size, off // size + 1)
+        low, high = np.maximum(off - count + 1, q * size), np.minimum(off, q * size + size - 1)
+        shared = mix(mix(over(off - q * size, off - (q * size + size - 1) + length) + np.uint64(size)) + q.astype(np.uint64))
+        return q, low, high, shared
+
     size = max(1, min(PART, length // 4))
-    q = np.arange((off - count + 1) // size, off // size + 1)
-    low, high = np.maximum(off - count + 1, q * size), np.minimum(off, q * size + size - 1)
+    smaller = max(1, size * SMALLER // PART)
+    ratio = size // smaller
+    q, low, high, shared = parts(smaller * ratio)
     first, n = off - high, high - low + 1
-    shared = mix(mix(over(off - q * size, off - (q * size + size - 1) + length)) + q.astype(np.uint64))
     whole = mix(mix(over(first, first + n - 1 + length)) + (low.astype(np.uint64) << np.uint64(32)) + high.astype(np.uint64))
-    return first, n, shared, whole, mix((p[length:] - p[:-length]) * down[:count])
+    q2, low2, high2, shared2 = parts(smaller)
+    of = q2 // ratio - q[0]
+    first2 = off - high2 - first[of]
+    return first, n, shared, whole, (of, first2, high2 - low2 + 1, shared2), mix((p[length:] - p[:-length]) * down[:count])
 
 
 def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,23 +271,26 @@ def fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted runs (KEY, anchor, at, cnt, off, hot). A hot run comes as its parts instead: shared, whole, windows."""
     per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "at", "cnt", "off", "hot")).alias("runs"))
     rows = keyed.alias("k").join(per_doc.alias("w"), F.expr("k.doc_id <=> w.doc_id and k.h = w.h")).select("k.doc_id", "k.h", "body", "runs")
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("cnt", pa.int32()), ("piece", pa.binary()), ("shared", pa.int64()), ("whole", pa.int64()), ("windows", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("cnt", pa.int32()), ("piece", pa.binary()), ("shared", pa.int64()), ("whole", pa.int64()), ("windows", pa.list_(pa.int64())), ("smaller", pa.list_(pa.struct([("f", pa.int32()), ("n", pa.int32()), ("shared", pa.int64())])))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             got: list[tuple] = []
             held = 0
-            for d, h, body, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for d, h, body, wanted_of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw = body.as_buffer()
-                for r in own.as_py():
+                for r in wanted_of.as_py():
                     piece = raw.slice(r["at"], r["cnt"] + length - 1)
                     if r["hot"]:
-                        first, n, shared, whole, win = parts_of(piece, r["off"], r["cnt"], length)
-                        for f, k, x, y in zip(first.tolist(), n.tolist(), shared.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
-                            got.append((d, h, r["anchor"], r["at"] + f, k, None, x, y, win[f : f + k].view(np.int64)))
-                        held += 64 * r["cnt"]
+                        first, n, shared, whole, smaller, win = parts_of(piece, r["off"], r["cnt"], length)
+                        own: list[list[dict]] = [[] for _ in first]
+                        for o, f, k, x in zip(*(z.tolist() for z in (*smaller[:3], smaller[3].view(np.int64))), strict=True):
+                            own[o].append({"f": f, "n": k, "shared": x})
+                        for o, f, k, x, y in zip(own, first.tolist(), n.tolist(), shared.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
+                            got.append((d, h, r["anchor"], r["at"] + f, k, None, x, y, win[f : f + k].view(np.int64), o))
+                        held += 100 * r["cnt"]
                     else:
-                        got.append((d, h, r["anchor"], r["at"], r["cnt"], piece.to_pybytes(), None, None, None))
+                        got.append((d, h, r["anchor"], r["at"], r["cnt"], piece.to_pybytes(), None, None, None, None))
                         held += len(piece)
                     if held > 8 << 20:
                         yield told(got)
@@ -272,7 +301,7 @@ def fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def told(got: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, f"{KEY}, anchor long, at int, cnt int, piece binary, shared long, whole long, windows array<long>")
+    return rows.mapInArrow(run, f"{KEY}, anchor long, at int, cnt int, piece binary, shared long, whole long, windows array<long>, smaller array<struct<f:int,n:int,shared:long>>")
 
 
 def match(pieces: DataFrame, length: int, keep: str) -> DataFrame:
@@ -305,6 +334,20 @@ def match(pieces: DataFrame, length: int, keep: str) -> DataFrame:
     return dealt.mapInArrow(run, SPAN)
 
 
+def settled(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of parts (shared, whole, ...) whose shared bytes another part has: those of groups with the same bytes throughout, with the first place ``rep``, and those that are open."""
+    met = parts.groupBy("shared").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike"), F.min(F.struct("doc_id", "h", "at")).alias("rep")).filter("n > 1").drop("n")
+    met = cut(parts.join(met, "shared"), "parts")
+    return met.filter("alike"), met.filter("not alike").drop("alike", "rep")
+
+
+def spans_of(rows: DataFrame, length: int, keep: str) -> DataFrame:
+    """The spans of rows (doc_id, h, at, cnt) of a repeated kind; with keep "first", without its first place ``rep``."""
+    if keep == "first":
+        rows = rows.filter(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("rep")))
+    return rows.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("cnt") + (length - 1)).cast("int").alias("hi"))
+
+
 def repeated_spans(keyed: DataFrame, *, length: int = 400, keep: str = "none") -> DataFrame:
     """doc_id, h, lo, hi: byte spans to remove; they may touch or overlap."""
     if keep not in ("none", "first"):
@@ -313,14 +356,13 @@ def repeated_spans(keyed: DataFrame, *, length: int = 400, keep: str = "none") -
     size = F.size("starts")
     anchors = found.groupBy("anchor").agg(F.sum(size).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("n > 1")
     again = cut(found.join(anchors.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchor"), "again")
+    drop_cut(found)
     # distinct runs of an anchor: how often, and where first
     kinds = again.groupBy("anchor", "digest").agg(F.sum(size).alias("n"), F.first("alike").alias("alike"), F.first("off").alias("off"), F.min(F.struct("doc_id", "h", F.array_min("starts").alias("at"), "cnt")).alias("r"))
     kinds = cut(kinds.select("anchor", "digest", "n", "alike", "off", "r.*"), "kinds")
     many = kinds.filter("n > 1").select("anchor", "digest", F.struct("doc_id", "h", "at").alias("rep"))
     copies = again.join(many, ["anchor", "digest"]).withColumn("at", F.explode("starts"))
-    if keep == "first":
-        copies = copies.filter(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("rep")))
-    spans = copies.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("cnt") + (length - 1)).cast("int").alias("hi"))
+    spans = spans_of(copies, length, keep)
     # distinct runs that share an anchor with others: only those may match in part
     varied = kinds.filter("not alike")
     hot = varied.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_RUNS).alias("hot"))
@@ -328,18 +370,16 @@ def repeated_spans(keyed: DataFrame, *, length: int = 400, keep: str = "none") -
     pieces = cut(fetch(keyed, wanted, length), "pieces")
     checked = pieces.filter("piece is not null").alias("p").join(wanted.filter("not hot").alias("w"), F.expr("p.doc_id <=> w.doc_id and p.h = w.h and p.at = w.at")).select("p.*", "w.check")
     spans = spans.unionAll(match(checked, length, keep))
-    place = F.struct("doc_id", "h", "at")
-    parts = pieces.filter("piece is null").select("doc_id", "h", "at", "cnt", "shared", "whole", "windows")
-    met = parts.groupBy("shared").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike"), F.min(place).alias("rep")).filter("n > 1").drop("n")
-    met = cut(parts.join(met, "shared"), "parts")
-    whole = met.filter("alike")
-    windows = met.filter("not alike").select("doc_id", "h", "at", F.posexplode("windows").alias("o", "win")).select("doc_id", "h", (F.col("at") + F.col("o")).alias("at"), "win")
-    seen = windows.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep")).filter("n > 1").select("win", "rep")
-    hits = windows.join(seen, "win")
-    if keep == "first":
-        whole, hits = (x.filter(~place.eqNullSafe(F.col("rep"))) for x in (whole, hits))
-    spans = spans.unionAll(whole.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("cnt") + (length - 1)).cast("int").alias("hi")))
-    return spans.unionAll(hits.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+    # hot anchors: parts, smaller parts of those that are open, and windows of what is open still
+    whole, left = settled(pieces.filter("piece is null").select("doc_id", "h", "at", "cnt", "shared", "whole", "windows", "smaller"))
+    spans = spans.unionAll(spans_of(whole, length, keep))
+    less = left.select("doc_id", "h", "at", "windows", F.explode("smaller").alias("p"))
+    less = less.select("doc_id", "h", (F.col("at") + F.col("p.f")).alias("at"), F.col("p.n").alias("cnt"), F.col("p.shared").alias("shared"), F.expr("slice(windows, p.f + 1, p.n)").alias("windows"))
+    whole, left = settled(less.withColumn("whole", F.xxhash64("windows")))
+    spans = spans.unionAll(spans_of(whole, length, keep))
+    windows = left.select("doc_id", "h", "at", F.posexplode("windows").alias("o", "win")).select("doc_id", "h", (F.col("at") + F.col("o")).alias("at"), F.lit(1).alias("cnt"), "win")
+    seen = windows.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at")).alias("rep")).filter("n > 1").select("win", "rep")
+    return spans.unionAll(spans_of(windows.join(seen, "win"), length, keep))
 
 
 def dedup(docs: DataFrame, *, length: int = 400, keep: str = "none", text: bool = True) -> DataFrame:
