@@ -140,10 +140,32 @@ def features(rate: int, samples: bytes) -> tuple[np.ndarray, list[tuple[float, f
     return tensor, spans
 
 
-def as_tensor(column: pa.Array) -> pa.Array:
-    """Lists of SLOTS*BANDS floats as Arrow's fixed-shape tensor type."""
-    flat = column.cast(pa.list_(pa.float32(), SLOTS * BANDS))
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (SLOTS, BANDS)), flat)
+def as_tensor(flat: np.ndarray) -> pa.Array:
+    """Rows of SLOTS*BANDS floats as an array of Arrow's fixed-shape tensor type."""
+    kind = pa.fixed_shape_tensor(pa.float32(), (SLOTS, BANDS))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel(), pa.float32()), SLOTS * BANDS))
+
+
+SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def pack_tensor(tensor: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of one row: the fixed-shape tensor and its time spans."""
+    own = pa.array([[{"start_s": a, "end_s": b} for a, b in spans]], SPANS)
+    batch = pa.RecordBatch.from_arrays([as_tensor(tensor.astype(np.float32)), own], names=["tensor", "spans"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_tensor(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The tensor (SLOTS, BANDS) and the spans of a stored stream."""
+    batch = pa.ipc.open_stream(stored).read_next_batch()
+    tensor = batch.column(0)
+    if tensor.type != pa.fixed_shape_tensor(pa.float32(), (SLOTS, BANDS)):
+        raise ValueError(f"not a tensor of {SLOTS} x {BANDS} floats: {tensor.type}")
+    return tensor.to_numpy_ndarray()[0], [(s["start_s"], s["end_s"]) for s in batch.column(1)[0].as_py()]
 
 
 def _with(docs: DataFrame, fields: list[T.StructField], make) -> DataFrame:
@@ -171,23 +193,25 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Read ``media`` back; add digests, ``tensor`` (SLOTS*BANDS floats), ``spans`` and a digest of both."""
+    """Read ``media`` back; add digests, ``tensor`` (an Arrow stream with the fixed-shape tensor and its time spans), ``spans`` and ``feature``, a digest of what is read back from ``tensor``."""
     fields = [
         T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-        T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("tensor", T.ArrayType(T.FloatType())),
+        T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("tensor", T.BinaryType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))), T.StructField("feature", T.StringType()),
     ]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float32()), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), SPANS, pa.string()]
 
     def one(media: bytes | None) -> tuple:
         if media is None:
             return (None,) * len(kinds)
         rate, payload = from_wav(media)
         tensor, spans = features(rate, payload)
-        flat = np.round(tensor.ravel().astype(np.float64), 3)
+        stored = pack_tensor(np.round(tensor.astype(np.float64), 3), spans)
+        tensor, spans = unpack_tensor(stored)
+        flat = tensor.ravel().astype(np.float64)
         said = hashlib.sha256(np.round(flat, 2).tobytes() + repr(spans).encode()).hexdigest()[:16]
         feature = f"logmel{SLOTS}x{BANDS}:{flat.mean():.2f}:segments={len(spans)}:{said}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), flat.astype(np.float32), [{"start_s": a, "end_s": b} for a, b in spans], feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), stored, [{"start_s": a, "end_s": b} for a, b in spans], feature
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         rows = [one(m) for m in b.column(b.schema.get_field_index("media")).to_pylist()]
@@ -200,4 +224,4 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as stored samples, read back, with digests and features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = store_media(docs).select("doc_id", "n_bytes", "media")
-    return media_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "spans")

@@ -93,7 +93,9 @@ def test_media(docs, none):
     for r in got:
         payload = raw(r["text"]) + bytes(-len(raw(r["text"])) % 64 if r["text"] else 64)
         assert media.from_wav(r["media"])[1] == payload and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
-        assert r["n_bytes"] == len(raw(r["text"])) and r["tail_crc32"] == zlib.crc32(payload[-64:]) and len(r["tensor"]) == media.SLOTS * media.BANDS
+        assert r["n_bytes"] == len(raw(r["text"])) and r["tail_crc32"] == zlib.crc32(payload[-64:]) and media.unpack_tensor(r["tensor"])[1] == [tuple(s) for s in r["spans"]]
+        own = media.features(*media.from_wav(r["media"]))
+        assert np.allclose(media.unpack_tensor(r["tensor"])[0], own[0], atol=6e-4) and media.unpack_tensor(r["tensor"])[1] == own[1]
     assert media.store_media(none).count() == 0
     x = np.sin(np.arange(400) / 9).astype(np.float32)
     whole = np.convolve(np.concatenate([x, np.zeros(30)]), media.phases(1, 2, 12)[0])[5 : 5 + 400 : 2]
