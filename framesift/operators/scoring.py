@@ -2,41 +2,125 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp01, round_half_up
+from ..functions.expr import round_half_up
 from .filters import scene_of
 
-#: Features of the derived photo view and how each is read, scaled to about 0..1. Absent signals are neutral.
-FEATURES = {
-    "sharpness": lambda: F.col("sharpness") / 100,
-    "exposure": lambda: 1 - F.abs(F.col("exposure") - 50) / 50,
-    "highlights": lambda: 1 - clamp01(F.coalesce("highlight_clipping", F.lit(0.0)) * 5),
-    "shadows": lambda: 1 - clamp01(F.coalesce("shadow_clipping", F.lit(0.0)) * 5),
-    "thirds": lambda: F.coalesce("thirds", F.lit(0.5)),
-    "level": lambda: 1 - clamp01(F.abs(F.coalesce("horizon_tilt", F.lit(0.0))) / 10),
-    "in_focus": lambda: F.when(F.col("subject_in_focus"), 1.0).when(~F.col("subject_in_focus"), 0.0).otherwise(0.5),
-    "smile": lambda: F.when(F.col("face_count") > 0, F.col("best_smile")),
-    "eyes_open": lambda: F.when(F.col("face_count") > 0, F.col("all_eyes_open").cast("double")),
-    "known_person": lambda: F.when(F.col("face_count") > 0, (F.col("known_face_count") > 0).cast("double")),
-    "text": lambda: F.when(F.col("face_count") == 0, F.coalesce("text_coverage", F.lit(0.5))),
-}
-PRIOR = {"sharpness": 0.9, "exposure": 0.5, "highlights": 0.3, "shadows": 0.2, "thirds": 0.3, "level": 0.2, "in_focus": 0.6, "smile": 0.4, "eyes_open": 0.7, "known_person": 0.5, "text": -0.4}
+#: Weight of each feature before anything is learned.
+PRIOR = {
+    "sharpness": 0.9, "exposureBalance": 0.5, "bestSmile": 0.7, "allEyesOpen": 0.8, "knownFaceRatio": 0.6, "strangerPenalty": -0.5, "faceScore": 0.4, "faceCount": 0.1,
+    "subjectProminence": 0.45, "ruleOfThirds": 0.3, "headroom": 0.25, "groupEyesOpenRatio": 0.5, "groupSmileRatio": 0.4, "groupAwkwardRatio": -0.3, "bodyCroppedAtEdge": -0.3,
+    "groupGenuineSmileRatio": 0.25, "groupCatchlightRatio": 0.15, "groupSkinToneNaturalRatio": 0.3, "avgEyeContact": 0.35, "contentAffinity": 0.2, "subjectAffinity": 0.2, "textCoverage": -0.3,
+    "noCameraMetadata": -0.5, "avgEngagement": 0.3, "highlightClipping": -0.4, "shadowClipping": -0.3, "horizonLevel": 0.25, "isoPenalty": -0.15, "apertureRaw": 0.0, "shutterSpeedRaw": 0.0,
+    "focalLengthRaw": 0.0, "flashFired": 0.0, "deliberateSettings": 0.15, "compositionScore": 0.3, "leadingLines": 0.15, "symmetry": 0.1, "negativeSpace": 0.0, "lightHard": 0.0, "lightSoft": 0.0,
+    "goldenHour": 0.2, "subjectInFocus": 0.6, "bokehQuality": 0.2, "colorHarmony": 0.25,
+}
+#: Mean and standard deviation of each feature in an ordinary library.
+ORDINARY = {
+    "sharpness": (0.65, 0.18), "exposureBalance": (0.72, 0.18), "exposureRaw": (0.5, 0.2), "highlightClipping": (0.05, 0.08), "shadowClipping": (0.05, 0.08), "isoPenalty": (0.15, 0.15),
+    "apertureRaw": (0.5, 0.25), "shutterSpeedRaw": (0.5, 0.25), "focalLengthRaw": (0.25, 0.15), "flashFired": (0.12, 0.33), "deliberateSettings": (0.05, 0.22), "compositionScore": (0.5, 0.2),
+    "leadingLines": (0.25, 0.43), "symmetry": (0.25, 0.43), "negativeSpace": (0.3, 0.2), "lightHard": (0.25, 0.43), "lightSoft": (0.25, 0.43), "goldenHour": (0.12, 0.33), "colorHarmony": (0.6, 0.2),
+    "bestSmile": (0.4, 0.3), "allEyesOpen": (0.75, 0.43), "faceCount": (0.2, 0.15), "knownFaceRatio": (0.15, 0.3), "strangerPenalty": (0.7, 0.35), "faceScore": (0.7, 0.2), "ruleOfThirds": (0.5, 0.2),
+    "headroom": (0.5, 0.2), "groupEyesOpenRatio": (0.75, 0.3), "groupSmileRatio": (0.4, 0.3), "groupAwkwardRatio": (0.15, 0.3), "bodyCroppedAtEdge": (0.1, 0.3), "groupGenuineSmileRatio": (0.25, 0.35),
+    "groupCatchlightRatio": (0.4, 0.35), "groupSkinToneNaturalRatio": (0.7, 0.3), "avgEyeContact": (0.5, 0.25), "avgEngagement": (0.5, 0.25), "subjectInFocus": (0.7, 0.46), "bokehQuality": (0.5, 0.3),
+    "horizonLevel": (0.7, 0.25), "contentAffinity": (0.5, 0.15), "subjectAffinity": (0.5, 0.15), "textCoverage": (0.08, 0.16), "subjectProminence": (0.25, 0.15), "noCameraMetadata": (0.25, 0.43),
+}
+#: Features without a direction of taste to tell of: in no summary and no shift.
+SILENT = {"exposureBalance", "faceScore", "faceCount", "bodyCroppedAtEdge", "contentAffinity", "subjectAffinity", "textCoverage"}
 GLOBAL = "__global__"
 #: Learning rate, its factor when the model was wrong, pull towards the prior, and how far weights may go.
 RATE, SURPRISE, PULL, REACH, LIMIT = 0.35, 1.6, 0.02, 1.5, 4.0
 BLEND, VAR_FLOOR, Z_LIMIT, PRIOR_N = 12, 0.0225, 3.0, 6
-COLD, WARM = 8, 40
-
-
-def features() -> Column:
-    """MAP of the features that there are; face-only ones are left out without faces."""
-    return F.map_filter(F.create_map(*[x for k, f in FEATURES.items() for x in (F.lit(k), f().cast("double"))]), lambda _, v: v.isNotNull())
+COLD, WARM, SHIFT = 8, 40, 0.03
+#: A face of this share of the frame makes it a picture of somebody.
+PROMINENT = 0.004
+
+
+def feature_columns(columns: Iterable[str], *, enrolled: bool = True) -> dict[str, Column]:
+    """Every feature as an expression over a photo view with ``columns``, null where it is absent.
+
+    A column that the view lacks is one that no photo has: its features take
+    the neutral value or are absent, as for a null. Features of faces are
+    absent without faces, the horizon with a prominent one, and who is known
+    while nobody is ``enrolled``."""
+    have = set(columns)
+    c = lambda name: F.col(name) if name in have else F.lit(None)
+    num = lambda name: c(name).cast("double")
+    yes = lambda test: F.when(test, 1.0).otherwise(0.0)
+    # of a known value; greatest and least pass over nulls
+    unit = lambda known, x: F.when(known.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    # true, false or unknown
+    maybe = lambda name: F.coalesce(c(name).cast("boolean").cast("double"), F.lit(0.5))
+    neutral = lambda name: F.coalesce(num(name), F.lit(0.5))
+    area = F.array_max(F.transform("faces", lambda f: f["box"][2] * f["box"][3])) if "faces" in have else F.lit(None).cast("double")
+    anyone = F.col("face_count") > 0
+    someone = anyone & F.coalesce(area >= PROMINENT, F.lit(True))
+    faces = F.coalesce(F.col("faces"), F.array()) if "faces" in have else None
+    focal = F.coalesce(num("focal_35mm"), num("focal_mm"), num("focal"))
+    taken_with = [c(n) for n in ("camera_make", "camera", "iso", "f_number", "exposure_s", "focal_mm", "focal")]
+    light, bokeh = c("light_quality").cast("string"), c("bokeh_quality").cast("string")
+    strangers = num("stranger_count") if "stranger_count" in have else F.col("face_count") - num("known_face_count")
+    out = {
+        "sharpness": F.when(someone, num("sharpness") / 100).otherwise(F.pow(F.greatest(F.lit(0.0), num("sharpness")) / 100, F.lit(0.6))),
+        "exposureBalance": 1 - F.abs(num("exposure") - 50) / 50,
+        "exposureRaw": num("exposure") / 100,
+        "highlightClipping": F.coalesce(num("highlight_clipping"), F.lit(0.0)),
+        "shadowClipping": F.coalesce(num("shadow_clipping"), F.lit(0.0)),
+        "isoPenalty": F.coalesce(unit(num("iso"), F.log2(F.greatest(num("iso"), F.lit(50.0)) / 100) / 6), F.lit(0.0)),
+        "apertureRaw": F.coalesce(unit(num("f_number"), (num("f_number") - 1) / 21), F.lit(0.5)),
+        "shutterSpeedRaw": F.when(num("exposure_s") > 0, unit(num("exposure_s"), F.log2(F.greatest(1 / num("exposure_s"), F.lit(1.0))) / 13)).otherwise(0.5),
+        "focalLengthRaw": F.coalesce(unit(focal, F.log2(F.greatest(focal, F.lit(10.0)) / 10) / 8), F.lit(0.5)),
+        "flashFired": yes(c("flash").cast("boolean")),
+        "deliberateSettings": yes((F.abs(num("exposure_bias")) >= 0.3) | (c("white_balance").cast("string") == "manual")),
+        "compositionScore": neutral("composition_score"),
+        "leadingLines": maybe("leading_lines"),
+        "symmetry": maybe("symmetry"),
+        "negativeSpace": neutral("negative_space"),
+        "lightHard": yes(light == "hard"),
+        "lightSoft": yes(light == "soft"),
+        "goldenHour": yes(c("golden_hour").cast("boolean")),
+        "colorHarmony": neutral("color_harmony"),
+        "contentAffinity": num("content_affinity"),
+        "subjectAffinity": num("subject_affinity"),
+        "textCoverage": num("text_coverage"),
+        "noCameraMetadata": yes(F.coalesce(*[x.cast("string") for x in taken_with]).isNull()),
+        "subjectProminence": F.when(area > 0, F.least(F.lit(1.0), F.sqrt(area) / 0.5)),
+        "bestSmile": num("best_smile"),
+        "allEyesOpen": yes(c("all_eyes_open").cast("boolean")),
+        "faceCount": F.least(F.col("face_count"), F.lit(6)) / 6,
+        "knownFaceRatio": num("known_face_count") / F.col("face_count") if enrolled else F.lit(None),
+        "strangerPenalty": strangers / F.col("face_count") if enrolled else F.lit(None),
+        "faceScore": F.when(F.size(faces) > 0, F.aggregate(faces, F.lit(0.0), lambda t, f: t + f["face_score"]) / F.size(faces)).otherwise(0.0) if faces is not None else F.lit(0.0),
+        "ruleOfThirds": neutral("thirds"),
+        "headroom": neutral("headroom"),
+        "groupEyesOpenRatio": neutral("group_eyes_open"),
+        "groupSmileRatio": neutral("group_smile"),
+        "groupAwkwardRatio": neutral("group_awkward"),
+        "groupGenuineSmileRatio": neutral("group_genuine_smile"),
+        "groupCatchlightRatio": neutral("group_catchlight"),
+        "groupSkinToneNaturalRatio": neutral("group_skin_tone_natural"),
+        "avgEyeContact": neutral("avg_eye_contact"),
+        "avgEngagement": neutral("avg_engagement"),
+        "subjectInFocus": maybe("subject_in_focus"),
+        "bokehQuality": F.when(bokeh == "good", 1.0).when(bokeh == "poor", 0.0).otherwise(0.5),
+        "bodyCroppedAtEdge": maybe("body_cropped_at_edge"),
+        "horizonLevel": F.when(~someone & (num("horizon_tilt").isNotNull() | ~anyone), F.coalesce(unit(num("horizon_tilt"), 1 - F.abs(num("horizon_tilt")) / 15), F.lit(0.5))),
+    }
+    of_faces = list(out)[list(out).index("subjectProminence") : list(out).index("horizonLevel")]
+    return {k: (F.when(anyone, v) if k in of_faces else v).cast("double") for k, v in out.items()}
+
+
+def features(columns: Iterable[str], *, enrolled: bool = True) -> Column:
+    """MAP of the features that there are, over a photo view with ``columns``."""
+    pairs = [x for k, v in feature_columns(columns, enrolled=enrolled).items() for x in (F.lit(k), v)]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
 def context_key(genre: str | None = None) -> Column:
@@ -46,114 +130,182 @@ def context_key(genre: str | None = None) -> Column:
     return F.concat(lead, scene_of(), faces)
 
 
+def seeds() -> dict[str, list[float]]:
+    """n, mean and m2 of each feature, as if PRIOR_N ordinary photos had been seen."""
+    return {k: [float(PRIOR_N), mean, std * std * (PRIOR_N - 1)] for k, (mean, std) in ORDINARY.items()}
+
+
 @dataclass
 class Model:
-    """Weights, bias and running feature statistics of one context."""
+    """Weights, bias and running feature statistics (n, mean, m2) of one context."""
 
     weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     bias: float = 0.0
-    stats: dict[str, list[float]] = field(default_factory=dict)  # n, mean, m2
+    stats: dict[str, list[float]] = field(default_factory=seeds)
     n: int = 0
 
+    def repaired(self) -> Model:
+        """What isn't finite starts anew."""
+        whole = all(v is not None and math.isfinite(v) for v in self.weights.values())
+        return Model(self.weights if whole else dict(PRIOR), self.bias if math.isfinite(self.bias) else 0.0, self.stats or seeds(), max(0, self.n))
+
     def observe(self, x: dict[str, float]) -> None:
         for k, v in x.items():
-            s = self.stats.setdefault(k, [float(PRIOR_N), 0.5, PRIOR_N * 0.0625])
-            s[0] += 1
-            d = v - s[1]
-            s[1] += d / s[0]
-            s[2] += d * (v - s[1])
+            if math.isfinite(v):
+                n, mean, m2 = self.stats.get(k, (0.0, 0.0, 0.0))
+                moved = mean + (v - mean) / (n + 1)
+                self.stats[k] = [n + 1, moved, m2 + (v - mean) * (v - moved)]
 
     def z(self, x: dict[str, float]) -> dict[str, float]:
+        """Distances from the mean in deviations of 0.15 at least; plain values until three photos are known."""
         out = {}
         for k, v in x.items():
-            n, mean, m2 = self.stats.get(k, (float(PRIOR_N), 0.5, PRIOR_N * 0.0625))
-            out[k] = float(np.clip((v - mean) / np.sqrt(max(VAR_FLOOR, m2 / max(1.0, n - 1))), -Z_LIMIT, Z_LIMIT))
+            n, mean, m2 = self.stats.get(k, (0.0, 0.0, 0.0))
+            far = v if n <= 2 else (v - mean) / math.sqrt(max(VAR_FLOOR, m2 / (n - 1)))
+            out[k] = max(-Z_LIMIT, min(Z_LIMIT, far)) if math.isfinite(v) else 0.0
         return out
 
-    def logit(self, z: dict[str, float]) -> float:
-        return self.bias + sum(self.weights.get(k, 0.0) * v for k, v in sorted(z.items()))
+    def chance(self, z: dict[str, float], bias: float) -> float:
+        t = bias + sum(self.weights.get(k, 0.0) * v for k, v in z.items())
+        return 0.5 if not math.isfinite(t) else 1 / (1 + math.exp(-t)) if t > -700 else 0.0
 
-    def step(self, z: dict[str, float], label: float, wrong: bool) -> None:
-        p = 1 / (1 + np.exp(-np.clip(self.logit(z), -30, 30)))
-        rate = RATE / np.sqrt(self.n + 1) * (SURPRISE if wrong else 1.0)
+    def step(self, z: dict[str, float], error: float, rate: float) -> None:
         for k, v in z.items():
             w, anchor = self.weights.get(k, 0.0), PRIOR.get(k, 0.0)
-            new = w + rate * ((label - p) * v - PULL * (w - anchor))
-            new = float(np.clip(np.clip(new, anchor - REACH, anchor + REACH), -LIMIT, LIMIT))
-            self.weights[k] = new if np.isfinite(new) else anchor
-        self.bias = float(np.clip(self.bias + rate * (label - p), -LIMIT, LIMIT))
-        self.n += 1
+            new = w - rate * (error * v + PULL * (w - anchor))
+            low, high = max(-LIMIT, anchor - REACH), min(LIMIT, anchor + REACH)
+            self.weights[k] = max(low, min(high, new)) if math.isfinite(new) else anchor
 
     def learn(self, x: dict[str, float], label: bool, wrong: bool) -> None:
         self.observe(x)
-        self.step(self.z(x), float(label), wrong)
-
-    def prefer(self, winner: dict[str, float], loser: dict[str, float]) -> None:
-        """A step on the difference of two frames; the bias stays."""
-        self.observe(winner)
-        self.observe(loser)
-        a, b, bias = self.z(winner), self.z(loser), self.bias
-        self.step({k: a[k] - b[k] for k in a.keys() & b.keys()}, 1.0, False)
-        self.bias = bias
-
-
-MODEL_SCHEMA = "context_key string, weights map<string,double>, bias double, stats map<string,array<double>>, n long"
+        z = self.z(x)
+        error = self.chance(z, self.bias) - float(label)
+        rate = RATE / math.sqrt(self.n + 1) * (SURPRISE if wrong else 1.0)
+        self.step(z, error, rate)
+        self.bias -= rate * error
+        self.n += 1
 
+    def prefer(self, winner: dict[str, float], losers: list[dict[str, float]]) -> None:
+        """Steps on the differences of frames of a series, one decision in all; the bias stays, features alike say nothing."""
+        for loser in losers:
+            self.observe(winner)
+            self.observe(loser)
+            a, b = self.z(winner), self.z(loser)
+            d = {k: v for k in [*a, *(k for k in b if k not in a)] if (v := a.get(k, 0.0) - b.get(k, 0.0))}
+            self.step(d, self.chance(d, 0.0) - 1, RATE / math.sqrt(self.n + 1))
+        self.n += bool(losers)
 
-def replay(decisions: DataFrame) -> DataFrame:
-    """One model for each context and one over all, by replaying decisions (context_key, features, ai_decision, user_decision, ts, id) in order.
 
-    Each context is one sequential key, as is the global one: their order is their meaning."""
-    both = decisions.unionByName(decisions.withColumn("context_key", F.lit(GLOBAL)))
+def biggest_shift(before: dict[str, float], after: dict[str, float], x: dict[str, float]) -> tuple[str, float] | None:
+    """The feature of this photo whose weight moved most, if by more than SHIFT, and its new weight; ties to the first."""
+    moved = [(abs(after.get(k, 0.0) - before.get(k, 0.0)), k) for k in x if k not in SILENT]
+    most = max((d for d, _ in moved), default=0.0)
+    return next(((k, after.get(k, 0.0)) for d, k in moved if d == most), None) if most > SHIFT else None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = Model()
-        for r in pdf.sort_values(["ts", "id"]).itertuples(index=False):
-            m.learn(dict(r.features), bool(r.user_decision), bool(r.ai_decision) != bool(r.user_decision))
-        return pd.DataFrame([{"context_key": pdf["context_key"].iloc[0], "weights": m.weights, "bias": m.bias, "stats": m.stats, "n": m.n}])
 
-    return both.groupBy("context_key").applyInPandas(run, MODEL_SCHEMA)
+MODEL_SCHEMA = "context_key string, weights map<string,double>, bias double, stats map<string,array<double>>, n long"
+SHIFT_SCHEMA = "id long, context_key string, feature string, weight double"
 
 
-def predict(photos: DataFrame, models: DataFrame) -> DataFrame:
-    """id, score, uncertainty, stage: a blend n / (n + 12) of the context's and the global model.
+def _in_order(decisions: DataFrame) -> DataFrame:
+    return decisions.select("context_key", "features", "ai_decision", "user_decision", "ts", "id").repartition("context_key").sortWithinPartitions("context_key", "ts", "id")
 
-    Models have one row a context, a bounded set, and are broadcast; scoring is built-in functions over maps."""
-    keys = list(FEATURES)
-    x = photos.select("id", context_key().alias("context_key"), features().alias("x"))
-    c = models.filter(F.col("context_key") != GLOBAL).toDF("context_key", "cw", "cb", "cs", "cn")
-    g = models.filter(F.col("context_key") == GLOBAL).select(F.struct("weights", "bias", "stats", "n").alias("g"))
-    j = x.join(F.broadcast(c), "context_key", "left").join(F.broadcast(g), how="left")
 
-    def logit(w: Column, b: Column, s: Column) -> tuple[Column, Column]:
-        total, away = b, F.lit(0.0)
-        for k in keys:
-            v, st = F.try_element_at("x", F.lit(k)), F.try_element_at(s, F.lit(k))
-            n, mean, m2 = (F.coalesce(F.try_element_at(st, F.lit(i + 1)), F.lit(d)) for i, d in enumerate((float(PRIOR_N), 0.5, PRIOR_N * 0.0625)))
-            z = F.greatest(F.lit(-Z_LIMIT), F.least(F.lit(Z_LIMIT), (v - mean) / F.sqrt(F.greatest(F.lit(VAR_FLOOR), m2 / F.greatest(F.lit(1.0), n - 1)))))
-            total = total + F.coalesce(F.coalesce(F.try_element_at(w, F.lit(k)), F.lit(PRIOR[k])) * z, F.lit(0.0))
-            away = away + F.coalesce(F.abs(z), F.lit(0.0))
-        return total, away / F.greatest(F.size("x"), F.lit(1))
+def replay(decisions: DataFrame) -> DataFrame:
+    """One model for each context and one over all, by replaying decisions (context_key, features, ai_decision, user_decision, ts, id) in order.
 
-    gz, far = logit(F.col("g.weights"), F.coalesce("g.bias", F.lit(0.0)), F.col("g.stats"))
-    cz, _ = logit(F.col("cw"), F.coalesce("cb", F.lit(0.0)), F.col("cs"))
+    The order of a context's decisions is its meaning, so each context is one
+    task's, and so is the global one; decisions stream through and only the
+    model is held."""
+    both = _in_order(decisions.unionByName(decisions.withColumn("context_key", F.lit(GLOBAL))))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, m = None, Model()
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([{"context_key": key, "weights": m.weights, "bias": m.bias, "stats": m.stats, "n": m.n}])
+
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                if r.context_key != key:
+                    if m.n:
+                        yield told()
+                    key, m = r.context_key, Model()
+                m.learn(dict(r.features), bool(r.user_decision), bool(r.ai_decision) != bool(r.user_decision))
+        if m.n:
+            yield told()
+
+    return both.mapInPandas(run, MODEL_SCHEMA)
+
+
+def shifts(decisions: DataFrame) -> DataFrame:
+    """id, context_key, feature, weight: what a correction (a decision unlike the model's) changed most in its context's model."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, m = None, Model()
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.context_key != key:
+                    key, m = r.context_key, Model()
+                x, wrong, before = dict(r.features), bool(r.ai_decision) != bool(r.user_decision), dict(m.weights)
+                m.learn(x, bool(r.user_decision), wrong)
+                if wrong and (s := biggest_shift(before, m.weights, x)):
+                    out.append((r.id, key, *s))
+            yield pd.DataFrame(out, columns=["id", "context_key", "feature", "weight"])
+
+    return _in_order(decisions).mapInPandas(run, SHIFT_SCHEMA)
+
+
+def predict(photos: DataFrame, models: DataFrame, *, enrolled: bool = True) -> DataFrame:
+    """id, score, personal_delta, uncertainty, stage, top: a blend n / (n + 12) of the context's and the global model.
+
+    personal_delta is what learning has added to the score, top the four
+    largest contributions. Scoring is built-in functions over maps; models are
+    few, and broadcast if a count says so."""
+    few = (lambda m: F.broadcast(m)) if models.limit(10_001).count() <= 10_000 else (lambda m: m)
+    literal = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])
+    prior, plain = literal(PRIOR), literal(seeds())
+    x = photos.select("id", context_key().alias("context_key"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.alias("v")) for i, (k, v) in enumerate(feature_columns(photos.columns, enrolled=enrolled).items())]).alias("x"))
+    x = x.withColumn("x", F.filter("x", lambda e: e["v"].isNotNull()))
+    c = few(models.filter(F.col("context_key") != GLOBAL).toDF("context_key", "cw", "cb", "cs", "cn"))
+    g = models.filter(F.col("context_key") == GLOBAL).select(F.col("weights").alias("gw"), F.col("bias").alias("gb"), F.col("stats").alias("gs"))  # one row at most
+    j = x.join(c, "context_key", "left").join(F.broadcast(g), how="left")
+
+    def z(e: Column, stats: str) -> Column:
+        s = F.try_element_at(F.coalesce(F.col(stats), plain), e["k"])
+        n, mean, m2 = s[0], s[1], s[2]
+        far = F.when(F.coalesce(n, F.lit(0.0)) <= 2, e["v"]).otherwise((e["v"] - mean) / F.sqrt(F.greatest(F.lit(VAR_FLOOR), m2 / (n - 1))))
+        return F.greatest(F.lit(-Z_LIMIT), F.least(F.lit(Z_LIMIT), far))
+
+    weight = lambda e, w: F.coalesce(F.try_element_at(F.coalesce(F.col(w), prior), e["k"]), F.lit(0.0))
     n = F.coalesce("cn", F.lit(0))
-    a = n / (n + BLEND)
-    p = 1 / (1 + F.exp(-(a * cz + (1 - a) * gz)))
+    j = j.withColumn("a", n / (n + BLEND))
+    parts = F.transform("x", lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), z(e, "cs").alias("z"), (F.col("a") * weight(e, "cw") * z(e, "cs") + (1 - F.col("a")) * weight(e, "gw") * z(e, "gs")).alias("c")))
+    j = j.withColumn("parts", parts)
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda t, e: t + f(e))
+    chance = lambda t: 1 / (1 + F.exp(-t))
+    p = chance(F.col("a") * F.coalesce("cb", F.lit(0.0)) + (1 - F.col("a")) * F.coalesce("gb", F.lit(0.0)) + total(lambda e: e["c"]))
+    naive = chance(total(lambda e: F.coalesce(F.try_element_at(prior, e["k"]), F.lit(0.0)) * e["z"]))
+    j = j.withColumn("p", p).withColumn("naive", naive).withColumn("far", total(lambda e: F.abs(e["z"])) / F.greatest(F.size("parts"), F.lit(1)))
+    order = F.array_sort(F.transform("parts", lambda e: F.struct((-F.abs(e["c"])).alias("d"), e["i"].alias("i"), e["k"].alias("feature"), e["c"].alias("contribution"))))
+    top = F.transform(F.slice(order, 1, 4), lambda e: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution")))
     stage = F.when(n < COLD, "cold").when(n < WARM, "warming").otherwise("trained")
-    unsure = F.greatest(1 - F.abs(p - 0.5) * 2, F.least(F.lit(1.0), far / 1.5))
-    return j.select("id", round_half_up(p * 100).cast("long").alias("score"), unsure.alias("uncertainty"), stage.alias("stage"))
+    unsure = F.greatest(1 - F.abs(F.col("p") - 0.5) * 2, F.least(F.lit(1.0), F.col("far") / 1.5))
+    return j.select("id", round_half_up(F.col("p") * 100).cast("long").alias("score"), round_half_up((F.col("p") - F.col("naive")) * 100).cast("long").alias("personal_delta"), unsure.alias("uncertainty"), stage.alias("stage"), top.alias("top"))
 
 
 def model_summary(models: DataFrame, k: int = 4) -> DataFrame:
-    """context_key, n and the k weights furthest from the prior; the global model left out."""
-    prior = F.create_map(*[x for a, b in PRIOR.items() for x in (F.lit(a), F.lit(b))])
-    moved = F.transform(F.map_entries("weights"), lambda e: F.struct((-F.abs(e["value"] - F.coalesce(F.try_element_at(prior, e["key"]), F.lit(0.0)))).alias("d"), e["key"].alias("feature"), e["value"].alias("weight")))
-    return models.filter(F.col("context_key") != GLOBAL).select("context_key", "n", F.slice(F.array_sort(moved), 1, k).alias("top"))
+    """context_key, n, stage and the k largest weights (feature, weight) that tell of a taste, once COLD decisions are there; the global model left out."""
+    told = F.filter(F.map_entries("weights"), lambda e: ~e["key"].isin(sorted(SILENT)))
+    largest = F.array_sort(F.transform(told, lambda e: F.struct((-F.abs(e["value"])).alias("d"), e["key"].alias("feature"), e["value"].alias("weight"))))
+    top = F.transform(F.slice(largest, 1, k), lambda e: F.struct(e["feature"].alias("feature"), e["weight"].alias("weight")))
+    stage = F.when(F.col("n") < COLD, "cold").when(F.col("n") < WARM, "warming").otherwise("trained")
+    return models.filter(F.col("context_key") != GLOBAL).select("context_key", "n", stage.alias("stage"), F.when(F.col("n") >= COLD, top).otherwise(F.slice(top, 1, 0)).alias("top"))
 
 
 def learned_weight(models: DataFrame) -> DataFrame:
-    return models.filter(F.col("context_key") == GLOBAL).select(F.least(F.lit(1.0), F.col("n") / 40).alias("learned_weight"))
+    return models.filter(F.col("context_key") == GLOBAL).select(F.least(F.lit(1.0), F.col("n") / WARM).alias("learned_weight"))
 
 
 def counterfactual(score: str, factors: str, select_at: int = 65, reject_at: int = 35) -> Column:

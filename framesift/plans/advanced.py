@@ -88,7 +88,7 @@ def locations(s, d):
 def decisions(s, d):
     """The view's features and context with the decisions on them."""
     p = photos(s, d)
-    return corrections(s, d).join(p.select("id", S.context_key().alias("context_key"), S.features().alias("features")), "id")
+    return corrections(s, d).join(p.select("id", S.context_key().alias("context_key"), S.features(p.columns).alias("features")), "id")
 
 
 @query("model_replay")
@@ -101,6 +101,12 @@ def rescore(s, d):
     return S.predict(photos(s, d), checkpointed(S.replay(decisions(s, d))))
 
 
+@query("preference_shifts")
+def preference_shifts(s, d):
+    """What each correction changed most."""
+    return S.shifts(decisions(s, d)).select("id", "context_key", "feature", F.round("weight", 9).alias("weight"))
+
+
 @query("model_summary")
 def model_summary(s, d):
     return S.model_summary(S.replay(decisions(s, d)))
@@ -184,7 +190,7 @@ def stream_learner(s, d):
     from ..streaming.library import DECISION, learner
 
     at = f"{shared_folder(s)}/learner-{uuid.uuid4().hex}"
-    decisions(s, d).select("context_key", "features", "ai_decision", "user_decision", "ts", "id").coalesce(1).write.parquet(f"{at}/in")
+    decisions(s, d).select("context_key", "features", "ai_decision", "user_decision", "ts", "id").repartitionByRange("ts").write.parquet(f"{at}/in")
     q = learner(s.readStream.schema(DECISION).parquet(f"{at}/in")).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{at}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
     out = s.read.parquet(f"{at}/out")

@@ -40,7 +40,7 @@ def learner(decisions: DataFrame) -> DataFrame:
         m = Model()
         if state.exists:
             w, bias, stats, n = state.get
-            m = Model(dict(w), bias, {k: list(v) for k, v in dict(stats).items()}, n)
+            m = Model(dict(w), bias, {k: list(v) for k, v in dict(stats).items()}, n).repaired()
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
         for r in rows.itertuples(index=False):
             m.learn(dict(r.features), bool(r.user_decision), bool(r.ai_decision) != bool(r.user_decision))
