@@ -52,26 +52,31 @@ def exposure(rgb: np.ndarray) -> float:
 
 
 def highlight_clipping(rgb: np.ndarray) -> float:
-    return float((luma(rgb) >= 250).mean())
+    """Share of every fourth pixel without detail in the lights."""
+    return float((luma(rgb).ravel()[::4] >= 250).mean())
 
 
 def shadow_clipping(rgb: np.ndarray) -> float:
-    return float((luma(rgb) <= 5).mean())
+    return float((luma(rgb).ravel()[::4] <= 5).mean())
+
+
+#: Least gradient, steepest edge in degrees, and least number of edge pixels as a share of the width, of a horizon.
+HORIZON_GRADIENT, HORIZON_DEGREES, HORIZON_LENGTH = 18, 45, 0.5
 
 
 def horizon_tilt(rgb: np.ndarray) -> float | None:
-    """Mean direction of strong, nearly horizontal edges in degrees, by doubled angles."""
+    """Mean direction of nearly horizontal edges in degrees, to a tenth, weighted by gradient; doubled angles make a line and its reverse the same."""
     if min(rgb.shape[:2]) < 3:
         return None
     gx, gy = sobel(luma(rgb))
     m = np.hypot(gx, gy)
-    angle = np.degrees(np.arctan2(gy, gx)) - 90
-    angle = (angle + 90) % 180 - 90
-    use = (m > 60) & (np.abs(angle) <= 20)
-    if use.sum() < 0.002 * m.size:
+    edge = (np.degrees(np.arctan2(gy, gx)) + 180) % 180 - 90
+    use = (m >= HORIZON_GRADIENT) & (np.abs(edge) <= HORIZON_DEGREES)
+    if use.sum() < HORIZON_LENGTH * rgb.shape[1]:
         return None
-    t = np.radians(2 * angle[use])
-    return float(np.degrees(np.arctan2((m[use] * np.sin(t)).sum(), (m[use] * np.cos(t)).sum())) / 2)
+    t = np.radians(2 * edge[use])
+    mean = np.degrees(np.arctan2((m[use] * np.sin(t)).sum(), (m[use] * np.cos(t)).sum())) / 2
+    return float(np.floor(mean * 10 + 0.5) / 10)
 
 
 def symmetry(rgb: np.ndarray) -> float:

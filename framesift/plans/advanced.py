@@ -125,9 +125,18 @@ def folder_labels(s, d):
     return files.export_plan(photos(s, d)).drop("file_name")
 
 
-@query("sidecars")
+XMP_PARTS = [x.replace("'", "''") for x in files.XMP.split("%s")]
+SIDECARS_SQL = f"""+ k as (select *, list_concat(list_concat(case when tags[1] = tags[2] then tags[1:1] else tags end, persons), ['IA ' || (ai_score // 10 * 10) || '-' || least(100, ai_score // 10 * 10 + 9)]) as words from photos where status <> 'pending')
+select id, '{XMP_PARTS[0]}' || case when status = 'rejected' then -1 when rating > 0 then rating when status = 'selected' then 5 when status = 'candidate' then 3 else 0 end
+ || '{XMP_PARTS[1]}' || case status when 'selected' then 'Green' when 'candidate' then 'Blue' when 'rejected' then 'Red' else 'Yellow' end
+ || '{XMP_PARTS[2]}' || coalesce(' fs:AIScore="' || ai_score || '"', '') || case when coalesce(group_id, '') <> '' then ' fs:SeriesId="' || group_id || '"' else '' end || '{XMP_PARTS[4]}'
+ || '<dc:subject><rdf:Bag>' || array_to_string(list_transform(words, lambda w: '<rdf:li>' || w || '</rdf:li>'), '') || '</rdf:Bag></dc:subject>' || '{XMP_PARTS[6]}' as xmp from k"""
+
+
+@query("sidecars", SIDECARS_SQL)
 def sidecars(s, d):
-    return photos(s, d).filter("status in ('selected', 'rejected')").select("id", files.sidecar().alias("xmp"))
+    """All decided photos, rejected, candidates and those to be reviewed too."""
+    return photos(s, d).select("id", files.sidecar().alias("xmp")).filter("xmp is not null")
 
 
 @query("export_manifest", "select id // 1000 as part, '[' || string_agg('\"' || file_name || '\"', ',' order by file_name) || ']' as names from photos where status = 'selected' group by 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -10,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import xml_escape
+from ..functions.expr import round_half_up, xml_escape
 
 #: File extensions of camera raw formats.
-RAW_EXTENSIONS = ("cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "dng", "rw2", "orf", "raf", "pef", "srw", "x3f", "3fr", "fff", "iiq", "mrw", "dcr", "kdc", "erf", "mef", "mos")
+RAW_EXTENSIONS = ("cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "dng", "raf", "orf", "rw2", "pef", "ptx", "srw", "3fr", "erf", "kdc", "dcr", "mrw", "raw", "rwl", "iiq", "x3f")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "avif")
 
 BACKUP = "version int, photos array<struct<id:string,fileName:string,capturedAt:bigint,status:string,rating:int>>, corrections array<struct<photoId:string,contextKey:string,aiDecision:boolean,userDecision:boolean,ts:bigint>>"
@@ -47,10 +48,10 @@ def sniff(content: str = "content") -> Column:
     )
 
 
-EXIF = "make string, model string, lens string, taken_ms bigint, iso int, f_number double, exposure_s double, focal_mm double, focal_35mm int, orientation int, flash int, lat double, lon double, alt double"
+EXIF = "make string, model string, lens string, taken_ms bigint, iso int, f_number double, exposure_s double, focal_mm double, focal_35mm int, orientation int, flash int, metering int, bias_ev double, white_balance int, software string, lat double, lon double, alt double, gps_error_m double"
 #: Fixed values of the public TIFF and EXIF formats: tags by directory, and sizes of the field types.
-TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0xA434: "lens", 0x9003: "taken", 0x8827: "iso", 0x829D: "f_number", 0x829A: "exposure_s", 0x920A: "focal_mm", 0xA405: "focal_35mm", 0x9209: "flash"}
-GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon", 5: "alt_ref", 6: "alt"}
+TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0xA434: "lens", 0x9003: "taken", 0x8827: "iso", 0x829D: "f_number", 0x829A: "exposure_s", 0x920A: "focal_mm", 0xA405: "focal_35mm", 0x9209: "flash", 0x9207: "metering", 0x9204: "bias_ev", 0xA403: "white_balance", 0x0131: "software", 0x0132: "changed"}
+GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon", 5: "alt_ref", 6: "alt", 0x1F: "gps_error_m"}
 EXIF_IFD, GPS_IFD = 0x8769, 0x8825
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
@@ -82,6 +83,15 @@ def _directory(b: bytes, at: int, order: str, names: dict[int, str]) -> dict:
     return out
 
 
+def _clock(text: str | None) -> int | None:
+    """Milliseconds of a camera's "year:month:day hour:minute:second"."""
+    try:
+        when = datetime.strptime(text or "", "%Y:%m:%d %H:%M:%S").replace(tzinfo=timezone.utc)
+    except ValueError:
+        return None
+    return int(when.timestamp() * 1000) if when.year >= 1900 else None
+
+
 def read_exif(b: bytes | None) -> dict | None:
     """The fields of EXIF of a JPEG or TIFF header; None if there are none."""
     if not b:
@@ -109,17 +119,14 @@ def read_exif(b: bytes | None) -> dict | None:
     d = _directory(t, top, order, TAGS | {EXIF_IFD: "exif_at", GPS_IFD: "gps_at"})
     d |= _directory(t, d.get("exif_at", 0), order, TAGS)
     g = _directory(t, d.get("gps_at", 0), order, GPS_TAGS)
-    out = {k: d.get(k) for k in ("make", "model", "lens", "f_number", "exposure_s", "focal_mm")}
-    out |= {k: d[k] if isinstance(d.get(k), int) else None for k in ("iso", "focal_35mm", "orientation", "flash")}
-    try:
-        when = datetime.strptime(d.get("taken", ""), "%Y:%m:%d %H:%M:%S").replace(tzinfo=timezone.utc)
-        out["taken_ms"] = int(when.timestamp() * 1000) if when.year >= 1900 else None
-    except ValueError:
-        out["taken_ms"] = None
+    out = {k: d.get(k) for k in ("make", "model", "lens", "f_number", "exposure_s", "focal_mm", "bias_ev", "software")}
+    out |= {k: d[k] if isinstance(d.get(k), int) else None for k in ("iso", "focal_35mm", "orientation", "flash", "metering", "white_balance")}
+    out["taken_ms"] = next((ms for name in ("taken", "changed") if (ms := _clock(d.get(name))) is not None), None)
     for k, minus in (("lat", "S"), ("lon", "W")):
         v = g.get(k)
         out[k] = (v[0] + v[1] / 60 + v[2] / 3600) * (-1 if g.get(f"{k}_ref") == minus else 1) if isinstance(v, list) and len(v) == 3 else None
     out["alt"] = -g["alt"] if g.get("alt_ref") == 1 and "alt" in g else g.get("alt")
+    out["gps_error_m"] = g.get("gps_error_m")
     return out
 
 
@@ -134,28 +141,67 @@ def exif(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("exif", parse(F.substring(content, 1, 131_072)))
 
 
-#: Fixed values of the public IPTC-IIM format: datasets of record 2.
-IPTC_TAGS = {5: "title", 25: "keywords", 80: "author", 90: "city", 101: "country", 116: "copyright", 120: "caption"}
+#: Fixed values of the public IPTC-IIM format: datasets of record 2; and of the JPEG container that holds them.
+IPTC_TAGS = {5: "title", 25: "keywords", 80: "author", 90: "city", 101: "country", 105: "headline", 110: "credit", 115: "source", 116: "copyright", 120: "caption"}
+PHOTOSHOP, RESOURCE, IPTC_RESOURCE = b"Photoshop 3.0\0", b"8BIM", 0x0404
+
+
+def _segments(b: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and content of the segments of a JPEG before its picture."""
+    at = 2 if b[:2] == b"\xff\xd8" else len(b)
+    while at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] not in (0xD9, 0xDA):
+        if b[at + 1] == 0x01 or 0xD0 <= b[at + 1] <= 0xD8:  # markers alone
+            at += 2
+            continue
+        size = int.from_bytes(b[at + 2 : at + 4], "big")
+        yield b[at + 1], b[at + 4 : at + 2 + size]
+        at += 2 + size
+
+
+def _resource(b: bytes, wanted: int) -> bytes | None:
+    """The data of one resource among those of Photoshop's segment; names and data are padded to even lengths."""
+    at = b.find(RESOURCE)
+    while 0 <= at and at + 12 <= len(b):
+        data = at + 7 + b[at + 6]
+        data += (data - at) % 2
+        size = int.from_bytes(b[data : data + 4], "big")
+        if data + 4 + size > len(b):
+            return None
+        if int.from_bytes(b[at + 4 : at + 6], "big") == wanted:
+            return b[data + 4 : data + 4 + size]
+        at = b.find(RESOURCE, data + 4 + size)
+    return None
 
 
 def read_iptc(b: bytes | None) -> dict:
-    """Datasets of record 2, wherever their marker is; keywords are a list."""
+    """Datasets of record 2 in the IPTC resource of a JPEG; keywords are a list, an object name is the headline where there is none."""
     out: dict = {"keywords": []}
-    at = (b or b"").find(b"\x1c\x02")
-    while b and 0 <= at <= len(b) - 5 and b[at] == 0x1C and b[at + 1] == 2:
-        tag, size = b[at + 2], int.from_bytes(b[at + 3 : at + 5], "big")
-        value = b[at + 5 : at + 5 + size].decode("utf-8", "replace").strip()
-        name = IPTC_TAGS.get(tag)
+    block = next((r for marker, s in _segments(b or b"") if marker == 0xED and s.startswith(PHOTOSHOP) and (r := _resource(s[len(PHOTOSHOP) :], IPTC_RESOURCE)) is not None), b"")
+    at = 0
+    while at + 5 <= len(block):
+        if block[at] != 0x1C:
+            at += 1
+            continue
+        size, data = int.from_bytes(block[at + 3 : at + 5], "big"), at + 5
+        if size & 0x8000:  # so many bytes hold the length
+            more = size & 0x7FFF
+            size, data = int.from_bytes(block[data : data + more], "big"), data + more
+        if data + size > len(block):
+            break
+        name = IPTC_TAGS.get(block[at + 2]) if block[at + 1] == 2 else None
+        value = block[data : data + size].decode("utf-8", "replace").strip()
         if name == "keywords":
-            out["keywords"].append(value)
+            out["keywords"] += [value] if value else []
         elif name:
             out[name] = value
-        at += 5 + size
+        at = data + size
+    if out.get("title") and not out.get("headline"):
+        out["headline"] = out["title"]
     return out
 
 
 def iptc(files: DataFrame, content: str = "content") -> DataFrame:
-    names = ["title", "author", "city", "country", "copyright", "caption"]
+    names = ["title", "author", "city", "country", "headline", "credit", "source", "copyright", "caption"]
 
     @F.pandas_udf(", ".join(f"{n} string" for n in names) + ", keywords array<string>")
     def parse(head: pd.Series) -> pd.DataFrame:
@@ -195,13 +241,25 @@ def folder_label() -> Column:
     return F.when(F.size("persons") > 0, F.array_join(F.array_sort(F.array_distinct("persons")), ", ")).when(F.col("face_count") > 0, "strangers").when(F.size("tags") > 0, F.element_at("tags", 1)).otherwise(F.col("scene_type"))
 
 
-def sidecar() -> Column:
-    """XMP text with rating, label and keywords of a decided photo."""
-    label = F.when(F.col("status") == "selected", "Green").when(F.col("status") == "rejected", "Red").otherwise("")
-    stars = F.when(F.col("rating") > 0, F.col("rating")).when(F.col("status") == "rejected", -1).otherwise(0)
-    words = F.array_distinct(F.concat("tags", "persons", F.array(F.concat(F.lit("IA "), (F.floor(F.col("ai_score") / 10) * 10).cast("string"), F.lit("-"), F.least(F.lit(100), F.floor(F.col("ai_score") / 10) * 10 + 9).cast("string")))))
+#: Stars and label of a decision, where the user gave no stars; a rejected photo is -1 whatever it has.
+STARS = {"selected": 5, "candidate": 3, "rejected": -1, "review": 0}
+LABELS = {"selected": "Green", "candidate": "Blue", "rejected": "Red", "review": "Yellow"}
+XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:fs="urn:framesift" xmp:Rating="%s" xmp:Label="%s"%s%s>%s%s</rdf:Description></rdf:RDF></x:xmpmeta>'
+
+
+def sidecar(caption: str | None = None) -> Column:
+    """XMP text of a decided photo: stars, label, score, series, keywords and caption; null for a pending one."""
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("status")]
+    stars = F.when((F.col("status") != "rejected") & (F.col("rating") > 0), F.col("rating").cast("int")).otherwise(of(STARS))
+    band = F.floor(F.col("ai_score") / 10) * 10
+    words = F.array_distinct(F.concat("tags", "persons", F.array(F.concat(F.lit("IA "), band.cast("string"), F.lit("-"), F.least(F.lit(100), band + 9).cast("string")))))
+    score = F.coalesce(F.concat(F.lit(' fs:AIScore="'), round_half_up("ai_score").cast("string"), F.lit('"')), F.lit(""))
+    series = F.when(F.coalesce("group_id", F.lit("")) != "", F.concat(F.lit(' fs:SeriesId="'), xml_escape("group_id"), F.lit('"'))).otherwise("")
     items = F.array_join(F.transform(words, lambda w: F.concat(F.lit("<rdf:li>"), xml_escape(w), F.lit("</rdf:li>"))), "")
-    return F.format_string('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmp:Rating="%s" xmp:Label="%s"><dc:subject><rdf:Bag>%s</rdf:Bag></dc:subject></rdf:Description></rdf:RDF></x:xmpmeta>', stars.cast("string"), label, items)
+    subject = F.concat(F.lit("<dc:subject><rdf:Bag>"), items, F.lit("</rdf:Bag></dc:subject>"))
+    said = F.coalesce(F.nullif(F.col(caption), F.lit("")), F.lit(None)) if caption else F.lit(None).cast("string")
+    about = F.coalesce(F.concat(F.lit('<dc:description><rdf:Alt><rdf:li xml:lang="x-default">'), xml_escape(said), F.lit("</rdf:li></rdf:Alt></dc:description>")), F.lit(""))
+    return F.when(of(STARS).isNotNull(), F.format_string(XMP, stars.cast("string"), of(LABELS), score, series, subject, about))
 
 
 def manifest(photos: DataFrame) -> DataFrame:
