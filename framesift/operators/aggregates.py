@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, round_half_up
+from .ranks import ranked, ranked_within
 from .filters import is_decided
 
 
@@ -30,10 +31,13 @@ def agreement(corrections: DataFrame) -> DataFrame:
 
 
 def agreement_trend(corrections: DataFrame, buckets: int = 6) -> DataFrame:
-    """Agreement in so many buckets of equal count, in time order; nothing below two rows a bucket."""
-    n = corrections.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    w = n.filter(F.col("_n") >= 2 * buckets).withColumn("bucket", F.ntile(buckets).over(Window.orderBy("ts", "id")) - 1)
-    return w.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("ai_decision") == F.col("user_decision")).cast("double")).alias("agreement_rate"))
+    """Agreement in so many buckets of equal count, in time order, what is left over in the last; nothing below two rows a bucket."""
+    n = corrections.count()
+    if n < 2 * buckets:
+        return corrections.limit(0).select(F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("agreement_rate"))
+    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("place") - 1) / (n // buckets))).cast("int")
+    same = (F.col("ai_decision") == F.col("user_decision")).cast("double")
+    return ranked(corrections, ["ts", "id"]).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(same).alias("agreement_rate"))
 
 
 def accuracy(corrections: DataFrame, least: int = 20, recent: int = 50) -> DataFrame:
@@ -123,11 +127,12 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def stage_stats(samples: DataFrame, by: str = "stage", value: str = "ms") -> DataFrame:
-    """count, total, mean and the values at index round(p * (n - 1)). Ranks are windowed, so no list of a stage is held."""
-    w = Window.partitionBy(by)
-    r = samples.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("_r") == round_half_up(F.lit(p) * (F.col("_n") - 1)) + 1, F.col(value)))
-    return r.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    """count, total, mean and the values at index round(p * (n - 1)). Few stages may hold all rows: ranks come from ranges."""
+    r = ranked_within(samples.select(by, value), by, [value], "_r")
+    n = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    at = lambda p: F.max(F.when(F.col("_r") == round_half_up(F.lit(p) * (F.col("n") - 1)) + 1, F.col(value)))
+    found = r.join(n, by).groupBy(by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return n.join(found, by)
 
 
 def reservoir(samples: DataFrame, by: str, k: int = 200, seed: int = 11) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, clamp, clamp01, round_half_up
+from .ranks import down, ranked, ranked_within
+from .similarity import checkpointed
 from .filters import is_decided, subject_rank
 
 GAP_MS = 15 * 60 * 1000
@@ -61,7 +63,7 @@ def highlights(photos: DataFrame, percent: float = 10) -> DataFrame:
     best = best_of(series(p), "group_id", [-F.col("ai_score"), F.col("id")]).select(F.col("keep_id").alias("id"))
     pool = p.filter(blank_to_null("group_id").isNull()).unionByName(p.join(best, "id", "left_semi"))
     n = photos.count()
-    return pool.orderBy(F.desc("_rank"), F.desc("ai_score"), "id").limit(max(1, int(n * percent / 100 + 0.5)) if n else 0).select("id", "ai_score")
+    return ranked(pool, [down("_rank"), down("ai_score"), "id"]).filter(F.col("place") <= max(1, int(n * percent / 100 + 0.5))).select("id", "ai_score")
 
 
 def unresolved(photos: DataFrame) -> DataFrame:
@@ -153,17 +155,21 @@ def band(difficulty: Column) -> Column:
 
 
 def review_bands(queue: DataFrame, difficulty: Column, order: list[Column], key: str) -> DataFrame:
-    """Runs of one band along a queue, for each key: start, count."""
-    w = Window.partitionBy(key).orderBy(*order)
-    q = queue.withColumn("_at", F.row_number().over(w) - 1).withColumn("band", band(difficulty))
-    q = q.withColumn("_run", F.sum(F.coalesce((F.lag("band").over(w) != F.col("band")).cast("int"), F.lit(1))).over(w))
-    return q.groupBy(key, "_run", "band").agg(F.min("_at").alias("start_index"), F.count(F.lit(1)).alias("n")).drop("_run")
+    """Runs of one band along a queue, for each key: start, count. A key may hold most rows: neighbours meet by joins on their places."""
+    q = ranked_within(queue.withColumn("band", band(difficulty)), key, order, "_at").select(key, "band", (F.col("_at") - 1).alias("_at"))
+    before = q.select(F.col(key).alias("_k"), (F.col("_at") + 1).alias("_next"), F.col("band").alias("_was"))
+    runs = q.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_next")), "left").filter("_was is null or _was <> band").select(key, "band", "_at")
+    runs = checkpointed(ranked_within(runs, key, ["_at"], "_run"))
+    after = runs.select(F.col(key).alias("_k"), (F.col("_run") - 1).alias("_before"), F.col("_at").alias("_end"))
+    whole = q.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_all"))
+    j = runs.join(after, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_run") == F.col("_before")), "left").join(whole, F.col(key).eqNullSafe(F.col("_key")))
+    return j.select(key, "band", F.col("_at").alias("start_index"), (F.coalesce("_end", "_all") - F.col("_at")).alias("n"))
 
 
 def row_plan(queue: DataFrame, order: list[Column], key: str, columns: int) -> DataFrame:
     """Rows of so many columns along a queue."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return queue.withColumn("row", F.floor(at / max(1, columns))).withColumn("cell", at % max(1, columns))
+    k, r = max(1, columns), ranked_within(queue, key, order, "_at")
+    return r.withColumn("row", F.floor((F.col("_at") - 1) / k)).withColumn("cell", (F.col("_at") - 1) % k).drop("_at")
 
 
 def series_percentile(photos: DataFrame) -> DataFrame:
@@ -234,10 +240,26 @@ def rescue_queue(photos: DataFrame) -> DataFrame:
     return q.filter("size(f) > 0 and gain > 0").select("id", F.array_join("f", ",").alias("fixes"), F.size("f").alias("n_fixes"), "gain")
 
 
-def sequence_numbers(photos: DataFrame, folder: str, order: list[Column]) -> DataFrame:
-    """Sequence number in a folder, and a file name that no other photo of the folder has: 'base (n).ext' from the second on."""
-    w = Window.partitionBy(folder).orderBy(*order)
-    same = Window.partitionBy(folder, "file_name").orderBy(*order)
-    n = F.row_number().over(same)
+def sequence_numbers(photos: DataFrame, folder: str, order: list[Column], key: str = "id", rounds: int = 20) -> DataFrame:
+    """Sequence number in a folder, and a file name that no other photo of the folder has: 'base (n).ext' from the second on.
+
+    A name made so may be one that another photo has: then the later of the
+    two is numbered anew, until all differ."""
     base, ext = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
-    return photos.withColumn("seq", F.row_number().over(w)).withColumn("out_name", F.when(n == 1, F.col("file_name")).otherwise(F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+    named = lambda k: F.when(k == 1, F.col("file_name")).otherwise(F.concat(base, F.lit(" ("), k.cast("string"), F.lit(")"), ext))
+    p = ranked_within(photos, folder, order, "seq")
+    same = Window.partitionBy(folder, "file_name").orderBy("seq")
+    p = checkpointed(p.withColumn("_k", F.row_number().over(same).cast("long")).withColumn("out_name", named(F.col("_k"))))
+    for _ in range(rounds):
+        taken = Window.partitionBy(folder, "out_name").orderBy(F.col("_k") != 1, "seq")
+        p = p.withColumn("_again", F.row_number().over(taken) - 1)
+        if not p.filter("_again > 0").limit(1).count():
+            break
+        # what clashes goes on behind the largest number of its own name
+        most = F.max("_k").over(Window.partitionBy(folder, "file_name"))
+        later = F.sum((F.col("_again") > 0).cast("int")).over(same.rowsBetween(Window.unboundedPreceding, 0))
+        p = p.withColumn("_k", F.when(F.col("_again") > 0, most + later).otherwise(F.col("_k")))
+        p = checkpointed(p.withColumn("out_name", named(F.col("_k"))).drop("_again"))
+    else:
+        raise RuntimeError(f"file names did not settle in {rounds} rounds")
+    return p.drop("_k", "_again")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import haversine_km
 from .filters import is_decided, uncertain
+from .ranks import ranked
 
 #: Rows up to which a dimension is broadcast; it is counted first.
 BROADCAST_ROWS = 100_000
@@ -157,17 +158,10 @@ def undo_newest(base: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def top_percent(photos: DataFrame, percent: float, order: list[Column]) -> DataFrame:
-    """id, status of the undecided: the first percent of them by ``order`` selected, the rest rejected.
-
-    The border is found from counts of the order key, so no task ranks all rows."""
+    """id, status of the undecided: the first percent of them by ``order`` selected, the rest rejected."""
     p = photos.filter(~is_decided())
-    n = p.count()
-    k = min(n, max(0, int(n * percent / 100 + 0.5)))
-    p = p.withColumn("_o", F.struct(*order))
-    if k == 0:
-        return p.select("id", F.lit("rejected").alias("status"))
-    last = p.select("_o").orderBy("_o").limit(k).agg(F.max("_o").alias("_last"))
-    return p.crossJoin(F.broadcast(last)).select("id", F.when(F.col("_o") <= F.col("_last"), "selected").otherwise("rejected").alias("status"))
+    k = int(p.count() * percent / 100 + 0.5)
+    return ranked(p, order).select("id", F.when(F.col("place") <= k, "selected").otherwise("rejected").alias("status"))
 
 
 def last_of_log(log: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def agreement(s, d):
     return A.agreement(corrections(s, d))
 
 
-@query("agreement_trend", "+ b as (select *, ntile(6) over (order by ts, id) - 1 as bucket, count(*) over () as n_all from corrections) select bucket, count(*) as n, avg(case when ai_decision = user_decision then 1.0::double else 0 end) as agreement_rate from b where n_all >= 12 group by 1", CORRECTIONS_SQL)
+@query("agreement_trend", "+ b as (select *, least(5, (row_number() over (order by ts, id) - 1) // greatest(1, count(*) over () // 6))::int as bucket, count(*) over () as n_all from corrections) select bucket, count(*) as n, avg(case when ai_decision = user_decision then 1.0::double else 0 end) as agreement_rate from b where n_all >= 12 group by 1", CORRECTIONS_SQL)
 def agreement_trend(s, d):
     return A.agreement_trend(corrections(s, d))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import advanced, library  # noqa: F401  (advanced adds its queries to library's)
+from . import advanced, gallery, library  # noqa: F401  (the others add their queries to library's)
 
 
 def queries() -> dict:
