@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, mix, table
+from .common import boxed, cut, mix, small, table
 
 ROUNDS = 6
 #: Keys of one bucket are numbered by one task; so many buckets at least.
 BUCKETS = 4096
+#: Copies of one row that are numbered in one go.
+CHUNK = 100_000
 
 
 def permute(x: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -51,16 +53,24 @@ def place(row: int, n: int, shards: int, seed: int) -> tuple[int, int]:
     return v % shards, v // shards
 
 
-def number_rows(rows: DataFrame, keys: list[str], carried: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """One row for each row, with the columns ``keys`` (and ``carried``, alike in rows of equal keys) and a gapless ``row_number`` from 0 that depends on the keys alone."""
-    held = [F.first(c).alias(c) for c in carried or []]
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *held).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    totals = rows.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+def spans_of(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """One row for each key: ``_first``, its first row number, and ``_copies``. The numbers are gapless from 0 and depend on the keys alone."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    totals = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
     before = totals.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     own = Window.partitionBy("_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     first = F.col("_before") + F.sum("_copies").over(own) - F.col("_copies")
-    spans = counted.join(F.broadcast(before), "_bucket").select(*keys, *(carried or []), first.alias("_first"), "_copies")  # at most ``buckets`` rows are broadcast
-    return spans.select(*keys, *(carried or []), F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias("row_number"))
+    return counted.join(F.broadcast(before), "_bucket").select(*keys, first.alias("_first"), "_copies")  # at most ``buckets`` rows are broadcast
+
+
+def numbers_in(spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row with ``row_number`` for each copy. Keys of more than ``chunk`` copies are dealt out in chunks first."""
+    every = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias("row_number")
+    keys = [c for c in spans.columns if c not in ("_first", "_copies")]
+    some = spans.filter(F.col("_copies") <= chunk).select(*keys, every)
+    at = spans.filter(F.col("_copies") > chunk).select(*keys, "_first", "_copies", F.explode(F.sequence(F.lit(0), F.expr(f"(_copies - 1) div {chunk}"))).alias("_c"))
+    parts = at.select(*keys, (F.col("_first") + F.col("_c") * chunk).alias("_first"), F.least(F.lit(chunk), F.col("_copies") - F.col("_c") * chunk).alias("_copies"))
+    return some.unionAll(parts.repartition("_first").select(*keys, every))
 
 
 def shuffle_into(numbered: DataFrame, n: int, shards: int, seed: int, row: str = "row_number") -> DataFrame:
@@ -86,24 +96,38 @@ def crc_of(text: str = "text") -> Column:
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def _placed(keyed: DataFrame, keys: list[str], carried: list[str] | None, n: int, shards: int, seed: int) -> DataFrame:
-    placed = shuffle_into(number_rows(keyed, keys, carried), n, shards, seed)
-    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+def _placed(numbered: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
+    return shuffle_into(numbered, n, shards, seed).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 8, seed: int = 20_240_501) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, under the law ``rows``."""
     keyed = docs.select("doc_id", (size_of() + 1).alias("size"), crc_of().alias("text_crc32"))
-    return _placed(keyed, ["doc_id", "size", "text_crc32"], None, keyed.count(), shards, seed).select("doc_id", *NEW)
+    numbered = numbers_in(spans_of(keyed, ["doc_id", "size", "text_crc32"]))
+    return _placed(numbered, keyed.count(), shards, seed).select("doc_id", *NEW)
 
 
-def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20_240_501) -> DataFrame:
+def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20_240_501, hot: int = 1000) -> DataFrame:
     """The rows of docs, whole, with size, text_crc32, law, shard, slot and grown_shard (columns of these names are replaced).
 
-    Rows that are equal in every column share a key and are counted; the corpus is shuffled once."""
+    Keys without the texts are counted and numbered; the rows then meet their
+    numbers, which shuffles the corpus once. Rows that are equal in every
+    column share a key; those of keys with more than ``hot`` copies don't
+    travel: one row of each key does, with its count."""
     own = docs.drop(*NEW)
-    keyed = boxed(own, id=F.col("doc_id"), size=size_of() + 1, text_crc32=crc_of(), whole=F.xxhash64(*[F.col(f"`{c}`") for c in own.columns]))
-    return _placed(keyed, ["id", "size", "text_crc32", "whole"], ["row"], docs.count(), shards, seed).select("row.*", *NEW)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in own.columns])
+    keyed = boxed(own, id=F.coalesce("doc_id", F.lit(0)).cast("long"), none=F.col("doc_id").isNull(), size=size_of() + 1, text_crc32=crc_of(), whole=whole)
+    keys = ["id", "none", "size", "text_crc32", "whole"]
+    spans = cut(spans_of(keyed.select(*keys), keys), "spans")
+    n = spans.agg(F.sum("_copies")).first()[0] or 0
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1
+    numbered = keyed.join(spans.filter(F.col("_copies") <= hot), keys).select("row", "size", "text_crc32", (F.col("_first") + copy).alias("row_number"))
+    many = spans.filter(F.col("_copies") > hot)
+    if many.limit(1).count():
+        rows = keyed.join(small(many.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row"))
+        copies = numbers_in(rows.join(many, keys)).select("row", "size", "text_crc32", "row_number")
+        numbered = numbered.unionAll(copies)
+    return _placed(numbered, n, shards, seed).select("row.*", *NEW)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

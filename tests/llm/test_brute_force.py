@@ -253,3 +253,15 @@ def test_place_of_a_row(spark):
     numbered = spark.range(1003).select(F.col("id").alias("row_number"))
     got = {r["row_number"]: (r["shard"], r["slot"]) for r in sharding.shuffle_into(numbered, 1003, 8, 7).collect()}
     assert all(sharding.place(i, 1003, 8, 7) == got[i] for i in range(0, 1003, 17))
+
+
+@pytest.mark.parametrize(("hot", "chunk"), [(1000, 100_000), (5, 7)])
+def test_many_equal_rows(spark, hot, chunk, monkeypatch):
+    """A row that is there forty times, and one without id or text: whole rows, gapless slots, the same at any bound."""
+    monkeypatch.setattr(sharding.numbers_in, "__defaults__", (chunk,))
+    rows = [(1, "a b", "x")] * 40 + [(None, None, "y")] * 30 + [(i, f"t{i}", "z") for i in range(2, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    got = [tuple(r) for r in sharding.shard_rows(docs, hot=hot).select("doc_id", "text", "own", "shard", "slot").collect()]
+    assert Counter(r[:3] for r in got) == Counter(rows) and len({r[3:] for r in got}) == len(rows)
+    assert sorted(r[3] + 8 * r[4] for r in got) == list(range(len(rows)))
+    assert sorted(map(str, got)) == sorted(map(str, [tuple(r) for r in sharding.shard_rows(docs).select("doc_id", "text", "own", "shard", "slot").collect()]))
