@@ -61,10 +61,20 @@ def face_clusters(s, d):
     return C.face_clusters(table(s, d, "embeddings"), 0.35)
 
 
+def frames(s, d):
+    """Events as frames with what they show: vectors of faces or of the picture, or its composition and colours, or nothing."""
+    turn = lambda k: F.array(F.cos(k * 0.9), F.sin(k * 0.9))
+    e, u = F.col("event_id"), F.col("user_id")
+    return table(s, d, "events").select(
+        e.alias("id"), F.expr(SPARK_HASH).alias("h"), F.when(e % 10 != 0, F.unix_millis(F.col("ts").cast("timestamp"))).alias("captured_at"),
+        F.when(e % 4 == 1, F.array(turn(u % 3 + e % 2))).alias("faces"), F.when(e % 4 == 2, turn(u % 4)).alias("image"),
+        F.when(e % 6 != 0, (e % 11) / 10).alias("composition_score"), ((e * 3) % 7 / 6).alias("color_harmony"), (e % 4).cast("int").alias("face_count"),
+    )
+
+
 @query("near_duplicate_series")
 def near_duplicate_series(s, d):
-    p = table(s, d, "events").select(F.col("event_id").alias("id"), F.expr(SPARK_HASH).alias("h"), F.when(F.col("event_id") % 10 != 0, F.unix_millis(F.col("ts").cast("timestamp")) + F.col("user_id") * 86_400_000).alias("captured_at"), F.when(F.col("event_id") % 4 != 0, F.col("user_id") % 3).alias("subject"))
-    return C.near_duplicate_series(p)
+    return C.near_duplicate_series(frames(s, d))
 
 
 @query("proximity_clusters")

@@ -35,7 +35,8 @@ def test_query(spark, duck, name):
     columns = sorted(got.columns)
     rows = sorted(tuple(canonical(v) for v in r) for r in got.select(columns).collect())
     if name not in SQL:
-        assert columns
+        # tests/test_plain_versions.py and tests/test_learner.py hold these against plain versions
+        assert columns and rows
         return
     want = duck.execute(SQL[name])
     order = [[d[0] for d in want.description].index(c) for c in columns]
