@@ -48,29 +48,35 @@ def bands(radius: int, rows: int = 100_000) -> tuple[int, int, int]:
     return m, f - f // 2, f // 2
 
 
-def hamming_pairs(hashes: DataFrame, radius: int, *, key: str = "h", id: str = "id") -> DataFrame:
+def hamming_pairs(hashes: DataFrame, radius: int, *, key: str = "h", id: str = "id", probes: Column | None = None) -> DataFrame:
     """a, b, distance of all pairs within ``radius`` bits: multi-index hashing.
 
     The hash is cut into m bands: some band of a pair differs in at most radius
     div m bits. Rows meet where a band agrees after some bits of it are flipped
     on either side, and pairs are verified. Equal hashes are one row in the
-    search, with a link to the first of them."""
+    search, with a link to the first of them. With ``probes`` (a condition on
+    rows), those pairs of which one hash at least has such a row."""
     m, left, right = bands(radius)
     edges = [HASH_BITS * i // m for i in range(m + 1)]
-    one = hashes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("h")).agg(F.min(id).alias("id"))
+    wanted = F.max(probes) if probes is not None else F.lit(True)
+    one = hashes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("h")).agg(F.min(id).alias("id"), wanted.alias("_probe"))
 
     def keys(b: int, flips: int) -> Column:
         lo, hi = edges[b], edges[b + 1]
         part = F.expr(f"shiftrightunsigned(h, {lo}) & {(1 << (hi - lo)) - 1 if hi - lo < 63 else -1}")
         masks = F.lit([x for k in range(flips + 1) for x in _masks(hi - lo, k)]).cast("array<bigint>")
-        return F.transform(masks, lambda x: F.struct(F.lit(b).alias("band"), part.bitwiseXOR(x).alias("v")))
-
-    def under(flips: int) -> DataFrame:
-        return one.select("id", "h", F.explode(F.concat(*[keys(b, flips) for b in range(m)])).alias("k")).select("id", "h", "k.band", "k.v")
-
-    x, y = under(left).alias("x"), under(right).alias("y")
-    near = x.join(y, F.expr("x.band = y.band and x.v = y.v and x.h < y.h")).filter(hamming("x.h", "y.h") <= radius)
-    pairs = near.select(F.col("x.id").alias("a0"), F.col("y.id").alias("b0"), hamming("x.h", "y.h").alias("distance")).distinct()
+        return F.transform(masks, lambda x: F.struct(F.lit(b).alias("band"), part.bitwiseXOR(x).alias("v"), x.alias("m")))
+
+    def under(rows: DataFrame, flips: int) -> DataFrame:
+        return rows.select("id", "h", "_probe", F.explode(F.concat(*[keys(b, flips) for b in range(m)])).alias("k")).select("id", "h", "_probe", "k.band", "k.v", "k.m")
+
+    # a pair comes once: in its first band that is near enough, y flipping the highest of the bits that differ, and only what x can't
+    within = lambda b: f"bit_count(shiftrightunsigned(x.h ^ y.h, {edges[b]}) & {(1 << (edges[b + 1] - edges[b])) - 1 if edges[b + 1] - edges[b] < 63 else -1}) > {radius // m}"
+    first = " ".join(f"when {b} then {' and '.join(within(e) for e in range(b))}" for b in range(1, m))
+    once = f"(y.m = 0 or (bit_count(x.m) = {left} and (y.m & -y.m) > x.m)) and bit_count(x.h ^ y.h) <= {radius}" + (f" and case x.band {first} else true end" if first else "")
+    x, y = under(one.filter("_probe"), left).alias("x"), under(one, right).alias("y")
+    near = x.join(y, F.expr(f"x.band = y.band and x.v = y.v and x.h <> y.h and (x.h < y.h or not y._probe) and {once}"))
+    pairs = near.select(F.col("x.id").alias("a0"), F.col("y.id").alias("b0"), hamming("x.h", "y.h").alias("distance"))
     equal = hashes.join(one.select(F.col("h").alias(key), F.col("id").alias("_first")), key).filter(F.col(id) != F.col("_first"))
     out = pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"), "distance")
     return out.unionAll(equal.select(F.col("_first").alias("a"), F.col(id).alias("b"), F.lit(0).alias("distance")))

@@ -15,7 +15,7 @@ from ..sources.bindings import PHOTOS_SQL, corrections, photos, table
 from .library import query
 
 #: A 62-bit hash, from bounded products, in which frames of one user are near each other, and a few bits that move.
-BASE = "((user_id * 48271 + 11) % 2147483647) * 2147483648 + (user_id * 69621 + (user_id % 7) * 40503) % 2147483647"
+BASE = "((user_id * 1103515245 + 12345) % 2147483647) * 2147483648 + (user_id * 1284865837 + (user_id % 7) * 40503) % 2147483647"
 MOVES = "((event_id * 37) % 61) * 16777216 + (event_id * 11) % 13"
 SPARK_HASH = f"({BASE}) ^ ({MOVES})"
 DUCK_HASH = f"xor({BASE}, {MOVES})"
