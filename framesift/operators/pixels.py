@@ -108,6 +108,69 @@ def leading_lines(rgb: np.ndarray) -> bool:
     return bool(n.max() / n.sum() > 0.22)
 
 
+def light_quality(rgb: np.ndarray) -> str:
+    """hard, soft or mixed, from how many edges are strong and how far luma spreads; unknown without edges."""
+    y = luma(rgb)
+    m = np.hypot(*sobel(y)) if min(y.shape) >= 3 else np.zeros(0)
+    edges, spread = int((m > 4).sum()), float(y.std())
+    if edges < 0.01 * y.size or not edges:
+        return "unknown"
+    strong = float((m > 90).sum() / edges)
+    return "hard" if strong > 0.1 and spread > 55 else "soft" if strong < 0.04 and spread < 42 else "mixed"
+
+
+def catchlight(rgb: np.ndarray) -> bool:
+    """One bright spot in a picture of an eye: at least 200, and 60 above what lies around it."""
+    y = luma(rgb)
+    h, w = y.shape
+    r, c = np.unravel_index(int(y.argmax()), y.shape)
+    rows, cols = np.mgrid[0:h, 0:w]
+    around = np.hypot(rows - r, cols - c) > max(1, np.floor(min(h, w) * 0.15 + 0.5))
+    return bool(y[r, c] >= 200 and around.any() and y[r, c] - y[around].mean() >= 60)
+
+
+#: Pixels that a region needs; variance from which a subject is sharp; its least share of the background's; shares of the subject's variance that make the background blurred.
+REGION, SHARP, IN_FOCUS, GOOD, AVERAGE = 20, 40, 0.5, 0.35, 0.65
+
+
+def focus(rgb: np.ndarray, boxes: list[list[float]]) -> tuple[bool | None, str, float | None]:
+    """Is the subject in ``boxes`` (shares of the frame) in focus, how good is the blur behind it, and the subject's sharpness; n/a without a region of either."""
+    y = luma(rgb)
+    h, w = y.shape
+    inside = np.zeros((h, w), bool)
+    edge = lambda v, most: int(min(most, max(0, np.floor(v * most + 0.5))))
+    for x, top, wide, high in boxes:
+        inside[edge(top, h) : edge(top + high, h), edge(x, w) : edge(x + wide, w)] = True
+    if min(h, w) < 3:
+        return None, "n/a", None
+    lap, inside = laplacian(y), inside[1:-1, 1:-1]
+    if inside.sum() < REGION or (~inside).sum() < REGION:
+        return None, "n/a", None
+    own, behind = float(lap[inside].var()), float(lap[~inside].var())
+    share = behind / max(own, 1.0)
+    blur = "n/a" if own < SHARP else "good" if share < GOOD else "average" if share < AVERAGE else "poor"
+    return own > SHARP and own >= IN_FOCUS * behind, blur, float(min(100, np.floor(np.sqrt(own) * 2.2 + 0.5)))
+
+
+def blended_sharpness(whole: float, subject: float | None) -> float:
+    return whole if subject is None else float(np.floor(0.7 * subject + 0.3 * whole + 0.5))
+
+
+def subjects(frames: DataFrame) -> DataFrame:
+    """Add a struct ``subject``: in_focus, bokeh and sharpness (of the subject in ``boxes`` and of the frame, blended); null for broken frames."""
+
+    @F.pandas_udf("in_focus boolean, bokeh string, sharpness double")
+    def run(pixels: pd.Series, width: pd.Series, height: pd.Series, boxes: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, w, h, b in zip(pixels, width, height, boxes, strict=True):
+            a = decode(p, w, h)
+            sharp, blur, own = (None, None, None) if a is None else focus(a, [] if b is None else [list(x) for x in b])
+            rows.append((sharp, blur, None if a is None else blended_sharpness(sharpness(a), own)))
+        return pd.DataFrame(rows, columns=["in_focus", "bokeh", "sharpness"])
+
+    return frames.withColumn("subject", run("pixels", "width", "height", "boxes"))
+
+
 def hue(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = rgb.astype(np.float64) / 255
     top, low = c.max(axis=2), c.min(axis=2)
@@ -136,7 +199,7 @@ def histogram(rgb: np.ndarray, bins: int = 64) -> list[int]:
 
 KERNELS: dict[str, tuple[str, Callable]] = {
     "dhash": ("bigint", dhash), "sharpness": ("double", sharpness), "exposure": ("double", exposure), "highlight_clipping": ("double", highlight_clipping), "shadow_clipping": ("double", shadow_clipping),
-    "horizon_tilt": ("double", horizon_tilt), "symmetry": ("double", symmetry), "negative_space": ("double", negative_space), "leading_lines": ("boolean", leading_lines), "warm_share": ("double", warm_share), "skin_share": ("double", skin_share), "histogram": ("array<int>", histogram),
+    "horizon_tilt": ("double", horizon_tilt), "symmetry": ("double", symmetry), "negative_space": ("double", negative_space), "leading_lines": ("boolean", leading_lines), "light_quality": ("string", light_quality), "catchlight": ("boolean", catchlight), "warm_share": ("double", warm_share), "skin_share": ("double", skin_share), "histogram": ("array<int>", histogram),
 }
 
 

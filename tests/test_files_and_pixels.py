@@ -95,3 +95,51 @@ def test_measures_on_hand_made_frames():
     left[:, :, :] = np.arange(9, 0, -1)[None, :, None] * 10
     assert K.dhash(left) == -1 and K.dhash(left[:, ::-1]) == 0
     assert sum(K.histogram(left)) == 4 * 72
+
+
+def test_light_and_catchlight():
+    assert K.light_quality(np.full((20, 20, 3), 90, np.uint8)) == "unknown"
+    stripes = np.zeros((20, 20, 3), np.uint8)
+    stripes[:, ::4] = 255
+    assert K.light_quality(stripes) == "hard"
+    ramp = np.repeat(np.arange(20, dtype=np.uint8)[None, :, None] * 4 + 80, 20, axis=0).repeat(3, axis=2)
+    assert K.light_quality(ramp) == "soft"
+    eye = np.full((20, 20, 3), 60, np.uint8)
+    assert not K.catchlight(eye)
+    eye[8, 11] = 230
+    assert K.catchlight(eye) and not K.catchlight(np.full((20, 20, 3), 230, np.uint8))
+
+
+def test_focus(spark):
+    rng = np.random.default_rng(3)
+    a = np.full((40, 40, 3), 100, np.uint8)
+    a[10:30, 10:30] = rng.integers(0, 255, (20, 20, 1), np.uint8)
+    inner = [[0.25, 0.25, 0.5, 0.5]]
+    sharp, blur, own = K.focus(a, inner)
+    assert sharp and blur == "good" and own == 100.0
+    assert K.focus(a, [[0.0, 0.0, 0.2, 0.2]])[:2] == (False, "n/a")  # a flat subject
+    assert K.focus(a, []) == (None, "n/a", None) == K.focus(a, [[0.0, 0.0, 1.0, 1.0]])
+    noise = rng.integers(0, 255, (40, 40, 1), np.uint8).repeat(3, axis=2)
+    assert K.focus(noise, inner)[:2] == (True, "poor")
+    assert K.blended_sharpness(40.0, None) == 40.0 and K.blended_sharpness(40.0, 100.0) == 82.0
+    rows = [(1, 40, 40, a.tobytes(), inner), (2, 40, 40, a.tobytes(), None), (3, 40, 40, b"", inner), (4, None, None, None, None)]
+    got = {r["id"]: r["subject"] for r in K.subjects(spark.createDataFrame(rows, "id int, width int, height int, pixels binary, boxes array<array<double>>")).collect()}
+    assert got[1]["in_focus"] and got[1]["bokeh"] == "good" and got[1]["sharpness"] == K.blended_sharpness(K.sharpness(a), 100.0)
+    assert got[2]["in_focus"] is None and got[2]["sharpness"] == K.sharpness(a) and got[3]["sharpness"] is None and got[4]["bokeh"] is None
+
+
+def test_boxes_limbs_and_text(spark):
+    from pyspark.sql import functions as F
+
+    from framesift.operators import faces as X
+
+    rows = [
+        (1, [(0.9, [0.1, 0.1, 0.2, 0.2]), (0.2, [0.0, 0.0, 1.0, 1.0]), (0.5, [0.0, 0.0, 0.5, 0.5])], [(0.01, 0.5, 0.2)], [[0.0, 0.0, 50.0, 20.0], [0.0, 0.0, 10.0, 10.0]], 100, 50),
+        (2, [], [(0.01, 0.5, None), (0.5, 0.5, 0.1)], [], 100, 0),
+    ]
+    df = spark.createDataFrame(rows, "id int, objects array<struct<score:double,box:array<double>>>, limbs array<struct<x:double,y:double,visibility:double>>, texts array<array<double>>, width int, height int")
+    a, b = df.select(X.main_object().alias("o"), X.cropped_at_edge().alias("c"), F.round(X.text_coverage("texts"), 9).alias("t")).orderBy("id").collect()
+    assert a["o"] == [0.0, 0.0, 0.5, 0.5] and a["c"] and a["t"] == 0.22
+    assert b["o"] is None and not b["c"] and b["t"] == 0.0
+    e = spark.range(1).select(X.eye_contact(F.lit(0.0), F.lit(0.0), F.lit(0.0)), X.eye_contact(F.lit(0.3), F.lit(0.0), F.lit(None).cast("double")), X.eye_contact(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0))).first()
+    assert e[0] == 1.0 and e[1] == pytest.approx(0.7) and e[2] == 0.5
