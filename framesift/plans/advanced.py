@@ -194,7 +194,7 @@ def face_tracks(s, d):
 
 @query("stream_sessions", "+ o as (select *, coalesce((captured_at - lag(captured_at) over (order by captured_at, id) > 900000)::int, 1) as brk from photos), m as (select *, sum(brk) over (order by captured_at, id rows unbounded preceding) as run from o) select count(*) as n, min(captured_at) as first_ms from m group by run", PHOTOS_SQL)
 def stream_sessions(s, d):
-    """Moments by session windows, over the whole table as a batch; tests run the same as a stream."""
+    """Moments by session windows, over the whole table as a batch (tests/test_streams.py runs them as a stream, by camera)."""
     from ..streaming.library import sessions
 
     e = table(s, d, "events").select((F.col("ts").cast("timestamp")).alias("ts"))

@@ -22,7 +22,7 @@ def photo_stream(spark: SparkSession, path: str, schema: str, files: int = 15) -
 
 
 def sessions(stream: DataFrame, at: str = "ts", gap: str = "15 minutes", late: str = "1 hour", by: str | None = None) -> DataFrame:
-    """Moments as session windows; a session closes once the watermark has passed it."""
+    """Moments as session windows; a session closes once the watermark has passed it. A stream needs a key ``by`` (Spark has no session windows over a stream without one); a batch does not."""
     keys = [by] if by else []
     w = F.session_window(at, gap).alias("moment")
     return stream.withWatermark(at, late).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
