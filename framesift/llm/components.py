@@ -15,7 +15,8 @@ def components(links: DataFrame, *, a: str = "a", b: str = "b", rounds: int = 60
     node's larger neighbours, in the second its smaller ones and itself, are
     linked to the smallest neighbour. Rounds end when a round changes nothing;
     they grow with the logarithm of the component size. A hub's neighbours are
-    aggregated only to their minimum, so a large component is no large task.
+    aggregated only to their minimum; the join that gives it to them is on the
+    hub's key, of two longs a row, and one that Spark's skew join splits.
     Null nodes and self links are left out; no links, no rows."""
     e = cut(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     mark = None

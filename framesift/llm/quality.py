@@ -128,7 +128,7 @@ def train_quality(docs: list[bytes], labels: np.ndarray, *, epochs: int = 14, ba
                 m1[k] = 0.9 * m1[k] + 0.1 * gr
                 m2[k] = 0.999 * m2[k] + 0.001 * gr * gr
                 v -= (lr * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-7)).astype(v.dtype)
-    # the logistic unit once more, on all pooled features, with the classes as frequent as they are
+    # the logistic unit once more, on all pooled features, both classes weighing alike
     f = np.concatenate([np.round(pooled(chunk_maxima(b, s, taps, bias)[0], n).astype(np.float64), 6) for b, s, n in laid])
     shift, scale = f.mean(axis=0), f.std(axis=0) + 1e-3
     z = np.concatenate([(f - shift) / scale, np.ones((len(f), 1))], axis=1)
