@@ -24,7 +24,8 @@ def ranked(rows: DataFrame, order: list[str | Column], place: str = "place") ->
 
 def down(c: str | Column) -> Column:
     """A number as it sorts downwards: nulls last."""
-    return -(F.col(c) if isinstance(c, str) else c)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.struct(c.isNull().alias("none"), (-c).alias("v"))
 
 
 def ranked_within(rows: DataFrame, key: str, order: list[str | Column], place: str = "place") -> DataFrame:
