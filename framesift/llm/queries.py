@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .compact_windows import op7_compact_windows
+from .conversation_trie import OP13_SQL, op13_conversation_trie
 from .decontamination import op10_decontamination
 from .language_id import op2_language_id
 from .media import op3_media
@@ -12,6 +13,7 @@ from .quality import op6_quality
 from .sharding import op5_sharding
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op1_toxicity
+from .url_filter import OP12_SQL, op12_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op12_url_filter": op12_url_filter,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLE_SQL = {"op8_ngram_join": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op8_ngram_join": OP8_SQL, "op9_mixing": OP9_SQL, "op12_url_filter": OP12_SQL, "op13_conversation_trie": OP13_SQL}
