@@ -5,6 +5,7 @@ from __future__ import annotations
 from .compact_windows import op7_compact_windows
 from .conversation_trie import OP13_SQL, op13_conversation_trie
 from .decontamination import op10_decontamination
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language_id import op2_language_id
 from .media import op3_media
 from .mixing import OP9_SQL, op9_mixing
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_url_filter": op12_url_filter,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLE_SQL = {"op8_ngram_join": OP8_SQL, "op9_mixing": OP9_SQL, "op12_url_filter": OP12_SQL, "op13_conversation_trie": OP13_SQL}
+ORACLE_SQL = {"op8_ngram_join": OP8_SQL, "op9_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_url_filter": OP12_SQL, "op13_conversation_trie": OP13_SQL}
