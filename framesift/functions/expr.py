@@ -37,6 +37,13 @@ def uncertainty(score: str | Column) -> Column:
     return 1 - F.abs(clamp(score, 0, 100) - 50) / 50
 
 
+def review_difficulty(score: str | Column = "ai_score", stored: str | Column = "ai_uncertainty", select_at: int = 65, reject_at: int = 35) -> Column:
+    """0 (clear) to 1 (hard): the stored uncertainty, else how far the score is from the nearer threshold, as a share of half the band between them."""
+    known, s = col(stored).cast("double"), col(score)
+    near = clamp(F.least(s - reject_at, select_at - s) / ((select_at - reject_at) / 2), 0.0, 1.0)
+    return F.when(known.isNotNull() & ~F.isnan(known) & (F.abs(known) < float("inf")), known).otherwise(near)
+
+
 def haversine_km(lat1: str | Column, lon1: str | Column, lat2: str | Column, lon2: str | Column) -> Column:
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     h = F.pow(F.sin((b - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(col(lon2) - col(lon1)) / 2), F.lit(2.0))

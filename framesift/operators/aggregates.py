@@ -31,11 +31,13 @@ def agreement(corrections: DataFrame) -> DataFrame:
 
 
 def agreement_trend(corrections: DataFrame, buckets: int = 6) -> DataFrame:
-    """Agreement in so many buckets of equal count, in time order, what is left over in the last; nothing below two rows a bucket."""
+    """Agreement in so many buckets of equal count, in time order, what is left over one each in the first; nothing below two rows a bucket."""
     n = corrections.count()
     if n < 2 * buckets:
         return corrections.limit(0).select(F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("agreement_rate"))
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("place") - 1) / (n // buckets))).cast("int")
+    size, more = divmod(n, buckets)
+    at, wide = F.col("place") - 1, more * (size + 1)
+    bucket = F.when(at < wide, F.floor(at / (size + 1))).otherwise(more + F.floor((at - wide) / size)).cast("int")
     same = (F.col("ai_decision") == F.col("user_decision")).cast("double")
     return ranked(corrections, ["ts", "id"]).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(same).alias("agreement_rate"))
 

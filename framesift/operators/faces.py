@@ -37,6 +37,13 @@ def genuine_smile(face: Column) -> Column:
     return (face["smile"] >= SMILES) & ((face["eye_left"] + face["eye_right"]) / 2 < EYES)
 
 
+def appearance(blinking: Column, smile: Column, eye_contact: Column, awkward: Column) -> Column:
+    """How well a face looks, 0..1: 0 with closed eyes; an awkward moment costs more than a smile brings."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    base = 0.55 + 0.3 * unit(smile) + 0.15 * unit(F.coalesce(eye_contact, F.lit(0.5)))
+    return F.when(blinking, 0.0).otherwise(unit(F.when(F.coalesce(awkward, F.lit(False)), base - 0.45).otherwise(base)))
+
+
 def engagement(face: Column) -> Column:
     value = 0.5 + 0.5 * F.coalesce(face["happy"], F.lit(0.0)) + 0.25 * F.coalesce(face["surprise"], F.lit(0.0)) - 0.5 * F.least(F.lit(1.0), F.coalesce(face["negative"], F.lit(0.0)))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))

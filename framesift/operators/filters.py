@@ -11,10 +11,25 @@ from ..functions.expr import blank_to_null, norm_text, uncertainty
 
 TEXT_DOMINANT = 0.15
 SHARP_LOW, SHARP_ALTERNATIVE = 45, 60
+#: Below this share of open eyes a frame with faces has a defect.
+EYES_OPEN = 0.8
 SELECT_AT, REJECT_AT = 65, 35
 #: How file names of screenshots and screen recordings begin.
 SCREENSHOT_PREFIXES = ("screenshot", "screen_shot", "screnshot", "captura", "capture_", "scrn", "screenrecord", "screen_record")
 DECIDED = ("selected", "rejected", "candidate")
+#: Tags of ideas, clothes, gestures and matter, which are no subject and name no folder.
+ABSTRACT_TAGS = (
+    "selfie", "photograph", "snapshot", "photography", "vacation", "fun", "leisure", "recreation", "interaction", "smile", "facial expression", "happy", "eyewear", "glasses",
+    "skin", "hairstyle", "beard", "human body", "muscle", "gesture", "standing", "sitting", "walking", "running", "t-shirt", "shirt", "shorts", "jeans", "dress", "jacket", "coat",
+    "hat", "cap", "shoe", "sneakers", "clothing", "fashion", "sportswear", "uniform", "baby", "child", "toddler", "family", "friendship", "team", "crowd", "group", "people",
+    "portrait", "forehead", "chin", "cheek", "nose", "eyebrow", "eyelash", "jaw", "neck", "ear", "lip", "tooth", "facial hair", "mustache", "long hair", "blond hair", "black hair",
+    "wrinkle", "headgear", "sunglasses", "earrings", "necklace", "jewellery", "ring", "bracelet", "watch", "makeup", "formal wear", "suit", "blazer", "sweater", "hoodie", "scarf",
+    "glove", "sock", "belt", "boot", "sandal", "high heels", "swimwear", "bikini", "costume", "wedding dress", "pajamas", "jumping", "dancing", "singing", "laughing", "crying",
+    "kissing", "hugging", "waving", "posing", "sleeping", "eating", "drinking", "reading", "writing", "playing", "pattern", "texture", "wood", "metal", "glass", "plastic",
+    "fabric", "textile", "leather", "silk", "cotton", "wool", "denim", "lace", "love", "romance", "adventure", "freedom", "meditation", "yoga", "wellness", "health", "medicine",
+    "education", "learning", "business", "work", "meeting", "conference", "teamwork", "success", "number", "letter", "symbol", "icon", "emblem", "badge", "stamp", "coin",
+    "currency", "map", "chart", "graph", "diagram", "calendar", "newspaper", "magazine", "font", "logo", "product", "electronics", "technology", "text",
+)
 
 
 def is_decided(status: str = "status") -> Column:
@@ -126,22 +141,33 @@ def subject_rank() -> Column:
 
 
 def effective_sharpness() -> Column:
-    """Frames without faces are judged on a log scale that is lenient to soft landscapes."""
+    """Frames without faces are judged on a curve that is lenient to soft landscapes."""
     s = F.col("sharpness").cast("double")
-    return F.when(F.col("face_count") > 0, s).otherwise(F.least(F.lit(100.0), F.log2(1 + s) / F.log2(F.lit(61.0)) * 100))
+    return F.when(F.col("face_count") > 0, s).otherwise(F.pow(F.greatest(F.lit(0.0), s) / 100, F.lit(0.6)) * 100)
+
+
+def eyes_open() -> Column:
+    """Share of faces with open eyes: the group's, else all or none."""
+    return F.coalesce(F.col("group_eyes_open").cast("double"), F.col("all_eyes_open").cast("double"))
+
+
+def folder_tag(tags: str = "tags") -> Column:
+    """The first tag that is a subject; null if there is none."""
+    known = F.filter(tags, lambda t: ~F.lower(t).isin(*ABSTRACT_TAGS))
+    return F.try_element_at(known, F.lit(1))
 
 
 def has_defect(sharpness: Column | None = None) -> Column:
     s = effective_sharpness() if sharpness is None else sharpness
     return (
         (s < SHARP_LOW) | (F.abs(F.col("exposure") - 50) > 15) | (F.coalesce("highlight_clipping", F.lit(0.0)) > 0.06)
-        | (F.coalesce("shadow_clipping", F.lit(0.0)) > 0.06) | F.coalesce(~F.col("subject_in_focus"), F.lit(False)) | ((F.col("face_count") > 0) & ~F.col("all_eyes_open"))
+        | (F.coalesce("shadow_clipping", F.lit(0.0)) > 0.06) | F.coalesce(~F.col("subject_in_focus"), F.lit(False)) | ((F.col("face_count") > 0) & (eyes_open() < EYES_OPEN))
     )
 
 
 def decide_status(score: str = "ai_score", select_at: int = SELECT_AT, reject_at: int = REJECT_AT, sharpness: Column | None = None) -> Column:
     """The order matters: reject only what has a defect and no known person, select only what has a subject in focus."""
-    subject = ~((F.coalesce("text_coverage", F.lit(0.0)) >= TEXT_DOMINANT) | ((F.col("face_count") == 0) & (F.size("tags") == 0)))
+    subject = ~((F.coalesce("text_coverage", F.lit(0.0)) >= TEXT_DOMINANT) | ((F.col("face_count") == 0) & folder_tag().isNull()))
     soft = F.coalesce(~F.col("subject_in_focus"), F.lit(False))
     return F.when((F.col(score) <= reject_at) & (F.col("known_face_count") == 0) & has_defect(sharpness), "rejected").when((F.col(score) >= select_at) & subject & ~soft, "selected").otherwise("review")
 
@@ -150,9 +176,10 @@ def rating_decision() -> Column:
     return F.when(F.col("rating") >= 4, True).when(F.col("rating").between(1, 2), False)
 
 
-def scene_of() -> Column:
-    """Scene from face count and aspect."""
-    return F.when(F.col("face_count") >= 3, "group").when(F.col("face_count") >= 1, "portrait").when(F.col("width") > F.col("height"), "landscape").otherwise("detail")
+def scene_of(largest: str | Column = "largest_face") -> Column:
+    """Scene from faces and aspect; of two faces, the larger one's share of the frame decides."""
+    n, big = F.col("face_count"), F.col(largest) if isinstance(largest, str) else largest
+    return F.when(n >= 3, "group").when(n == 2, F.when(big > 0.04, "portrait").otherwise("group")).when(n == 1, "portrait").when(F.col("width") >= F.col("height"), "landscape").otherwise("detail")
 
 
 def excluded_folder(name: str = "folder") -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, clamp, clamp01, round_half_up
-from .ranks import down, ranked, ranked_within
+from .ranks import carried, down, ranked, ranked_within
 from .similarity import checkpointed
-from .filters import is_decided, subject_rank
+from .filters import eyes_open, inbox_category, is_decided, subject_rank
 
 GAP_MS = 15 * 60 * 1000
 
@@ -38,14 +41,23 @@ def resolve_with_confidence(photos: DataFrame, gap: int = 10, faces: int = 3) ->
     return resolve_groups(photos).join(c.select("group_id", F.coalesce(ok, F.lit(False)).alias("confident")), "group_id")
 
 
+def eyes_ratio() -> Column:
+    """Share of faces with open eyes, of one face or of a group."""
+    one = F.col("all_eyes_open").cast("double")
+    return F.when(F.col("face_count") > 1, F.coalesce("group_eyes_open", one)).otherwise(one)
+
+
+def smile_ratio() -> Column:
+    return F.when(F.col("face_count") > 1, F.coalesce("group_smile", "best_smile")).otherwise(F.col("best_smile"))
+
+
 def frame_score(learned_weight: float = 0.0) -> Column:
     """Weighted quality of a frame, blended with the learned score; not finite is 0."""
-    n = F.col("face_count")
-    faces = F.when(n > 0, F.greatest(F.lit(0.0), 0.5 * F.col("best_smile") + 0.5 * F.col("all_eyes_open").cast("double"))).otherwise(F.lit(0.5))
+    faces = F.when(F.col("face_count") > 0, F.greatest(F.lit(0.0), 0.5 * smile_ratio() + 0.5 * eyes_ratio() - F.coalesce("group_awkward", F.lit(0.0)))).otherwise(F.lit(0.5))
     clarity = F.col("sharpness") / 100 * F.when(F.coalesce(~F.col("subject_in_focus"), F.lit(False)), F.lit(0.6)).otherwise(F.lit(1.0))
     light = 1 - F.abs(F.col("exposure") - 50) / 50
     whole = 1 - clamp(F.coalesce("highlight_clipping", F.lit(0.0)), 0.0, 1.0)
-    fixed = 0.35 * clarity + 0.18 * light + 0.07 * whole + 0.18 * F.coalesce("thirds", F.lit(0.5)) + 0.15 * faces + 0.07 * F.lit(0.5)
+    fixed = 0.35 * clarity + 0.18 * light + 0.07 * whole + 0.18 * F.coalesce("composition_score", F.lit(0.5)) + 0.15 * faces + 0.07 * F.coalesce("avg_eye_contact", F.lit(0.5))
     w = min(1.0, max(0.0, learned_weight))
     s = fixed if w == 0 else (1 - w) * fixed + w * clamp("ai_score", 0, 100) / 100
     return F.when(F.isnan(s), F.lit(0.0)).otherwise(s)
@@ -143,9 +155,9 @@ def moments(photos: DataFrame, gap_ms: int = GAP_MS, least: int = 4) -> DataFram
 
 
 def top_picks(photos: DataFrame, gap_ms: int = GAP_MS, least: int = 4, k: int = 3) -> DataFrame:
-    """The k best frames of a moment, one of each series."""
+    """The k best frames of a moment, one of each series: people before others, documents (as the inbox tells them) last; whoever is known doesn't count."""
     one = F.when(blank_to_null("group_id").isNotNull(), F.col("group_id")).otherwise(F.concat(F.lit("solo:"), F.col("id").cast("string")))
-    s = stacks(photos, gap_ms, least).withColumn("_rank", subject_rank()).withColumn("_series", one)
+    s = stacks(photos, gap_ms, least).withColumn("_rank", F.when(inbox_category() == "document", 0).when(F.coalesce("face_count", F.lit(0)) > 0, 2).otherwise(1)).withColumn("_series", one)
     best = s.groupBy("moment", "_series").agg(F.min(F.struct((-F.col("_rank")).alias("a"), (-F.col("ai_score")).alias("b"), "id")).alias("o"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("moment").orderBy("o"))).filter(F.col("place") <= k).select("moment", F.col("o.id").alias("id"), "place")
 
@@ -166,10 +178,23 @@ def review_bands(queue: DataFrame, difficulty: Column, order: list[Column], key:
     return j.select(key, "band", F.col("_at").alias("start_index"), (F.coalesce("_end", "_all") - F.col("_at")).alias("n"))
 
 
-def row_plan(queue: DataFrame, order: list[Column], key: str, columns: int) -> DataFrame:
-    """Rows of so many columns along a queue."""
-    k, r = max(1, columns), ranked_within(queue, key, order, "_at")
-    return r.withColumn("row", F.floor((F.col("_at") - 1) / k)).withColumn("cell", (F.col("_at") - 1) % k).drop("_at")
+def row_plan(queue: DataFrame, difficulty: Column, order: list[Column], key: str, columns: int) -> DataFrame:
+    """Rows of so many columns along a queue, begun anew where a band of two photos or more begins (where there are two bands at least).
+
+    Adds row_start (the place in the queue of the row's first photo, from 0),
+    cell, and heading (the band that the row begins, else null)."""
+    k = max(1, columns)
+    q = checkpointed(ranked_within(queue.withColumn("_band", band(difficulty)), key, order, "_at").withColumn("_at", F.col("_at") - 1))
+    runs = checkpointed(review_bands(queue, difficulty, order, key))
+    several = runs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_bands")).filter("_bands > 1")
+    starts = runs.filter("n > 1").join(several, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(F.col(key).alias("_k"), F.col("start_index").alias("_start"))
+    r = q.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_start")), "left").drop("_k")
+    r = carried(r, key, "_at", F.coalesce("_start", F.lit(0)), "_from")
+    first = F.col("_from") + F.floor((F.col("_at") - F.col("_from")) / k) * k
+    r = r.withColumn("row_start", first).withColumn("cell", F.col("_at") - F.col("row_start"))
+    heads = starts.select(F.col("_k").alias("_hk"), F.col("_start").alias("_head"))
+    r = r.join(heads, F.col(key).eqNullSafe(F.col("_hk")) & (F.col("row_start") == F.col("_head")), "left")
+    return r.withColumn("heading", F.when(F.col("_head").isNotNull() & (F.col("cell") == 0), F.col("_band"))).drop("_at", "_band", "_start", "_from", "_hk", "_head")
 
 
 def series_percentile(photos: DataFrame) -> DataFrame:
@@ -185,11 +210,11 @@ def compare_in_series(photos: DataFrame, margin: int = 12) -> DataFrame:
 
     The best of the others is the group's best, or its second best for the best one: two values a group, no self join."""
     p = series(photos)
-    g = p.groupBy("group_id").agg(F.count(F.lit(1)).alias("frames"), F.max("sharpness").alias("_top"), F.count_if(F.col("all_eyes_open")).alias("_open"))
+    g = p.groupBy("group_id").agg(F.count(F.lit(1)).alias("frames"), F.max("sharpness").alias("_top"), F.count_if(eyes_open() >= 1).alias("_open"))
     second = p.join(g.select("group_id", "_top"), "group_id").groupBy("group_id").agg(F.count_if(F.col("sharpness") == F.col("_top")).alias("_ties"), F.max(F.when(F.col("sharpness") < F.col("_top"), F.col("sharpness"))).alias("_next"))
     other = F.when((F.col("sharpness") == F.col("_top")) & (F.col("_ties") == 1), F.col("_next")).otherwise(F.col("_top"))
     q = p.join(g, "group_id").join(second, "group_id").filter("frames > 1").withColumn("_o", other)
-    v = F.when((F.col("face_count") > 0) & F.col("all_eyes_open") & (F.col("_open") == 1), "onlyEyesOpen").when(F.col("sharpness") >= F.col("_o") + margin, "sharpest").when(F.col("_o") >= F.col("sharpness") + margin, "softerThanSibling")
+    v = F.when((F.col("face_count") > 0) & (eyes_open() == 1) & (F.col("_open") == 1), "onlyEyesOpen").when(F.col("sharpness") >= F.col("_o") + margin, "sharpest").when(F.col("_o") >= F.col("sharpness") + margin, "softerThanSibling")
     return q.select("id", v.alias("verdict"), "frames").filter("verdict is not null")
 
 
@@ -199,7 +224,7 @@ def pillars() -> tuple[Column, Column]:
 
     s = clamp01(effective_sharpness() / 100)
     hi, lo = F.coalesce("highlight_clipping", F.lit(0.0)), F.coalesce("shadow_clipping", F.lit(0.0))
-    eyes, faces = F.col("all_eyes_open").cast("double"), F.col("face_count") > 0
+    eyes, faces = clamp01(eyes_open()), F.col("face_count") > 0
     light, whole = 1 - clamp01(F.abs(F.col("exposure") - 50) / 30), 1 - clamp01((hi + lo) / 0.2)
     base = s * 0.4 + light * 0.25 + whole * 0.2
     technical = F.when(faces, base + eyes * 0.15).otherwise(base / 0.85)
@@ -212,14 +237,14 @@ def explain_choice(photos: DataFrame, best: DataFrame) -> DataFrame:
     p = series(photos).join(best.select("group_id", "keep_id"), "group_id")
     mine, other = F.col("id") == F.col("keep_id"), F.col("id") != F.col("keep_id")
     face = F.col("face_count") > 0
-    eyes, error = F.when(face, F.col("all_eyes_open").cast("int")), F.abs(F.col("exposure") - 50)
+    eyes, error = F.when(face, eyes_ratio()), F.abs(F.col("exposure") - 50)
     agg = {}
-    for n, c in (("eyes", eyes), ("smile", F.when(face, F.col("best_smile"))), ("sharp", F.col("sharpness")), ("score", F.col("ai_score"))):
+    for n, c in (("eyes", eyes), ("smile", F.when(face, smile_ratio())), ("sharp", F.col("sharpness")), ("score", F.col("ai_score"))):
         agg[f"k_{n}"], agg[f"o_{n}"] = F.max(F.when(mine, c)), F.max(F.when(other, c))
     agg["k_err"], agg["o_err"] = F.max(F.when(mine, error)), F.min(F.when(other, error))
     g = p.groupBy("group_id", "keep_id").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in agg.items()]).filter("n >= 2")
     reasons = F.array_compact(F.array(
-        F.when((F.col("k_eyes") == 1) & (F.col("o_eyes") < 1), F.when(F.col("n") == 2, "eyesOnlyOneOfTwo").otherwise("eyesOnlyOne")),
+        F.when((F.col("k_eyes") == 1) & (F.col("o_eyes") < 1), F.when(F.col("n") == 2, "eyesOnlyOneOfTwo").otherwise("eyesOnlyOne")).when(F.round(F.col("k_eyes") - F.col("o_eyes"), 9) >= 0.2, "eyesMore"),
         F.when(F.col("k_sharp") - F.col("o_sharp") >= 10, "sharper"), F.when(F.round(F.col("k_smile") - F.col("o_smile"), 9) >= 0.15, "smile"),
         F.when((F.col("k_err") + 8 <= F.col("o_err")) & (F.col("o_err") >= 15), "exposure")))
     gap = F.col("k_score") - F.col("o_score")
@@ -240,26 +265,58 @@ def rescue_queue(photos: DataFrame) -> DataFrame:
     return q.filter("size(f) > 0 and gain > 0").select("id", F.array_join("f", ",").alias("fixes"), F.size("f").alias("n_fixes"), "gain")
 
 
-def sequence_numbers(photos: DataFrame, folder: str, order: list[Column], key: str = "id", rounds: int = 20) -> DataFrame:
-    """Sequence number in a folder, and a file name that no other photo of the folder has: 'base (n).ext' from the second on.
-
-    A name made so may be one that another photo has: then the later of the
-    two is numbered anew, until all differ."""
-    base, ext = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
-    named = lambda k: F.when(k == 1, F.col("file_name")).otherwise(F.concat(base, F.lit(" ("), k.cast("string"), F.lit(")"), ext))
-    p = ranked_within(photos, folder, order, "seq")
-    same = Window.partitionBy(folder, "file_name").orderBy("seq")
-    p = checkpointed(p.withColumn("_k", F.row_number().over(same).cast("long")).withColumn("out_name", named(F.col("_k"))))
-    for _ in range(rounds):
-        taken = Window.partitionBy(folder, "out_name").orderBy(F.col("_k") != 1, "seq")
-        p = p.withColumn("_again", F.row_number().over(taken) - 1)
-        if not p.filter("_again > 0").limit(1).count():
-            break
-        # what clashes goes on behind the largest number of its own name
-        most = F.max("_k").over(Window.partitionBy(folder, "file_name"))
-        later = F.sum((F.col("_again") > 0).cast("int")).over(same.rowsBetween(Window.unboundedPreceding, 0))
-        p = p.withColumn("_k", F.when(F.col("_again") > 0, most + later).otherwise(F.col("_k")))
-        p = checkpointed(p.withColumn("out_name", named(F.col("_k"))).drop("_again"))
-    else:
-        raise RuntimeError(f"file names did not settle in {rounds} rounds")
-    return p.drop("_k", "_again")
+def name_parts(name: str | Column) -> tuple[Column, Column]:
+    """Base and extension; a dot at the start begins no extension."""
+    n = F.col(name) if isinstance(name, str) else name
+    ext = F.regexp_extract(n, r"(?s)^.+(\.[^.]*)$", 1)
+    return F.substring(n, F.lit(1), F.length(n) - F.length(ext)), ext
+
+
+def sequence_numbers(photos: DataFrame, folder: str, order: list[Column]) -> DataFrame:
+    """Sequence number in a folder, and a file name that no other photo of the folder has: in order, each takes its own name or the first free 'base (n).ext', n from 2.
+
+    Names can only meet others of their family, which end alike and begin alike
+    but for numbers in brackets. In a family of one name numbers are places,
+    taken by ranges; in one of several names they depend on what was free, so
+    such a family is one task's: names stream through, and for each name the
+    first number that may be free is held."""
+    p = checkpointed(ranked_within(photos, folder, order, "seq"))
+    base, ext = name_parts("file_name")
+    p = p.withColumn("_ext", ext).withColumn("_root", F.regexp_replace(base, r"( \(\d+\))+$", ""))
+    family = [folder, "_root", "_ext"]
+    kinds = p.groupBy(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(family)]).agg(F.min("file_name").alias("_least"), F.max("file_name").alias("_most"))
+    same = F.lit(True)
+    for i, c in enumerate(family):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{i}"))
+    p = checkpointed(p.join(kinds, same).withColumn("_one", F.col("_least").eqNullSafe(F.col("_most"))).drop("_f0", "_f1", "_f2", "_least", "_most"))
+    one = ranked_within(p.filter("_one").withColumn("_named", F.struct(folder, "file_name")), "_named", [F.col("seq")], "_k")
+    base, ext = name_parts("file_name")
+    one = one.withColumn("out_name", F.when(F.col("_k") == 1, F.col("file_name")).otherwise(F.concat(base, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ext))).drop("_named", "_k")
+    many = p.filter("not _one")
+    dealt = many.select(*family, "seq", "file_name").repartition(*family).sortWithinPartitions(*family, "seq")
+    key = p.schema[folder].dataType.simpleString()
+    named = dealt.mapInPandas(_first_free(family), f"_folder {key}, _seq long, out_name string")
+    many = many.join(named, F.col(folder).eqNullSafe(F.col("_folder")) & (F.col("seq") == F.col("_seq"))).drop("_folder", "_seq")
+    return one.unionByName(many).drop("_ext", "_root", "_one")
+
+
+def _first_free(family: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used, after = None, set(), {}
+        for pdf in batches:
+            out = []
+            for *key, seq, name in pdf[[*family, "seq", "file_name"]].itertuples(index=False):
+                if key != at:
+                    at, used, after = key, set(), {}
+                took = name
+                if took in used:
+                    base, ext = name[: len(name) - len(key[2])], key[2]
+                    n = after.get(name, 2)
+                    while (took := f"{base} ({n}){ext}") in used:
+                        n += 1
+                    after[name] = n + 1
+                used.add(took)
+                out.append((key[0], seq, took))
+            yield pd.DataFrame(out, columns=["_folder", "_seq", "out_name"])
+
+    return run

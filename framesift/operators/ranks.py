@@ -33,3 +33,14 @@ def ranked_within(rows: DataFrame, key: str, order: list[str | Column], place: s
     r = ranked(rows, [key, *order], place)
     first = r.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
     return r.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(place, F.col(place) - F.col("_first") + 1).drop("_key", "_first")
+
+
+def carried(rows: DataFrame, key: str, at: str, value: Column, name: str, stretch: int = 1024) -> DataFrame:
+    """Add ``name``: the largest value so far along ``at`` (a long) within each key, the row's own included; by stretches of ``at``, so one key may hold most rows."""
+    r = rows.withColumn("_v", value).withColumn("_b", F.floor(F.col(at) / stretch))
+    tops = r.groupBy(F.col(key).alias("_key"), F.col("_b").alias("_of")).agg(F.max("_v").alias("_top"))
+    before = F.max("_top").over(Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select("_key", "_of", before.alias("_top"))
+    within = F.max("_v").over(Window.partitionBy(key, "_b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    j = r.join(tops, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_of"))).withColumn(name, within)
+    return j.withColumn(name, F.greatest(name, "_top")).drop("_v", "_b", "_key", "_of", "_top")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import round_half_up
-from .filters import scene_of
 
 #: Weight of each feature before anything is learned.
 PRIOR = {
@@ -124,10 +123,10 @@ def features(columns: Iterable[str], *, enrolled: bool = True) -> Column:
 
 
 def context_key(genre: str | None = None) -> Column:
-    """[genre:]scene[:known|strangers|mixed]"""
-    faces = F.when(F.col("face_count") == 0, "").when(F.col("known_face_count") == F.col("face_count"), ":known").when(F.col("known_face_count") == 0, ":strangers").otherwise(":mixed")
-    lead = F.when(F.coalesce(F.col(genre), F.lit("")) == "", "").otherwise(F.concat(F.col(genre), F.lit(":"))) if genre else F.lit("")
-    return F.concat(lead, scene_of(), faces)
+    """[genre:]scene[:known|strangers|mixed], the scene as it is stored (scene_type)."""
+    faces = F.when(F.col("face_count") == 0, "").when(F.col("stranger_count") == 0, ":known").when(F.col("known_face_count") == 0, ":strangers").otherwise(":mixed")
+    named = F.trim(F.coalesce(F.col(genre), F.lit(""))) if genre else F.lit("")
+    return F.concat(F.when(named == "", "").otherwise(F.concat(named, F.lit(":"))), F.col("scene_type"), faces)
 
 
 def seeds() -> dict[str, list[float]]:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
+from ..operators import faces as X
 from ..operators import joins as J
 from ..operators import pixels as K
 from ..operators import scoring as S
 from ..operators import similarity as M
+from ..operators.filters import ABSTRACT_TAGS
 from ..operators.similarity import checkpointed, shared_folder
 from ..sources import files
 from ..sources.bindings import PHOTOS_SQL, corrections, photos, table
-from .library import query
+from .library import SUBJECT_TAG, query
 
 #: A 62-bit hash, from bounded products, in which frames of one user are near each other, and a few bits that move.
 BASE = "((user_id * 1103515245 + 12345) % 2147483647) * 2147483648 + (user_id * 1284865837 + (user_id % 7) * 40503) % 2147483647"
@@ -30,14 +32,12 @@ def hashes(s, d):
 
 
 @query("hamming_pairs", PAIRS_SQL, HASHES_SQL)
-@query("hamming_pairs_whole", PAIRS_SQL, HASHES_SQL)
 def hamming_pairs(s, d):
     """Pairs among all events: representatives (the first id of each hash) within 6 bits, and each other id with its representative at distance 0."""
     return M.hamming_pairs(hashes(s, d), 6)
 
 
 @query("hamming_components", COMPONENTS_SQL, RECURSIVE_SQL)
-@query("hamming_components_whole", COMPONENTS_SQL, RECURSIVE_SQL)
 def hamming_components(s, d):
     return M.components(M.hamming_pairs(hashes(s, d), 4).select("a", "b"))
 
@@ -130,23 +130,42 @@ def counterfactual(s, d):
     return p.withColumn("c", S.counterfactual("ai_score", "factors")).filter("c is not null").select("id", "c.feature", "c.verdict")
 
 
-@query("folder_labels", "select id, case when len(persons) > 0 then array_to_string(list_sort(list_distinct(persons)), ', ') when face_count > 0 then 'strangers' when len(tags) > 0 then tags[1] else scene_type end as folder from photos where status = 'selected'")
+NAMES = "list_sort(persons)"
+LABEL = f"case when len(persons) > 0 then case len(persons) when 1 then persons[1] else array_to_string(({NAMES})[:-2], ', ') || ' și ' || ({NAMES})[-1] end || case when stranger_count > 0 then ' și alții' else '' end when face_count > 0 then 'Necunoscuți' when {SUBJECT_TAG} then upper(left(list_filter(tags, lambda t: lower(t) not in ({', '.join(f"'{t}'" for t in ABSTRACT_TAGS)}))[1], 1)) || substr(list_filter(tags, lambda t: lower(t) not in ({', '.join(f"'{t}'" for t in ABSTRACT_TAGS)}))[1], 2) when scene_type = 'landscape' then 'Peisaje' else 'Detalii' end"
+
+
+@query("folder_labels", f"select id, {LABEL} as folder from photos where status = 'selected'")
 def folder_labels(s, d):
     return files.export_plan(photos(s, d)).drop("file_name")
 
 
 XMP_PARTS = [x.replace("'", "''") for x in files.XMP.split("%s")]
-SIDECARS_SQL = f"""+ k as (select *, list_concat(list_concat(case when tags[1] = tags[2] then tags[1:1] else tags end, persons), ['IA ' || (ai_score // 10 * 10) || '-' || least(100, ai_score // 10 * 10 + 9)]) as words from photos where status <> 'pending')
+FACTORS = "case when id % 5 = 0 then [] when id % 2 = 0 then ['Sharp <1> (+)'] else ['Sharp <1> (+)', 'Eyes & light (-)'] end"
+SIDECARS_SQL = f"""+ m as (select *, {FACTORS} as factors, case when user_id % 3 = 0 then 'C&' || user_id % 10 end as client, case when user_id % 4 = 0 then 'E' || user_id % 10 end as event, case when user_id % 5 = 1 then 'L' || user_id % 10 end as location, case when id % 6 = 0 then 'On the "way"' end as caption,
+  case when id % 7 = 0 then [] else ['k' || id % 3, 'tag1'] end as keywords from photos where status <> 'pending'),
+u as (select group_id as g, list_distinct(flatten(list(persons))) as everyone from photos where coalesce(group_id, '') <> '' group by 1),
+k as (select m.*, list_concat(list_concat(list_concat(keywords, list_concat(list_sort(coalesce(u.everyone, persons)), tags)), list_concat(['IA ' || greatest(0, least(90, ai_score // 10 * 10)) || '-' || greatest(0, least(90, ai_score // 10 * 10)) + 9], case when coalesce(group_id, '') <> '' then ['Serie ' || group_id] else [] end)), list_filter(['Client: ' || client, 'Event: ' || event, 'Location: ' || location], lambda x: x is not null)) as words from m left join u on m.group_id = u.g),
+w as (select *, list_filter(words, lambda x, i: list_position(words, x) = i) as once from k),
+e as (select *, replace(replace(replace(replace(client, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as x_client from w)
 select id, '{XMP_PARTS[0]}' || case when status = 'rejected' then -1 when rating > 0 then rating when status = 'selected' then 5 when status = 'candidate' then 3 else 0 end
  || '{XMP_PARTS[1]}' || case status when 'selected' then 'Green' when 'candidate' then 'Blue' when 'rejected' then 'Red' else 'Yellow' end
- || '{XMP_PARTS[2]}' || coalesce(' fs:AIScore="' || ai_score || '"', '') || case when coalesce(group_id, '') <> '' then ' fs:SeriesId="' || group_id || '"' else '' end || '{XMP_PARTS[4]}'
- || '<dc:subject><rdf:Bag>' || array_to_string(list_transform(words, lambda w: '<rdf:li>' || w || '</rdf:li>'), '') || '</rdf:Bag></dc:subject>' || '{XMP_PARTS[6]}' as xmp from k"""
+ || '{XMP_PARTS[2]}' || coalesce(' fs:AIScore="' || ai_score || '"', '') || case when coalesce(group_id, '') <> '' then ' fs:SeriesId="' || group_id || '"' else '' end || coalesce(' fs:Client="' || x_client || '"', '') || '{XMP_PARTS[3]}'
+ || '<dc:subject><rdf:Bag>' || array_to_string(list_transform(once, lambda w: '<rdf:li>' || replace(w, '&', '&amp;') || '</rdf:li>'), '') || '</rdf:Bag></dc:subject>'
+ || coalesce('<dc:description><rdf:Alt><rdf:li xml:lang="x-default">' || replace(caption, '"', '&quot;') || '</rdf:li></rdf:Alt></dc:description>', '')
+ || case when len(factors) > 0 then '<fs:AIFactors><rdf:Bag>' || array_to_string(list_transform(factors, lambda w: '<rdf:li>' || replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</rdf:li>'), '') || '</rdf:Bag></fs:AIFactors>' else '' end
+ || coalesce('<Iptc4xmpCore:Location>' || location || '</Iptc4xmpCore:Location>', '') || coalesce('<Iptc4xmpExt:Event><rdf:Alt><rdf:li xml:lang="x-default">' || event || '</rdf:li></rdf:Alt></Iptc4xmpExt:Event>', '') || '{XMP_PARTS[4]}' as xmp from e"""
 
 
 @query("sidecars", SIDECARS_SQL)
 def sidecars(s, d):
-    """All decided photos, rejected, candidates and those to be reviewed too."""
-    return photos(s, d).select("id", files.sidecar().alias("xmp")).filter("xmp is not null")
+    """All decided photos, rejected, candidates and those to be reviewed too, with what projects, series and users add."""
+    p = photos(s, d)
+    made = lambda n, k, r, lead: F.when(F.col("user_id") % k == r, F.concat(F.lit(lead), (F.col("user_id") % 10).cast("string"))).alias(n)
+    sharp, eyes = F.lit("Sharp <1> (+)"), F.lit("Eyes & light (-)")
+    factors = F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).when(F.col("id") % 2 == 0, F.array(sharp)).otherwise(F.array(sharp, eyes))
+    keywords = F.when(F.col("id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("k"), (F.col("id") % 3).cast("string")), F.lit("tag1")))
+    m = p.select("*", factors.alias("factors"), keywords.alias("keywords"), made("client", 3, 0, "C&"), made("event", 4, 0, "E"), made("location", 5, 1, "L"), F.when(F.col("id") % 6 == 0, 'On the "way"').alias("caption"))
+    return files.sidecars(m, p)
 
 
 @query("export_manifest", "select id // 1000 as part, '[' || string_agg('\"' || file_name || '\"', ',' order by file_name) || ']' as names from photos where status = 'selected' group by 1")
@@ -175,21 +194,50 @@ def edited_frames(s, d):
     return K.edited(p).select("id", F.sha2("pixels", 256).alias("digest"))
 
 
-FACES = "transform(array(0L, 1L, 2L), i -> named_struct('face', i, 'quality', ((event_id * (i + 3)) % 17) / 16.0D))"
-
-
-@query("composites", f"+ f as (select group_id as series, id as frame, unnest([0, 1, 2]) as track, ((id * (unnest([0, 1, 2]) + 3)) % 17) / 16.0::double as quality from photos where nullif(group_id, '') is not null), b as (select series, frame, count(*) filter (quality >= 0.5) as good, round(sum(quality), 9) as total from f group by 1, 2), c as (select series, arg_max(frame, {{'a': good, 'b': total, 'c': -frame}}) as base_frame from b group by 1), t as (select series, track, max(quality) as best from f group by 1, 2), o as (select c.series, c.base_frame, count(*) filter (round(t.best - f.quality, 9) >= 0.25) as k from c join f on f.series = c.series and f.frame = c.base_frame join t on t.series = f.series and t.track = f.track group by 1, 2) select series, base_frame, least(2, k)::int as n_swaps from o")
+COMPOSITES = """+ f as (
+  select group_id as series, id as frame, i as track, case when (id + i) % 4 = 1 then 'P' || i end as name,
+    case when (id + i) % 5 = 0 then 0::double else greatest(0::double, least(1::double, 0.55::double + 0.3::double * (((id * 7 + i * 3) % 11) / 10.0::double) + 0.15::double * (case when (id + i) % 6 = 0 then 0.5::double else ((id * 11 + i) % 9) / 8.0::double end) - case when (id + i) % 7 = 0 then 0.45::double else 0::double end)) end as quality
+  from photos, (values (0), (1), (2)) as v(i) where nullif(group_id, '') is not null and (id + i) % 3 <> 0),
+frames as (select group_id as series, id as frame from photos where nullif(group_id, '') is not null),
+t as (select series, track, row_number() over (partition by series order by track) - 1 as person, count(*) over (partition by series) as person_count, name from (select series, track, arg_min(name, frame) filter (name is not null) as name from f group by 1, 2 having count(distinct frame) >= 2)),
+k as (select * from t where person_count >= 2),
+q as (select f.* from f join k using (series, track)),
+e as (select n.series, n.frame, count(*) filter (q.quality >= 0.6) as good, round(coalesce(sum(q.quality), 0), 9) as total from frames n left join q on n.series = q.series and n.frame = q.frame where n.series in (select series from k) group by 1, 2),
+b as (select series, arg_max(frame, {'a': good, 'b': total, 'c': -frame}) as base_frame from e group by 1 having count(*) >= 2),
+o as (select k.*, b.base_frame, coalesce(q.quality, 0) as here from k join b using (series) left join q on q.series = k.series and q.track = k.track and q.frame = b.base_frame),
+w as (select o.series, o.base_frame, o.person_count, o.person, o.track, o.name, arg_max(q.frame, {'a': q.quality, 'b': -q.frame}) as from_frame, round(max(q.quality) - any_value(o.here), 9) as gain, max(q.quality) as there
+  from o join q on q.series = o.series and q.track = o.track and q.frame <> o.base_frame where o.here < 0.6 group by 1, 2, 3, 4, 5, 6)
+select series, base_frame, person_count, count(*)::int as n_swaps, string_agg(person || ':' || track || ':' || from_frame || ':' || cast(round(gain * 1000000) as bigint) || ':' || coalesce(name, ''), ',' order by gain desc, person) as swaps
+from w where there >= 0.6 and gain >= 0.25 group by 1, 2, 3 having count(*) <= 2"""
+
+
+@query("composites", COMPOSITES)
 def composites(s, d):
-    p = photos(s, d, "id", "group_id").filter("nullif(group_id, '') is not null")
-    f = p.select(F.col("group_id").alias("series"), F.col("id").alias("frame"), F.explode(F.expr(FACES.replace("event_id", "id"))).alias("f")).select("series", "frame", F.col("f.face").alias("track"), "f.quality")
-    return C.composite_suggestion(f).drop("swaps")
+    """Series of which a frame would be better with one or two faces of another."""
+    p = photos(s, d, "id", "group_id").filter("nullif(group_id, '') is not null").select(F.col("group_id").alias("series"), F.col("id").alias("frame"))
+    f = p.withColumn("track", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    n = F.col("frame") + F.col("track")
+    gaze = F.when(n % 6 != 0, ((F.col("frame") * 11 + F.col("track")) % 9) / F.lit(8.0))
+    look = X.appearance(n % 5 == 0, ((F.col("frame") * 7 + F.col("track") * 3) % 11) / F.lit(10.0), gaze, n % 7 == 0)
+    f = f.filter(n % 3 != 0).select("series", "frame", "track", look.alias("quality"), F.when(n % 4 == 1, F.concat(F.lit("P"), F.col("track").cast("string"))).alias("name"))
+    c = C.composite_suggestion(f, p)
+    said = F.transform("swaps", lambda x: F.concat_ws(":", x["person"].cast("string"), x["track"].cast("string"), x["from_frame"].cast("string"), F.round(x["gain"] * 1000000).cast("long").cast("string"), F.coalesce(x["name"], F.lit(""))))
+    return c.select("series", "base_frame", "person_count", F.size("swaps").alias("n_swaps"), F.array_join(said, ",").alias("swaps"))
+
+
+def strip_faces(s, d):
+    """Faces of the frames of series: some known, some with vectors, some of both, some with neither."""
+    p = photos(s, d, "id", "group_id", "persons").filter("nullif(group_id, '') is not null")
+    f = p.select(F.col("group_id").alias("series"), F.col("id").alias("frame"), F.posexplode_outer("persons").alias("face", "who"))
+    n, at = F.col("frame"), F.col("face")
+    v = F.when(n % 2 == 0, F.array(*[F.cos(F.length("who") + at * 2 + n % 5 * 0.3 + k) for k in (1, 2, 3)]))
+    known = F.when(n % 3 != 0, F.col("who"))
+    return f.select("series", "frame", at.cast("long").alias("face"), known.alias("person"), F.when(n % 4 != 0, known).alias("name"), ((n + at) % 5 == 0).alias("blinking"), (at * 0.3 + n % 3 * 0.05 + 0.1).alias("x"), (n % 4 * 0.04 + 0.4).alias("y"), v.alias("v"))
 
 
 @query("face_tracks")
 def face_tracks(s, d):
-    p = photos(s, d, "id", "group_id", "persons").filter("nullif(group_id, '') is not null")
-    f = p.select(F.col("group_id").alias("series"), F.col("id").alias("frame"), F.posexplode("persons").alias("face", "person")).select("series", "frame", F.col("face").cast("long").alias("face"), F.when(F.col("frame") % 3 != 0, F.col("person")).alias("person"), (F.col("face") * 0.3 + 0.1).alias("x"), F.lit(0.5).alias("y"), F.lit(None).cast("array<double>").alias("v"))
-    return C.face_tracks(f)
+    return C.face_tracks(strip_faces(s, d))
 
 
 @query("stream_sessions", "+ o as (select *, coalesce((captured_at - lag(captured_at) over (order by captured_at, id) > 900000)::int, 1) as brk from photos), m as (select *, sum(brk) over (order by captured_at, id rows unbounded preceding) as run from o) select count(*) as n, min(captured_at) as first_ms from m group by run", PHOTOS_SQL)

@@ -31,8 +31,11 @@ def query(name: str, sql: str | None = None, source: str = PHOTOS_SQL) -> Callab
 
 STATUS = "count(*) as total, count(*) filter (status = 'selected') as selected, count(*) filter (status = 'rejected') as rejected, count(*) filter (status = 'review') as review"
 RANK = "case when text_coverage >= 0.15 then 0 when coalesce(known_face_count, 0) > 0 then 3 when coalesce(face_count, 0) > 0 then 2 else 1 end"
-SHARP = "case when face_count > 0 then sharpness::double else least(100.0::double, log2(1 + sharpness::double) / log2(61.0::double) * 100) end"
-DEFECT = f"(({SHARP}) < 45 or abs(exposure - 50) > 15 or coalesce(highlight_clipping, 0) > 0.06 or shadow_clipping > 0.06 or coalesce(not subject_in_focus, false) or (face_count > 0 and not all_eyes_open))"
+SHARP = "case when face_count > 0 then sharpness::double else pow(greatest(0, sharpness::double) / 100, 0.6::double) * 100 end"
+EYES = "coalesce(group_eyes_open, all_eyes_open::int::double)"
+SUBJECT_TAG = "len(list_filter(tags, lambda t: lower(t) not in (" + ", ".join(f"'{t}'" for t in P.ABSTRACT_TAGS) + "))) > 0"
+HARD = "coalesce(ai_uncertainty, greatest(0::double, least(1::double, least(ai_score - 35, 65 - ai_score) / 15.0::double)))"
+DEFECT = f"(({SHARP}) < 45 or abs(exposure - 50) > 15 or coalesce(highlight_clipping, 0) > 0.06 or shadow_clipping > 0.06 or coalesce(not subject_in_focus, false) or (face_count > 0 and {EYES} < 0.8::double))"
 DECIDED = "status in ('selected', 'rejected', 'candidate')"
 SERIES = "nullif(group_id, '') is not null"
 
@@ -57,9 +60,9 @@ def series_order(s, d):
     return G.series(photos(s, d, "id", "group_id", "ai_score")).orderBy("group_id", F.desc("ai_score"), "id")
 
 
-@query("review_difficulty", "select id, 1 - abs(least(100, greatest(0, ai_score)) - 50) / 50.0::double as difficulty from photos where status = 'review'")
+@query("review_difficulty", f"select id, {HARD} as difficulty from photos where status = 'review'")
 def review_difficulty(s, d):
-    return photos(s, d, "id", "status", "ai_score").filter("status = 'review'").select("id", X.uncertainty("ai_score").alias("difficulty"))
+    return photos(s, d, "id", "status", "ai_score", "ai_uncertainty").filter("status = 'review'").select("id", X.review_difficulty().alias("difficulty"))
 
 
 @query("filtered_preset", "select id from photos where status in ('selected', 'review', 'candidate') and list_contains(tags, 'tag3') and camera = 'Cam 2' and rating >= 2 and coalesce(captured_at, 0) between 1704067200000 and 1706000000000")
@@ -93,7 +96,7 @@ def named_defects(s, d):
     return photos(s, d).filter(P.has_defect()).select("id")
 
 
-@query("decide_status", f"select id, case when ai_score <= 35 and known_face_count = 0 and {DEFECT} then 'rejected' when ai_score >= 65 and not (coalesce(text_coverage, 0) >= 0.15 or (face_count = 0 and len(tags) = 0)) and not coalesce(not subject_in_focus, false) then 'selected' else 'review' end as verdict from photos")
+@query("decide_status", f"select id, case when ai_score <= 35 and known_face_count = 0 and {DEFECT} then 'rejected' when ai_score >= 65 and not (coalesce(text_coverage, 0) >= 0.15 or (face_count = 0 and not {SUBJECT_TAG})) and not coalesce(not subject_in_focus, false) then 'selected' else 'review' end as verdict from photos")
 def decide_status(s, d):
     return photos(s, d).select("id", P.decide_status().alias("verdict"))
 
@@ -113,11 +116,11 @@ def rating_decision(s, d):
     return photos(s, d, "id", "rating").select("id", P.rating_decision().alias("decision"))
 
 
-@query("scene_and_context", "select case when face_count >= 3 then 'group' when face_count >= 1 then 'portrait' when width > height then 'landscape' else 'detail' end || case when face_count = 0 then '' when known_face_count = face_count then ':known' when known_face_count = 0 then ':strangers' else ':mixed' end as context_key, count(*) as n from photos group by 1")
+@query("scene_and_context", "select case when face_count = 0 then case when width >= height then 'landscape' else 'detail' end when face_count = 1 then 'portrait' when face_count >= 3 then 'group' when largest_face > 0.04 then 'portrait' else 'group' end as scene, scene_type || case when face_count = 0 then '' when stranger_count = 0 then ':known' when known_face_count = 0 then ':strangers' else ':mixed' end as context_key, count(*) as n from photos group by 1, 2")
 def scene_and_context(s, d):
     from ..operators.scoring import context_key
 
-    return photos(s, d, "face_count", "known_face_count", "width", "height").groupBy(context_key().alias("context_key")).agg(F.count(F.lit(1)).alias("n"))
+    return photos(s, d, "face_count", "known_face_count", "stranger_count", "scene_type", "largest_face", "width", "height").groupBy(P.scene_of().alias("scene"), context_key().alias("context_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("deletable_rejected", "select (media_uri is not null and media_uri <> '') as deletable, count(*) as n from photos where status = 'rejected' group by 1")
@@ -140,7 +143,7 @@ def agreement(s, d):
     return A.agreement(corrections(s, d))
 
 
-@query("agreement_trend", "+ b as (select *, least(5, (row_number() over (order by ts, id) - 1) // greatest(1, count(*) over () // 6))::int as bucket, count(*) over () as n_all from corrections) select bucket, count(*) as n, avg(case when ai_decision = user_decision then 1.0::double else 0 end) as agreement_rate from b where n_all >= 12 group by 1", CORRECTIONS_SQL)
+@query("agreement_trend", "+ b as (select *, (ntile(6) over (order by ts, id) - 1)::int as bucket, count(*) over () as n_all from corrections) select bucket, count(*) as n, avg(case when ai_decision = user_decision then 1.0::double else 0 end) as agreement_rate from b where n_all >= 12 group by 1", CORRECTIONS_SQL)
 def agreement_trend(s, d):
     return A.agreement_trend(corrections(s, d))
 
@@ -202,7 +205,9 @@ def resolve_confident(s, d):
     return G.resolve_with_confidence(photos(s, d, "id", "group_id", "status", "ai_score", "face_count"))
 
 
-FRAME = "0.35::double * (sharpness / 100 * case when coalesce(not subject_in_focus, false) then 0.6::double else 1.0::double end) + 0.18::double * (1 - abs(exposure - 50) / 50) + 0.07::double * (1 - least(1.0::double, coalesce(highlight_clipping, 0))) + 0.18::double * coalesce(thirds, 0.5::double) + 0.15::double * (case when face_count > 0 then greatest(0, 0.5::double * best_smile + 0.5::double * all_eyes_open::int) else 0.5::double end) + 0.07::double * 0.5::double"
+EYES_RATIO = "case when face_count > 1 then coalesce(group_eyes_open, all_eyes_open::int::double) else all_eyes_open::int::double end"
+SMILE_RATIO = "case when face_count > 1 then coalesce(group_smile, best_smile) else best_smile end"
+FRAME = f"0.35::double * (sharpness / 100 * case when coalesce(not subject_in_focus, false) then 0.6::double else 1.0::double end) + 0.18::double * (1 - abs(exposure - 50) / 50) + 0.07::double * (1 - least(1.0::double, coalesce(highlight_clipping, 0))) + 0.18::double * coalesce(composition_score, 0.5::double) + 0.15::double * (case when face_count > 0 then greatest(0, 0.5::double * ({SMILE_RATIO}) + 0.5::double * ({EYES_RATIO}) - coalesce(group_awkward, 0)) else 0.5::double end) + 0.07::double * coalesce(avg_eye_contact, 0.5::double)"
 BEST = f"b as (select group_id, arg_min(id, {{'a': -round({FRAME}, 9), 'b': id}}) as keep_id, count(*) as n from photos where {SERIES} group by 1 having count(*) >= 2)"
 
 
@@ -256,20 +261,32 @@ def moment_stacks(s, d):
     return G.moments(photos(s, d, "id", "captured_at", "status"))
 
 
-@query("moment_top_picks", STACK.format(gap=300000) + f", o2 as (select moment, id, {RANK} as r, ai_score, case when {SERIES} then group_id else 'solo:' || id end as ser from t where size >= 4), o3 as (select *, row_number() over (partition by moment, ser order by r desc, ai_score desc, id) as k from o2), o4 as (select *, row_number() over (partition by moment order by r desc, ai_score desc, id) as place from o3 where k = 1) select moment, id, place from o4 where place <= 3")
+@query("moment_top_picks", STACK.format(gap=300000) + f", o2 as (select moment, id, case when face_count = 0 and coalesce(text_coverage, 0) >= 0.12 and not (coalesce(text_coverage, 0) >= 0.3 and greatest(width, height) / least(width, height) between 1.7 and 2.4) and len(tags) = 0 then 0 when face_count > 0 then 2 else 1 end as r, ai_score, case when {SERIES} then group_id else 'solo:' || id end as ser from t where size >= 4), o3 as (select *, row_number() over (partition by moment, ser order by r desc, ai_score desc, id) as k from o2), o4 as (select *, row_number() over (partition by moment order by r desc, ai_score desc, id) as place from o3 where k = 1) select moment, id, place from o4 where place <= 3")
 def moment_top_picks(s, d):
     return G.top_picks(photos(s, d), gap_ms=300_000)
 
 
-@query("review_bands", "+ q as (select coalesce(project, 'none') as project, id, ai_score, 1 - abs(ai_score - 50) / 50.0::double as dif from photos where status = 'review'), b as (select *, row_number() over w - 1 as pos, case when dif < 0.35 then 'easy' when dif < 0.7 then 'compare' else 'hard' end as band from q window w as (partition by project order by id)), r as (select *, sum(coalesce((prev <> band)::int, 1)) over (partition by project order by pos) as run from (select *, lag(band) over (partition by project order by pos) as prev from b)) select project, band, min(pos) as start_index, count(*) as n from r group by project, run, band")
+@query("review_bands", f"+ q as (select coalesce(project, 'none') as project, id, ai_score, {HARD} as dif from photos where status = 'review'), b as (select *, row_number() over w - 1 as pos, case when dif < 0.35 then 'easy' when dif < 0.7 then 'compare' else 'hard' end as band from q window w as (partition by project order by id)), r as (select *, sum(coalesce((prev <> band)::int, 1)) over (partition by project order by pos) as run from (select *, lag(band) over (partition by project order by pos) as prev from b)) select project, band, min(pos) as start_index, count(*) as n from r group by project, run, band")
 def review_bands(s, d):
-    q = photos(s, d, "id", "project", "status", "ai_score").filter("status = 'review'").withColumn("project", F.coalesce("project", F.lit("none")))
-    return G.review_bands(q, X.uncertainty("ai_score"), [F.col("id")], "project")
+    q = photos(s, d, "id", "project", "status", "ai_score", "ai_uncertainty").filter("status = 'review'").withColumn("project", F.coalesce("project", F.lit("none")))
+    return G.review_bands(q, X.review_difficulty(), [F.col("id")], "project")
 
 
-@query("row_plan", "select id, (row_number() over (partition by status order by captured_at, id) - 1) // 5 as row, (row_number() over (partition by status order by captured_at, id) - 1) % 5 as cell from photos")
+ROWS = f"""+ q as (select id, coalesce(project, 'none') as project, {HARD} as dif from photos where status = 'review'),
+b as (select *, row_number() over (partition by project order by dif, id) - 1 as pos, case when dif < 0.35 then 'easy' when dif < 0.7 then 'compare' else 'hard' end as band from q),
+r as (select *, sum(coalesce((prev <> band)::int, 1)) over (partition by project order by pos) as run from (select *, lag(band) over (partition by project order by pos) as prev from b)),
+z as (select *, min(pos) over (partition by project, run) as first, count(*) over (partition by project, run) as n, max(run) over (partition by project) as bands from r),
+f as (select *, max(case when n > 1 and bands > 1 then first else 0 end) over (partition by project order by pos) as since, (n > 1 and bands > 1 and pos = first) as head from z),
+g as (select *, since + (pos - since) // 5 * 5 as row_start from f)
+select id, project, row_start, pos - row_start as cell, case when head then band end as heading from g"""
+
+
+@query("row_plan", ROWS)
 def row_plan(s, d):
-    return G.row_plan(photos(s, d, "id", "status", "captured_at"), [F.col("captured_at"), F.col("id")], "status", 5).select("id", "row", "cell")
+    """The review queue of each project, hardest last, in rows of five."""
+    q = photos(s, d, "id", "project", "status", "ai_score", "ai_uncertainty").filter("status = 'review'").withColumn("project", F.coalesce("project", F.lit("none")))
+    q = q.withColumn("difficulty", X.review_difficulty())
+    return G.row_plan(q, F.col("difficulty"), [F.col("difficulty"), F.col("id")], "project", 5).select("id", "project", "row_start", "cell", "heading")
 
 
 @query("series_percentile", f"+ g as (select id, count(*) over (partition by group_id) as n, rank() over (partition by group_id order by ai_score) - 1 as worse, count(*) over (partition by group_id, ai_score) as eq from photos where {SERIES}) select id, case when n >= 2 then cast(floor(((worse + (eq - 1) / 2) / (n - 1)) * 100 + 0.5) as bigint) end as series from g")
@@ -277,18 +294,18 @@ def series_percentile(s, d):
     return G.series_percentile(photos(s, d, "id", "group_id", "ai_score"))
 
 
-@query("compare_in_series", f"+ g as (select p.id, p.sharpness, p.face_count, p.all_eyes_open, count(*) + 1 as frames, max(q.sharpness) as o, bool_or(q.all_eyes_open) as open from photos p join photos q on p.group_id = q.group_id and p.id <> q.id where p.group_id <> '' group by all), v as (select id, frames, case when face_count > 0 and all_eyes_open and not open then 'onlyEyesOpen' when sharpness >= o + 12 then 'sharpest' when o >= sharpness + 12 then 'softerThanSibling' end as verdict from g) select id, verdict, frames from v where verdict is not null")
+@query("compare_in_series", f"+ g as (select p.id, p.sharpness, p.face_count, p.all_eyes_open, count(*) + 1 as frames, max(q.sharpness) as o, bool_or(coalesce(q.group_eyes_open, q.all_eyes_open::int::double) >= 1) as open, p.group_eyes_open from photos p join photos q on p.group_id = q.group_id and p.id <> q.id where p.group_id <> '' group by all), v as (select id, frames, case when face_count > 0 and coalesce(group_eyes_open, all_eyes_open::int::double) = 1 and not open then 'onlyEyesOpen' when sharpness >= o + 12 then 'sharpest' when o >= sharpness + 12 then 'softerThanSibling' end as verdict from g) select id, verdict, frames from v where verdict is not null")
 def compare_in_series(s, d):
-    return G.compare_in_series(photos(s, d, "id", "group_id", "sharpness", "face_count", "all_eyes_open"))
+    return G.compare_in_series(photos(s, d, "id", "group_id", "sharpness", "face_count", "all_eyes_open", "group_eyes_open"))
 
 
-@query("pillars", f"+ e as (select *, least(1.0::double, ({SHARP}) / 100) as s, coalesce(highlight_clipping, 0::double) as hi, shadow_clipping as lo, all_eyes_open::int as eyes from photos), b as (select *, s * 0.4::double + (1 - least(1.0::double, abs(exposure - 50) / 30)) * 0.25::double + (1 - least(1.0::double, (hi + lo) / 0.2::double)) * 0.2::double as base from e) select id, cast(floor(round(case when face_count > 0 then base + eyes * 0.15::double else base / 0.85::double end * 100, 9) + 0.5) as bigint) as technical, cast(floor(round(greatest(0, 100 - ((1 - s) * 45 + case when coalesce(not subject_in_focus, false) then 25 else 0 end + case when face_count > 0 then (1 - eyes) * 25 else 0 end + least(1.0::double, hi / 0.2::double) * 20)), 9) + 0.5) as bigint) as delivery from b")
+@query("pillars", f"+ e as (select *, least(1.0::double, ({SHARP}) / 100) as s, coalesce(highlight_clipping, 0::double) as hi, shadow_clipping as lo, least(1::double, greatest(0::double, {EYES})) as eyes from photos), b as (select *, s * 0.4::double + (1 - least(1.0::double, abs(exposure - 50) / 30)) * 0.25::double + (1 - least(1.0::double, (hi + lo) / 0.2::double)) * 0.2::double as base from e) select id, cast(floor(round(case when face_count > 0 then base + eyes * 0.15::double else base / 0.85::double end * 100, 9) + 0.5) as bigint) as technical, cast(floor(round(greatest(0, 100 - ((1 - s) * 45 + case when coalesce(not subject_in_focus, false) then 25 else 0 end + case when face_count > 0 then (1 - eyes) * 25 else 0 end + least(1.0::double, hi / 0.2::double) * 20)), 9) + 0.5) as bigint) as delivery from b")
 def pillars(s, d):
     t, v = G.pillars()
     return photos(s, d).select("id", t.alias("technical"), v.alias("delivery"))
 
 
-@query("explain_choice", f"+ {BEST}, g as (select b.group_id, b.keep_id, count(*) as n, " + ", ".join(f"max(case when p.id {o} b.keep_id then {c} end) as {k}_{n}" for n, c in (("eyes", "case when face_count > 0 then all_eyes_open::int end"), ("smile", "case when face_count > 0 then best_smile end"), ("sharp", "sharpness"), ("score", "ai_score")) for k, o in (("k", "="), ("o", "<>"))) + ", max(case when p.id = b.keep_id then abs(exposure - 50) end) as k_err, min(case when p.id <> b.keep_id then abs(exposure - 50) end) as o_err from b join photos p using (group_id) group by 1, 2), r as (select *, list_filter([case when k_eyes = 1 and o_eyes < 1 then case when n = 2 then 'eyesOnlyOneOfTwo' else 'eyesOnlyOne' end end, case when k_sharp - o_sharp >= 10 then 'sharper' end, case when round(k_smile - o_smile, 9) >= 0.15 then 'smile' end, case when k_err + 8 <= o_err and o_err >= 15 then 'exposure' end], lambda x: x is not null) as l from g) select group_id, keep_id, case when len(l) > 0 then array_to_string(l, ',') when k_score - o_score >= 4 then 'score' else 'tooClose' end as reasons, case when len(l) > 0 or k_score - o_score >= 4 then 'high' else 'low' end as confidence from r")
+@query("explain_choice", f"+ {BEST}, g as (select b.group_id, b.keep_id, count(*) as n, " + ", ".join(f"max(case when p.id {o} b.keep_id then {c} end) as {k}_{n}" for n, c in (("eyes", f"case when face_count > 0 then {EYES_RATIO} end"), ("smile", f"case when face_count > 0 then {SMILE_RATIO} end"), ("sharp", "sharpness"), ("score", "ai_score")) for k, o in (("k", "="), ("o", "<>"))) + ", max(case when p.id = b.keep_id then abs(exposure - 50) end) as k_err, min(case when p.id <> b.keep_id then abs(exposure - 50) end) as o_err from b join photos p using (group_id) group by 1, 2), r as (select *, list_filter([case when k_eyes = 1 and o_eyes < 1 then case when n = 2 then 'eyesOnlyOneOfTwo' else 'eyesOnlyOne' end when round(k_eyes - o_eyes, 9) >= 0.2 then 'eyesMore' end, case when k_sharp - o_sharp >= 10 then 'sharper' end, case when round(k_smile - o_smile, 9) >= 0.15 then 'smile' end, case when k_err + 8 <= o_err and o_err >= 15 then 'exposure' end], lambda x: x is not null) as l from g) select group_id, keep_id, case when len(l) > 0 then array_to_string(l, ',') when k_score - o_score >= 4 then 'score' else 'tooClose' end as reasons, case when len(l) > 0 or k_score - o_score >= 4 then 'high' else 'low' end as confidence from r")
 def explain_choice(s, d):
     p = photos(s, d)
     return G.explain_choice(p, G.best_frames(p))
@@ -302,9 +319,23 @@ def rescue_queue(s, d):
     return G.rescue_queue(photos(s, d))
 
 
-@query("export_sequence", "+ n as (select *, coalesce(project, 'none') as folder, 'f' || (id % 50) || '.jpg' as fn from photos), r as (select id, folder, row_number() over (partition by folder order by captured_at, id) as seq, row_number() over (partition by folder, fn order by captured_at, id) as k, fn from n) select id, seq, case when k = 1 then fn else replace(fn, '.jpg', '') || ' (' || k || ').jpg' end as out_name from r")
+EXPORTS = """+ n as (select id, coalesce(project, 'none') as folder, captured_at, 'f' || (id % 5) || case when id % 37 = 0 then ' (2)' when id % 41 = 0 then ' (2) (2)' when id % 43 = 0 then ' (3)' else '' end || '.jpg' as fn from photos),
+o as (select id, folder, row_number() over (partition by folder order by captured_at, id) as seq, row_number() over (partition by folder, left(fn, 2) order by captured_at, id) as turn, fn, left(fn, 2) as family from n),
+w as (
+  select folder, family, 0::bigint as turn, cast([] as varchar[]) as used, null::varchar as out_name
+  from o group by folder, family
+  union all
+  select w.folder, w.family, o.turn, list_append(w.used, x.name), x.name
+  from w join o on o.folder = w.folder and o.family = w.family and o.turn = w.turn + 1,
+  lateral (select case when not list_contains(w.used, o.fn) then o.fn else left(o.fn, -4) || ' (' || (select min(k) from unnest(range(2, len(w.used) + 3)) u(k) where not list_contains(w.used, left(o.fn, -4) || ' (' || k || ').jpg')) || ').jpg' end as name) x)
+select o.id, o.seq, w.out_name from w join o using (folder, family, turn)"""
+
+
+@query("export_sequence", EXPORTS, "recursive " + PHOTOS_SQL)
 def export_sequence(s, d):
-    p = photos(s, d, "id", "project", "captured_at").select("id", "captured_at", F.coalesce("project", F.lit("none")).alias("folder"), F.concat(F.lit("f"), (F.col("id") % 50).cast("string"), F.lit(".jpg")).alias("file_name"))
+    """Names that clash, some of them with brackets that are numbers of others."""
+    name = F.concat(F.lit("f"), (F.col("id") % 5).cast("string"), F.expr("case when id % 37 = 0 then ' (2)' when id % 41 = 0 then ' (2) (2)' when id % 43 = 0 then ' (3)' else '' end"), F.lit(".jpg"))
+    p = photos(s, d, "id", "project", "captured_at").select("id", "captured_at", F.coalesce("project", F.lit("none")).alias("folder"), name.alias("file_name"))
     return G.sequence_numbers(p, "folder", [F.col("captured_at"), F.col("id")]).select("id", "seq", "out_name")
 
 
@@ -346,7 +377,7 @@ def habits(s, d):
     return A.habits(p.withColumn("kept", F.col("status") == "selected"), deviation=0.002)
 
 
-TAGS = "+ d as (select (status = 'selected')::int as kept, list_distinct(tags) as tags from photos where status in ('selected', 'rejected')), a as (select sum(kept)::bigint as kept_total, sum(1 - kept)::bigint as rejected_total from d), u as (select kept, unnest(tags) as tag from d), m as (select tag, sum(kept)::bigint as kept, sum(1 - kept)::bigint as rejected, any_value(kept_total) as kept_total, any_value(rejected_total) as rejected_total from u, a group by 1)"
+TAGS = "+ d as (select (status = 'selected')::int as kept, list_distinct(tags) as tags from photos where status in ('selected', 'rejected') and len(tags) > 0), a as (select sum(kept)::bigint as kept_total, sum(1 - kept)::bigint as rejected_total from d), u as (select kept, unnest(tags) as tag from d), m as (select tag, sum(kept)::bigint as kept, sum(1 - kept)::bigint as rejected, any_value(kept_total) as kept_total, any_value(rejected_total) as rejected_total from u, a group by 1)"
 
 
 @query("tag_memory", TAGS + " select * from m")
@@ -424,7 +455,6 @@ def time_band_pairs(s, d):
 
 
 @query("client_feedback", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
-@query("client_feedback_whole", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
 def client_feedback(s, d):
     """An entry for every photo."""
     return J.apply_feedback(feedback(s, d), photos(s, d, "id", "file_name"))

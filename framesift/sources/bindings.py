@@ -32,7 +32,10 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "camera": ("case when user_id % 5 = 0 then null else concat('Cam ', cast(user_id % 5 as string)) end", "case when user_id % 5 = 0 then null else concat('Cam ', cast(user_id % 5 as varchar)) end"),
     "color_label": ("case event_id % 6 when 0 then 'red' when 1 then 'green' when 2 then 'blue' else null end",),
     "scene_type": ("case event_id % 4 when 0 then 'landscape' when 1 then 'portrait' when 2 then 'detail' else 'group' end",),
-    "tags": ("array(concat('tag', cast(event_id % 7 as string)), concat('tag', cast(user_id % 4 as string)))", "[concat('tag', cast(event_id % 7 as varchar)), concat('tag', cast(user_id % 4 as varchar))]"),
+    "tags": (
+        "case when event_id % 16 = 4 then cast(array() as array<string>) else array(case when event_id % 7 = 5 then 'Texture' else concat('tag', cast(event_id % 7 as string)) end, case when user_id % 4 = 2 then 'number' else concat('tag', cast(user_id % 4 as string)) end) end",
+        "case when event_id % 16 = 4 then cast([] as varchar[]) else [case when event_id % 7 = 5 then 'Texture' else concat('tag', cast(event_id % 7 as varchar)) end, case when user_id % 4 = 2 then 'number' else concat('tag', cast(user_id % 4 as varchar)) end] end",
+    ),
     "persons": ("transform(filter(array(0L, 1L, 2L), i -> i < event_id % 4), i -> concat('P', cast((event_id + i * 3) % 9 as string)))", "list_transform(list_filter([0, 1, 2], lambda i: i < event_id % 4), lambda i: concat('P', cast((event_id + i * 3) % 9 as varchar)))"),
     "text_coverage": ("case when event_id % 9 = 0 then null else ((event_id * 13) % 100) / 200.0D end", "case when event_id % 9 = 0 then null else ((event_id * 13) % 100) / 200.0::double end"),
     "width": ("case event_id % 3 when 0 then 4000 when 1 then 1080 else 3000 end",),
@@ -45,6 +48,14 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "focal": ("case when event_id % 8 = 0 then null else 18 + (event_id * 7) % 90 end",),
     "media_uri": ("case when event_id % 4 = 3 then null else concat('content://', cast(event_id as string)) end", "case when event_id % 4 = 3 then null else concat('content://', cast(event_id as varchar)) end"),
     "user_id": ("user_id",),
+    "stranger_count": ("case when event_id % 4 > 0 then event_id % 4 - event_id % 2 else 0 end",),
+    "largest_face": ("case when event_id % 4 > 0 then ((event_id * 19) % 97) / 1000.0D end", "case when event_id % 4 > 0 then ((event_id * 19) % 97) / 1000.0::double end"),
+    "ai_uncertainty": ("case when event_id % 3 = 0 then null else ((event_id * 41) % 100) / 100.0D end", "case when event_id % 3 = 0 then null else ((event_id * 41) % 100) / 100.0::double end"),
+    "group_eyes_open": ("case when event_id % 4 > 1 and event_id % 7 <> 2 then ((event_id * 7) % 11) / 10.0D end", "case when event_id % 4 > 1 and event_id % 7 <> 2 then ((event_id * 7) % 11) / 10.0::double end"),
+    "group_smile": ("case when event_id % 4 > 1 and event_id % 7 <> 3 then ((event_id * 5) % 11) / 10.0D end", "case when event_id % 4 > 1 and event_id % 7 <> 3 then ((event_id * 5) % 11) / 10.0::double end"),
+    "group_awkward": ("case when event_id % 4 > 1 and event_id % 3 = 1 then ((event_id * 3) % 5) / 10.0D end", "case when event_id % 4 > 1 and event_id % 3 = 1 then ((event_id * 3) % 5) / 10.0::double end"),
+    "composition_score": ("case when event_id % 5 = 2 then null else ((event_id * 23) % 101) / 100.0D end", "case when event_id % 5 = 2 then null else ((event_id * 23) % 101) / 100.0::double end"),
+    "avg_eye_contact": ("case when event_id % 4 = 0 or event_id % 9 = 4 then null else ((event_id * 11) % 21) / 20.0D end", "case when event_id % 4 = 0 or event_id % 9 = 4 then null else ((event_id * 11) % 21) / 20.0::double end"),
 }
 
 PHOTOS_SQL = "photos as (select " + ", ".join(f"{x[-1]} as {n}" for n, x in COLUMNS.items()) + " from events)"

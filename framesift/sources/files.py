@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import round_half_up, xml_escape
+from ..functions.expr import round_half_up
+from ..operators.filters import folder_tag
 
 #: File extensions of camera raw formats.
 RAW_EXTENSIONS = ("cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "dng", "raf", "orf", "rw2", "pef", "ptx", "srw", "3fr", "erf", "kdc", "dcr", "mrw", "raw", "rwl", "iiq", "x3f")
@@ -236,30 +237,82 @@ def client_feedback(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEEDBACK).option("mode", "FAILFAST").option("multiLine", "true").json(path)
 
 
-def folder_label() -> Column:
-    """Known persons, else strangers, else the first tag, else the scene."""
-    return F.when(F.size("persons") > 0, F.array_join(F.array_sort(F.array_distinct("persons")), ", ")).when(F.col("face_count") > 0, "strangers").when(F.size("tags") > 0, F.element_at("tags", 1)).otherwise(F.col("scene_type"))
+#: Characters that file and folder names can't have.
+ILLEGAL = r'[\\/:*?"<>|]'
+
+
+def folder_label(labels: dict[str, str] | None = None) -> Column:
+    """Where a photo goes: its known persons in order (and whether there are others), strangers, its first subject (by ``labels``, else as it is), landscapes or details."""
+    names = F.array_sort("persons")
+    n = F.size("persons")
+    said = F.when(n == 1, F.element_at(names, 1)).otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(F.lit(0), n - 1)), ", "), F.lit(" și "), F.try_element_at(names, n)))
+    said = F.concat(said, F.when(F.col("stranger_count") > 0, " și alții").otherwise(""))
+    tag = folder_tag()
+    word = F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[tag], tag) if labels else tag
+    word = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
+    clean = lambda c: F.coalesce(F.nullif(F.trim(F.regexp_replace(c, ILLEGAL, "-")), F.lit("")), F.lit("necunoscut"))
+    return F.when(n > 0, clean(said)).when(F.col("face_count") > 0, "Necunoscuți").when(tag.isNotNull(), clean(word)).when(F.col("scene_type") == "landscape", "Peisaje").otherwise("Detalii")
 
 
 #: Stars and label of a decision, where the user gave no stars; a rejected photo is -1 whatever it has.
 STARS = {"selected": 5, "candidate": 3, "rejected": -1, "review": 0}
 LABELS = {"selected": "Green", "candidate": "Blue", "rejected": "Red", "review": "Yellow"}
-XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:fs="urn:framesift" xmp:Rating="%s" xmp:Label="%s"%s%s>%s%s</rdf:Description></rdf:RDF></x:xmpmeta>'
+XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:Iptc4xmpCore="http://iptc.org/std/Iptc4xmpCore/1.0/xmlns/" xmlns:Iptc4xmpExt="http://iptc.org/std/Iptc4xmpExt/2008-02-29/" xmlns:fs="urn:framesift" xmp:Rating="%s" xmp:Label="%s"%s>%s</rdf:Description></rdf:RDF></x:xmpmeta>'
+#: Words for a scene's meaning.
+SCENE_WORDS = {"portrait": "Portret", "child_portrait": "Portret copil", "group": "Grup", "family_group": "Grup familie", "landscape": "Peisaj", "detail": "Detaliu"}
+
+
+def xmp_escape(c: str | Column) -> Column:
+    out = F.col(c) if isinstance(c, str) else c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def score_keyword(score: str = "ai_score") -> Column:
+    """The decade of a score: 'IA 80-89'; the last one is 90-99."""
+    band = F.greatest(F.lit(0), F.least(F.lit(90), (F.floor(F.col(score) / 10) * 10).cast("long")))
+    return F.concat(F.lit("IA "), band.cast("string"), F.lit("-"), (band + 9).cast("string"))
 
 
-def sidecar(caption: str | None = None) -> Column:
-    """XMP text of a decided photo: stars, label, score, series, keywords and caption; null for a pending one."""
+def sidecar_keywords(columns: Iterable[str]) -> Column:
+    """The user's keywords, persons, the scene's meaning, tags, score, series and what the project says, each once."""
+    have = set(columns)
+    list_of = lambda n: F.coalesce(F.col(n), F.array().cast("array<string>")) if n in have else F.array().cast("array<string>")
+    scene = F.create_map(*[F.lit(x) for kv in SCENE_WORDS.items() for x in kv])[F.col("scene_semantic")] if "scene_semantic" in have else F.lit(None).cast("string")
+    series = F.when(F.coalesce("group_id", F.lit("")) != "", F.concat(F.lit("Serie "), F.col("group_id")))
+    project = [F.concat(F.lit(f"{said}: "), F.nullif(F.col(n), F.lit(""))) for n, said in (("client", "Client"), ("event", "Event"), ("location", "Location")) if n in have]
+    return F.array_distinct(F.concat(list_of("keywords"), list_of("persons"), F.array_compact(F.array(scene)), list_of("tags"), F.array_compact(F.array(score_keyword(), series, *project))))
+
+
+def sidecar(columns: Iterable[str]) -> Column:
+    """XMP text of a decided photo: stars, label, score, series, client, keywords, caption, what decided the score, location and event; null for a pending one.
+
+    Columns that the view lacks (keywords, caption, factors, client, event, location) say nothing."""
+    have = set(columns)
+    text = lambda n: F.nullif(F.col(n), F.lit("")) if n in have else F.lit(None).cast("string")
     of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("status")]
+    tag = lambda before, c, after: F.coalesce(F.concat(F.lit(before), xmp_escape(c), F.lit(after)), F.lit(""))
+    bag = lambda name, items: F.when(F.size(items) > 0, F.concat(F.lit(f"<{name}><rdf:Bag>"), F.array_join(F.transform(items, lambda w: F.concat(F.lit("<rdf:li>"), xmp_escape(w), F.lit("</rdf:li>"))), ""), F.lit(f"</rdf:Bag></{name}>"))).otherwise("")
+    alt = lambda name, c: tag(f'<{name}><rdf:Alt><rdf:li xml:lang="x-default">', c, f"</rdf:li></rdf:Alt></{name}>")
     stars = F.when((F.col("status") != "rejected") & (F.col("rating") > 0), F.col("rating").cast("int")).otherwise(of(STARS))
-    band = F.floor(F.col("ai_score") / 10) * 10
-    words = F.array_distinct(F.concat("tags", "persons", F.array(F.concat(F.lit("IA "), band.cast("string"), F.lit("-"), F.least(F.lit(100), band + 9).cast("string")))))
-    score = F.coalesce(F.concat(F.lit(' fs:AIScore="'), round_half_up("ai_score").cast("string"), F.lit('"')), F.lit(""))
-    series = F.when(F.coalesce("group_id", F.lit("")) != "", F.concat(F.lit(' fs:SeriesId="'), xml_escape("group_id"), F.lit('"'))).otherwise("")
-    items = F.array_join(F.transform(words, lambda w: F.concat(F.lit("<rdf:li>"), xml_escape(w), F.lit("</rdf:li>"))), "")
-    subject = F.concat(F.lit("<dc:subject><rdf:Bag>"), items, F.lit("</rdf:Bag></dc:subject>"))
-    said = F.coalesce(F.nullif(F.col(caption), F.lit("")), F.lit(None)) if caption else F.lit(None).cast("string")
-    about = F.coalesce(F.concat(F.lit('<dc:description><rdf:Alt><rdf:li xml:lang="x-default">'), xml_escape(said), F.lit("</rdf:li></rdf:Alt></dc:description>")), F.lit(""))
-    return F.when(of(STARS).isNotNull(), F.format_string(XMP, stars.cast("string"), of(LABELS), score, series, subject, about))
+    attributes = F.concat(F.coalesce(F.concat(F.lit(' fs:AIScore="'), round_half_up("ai_score").cast("string"), F.lit('"')), F.lit("")), tag(' fs:SeriesId="', text("group_id"), '"'), tag(' fs:Client="', text("client"), '"'))
+    factors = F.coalesce("factors", F.array().cast("array<string>")) if "factors" in have else F.array().cast("array<string>")
+    inside = F.concat(bag("dc:subject", sidecar_keywords(have)), alt("dc:description", text("caption")), bag("fs:AIFactors", factors), tag("<Iptc4xmpCore:Location>", text("location"), "</Iptc4xmpCore:Location>"), alt("Iptc4xmpExt:Event", text("event")))
+    return F.when(of(STARS).isNotNull(), F.format_string(XMP, stars.cast("string"), of(LABELS), attributes, inside))
+
+
+def series_persons(photos: DataFrame) -> DataFrame:
+    """group_id, everyone: the persons that any frame of a series knows, in order (a frame of a burst may miss a face that another has)."""
+    each = photos.filter("coalesce(group_id, '') <> ''").select("group_id", F.explode("persons").alias("p")).distinct()
+    return each.groupBy("group_id").agg(F.array_sort(F.collect_list("p")).alias("everyone"))
+
+
+def sidecars(decided: DataFrame, library: DataFrame) -> DataFrame:
+    """id, xmp of decided photos; whoever is known in a series is in all its frames."""
+    j = decided.filter("status <> 'pending'").join(series_persons(library.select("group_id", "persons")), "group_id", "left")
+    j = j.withColumn("persons", F.coalesce("everyone", F.array_sort("persons"))).drop("everyone")
+    return j.select("id", sidecar(j.columns).alias("xmp"))
 
 
 def manifest(photos: DataFrame) -> DataFrame:

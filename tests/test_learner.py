@@ -12,20 +12,25 @@ from framesift.sources.bindings import photos
 SF = "/root/testdata/sf0.001"
 
 
+def half(v):
+    return 0.5 if v is None else v
+
+
 def plain_features(r):
     """Features of a row of the view (which has no lens, light or face boxes), worked out one by one."""
     n = r["face_count"]
     x = {
         "sharpness": r["sharpness"] / 100 if n else (r["sharpness"] / 100) ** 0.6, "exposureBalance": 1 - abs(r["exposure"] - 50) / 50, "exposureRaw": r["exposure"] / 100,
         "highlightClipping": r["highlight_clipping"] or 0, "shadowClipping": r["shadow_clipping"], "isoPenalty": 0, "apertureRaw": 0.5, "shutterSpeedRaw": 0.5,
-        "focalLengthRaw": 0.5 if r["focal"] is None else min(1, math.log2(max(r["focal"], 10) / 10) / 8), "flashFired": 0, "deliberateSettings": 0, "compositionScore": 0.5, "leadingLines": 0.5,
+        "focalLengthRaw": 0.5 if r["focal"] is None else min(1, math.log2(max(r["focal"], 10) / 10) / 8), "flashFired": 0, "deliberateSettings": 0, "compositionScore": half(r["composition_score"]), "leadingLines": 0.5,
         "symmetry": 0.5, "negativeSpace": 0.5, "lightHard": 0, "lightSoft": 0, "goldenHour": 0, "colorHarmony": 0.5, "noCameraMetadata": float(r["camera"] is None and r["focal"] is None),
     }
     if r["text_coverage"] is not None:
         x["textCoverage"] = r["text_coverage"]
     if n:
         x |= {"bestSmile": r["best_smile"], "allEyesOpen": float(r["all_eyes_open"]), "faceCount": n / 6, "knownFaceRatio": r["known_face_count"] / n, "strangerPenalty": (n - r["known_face_count"]) / n, "faceScore": 0, "ruleOfThirds": 0.5 if r["thirds"] is None else r["thirds"]}
-        x |= dict.fromkeys(["headroom", "groupEyesOpenRatio", "groupSmileRatio", "groupAwkwardRatio", "groupGenuineSmileRatio", "groupCatchlightRatio", "groupSkinToneNaturalRatio", "avgEyeContact", "avgEngagement", "bokehQuality", "bodyCroppedAtEdge"], 0.5)
+        x |= dict.fromkeys(["headroom", "groupGenuineSmileRatio", "groupCatchlightRatio", "groupSkinToneNaturalRatio", "avgEngagement", "bokehQuality", "bodyCroppedAtEdge"], 0.5)
+        x |= {"groupEyesOpenRatio": half(r["group_eyes_open"]), "groupSmileRatio": half(r["group_smile"]), "groupAwkwardRatio": half(r["group_awkward"]), "avgEyeContact": half(r["avg_eye_contact"])}
         x["subjectInFocus"] = 0.5 if r["subject_in_focus"] is None else float(r["subject_in_focus"])
     else:
         x["horizonLevel"] = 0.5 if r["horizon_tilt"] is None else max(0, 1 - abs(r["horizon_tilt"]) / 15)

@@ -149,27 +149,53 @@ def test_person_tracks(spark):
     assert got == want and want
 
 
+def plain_strip(frames):
+    """Frames [(id, faces)] of a series: cells {(track, frame): face} and (match, blinks, named) of each track."""
+    if len(frames) < 2 or not frames[0][1]:
+        return {}, []
+    first, faces = frames[0]
+    order = ["position", "embedding", "person"]
+    rows = [{"seed": f, "match": "person" if f["person"] else "embedding" if f["v"] else "position", "blinks": int(f["blinking"])} for f in faces]
+    cells = {(t, first): f["face"] for t, f in enumerate(faces)}
+    for frame, found in frames[1:]:
+        taken = set()
+        for t, row in enumerate(rows):
+            seed, pick, how = row["seed"], None, None
+            free = [f for f in found if f["face"] not in taken]
+            if seed["person"]:
+                pick = next((f for f in free if f["person"] == seed["person"]), None)
+                how = "person"
+            if pick is None and seed["v"]:
+                near = [(cosine(seed["v"], f["v"]), -f["face"], f) for f in free if f["v"] and len(f["v"]) == len(seed["v"])]
+                near = [x for x in near if x[0] >= 0.62]
+                if near:
+                    pick, how = max(near, key=lambda x: x[:2])[2], "embedding"
+            if pick is None:
+                near = [(math.hypot(seed["x"] - f["x"], seed["y"] - f["y"]), f["face"], f) for f in free]
+                near = [x for x in near if x[0] <= 0.18]
+                if near:
+                    pick, how = min(near, key=lambda x: x[:2])[2], "position"
+            cells[t, frame] = pick and pick["face"]
+            if pick:
+                taken.add(pick["face"])
+                row["blinks"] += pick["blinking"]
+                row["match"] = min(row["match"], how, key=order.index)
+    return cells, [(r["match"], r["blinks"], bool(r["seed"]["name"])) for r in rows]
+
+
 def test_face_tracks(spark):
-    """Without vectors: by person, else by the nearest centre, a track taking one face of a frame."""
     by = {}
-    for r in photos(spark, SF, "id", "group_id", "persons").filter("nullif(group_id, '') is not null").collect():
-        by.setdefault(r["group_id"], []).append(r)
+    for r in advanced.strip_faces(spark, SF).collect():
+        by.setdefault(r["series"], {}).setdefault(r["frame"], [])
+        if r["face"] is not None:
+            by[r["series"]][r["frame"]].append(r.asDict())
     want = set()
     for series, frames in by.items():
-        tracks = []
-        for r in sorted(frames, key=lambda r: r["id"]):
-            used = set()
-            for n, name in enumerate(r["persons"]):
-                person, x = (name if r["id"] % 3 else None), n * 0.3 + 0.1
-                scored = [(3.0 if person and t["p"] == person else 1 - abs(x - t["x"]) if abs(x - t["x"]) <= 0.18 else -1, -i) for i, t in enumerate(tracks) if i not in used]
-                s, i = max(scored, default=(-1, 0))
-                if s < 0:
-                    i = -len(tracks)
-                    tracks.append({"p": None, "x": 0})
-                tracks[-i] = {"p": person or tracks[-i]["p"], "x": x}
-                used.add(-i)
-                want.add((series, r["id"], n, -i))
-    assert {tuple(r) for r in QUERIES["face_tracks"](spark, SF).select("series", "frame", "face", "track").collect()} == want
+        cells, rows = plain_strip([(k, sorted(v, key=lambda f: f["face"])) for k, v in sorted(frames.items())])
+        places = sorted(range(len(rows)), key=lambda t: (-rows[t][1], not rows[t][2], t))
+        want |= {(series, t, f, face, rows[t][0], rows[t][1], places.index(t) + 1) for (t, f), face in cells.items()}
+    got = {tuple(r) for r in QUERIES["face_tracks"](spark, SF).select("series", "track", "frame", "face", "match", "blink_count", "place").collect()}
+    assert got == want and {w[4] for w in want} == {"person", "embedding", "position"} and any(w[3] is None for w in want)
 
 
 def frame(value):
