@@ -184,16 +184,28 @@ class Model:
         self.bias -= rate * error
         self.n += 1
 
+    def pair(self, winner: dict[str, float], loser: dict[str, float]) -> None:
+        """A step on the difference of two frames of a series; the bias stays, features alike say nothing."""
+        self.observe(winner)
+        self.observe(loser)
+        a, b = self.z(winner), self.z(loser)
+        d = {k: v for k in [*a, *(k for k in b if k not in a)] if (v := a.get(k, 0.0) - b.get(k, 0.0))}
+        self.step(d, self.chance(d, 0.0) - 1, RATE / math.sqrt(self.n + 1))
+
     def prefer(self, winner: dict[str, float], losers: list[dict[str, float]]) -> None:
-        """Steps on the differences of frames of a series, one decision in all; the bias stays, features alike say nothing."""
+        """A step for each loser, one decision in all."""
         for loser in losers:
-            self.observe(winner)
-            self.observe(loser)
-            a, b = self.z(winner), self.z(loser)
-            d = {k: v for k in [*a, *(k for k in b if k not in a)] if (v := a.get(k, 0.0) - b.get(k, 0.0))}
-            self.step(d, self.chance(d, 0.0) - 1, RATE / math.sqrt(self.n + 1))
+            self.pair(winner, loser)
         self.n += bool(losers)
 
+    def take(self, r: tuple) -> None:
+        """A row of a log: a decision, or one pair of a choice (the last one counts the choice)."""
+        if r.rival is None:
+            self.learn(dict(r.features), bool(r.user_decision), bool(r.ai_decision) != bool(r.user_decision))
+        else:
+            self.pair(dict(r.features), dict(r.rival))
+            self.n += bool(r.last)
+
 
 def biggest_shift(before: dict[str, float], after: dict[str, float], x: dict[str, float]) -> tuple[str, float] | None:
     """The feature of this photo whose weight moved most, if by more than SHIFT, and its new weight; ties to the first."""
@@ -206,16 +218,45 @@ MODEL_SCHEMA = "context_key string, weights map<string,double>, bias double, sta
 SHIFT_SCHEMA = "id long, context_key string, feature string, weight double"
 
 
+#: A log of decisions and choices: a decision has no rival; a choice is a row for each loser, the rival, and the last of them is marked.
+EVENT = "context_key string, features map<string,double>, rival map<string,double>, ai_decision boolean, user_decision boolean, ts long, id long, pos int, last boolean"
+
+
+def as_log(decisions: DataFrame) -> DataFrame:
+    """Decisions (context_key, features, ai_decision, user_decision, ts, id) as rows of EVENT; a log stays as it is."""
+    missing = {"rival": F.lit(None).cast("map<string,double>"), "pos": F.lit(0), "last": F.lit(True)}
+    names = ["context_key", "features", "rival", "ai_decision", "user_decision", "ts", "id", "pos", "last"]
+    return decisions.select(*[F.col(n) if n in decisions.columns else missing[n].alias(n) for n in names])
+
+
+def choice_log(choices: DataFrame, photos: DataFrame) -> DataFrame:
+    """A log of choices (winner_id, loser_id, pos, ts): the winner's context, and for each loser the features of both.
+
+    photos: id, context_key, features. Losers that aren't there are passed over, and choices without a loser or a winner."""
+    w = photos.select(F.col("id").alias("winner_id"), "context_key", "features")
+    l = photos.select(F.col("id").alias("loser_id"), F.col("features").alias("rival"))  # noqa: E741
+    j = choices.join(w, "winner_id").join(l, "loser_id")
+    last = j.groupBy("winner_id", "ts").agg(F.max("pos").alias("_last"))
+    j = j.join(last, ["winner_id", "ts"])
+    none = F.lit(None).cast("boolean")
+    return j.select("features", "rival", none.alias("ai_decision"), none.alias("user_decision"), "ts", F.col("winner_id").alias("id"), F.col("pos").cast("int").alias("pos"), (F.col("pos") == F.col("_last")).alias("last"), "context_key")
+
+
+def ai_decision(score: str = "ai_score") -> Column:
+    """What the model is held to have said: keep from 65 on, whatever the thresholds have moved to."""
+    return F.col(score) >= 65
+
+
 def _in_order(decisions: DataFrame) -> DataFrame:
-    return decisions.select("context_key", "features", "ai_decision", "user_decision", "ts", "id").repartition("context_key").sortWithinPartitions("context_key", "ts", "id")
+    return as_log(decisions).repartition("context_key").sortWithinPartitions("context_key", "ts", "id", "pos")
 
 
 def replay(decisions: DataFrame) -> DataFrame:
-    """One model for each context and one over all, by replaying decisions (context_key, features, ai_decision, user_decision, ts, id) in order.
+    """One model for each context and one over all, by replaying decisions and choices (rows of EVENT, or of decisions alone) in one order.
 
     The order of a context's decisions is its meaning, so each context is one
-    task's, and so is the global one; decisions stream through and only the
-    model is held."""
+    task's, and so is the global one; rows stream through and only the model is
+    held."""
     both = _in_order(decisions.unionByName(decisions.withColumn("context_key", F.lit(GLOBAL))))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +271,7 @@ def replay(decisions: DataFrame) -> DataFrame:
                     if m.n:
                         yield told()
                     key, m = r.context_key, Model()
-                m.learn(dict(r.features), bool(r.user_decision), bool(r.ai_decision) != bool(r.user_decision))
+                m.take(r)
         if m.n:
             yield told()
 
@@ -247,6 +288,9 @@ def shifts(decisions: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 if r.context_key != key:
                     key, m = r.context_key, Model()
+                if r.rival is not None:
+                    m.take(r)
+                    continue
                 x, wrong, before = dict(r.features), bool(r.ai_decision) != bool(r.user_decision), dict(m.weights)
                 m.learn(x, bool(r.user_decision), wrong)
                 if wrong and (s := biggest_shift(before, m.weights, x)):

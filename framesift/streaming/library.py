@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scoring import GLOBAL, Model
+from ..operators.scoring import GLOBAL, Model, as_log
 
 DECISION = "context_key string, features map<string,double>, ai_decision boolean, user_decision boolean, ts long, id long"
 STATE = "weights map<string,double>, bias double, stats map<string,array<double>>, n long"
@@ -33,7 +33,8 @@ def hourly_usage(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> Dat
 
 
 def learner(decisions: DataFrame) -> DataFrame:
-    """Models after each batch: state is kept for each context and for the global one. Within a batch decisions are taken in order of (ts, id)."""
+    """Models after each batch of decisions and choices: state is kept for each context and for the global one. Within a batch rows are taken in order of (ts, id); a batch of a context is held whole, so bound it by files a trigger."""
+    decisions = as_log(decisions)
     both = decisions.unionByName(decisions.withColumn("context_key", F.lit(GLOBAL)))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,9 +42,9 @@ def learner(decisions: DataFrame) -> DataFrame:
         if state.exists:
             w, bias, stats, n = state.get
             m = Model(dict(w), bias, {k: list(v) for k, v in dict(stats).items()}, n).repaired()
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        rows = pd.concat(list(batches)).sort_values(["ts", "id", "pos"])
         for r in rows.itertuples(index=False):
-            m.learn(dict(r.features), bool(r.user_decision), bool(r.ai_decision) != bool(r.user_decision))
+            m.take(r)
         state.update((m.weights, m.bias, m.stats, m.n))
         yield pd.DataFrame([{"context_key": key[0], "weights": m.weights, "bias": m.bias, "n": m.n}])
 
