@@ -129,3 +129,17 @@ def text_coverage(boxes: str, width: str = "width", height: str = "height") -> C
     total = F.aggregate(boxes, F.lit(0.0), lambda t, b: t + b[2] * b[3])
     frame = F.col(width) * F.col(height)
     return F.when(frame > 0, F.least(F.lit(1.0), total / frame)).otherwise(0.0)
+
+
+def composition(faces: Column, thirds: Column, headroom: Column, leading_lines: Column, symmetry: Column, negative_space: Column) -> Column:
+    """How well a frame is composed, to two digits: by the faces' place, else by lines, symmetry and some, not too much, empty space."""
+    bare = F.greatest(F.lit(0.0), 1 - F.abs(negative_space - 0.3) / 0.7)
+    yes = lambda c: F.when(c, 1.0).otherwise(0.0)
+    score = F.when(faces, 0.6 * thirds + 0.4 * headroom).otherwise(0.4 * yes(leading_lines) + 0.3 * yes(symmetry) + 0.3 * bare)
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 100 + 0.5) / 100
+
+
+def scene_meaning(scene: Column, face_count: Column, youngest: Column) -> Column:
+    """The scene, and whether a child below 13 is in it."""
+    child = F.coalesce(youngest < 13, F.lit(False))
+    return F.when(face_count == 0, scene).when((scene == "portrait") & child, "child_portrait").when((scene == "group") & child, "family_group").otherwise(scene)

@@ -116,9 +116,9 @@ def known_tags(ordered: DataFrame, most: int = TAGS) -> list[str]:
     return [r["tag"] for r in first.orderBy("first", "tag").limit(most).collect()]
 
 
-def ranges(decisions: DataFrame) -> DataFrame:
-    """Decisions with ``at`` (their place in the order of ts and id) and ``part`` (the range that they are in), written once."""
-    dealt = decisions.repartitionByRange("ts", "id").sortWithinPartitions("ts", "id").withColumn("at", F.monotonically_increasing_id())
+def ranges(decisions: DataFrame, parts: int | None = None) -> DataFrame:
+    """Decisions with ``at`` (their place in the order of ts and id) and ``part`` (the range that they are in), written once; as many ranges as their size asks for, or ``parts``."""
+    dealt = decisions.repartitionByRange(*([parts] if parts else []), "ts", "id").sortWithinPartitions("ts", "id").withColumn("at", F.monotonically_increasing_id())
     return checkpointed(dealt.withColumn("part", F.shiftright("at", 33)))
 
 
@@ -162,9 +162,9 @@ def carried(sums: DataFrame, known: list[str], *, whole: bool = False) -> DataFr
     return sums.repartition(1).sortWithinPartitions("part").mapInPandas(run, STATE)
 
 
-def affinities(decisions: DataFrame, most_tags: int = TAGS) -> DataFrame:
+def affinities(decisions: DataFrame, most_tags: int = TAGS, parts: int | None = None) -> DataFrame:
     """Decisions (id, ts, kept, embedding, tags and others) with content_affinity and subject_affinity as they were before each; null where memory can't tell."""
-    ordered = ranges(decisions.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double"))))
+    ordered = ranges(decisions.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double"))), parts)
     known = known_tags(ordered, most_tags)
     before = checkpointed(carried(summed(ordered, known), known))
     fields = [c.split()[0] for c in STATE.split(", ")[1:]]

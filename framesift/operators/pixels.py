@@ -1,4 +1,4 @@
-"""Image kernels over rows of RGB pixels, as Arrow batches.
+"""Image kernels over rows of RGB pixels, as Arrow batches (edits.py draws on them).
 
 A frame is a row with width, height and ``pixels`` (BINARY, RGB, row by row).
 Each kernel is a plain numpy function of an (h, w, 3) array; ``measure`` runs
@@ -18,19 +18,52 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     return rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
-def shrink(y: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Nearest sample of each cell's centre."""
-    r = np.minimum(((np.arange(h) + 0.5) * y.shape[0] / h).astype(int), y.shape[0] - 1)
-    c = np.minimum(((np.arange(w) + 0.5) * y.shape[1] / w).astype(int), y.shape[1] - 1)
-    return y[np.ix_(r, c)]
+def area_weights(n: int, m: int) -> np.ndarray:
+    """(m, n): how much of each of n cells lies in each of m, as shares of the larger one."""
+    edges, at = np.arange(m + 1) * n / m, np.arange(n)
+    cover = np.minimum(edges[1:, None], at[None, :] + 1) - np.maximum(edges[:-1, None], at[None, :])
+    return np.maximum(0, cover) * m / n
+
+
+def area(rgb: np.ndarray, w: int, h: int) -> np.ndarray:
+    """A frame in another size, every pixel the mean of the area that it covers, in whole values."""
+    out = np.einsum("yi,xj,ijc->yxc", area_weights(rgb.shape[0], h), area_weights(rgb.shape[1], w), rgb.astype(np.float64), optimize=True)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
 def dhash(rgb: np.ndarray) -> int:
-    """64 bits: is each of 9x8 samples brighter than the one to its right."""
-    s = shrink(luma(rgb), 9, 8)
+    """64 bits: is each of 9x8 areas brighter than the one to its right."""
+    s = luma(area(rgb, 9, 8))
     return int(np.packbits((s[:, :-1] > s[:, 1:]).ravel()).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
+#: Longest sides of the smaller versions of a frame; the last level is what dhash sees.
+THUMB, TINY, HASH_LEVEL = 480, 24, (9, 8)
+
+
+def pyramid(frames: DataFrame, thumb: int = THUMB, tiny: int = TINY) -> DataFrame:
+    """Add ``levels``: an array of (name, width, height, scale, pixels) of the smaller versions of each frame, and ``dhash`` of the last; null for broken frames."""
+
+    @F.pandas_udf("levels array<struct<name:string,width:int,height:int,scale:double,pixels:binary>>, dhash bigint")
+    def run(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, w, h in zip(pixels, width, height, strict=True):
+            a = decode(p, w, h)
+            if a is None:
+                rows.append((None, None))
+                continue
+            levels = []
+            for name, side in (("thumb", thumb), ("tiny", tiny)):
+                k = min(1.0, side / max(a.shape[:2]))
+                x, y = (max(1, int(np.floor(n * k + 0.5))) for n in (a.shape[1], a.shape[0]))
+                levels.append((name, x, y, k, area(a, x, y).tobytes()))
+            levels.append(("hash", *HASH_LEVEL, HASH_LEVEL[0] / a.shape[1], area(a, *HASH_LEVEL).tobytes()))
+            rows.append(([dict(zip(("name", "width", "height", "scale", "pixels"), x, strict=True)) for x in levels], dhash(a)))
+        return pd.DataFrame({"levels": [r[0] for r in rows], "dhash": pd.array([r[1] for r in rows], "Int64")})
+
+    return frames.withColumn("_p", run("pixels", "width", "height")).select("*", "_p.levels", "_p.dhash").drop("_p")
+
+
 def laplacian(y: np.ndarray) -> np.ndarray:
     return 4 * y[1:-1, 1:-1] - y[:-2, 1:-1] - y[2:, 1:-1] - y[1:-1, :-2] - y[1:-1, 2:]
 
@@ -79,33 +112,56 @@ def horizon_tilt(rgb: np.ndarray) -> float | None:
     return float(np.floor(mean * 10 + 0.5) / 10)
 
 
-def symmetry(rgb: np.ndarray) -> float:
-    y = luma(rgb)
-    return float(1 - np.abs(y - y[:, ::-1]).mean() / 255)
+#: Gradients from EDGE on are edges; share of one of 18 directions that makes lines lead; likeness of the halves that makes a frame symmetric; variance below which a cell is empty.
+EDGE, LEADING, SYMMETRIC, EMPTY = 18, 0.22, 0.6, 60
+
+
+def edges(rgb: np.ndarray) -> np.ndarray:
+    """Gradient of every pixel, 0 along the border."""
+    out = np.zeros(rgb.shape[:2])
+    if min(out.shape) >= 3:
+        out[1:-1, 1:-1] = np.hypot(*sobel(luma(rgb)))
+    return out
+
+
+def block_sums(y: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of whole blocks of a grid, and the pixels of each; what is left over at the right and below is in none."""
+    bh, bw = max(1, y.shape[0] // rows), max(1, y.shape[1] // cols)
+    r, c = min(rows, y.shape[0] // bh), min(cols, y.shape[1] // bw)
+    return y[: r * bh, : c * bw].reshape(r, bh, c, bw).sum(axis=(1, 3)), np.full((r, c), bh * bw)
 
 
-def negative_space(rgb: np.ndarray, cells: int = 8) -> float:
-    """Share of cells with a variance below 60."""
+def symmetry(rgb: np.ndarray, grid: int = 16) -> bool:
+    """Edges of the left half lie as those of the right half do in a mirror."""
+    m = edges(rgb)
+    half = m.shape[1] // 2
+    if not half:
+        return False
+    a, b = block_sums(m[:, :half], grid, grid)[0], block_sums(m[:, ::-1][:, :half], grid, grid)[0]
+    return bool((a * a).sum() >= 1 and (b * b).sum() >= 1 and (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()) > SYMMETRIC)
+
+
+def negative_space(rgb: np.ndarray, grid: int = 10) -> float:
+    """Share of cells in which next to nothing happens."""
     y = luma(rgb)
-    h, w = (y.shape[0] // cells) * cells, (y.shape[1] // cells) * cells
-    if not h or not w:
+    total, n = block_sums(y, grid, grid)
+    if not n.size:
         return 0.0
-    c = y[:h, :w].reshape(cells, h // cells, cells, w // cells).transpose(0, 2, 1, 3).reshape(cells * cells, -1)
-    return float((c.var(axis=1) < 60).mean())
+    return float((block_sums(y * y, grid, grid)[0] / n - (total / n) ** 2 < EMPTY).mean())
 
 
 def leading_lines(rgb: np.ndarray) -> bool:
-    """One of 18 edge directions holds more than 22 % of the strong edges."""
+    """One of 18 edge directions holds more than LEADING of all edges, by their strength."""
     if min(rgb.shape[:2]) < 3:
         return False
     gx, gy = sobel(luma(rgb))
     m = np.hypot(gx, gy)
-    strong = m > 80
-    if not strong.any():
+    use = m >= EDGE
+    if m[use].sum() < 1:
         return False
-    a = (np.degrees(np.arctan2(gy[strong], gx[strong])) % 180 // 10).astype(int)
-    n = np.bincount(a, minlength=18)
-    return bool(n.max() / n.sum() > 0.22)
+    along = (np.degrees(np.arctan2(gy[use], gx[use])) + 180) % 180
+    n = np.bincount(np.minimum(17, (along / 10).astype(int)), m[use], 18)
+    return bool(n.max() / n.sum() > LEADING)
 
 
 def light_quality(rgb: np.ndarray) -> str:
@@ -180,26 +236,75 @@ def hue(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(top > low, h, 0), np.where(top > 0, (top - low) / np.where(top > 0, top, 1), 0), top
 
 
-def warm_share(rgb: np.ndarray) -> float:
-    """Share of pixels in golden hues, of some saturation."""
-    h, s, v = hue(rgb)
-    return float(((h >= 20) & (h <= 55) & (s > 0.25) & (v > 0.3)).mean())
+#: Hue bins; mean saturation below which a frame is grey, and what its harmony counts then; warm share and saturation of a golden hour, and its exposures.
+HUES, GREY, GREY_HARMONY, WARM, RICH, LIT = 12, 0.12, 0.85, 0.3, 0.25, (25, 85)
+
+
+def colours(rgb: np.ndarray) -> dict:
+    """harmony (share of the three heaviest hues), dominant (their mean colours) and golden_hour, from every second pixel weighted by saturation and brightness."""
+    px = rgb.reshape(1, -1, 3)[:, ::2]
+    h, s, v = (x[0] for x in hue(px))
+    weight = s * v
+    at = np.minimum(HUES - 1, (h / (360 / HUES)).astype(int))
+    n = np.bincount(at, weight, HUES)
+    total, rich = float(n.sum()), float(s.mean()) if len(s) else 0.0
+    order = np.argsort(-n, kind="stable")[:3]
+    sums = np.stack([np.bincount(at, px[0, :, i] * weight, HUES) for i in range(3)], axis=1)
+    dominant = ["#" + "".join(f"{int(np.floor(c + 0.5)):02x}" for c in sums[k] / n[k]) for k in order if n[k] > 0]
+    harmony = GREY_HARMONY if rich < GREY else min(1.0, float(n[order].sum()) / total) if total > 0 else 0.5
+    lit = exposure(rgb)
+    golden = total > 0 and (n[0] + n[1]) / total > WARM and rich > RICH and LIT[0] < lit < LIT[1]
+    return {"harmony": float(np.floor(harmony * 100 + 0.5) / 100), "dominant": dominant, "golden_hour": bool(golden)}
+
+
+#: Hues of skin, in degrees, and the saturation from which a pixel has one.
+SKIN_UPTO, SKIN_FROM, SKIN_SATURATION = 50, 350, 0.08
+
+
+def natural_skin(rgb: np.ndarray, box: list[float]) -> bool | None:
+    """Is the mean hue in a face's box one of skin; None without colour."""
+    h, w = rgb.shape[:2]
+    x0, y0, x1, y1 = (int(np.floor(v * n + 0.5)) for v, n in ((box[0], w), (box[1], h), (box[0] + box[2], w), (box[1] + box[3], h)))
+    part = rgb[max(0, y0) : max(0, min(h, y1)), max(0, x0) : max(0, min(w, x1))]
+    if not part.size:
+        return None
+    t, s, v = hue(part)
+    weight = np.where(s >= SKIN_SATURATION, s * v, 0)
+    if weight.sum() < 1:
+        return None
+    mean = np.degrees(np.arctan2((weight * np.sin(np.radians(t))).sum(), (weight * np.cos(np.radians(t))).sum())) % 360
+    return bool(mean <= SKIN_UPTO or mean >= SKIN_FROM)
+
+
+def skin_tones(frames: DataFrame) -> DataFrame:
+    """Add ``natural_skin``: an array of what the boxes of each frame show (null where it can't be told), and ``skin_ratio``, the share that is natural of those that can."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(pixels: pd.Series, width: pd.Series, height: pd.Series, boxes: pd.Series) -> pd.Series:
+        arrays = (decode(p, w, h) for p, w, h in zip(pixels, width, height, strict=True))
+        return pd.Series([None if a is None or b is None else [natural_skin(a, list(x)) for x in b] for a, b in zip(arrays, boxes, strict=True)])
+
+    known = F.filter("natural_skin", lambda x: x.isNotNull())
+    return frames.withColumn("natural_skin", run("pixels", "width", "height", "boxes")).withColumn("skin_ratio", F.when(F.size(known) > 0, F.size(F.filter(known, lambda x: x)) / F.size(known)))
 
 
-def skin_share(rgb: np.ndarray) -> float:
-    r, g, b = (rgb[..., i].astype(int) for i in range(3))
-    return float(((r > 95) & (g > 40) & (b > 20) & (r > g) & (r > b) & (r - np.minimum(g, b) > 15) & (np.abs(r - g) > 15)).mean())
+BUCKETS, BLACK, WHITE = 64, 2, 253
 
 
-def histogram(rgb: np.ndarray, bins: int = 64) -> list[int]:
-    """Counts of red, green, blue and luma in ``bins`` buckets each, one after another."""
-    c = [rgb[..., i].ravel() for i in range(3)] + [luma(rgb).ravel()]
-    return [int(x) for v in c for x in np.bincount(np.minimum(bins - 1, (v * bins / 256).astype(int)), minlength=bins)]
+def histogram(rgb: np.ndarray, stride: int = 4) -> dict:
+    """Counts of every ``stride``-th pixel in BUCKETS of red, green, blue and luma, the highest of the three colours, and the shares without detail at either end."""
+    px = rgb.reshape(-1, 3)[:: max(1, stride)].astype(int)
+    y = px @ np.array([299, 587, 114]) / 1000
+    count = lambda v: np.bincount(np.minimum(BUCKETS - 1, (v * BUCKETS / 256).astype(int)), minlength=BUCKETS)
+    c = {k: count(px[:, i]) for i, k in enumerate("rgb")}
+    ends = {"shadows": float((px <= BLACK).all(axis=1).mean()), "highlights": float((px >= WHITE).any(axis=1).mean())} if len(px) else {"shadows": 0.0, "highlights": 0.0}
+    return {**{k: v.tolist() for k, v in c.items()}, "luma": count(y).tolist(), "peak": int(max(v.max() for v in c.values())), **ends}
 
 
 KERNELS: dict[str, tuple[str, Callable]] = {
     "dhash": ("bigint", dhash), "sharpness": ("double", sharpness), "exposure": ("double", exposure), "highlight_clipping": ("double", highlight_clipping), "shadow_clipping": ("double", shadow_clipping),
-    "horizon_tilt": ("double", horizon_tilt), "symmetry": ("double", symmetry), "negative_space": ("double", negative_space), "leading_lines": ("boolean", leading_lines), "light_quality": ("string", light_quality), "catchlight": ("boolean", catchlight), "warm_share": ("double", warm_share), "skin_share": ("double", skin_share), "histogram": ("array<int>", histogram),
+    "horizon_tilt": ("double", horizon_tilt), "symmetry": ("boolean", symmetry), "negative_space": ("double", negative_space), "leading_lines": ("boolean", leading_lines), "light_quality": ("string", light_quality), "catchlight": ("boolean", catchlight), 
+    "colours": ("struct<harmony:double,dominant:array<string>,golden_hour:boolean>", colours), "histogram": ("struct<r:array<int>,g:array<int>,b:array<int>,luma:array<int>,peak:int,shadows:double,highlights:double>", histogram),
 }
 
 
@@ -224,108 +329,3 @@ def measure(frames: DataFrame, *names: str) -> DataFrame:
         return pd.DataFrame(rows, columns=list(names))
 
     return frames.withColumn("measures", run("pixels", "width", "height"))
-
-
-# edits
-
-
-def brightness(rgb: np.ndarray, amount: float) -> np.ndarray:
-    return np.clip(rgb.astype(np.float64) * (1 + amount / 100), 0, 255)
-
-
-def contrast(rgb: np.ndarray, amount: float) -> np.ndarray:
-    return np.clip((np.asarray(rgb, np.float64) - 127.5) * (1 + amount / 100) + 127.5, 0, 255)
-
-
-def saturation(rgb: np.ndarray, amount: float) -> np.ndarray:
-    y = luma(rgb)[..., None]
-    return np.clip(y + (np.asarray(rgb, np.float64) - y) * (1 + amount / 100), 0, 255)
-
-
-def curve_table(points: list[tuple[float, float]]) -> np.ndarray:
-    """256 values of a monotone cubic curve through the points (Fritsch and Carlson, 1980)."""
-    p = sorted(points)
-    x, y = np.array([a for a, _ in p], float), np.array([b for _, b in p], float)
-    if len(x) < 2:
-        return np.arange(256.0) if not len(x) else np.full(256, y[0])
-    d = np.diff(y) / np.diff(x)
-    m = np.concatenate([[d[0]], (d[:-1] + d[1:]) / 2, [d[-1]]])
-    for i, s in enumerate(d):
-        if s == 0:
-            m[i] = m[i + 1] = 0
-        else:
-            r = np.hypot(m[i] / s, m[i + 1] / s)
-            if r > 3:
-                m[i], m[i + 1] = 3 * m[i] / r, 3 * m[i + 1] / r
-    t = np.clip(np.arange(256.0), x[0], x[-1])
-    k = np.clip(np.searchsorted(x, t, side="right") - 1, 0, len(x) - 2)
-    h = x[k + 1] - x[k]
-    u = (t - x[k]) / h
-    return np.clip((2 * u**3 - 3 * u**2 + 1) * y[k] + (u**3 - 2 * u**2 + u) * h * m[k] + (3 * u**2 - 2 * u**3) * y[k + 1] + (u**3 - u**2) * h * m[k + 1], 0, 255)
-
-
-def vignette(rgb: np.ndarray, amount: float) -> np.ndarray:
-    h, w = rgb.shape[:2]
-    y, x = np.mgrid[0:h, 0:w]
-    r = np.hypot((x - (w - 1) / 2) / max(1, w / 2), (y - (h - 1) / 2) / max(1, h / 2)) / np.sqrt(2)
-    return np.clip(rgb.astype(np.float64) * (1 - amount / 100 * np.clip(r, 0, 1) ** 2)[..., None], 0, 255)
-
-
-def sharpen(rgb: np.ndarray, amount: float) -> np.ndarray:
-    """Unsharp mask with a 3x3 box."""
-    a = np.pad(np.asarray(rgb, np.float64), ((1, 1), (1, 1), (0, 0)), mode="edge")
-    h, w = rgb.shape[:2]
-    blur = sum(a[i : i + h, j : j + w] for i in range(3) for j in range(3)) / 9
-    return np.clip(rgb + amount / 100 * (rgb - blur), 0, 255)
-
-
-def rotate(rgb: np.ndarray, quarter_turns: int) -> np.ndarray:
-    return np.rot90(rgb, -quarter_turns)
-
-
-def crop(rgb: np.ndarray, x: float, y: float, w: float, h: float) -> np.ndarray:
-    """A part given in shares of the frame."""
-    hh, ww = rgb.shape[:2]
-    return rgb[round(y * hh) : max(round(y * hh) + 1, round((y + h) * hh)), round(x * ww) : max(round(x * ww) + 1, round((x + w) * ww))]
-
-
-def auto_levels(rgb: np.ndarray, cut: float = 0.005) -> np.ndarray:
-    """Stretch each channel between its outer quantiles."""
-    a = np.asarray(rgb, np.float64)
-    lo, hi = np.quantile(a, cut, axis=(0, 1)), np.quantile(a, 1 - cut, axis=(0, 1))
-    return np.clip((a - lo) / np.maximum(1, hi - lo) * 255, 0, 255)
-
-
-def white_balance(rgb: np.ndarray, most: float = 0.4) -> np.ndarray:
-    """Grey world, with a bounded gain."""
-    a = np.asarray(rgb, np.float64)
-    mean = a.mean(axis=(0, 1))
-    return np.clip(a * np.clip(mean.mean() / np.maximum(1, mean), 1 - most, 1 + most), 0, 255)
-
-
-#: The order in which edits are drawn.
-STEPS: list[tuple[str, Callable]] = [("brightness", brightness), ("contrast", contrast), ("saturation", saturation), ("sharpen", sharpen), ("vignette", vignette)]
-
-
-def draw(rgb: np.ndarray, edits: dict[str, float], curve: list[tuple[float, float]] | None = None) -> np.ndarray:
-    out = np.asarray(rgb, np.float64)
-    for name, f in STEPS:
-        if edits.get(name):
-            out = f(out, float(edits[name]))
-        if name == "saturation" and curve:
-            out = curve_table(curve)[np.clip(np.floor(out + 0.5), 0, 255).astype(int)]
-    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
-
-
-def edited(frames: DataFrame) -> DataFrame:
-    """Replace ``pixels`` by the frame with its ``edits`` (MAP<STRING, DOUBLE>) drawn; no edits, no change."""
-
-    @F.pandas_udf("binary")
-    def run(pixels: pd.Series, width: pd.Series, height: pd.Series, edits: pd.Series) -> pd.Series:
-        out = []
-        for p, w, h, e in zip(pixels, width, height, edits, strict=True):
-            a = decode(p, w, h)
-            out.append(p if a is None or not e else draw(a, dict(e)).tobytes())
-        return pd.Series(out)
-
-    return frames.withColumn("pixels", run("pixels", "width", "height", "edits"))

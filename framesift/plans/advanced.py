@@ -179,21 +179,6 @@ def sniff_formats(s, d):
     return b.select("page_id", files.sniff().alias("format"))
 
 
-@query("frame_measures")
-def frame_measures(s, d):
-    """Kernels on small frames made from the events, 24 x 16 pixels."""
-    n = 24 * 16 * 3
-    p = table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((i * (F.col("event_id") % 17 + 1) + F.col("user_id")) % 256), 2, "0")), "")).alias("pixels"))
-    return K.measure(p).select("id", "measures.dhash", "measures.sharpness", "measures.exposure", "measures.highlight_clipping", "measures.leading_lines")
-
-
-@query("edited_frames")
-def edited_frames(s, d):
-    n = 24 * 16 * 3
-    p = table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("user_id")) % 256), 2, "0")), "")).alias("pixels"), F.create_map(F.lit("contrast"), F.lit(20.0), F.lit("vignette"), F.lit(30.0)).alias("edits"))
-    return K.edited(p).select("id", F.sha2("pixels", 256).alias("digest"))
-
-
 COMPOSITES = """+ f as (
   select group_id as series, id as frame, i as track, case when (id + i) % 4 = 1 then 'P' || i end as name,
     case when (id + i) % 5 = 0 then 0::double else greatest(0::double, least(1::double, 0.55::double + 0.3::double * (((id * 7 + i * 3) % 11) / 10.0::double) + 0.15::double * (case when (id + i) % 6 = 0 then 0.5::double else ((id * 11 + i) % 9) / 8.0::double end) - case when (id + i) % 7 = 0 then 0.45::double else 0::double end)) end as quality

@@ -62,10 +62,10 @@ def made(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("most", [7, 600])
-def test_affinities_are_those_of_the_time(spark, most):
+@pytest.mark.parametrize(("most", "parts"), [(7, 9), (600, 4), (600, None)])
+def test_affinities_are_those_of_the_time(spark, most, parts):
     rows = made(900, most)
-    got = {(r["id"], r["ts"]): (r["content_affinity"], r["subject_affinity"]) for r in M.affinities(spark.createDataFrame(rows, SCHEMA).repartition(5), most).collect()}
+    got = {(r["id"], r["ts"]): (r["content_affinity"], r["subject_affinity"]) for r in M.affinities(spark.createDataFrame(rows, SCHEMA).repartition(5), most, parts).collect()}
     want = plain_affinities(rows, most)
     assert got.keys() == want.keys() and sum(a is not None for a, _ in want.values()) > 100 and sum(b is not None for _, b in want.values()) > 100
     for k, (a, b) in want.items():
@@ -74,7 +74,7 @@ def test_affinities_are_those_of_the_time(spark, most):
 
 def test_no_task_holds_the_history(spark):
     """Each range of decisions is one of several, and passes on one row."""
-    ordered = M.ranges(spark.createDataFrame(made(900, 3), SCHEMA).withColumn("embedding", F.col("embedding").cast("array<double>")).repartition(5))
+    ordered = M.ranges(spark.createDataFrame(made(900, 3), SCHEMA).withColumn("embedding", F.col("embedding").cast("array<double>")).repartition(5), 6)
     sizes = [r["count"] for r in ordered.groupBy("part").count().collect()]
     known = M.known_tags(ordered)
     assert len(sizes) > 2 and max(sizes) < 900 and M.summed(ordered, known).count() == len(sizes)
