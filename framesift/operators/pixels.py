@@ -7,6 +7,7 @@ those asked for in one pass over the batch, so pixels go to Python once."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     return rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
+@lru_cache(maxsize=256)
 def area_weights(n: int, m: int) -> np.ndarray:
     """(m, n): how much of each of n cells lies in each of m, as shares of the larger one."""
     edges, at = np.arange(m + 1) * n / m, np.arange(n)
@@ -27,7 +29,9 @@ def area_weights(n: int, m: int) -> np.ndarray:
 
 def area(rgb: np.ndarray, w: int, h: int) -> np.ndarray:
     """A frame in another size, every pixel the mean of the area that it covers, in whole values."""
-    out = np.einsum("yi,xj,ijc->yxc", area_weights(rgb.shape[0], h), area_weights(rgb.shape[1], w), rgb.astype(np.float64), optimize=True)
+    high, wide = rgb.shape[:2]
+    rows = (area_weights(high, h) @ rgb.reshape(high, wide * 3).astype(np.float64)).reshape(h, wide, 3)
+    out = np.matmul(area_weights(wide, w), rows)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 

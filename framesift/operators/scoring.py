@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import round_half_up
+from .similarity import spread
 
 #: Weight of each feature before anything is learned.
 PRIOR = {
@@ -309,7 +310,7 @@ def predict(photos: DataFrame, models: DataFrame, *, enrolled: bool = True) -> D
     few = (lambda m: F.broadcast(m)) if models.limit(10_001).count() <= 10_000 else (lambda m: m)
     literal = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])
     prior, plain = literal(PRIOR), literal(seeds())
-    x = photos.select("id", context_key().alias("context_key"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.alias("v")) for i, (k, v) in enumerate(feature_columns(photos.columns, enrolled=enrolled).items())]).alias("x"))
+    x = spread(photos).select("id", context_key().alias("context_key"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.alias("v")) for i, (k, v) in enumerate(feature_columns(photos.columns, enrolled=enrolled).items())]).alias("x"))
     x = x.withColumn("x", F.filter("x", lambda e: e["v"].isNotNull()))
     c = few(models.filter(F.col("context_key") != GLOBAL).toDF("context_key", "cw", "cb", "cs", "cn"))
     g = models.filter(F.col("context_key") == GLOBAL).select(F.col("weights").alias("gw"), F.col("bias").alias("gb"), F.col("stats").alias("gs"))  # one row at most

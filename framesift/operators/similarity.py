@@ -32,6 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores before work that is heavy for each row, where a small table comes in fewer pieces than there are cores; else leave it as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def bands(radius: int, rows: int = 100_000) -> tuple[int, int, int]:
     """Into how many bands to cut a hash, and how many bits of a band to flip on either side: what costs least in rows to be dealt (eight times a candidate) and, for about so many hashes, in candidates."""
     from math import comb

@@ -10,8 +10,9 @@ from ..operators import autoedit as U
 from ..operators import edits as E
 from ..operators import faces as X
 from ..operators import pixels as K
-from ..sources.bindings import PHOTOS_SQL
-from .gallery import seen
+from ..operators.similarity import spread
+from ..sources.bindings import photos
+from .gallery import FACES
 from .library import query
 
 WIDTH, HEIGHT = 24, 16
@@ -35,7 +36,7 @@ def pixels_of(id: str, user: str):
 
 def pictures(s, d, *columns):
     """A frame of 24 x 16 pixels for every photo, with columns of the view."""
-    p = seen(s, d)
+    p = spread(photos(s, d)).withColumn("faces", F.expr(FACES))
     return p.select("id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), pixels_of("id", "user_id").alias("pixels"), *columns)
 
 
@@ -79,8 +80,6 @@ SCORED = "+ m as (select *, id % 3 = 0 as lines, id % 5 < 2 as sym, (id % 11) /
 
 @query("composition_scores", SCORED)
 def composition_scores(s, d):
-    from ..sources.bindings import photos
-
     p, n = photos(s, d, "id", "face_count", "thirds", "scene_type"), F.col("id")
     score = X.composition(F.col("face_count") > 0, F.coalesce("thirds", F.lit(0.5)), (n % 8) / F.lit(7.0), n % 3 == 0, n % 5 < 2, (n % 11) / F.lit(10.0))
     return p.select("id", score.alias("composition"), X.scene_meaning(F.col("scene_type"), F.col("face_count"), F.when(n % 6 != 0, n % 40)).alias("meaning"))
