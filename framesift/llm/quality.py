@@ -149,7 +149,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, n_each: int = 1200, max_b
     known = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     ids = [known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(n_each) for c in (0, 1)]
     rows = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes))
-    got = rows.join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id").select("text", "label").limit(2 * n_each).toPandas().sort_values(["text", "label"])
+    got = rows.join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["text", "label"])
     return train_quality([x.encode() for x in got["text"]], got["label"].to_numpy())
 
 

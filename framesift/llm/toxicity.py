@@ -93,8 +93,8 @@ def train_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, *,
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, n: int, max_bytes: int) -> list[bytes]:
-    """At most n whole texts of at most max_bytes bytes for a bounded list of ids: for training only."""
-    rows = docs.filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids.limit(n)), "doc_id").select("text").limit(n)
+    """At most n whole texts of at most max_bytes bytes for a bounded list of ids, one for each (the first of repeated ones): for training only."""
+    rows = docs.filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids.limit(n)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return sorted(x.encode() for x in rows.toPandas()["text"])
 
 
