@@ -83,6 +83,25 @@ def score_texts(docs: list[bytes], m: QualityModel) -> np.ndarray:
     return np.round(1 / (1 + np.exp(-np.clip((z * m.out[:-1]).sum(axis=1) + m.out[-1], -30, 30))), 9)
 
 
+def gradients(buf: np.ndarray, starts: np.ndarray, spans: np.ndarray, y: np.ndarray, weight: np.ndarray, taps: np.ndarray, bias: np.ndarray, out: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean weighted log loss of a batch of documents, by filters, their bias and the logistic unit."""
+    top, pos = chunk_maxima(buf, starts, taps, bias, where=True)
+    f = pooled(top, spans)
+    p = 1 / (1 + np.exp(-np.clip(f @ out[:-1] + out[-1], -30, 30)))
+    g = (p - y) * weight / len(y)
+    gf = g[:, None] * out[:-1]
+    doc = np.repeat(np.arange(len(y)), spans)
+    big, mean, low = gf[:, :FILTERS], gf[:, FILTERS : 2 * FILTERS], gf[:, 2 * FILTERS :]
+    g_top = mean[doc] / spans[doc, None] + big[doc] * (top == f[doc, :FILTERS]) + low[doc] * (top == f[doc, 2 * FILTERS :])
+    g_top *= 1 - top * top
+    grads = {"taps": np.zeros(taps.shape), "bias": g_top.sum(axis=0), "out": np.append(f.T @ g, g.sum())}
+    which = np.broadcast_to(np.arange(FILTERS), pos.shape).ravel()
+    for j in range(WIDTH):
+        flat_at = buf[pos.ravel() + j].astype(np.int64) * FILTERS + which
+        grads["taps"][j] = np.bincount(flat_at, weights=g_top.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
+    return grads
+
+
 def train_quality(docs: list[bytes], labels: np.ndarray, *, epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 7) -> QualityModel:
     """Train on texts held in memory; the caller bounds their number."""
     rng = np.random.default_rng(seed)
@@ -108,20 +127,7 @@ def train_quality(docs: list[bytes], labels: np.ndarray, *, epochs: int = 14, ba
             offset = np.concatenate([[0], np.cumsum([len(laid[i][0]) for i in ids])[:-1]])
             starts = np.concatenate([laid[i][1] + o for i, o in zip(ids, offset, strict=True)])
             spans = np.concatenate([laid[i][2] for i in ids])
-            top, pos = chunk_maxima(buf, starts, taps, bias, where=True)
-            f = pooled(top, spans)
-            p = 1 / (1 + np.exp(-np.clip(f @ out[:-1] + out[-1], -30, 30)))
-            g = (p - y[ids]) * weight[ids] / len(ids)
-            gf = g[:, None] * out[:-1]
-            doc = np.repeat(np.arange(len(ids)), spans)
-            big, mean, low = gf[:, :FILTERS], gf[:, FILTERS : 2 * FILTERS], gf[:, 2 * FILTERS :]
-            g_top = mean[doc] / spans[doc, None] + big[doc] * (top == f[doc, :FILTERS]) + low[doc] * (top == f[doc, 2 * FILTERS :])
-            g_top *= 1 - top * top
-            grads = {"taps": np.zeros(taps.shape), "bias": g_top.sum(axis=0), "out": np.append(f.T @ g, g.sum())}
-            which = np.broadcast_to(np.arange(FILTERS), pos.shape).ravel()
-            for j in range(WIDTH):
-                flat_at = buf[pos.ravel() + j].astype(np.int64) * FILTERS + which
-                grads["taps"][j] = np.bincount(flat_at, weights=g_top.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
+            grads = gradients(buf, starts, spans, y[ids], weight[ids], taps, bias, out)
             t += 1
             for k, v in parts.items():
                 gr = grads[k] + (1e-4 * v if k != "bias" else 0)

@@ -48,6 +48,19 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, self.margin(text))))))
 
 
+def nnpu_gradient(z: np.ndarray, n_p: int, prior: float) -> tuple[np.ndarray, float]:
+    """The step's gradient by the margins z (positives first), and the part of the risk that must not be negative.
+
+    Where it is, the step goes back along that part alone: the overfit is undone first."""
+    n_u = len(z) - n_p
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # l(-z)' = s, l(+z)' = s - 1
+    soft = np.logaddexp(0, z)  # l(-z)
+    negative = soft[n_p:].mean() - prior * soft[:n_p].mean()
+    g_neg = np.concatenate([np.full(n_p, -prior / n_p), np.full(n_u, 1 / n_u)]) * s
+    g_pos = np.concatenate([prior / n_p * (s[:n_p] - 1), np.zeros(n_u)])
+    return (g_pos + g_neg if negative >= 0 else -g_neg), float(negative)
+
+
 def train_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, *, min_df: float = 0.01, steps: int = 300, rate: float = 0.1, l1: float = 5e-5) -> ToxicityModel:
     """Train on texts held in memory; the caller bounds their number.
 
@@ -70,17 +83,12 @@ def train_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, *,
     at = [np.array(sorted(vocab[w] for w in vocab.keys() & set(WORD.findall(t.lower()))), np.int64) for ts in (positive, unlabelled) for t in ts]
     row = np.repeat(np.arange(len(at)), [len(x) for x in at])
     col = np.concatenate(at)
-    n_p, n_u = len(positive), len(unlabelled)
+    n_p = len(positive)
     w, b = np.zeros(len(vocab)), flat.bias
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(row, weights=w[col], minlength=len(at))
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # l(-z)' = s, l(+z)' = s - 1
-        soft = np.logaddexp(0, z)  # l(-z)
-        negative = soft[n_p:].mean() - prior * soft[:n_p].mean()
-        g_neg = np.concatenate([np.full(n_p, -prior / n_p), np.full(n_u, 1 / n_u)]) * s
-        g_pos = np.concatenate([prior / n_p * (s[:n_p] - 1), np.zeros(n_u)])
-        g = g_pos + g_neg if negative >= 0 else -g_neg  # below zero: undo the overfit first
+        g, _ = nnpu_gradient(z, n_p, prior)
         grad = np.append(np.bincount(col, weights=g[row], minlength=len(vocab)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         lr = rate * min(1, 2 * (1 - step / (steps + 1)))
