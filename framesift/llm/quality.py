@@ -92,7 +92,11 @@ def gradients(buf: np.ndarray, starts: np.ndarray, spans: np.ndarray, y: np.ndar
     gf = g[:, None] * out[:-1]
     doc = np.repeat(np.arange(len(y)), spans)
     big, mean, low = gf[:, :FILTERS], gf[:, FILTERS : 2 * FILTERS], gf[:, 2 * FILTERS :]
-    g_top = mean[doc] / spans[doc, None] + big[doc] * (top == f[doc, :FILTERS]) + low[doc] * (top == f[doc, 2 * FILTERS :])
+    # overlapping chunks can share their largest place: they share its gradient too
+    first = np.concatenate([[0], np.cumsum(spans)[:-1]])
+    held = [top == f[doc, i : i + FILTERS] for i in (0, 2 * FILTERS)]
+    most, least = (h / np.add.reduceat(h.astype(np.float64), first)[doc] for h in held)
+    g_top = mean[doc] / spans[doc, None] + big[doc] * most + low[doc] * least
     g_top *= 1 - top * top
     grads = {"taps": np.zeros(taps.shape), "bias": g_top.sum(axis=0), "out": np.append(f.T @ g, g.sum())}
     which = np.broadcast_to(np.arange(FILTERS), pos.shape).ravel()
