@@ -28,10 +28,6 @@ def clamp01(c: str | Column) -> Column:
     return F.when(F.isnan(col(c).cast("double")), F.lit(0.0)).otherwise(clamp(col(c).cast("double"), 0.0, 1.0))
 
 
-def sigmoid(z: str | Column) -> Column:
-    return 1 / (1 + F.exp(-col(z)))
-
-
 def uncertainty(score: str | Column) -> Column:
     """1 at a score of 50, 0 at 0 and 100."""
     return 1 - F.abs(clamp(score, 0, 100) - 50) / 50
@@ -81,16 +77,6 @@ def hamming(x: str | Column, y: str | Column) -> Column:
     return F.bit_count(col(x).bitwiseXOR(col(y)))
 
 
-def bits_to_long(bits: str | Column) -> Column:
-    """A string of 64 zeros and ones as a long."""
-    return F.conv(col(bits), 2, -10).cast("long")
-
-
-def norm_text(c: str | Column) -> Column:
-    """Lower case without the accents of Latin letters, for substring search."""
-    return F.translate(F.lower(col(c)), "ăâáàäãåéèêëíìîïóòôöõúùûüñçşșţț", "aaaaaaaeeeeiiiiooooouuuuncsstt")
-
-
 def blank_to_null(c: str | Column) -> Column:
     return F.nullif(col(c), F.lit(""))
 
@@ -107,10 +93,3 @@ def zero_pad(c: str | Column, n: int = 3) -> Column:
     """Padded to n digits; longer numbers stay whole."""
     s = col(c).cast("string")
     return F.lpad(s, F.greatest(F.length(s), F.lit(n)), F.lit("0"))
-
-
-def xml_escape(c: str | Column) -> Column:
-    out = col(c)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, round_half_up
-from .ranks import ranked, ranked_within
+from .ranks import counted_within, ranked
 from .filters import is_decided
 
 
@@ -129,16 +129,17 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def stage_stats(samples: DataFrame, by: str = "stage", value: str = "ms") -> DataFrame:
-    """count, total, mean and the values at index round(p * (n - 1)). Few stages may hold all rows: ranks come from ranges."""
-    r = ranked_within(samples.select(by, value), by, [value], "_r")
-    n = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
-    at = lambda p: F.max(F.when(F.col("_r") == round_half_up(F.lit(p) * (F.col("n") - 1)) + 1, F.col(value)))
-    found = r.join(n, by).groupBy(by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
-    return n.join(found, by)
+    """count, total, mean and the values at index round(p * (n - 1)). Equal values are counted first, so ties cost a row; then ranks come from ranges, each counting with its number."""
+    h = samples.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    r = counted_within(h, by, value, "_c", "_upto")
+    n = samples.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    at = lambda p: F.min(F.when(F.col("_upto") > round_half_up(F.lit(p) * (F.col("n") - 1)), F.col(value)))
+    found = r.join(n, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return found.join(n, F.col(by).eqNullSafe(F.col("_by"))).select(by, "n", "total", "mean", "p50", "p90")
 
 
 def reservoir(samples: DataFrame, by: str, k: int = 200, seed: int = 11) -> DataFrame:
-    """k rows of each stage, by a seeded hash: the same rows each run."""
+    """k rows of each stage, by a seeded hash: the same rows each run. Each task keeps its first k of a stage before anything is shuffled (a rank with a limit)."""
     order = F.xxhash64(*samples.columns, F.lit(seed))
     return samples.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order, *samples.columns))).filter(F.col("_r") <= k).drop("_r")
 
@@ -174,12 +175,6 @@ def tag_affinity(photos: DataFrame, memory: DataFrame, least: int = 8, seen: int
     return photos.select("id", F.explode("tags").alias("tag")).join(m, "tag").groupBy("id").agg((0.5 + 0.5 * F.tanh(F.avg("odds"))).alias("affinity"))
 
 
-def vector_sums(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
-    """The sum vector and count of each class, summed per dimension before the shuffle."""
-    e = rows.select(by, F.posexplode(vector).alias("_i", "_v")).groupBy(by, "_i").agg(F.sum(F.col("_v").cast("double")).alias("_s"), F.count(F.lit(1)).alias("n"))
-    return e.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]).alias("sum"), F.max("n").alias("n"))
-
-
 def usage_window(events: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
     """Exports of the last days, counted in hour buckets (cutoff, now + 1 h]."""
     hour = F.expr("at_ms div 3600000 * 3600000")

@@ -7,9 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import blank_to_null, norm_text, uncertainty
+from ..functions.expr import blank_to_null, uncertainty
+from .search import matches, search_texts
 
 TEXT_DOMINANT = 0.15
+#: Columns of the photo view that a saved filter searches.
+SEARCHED = ("file_name", "project", "camera", "persons", "tags", "captured_at")
 SHARP_LOW, SHARP_ALTERNATIVE = 45, 60
 #: Below this share of open eyes a frame with faces has a defect.
 EYES_OPEN = 0.8
@@ -40,10 +43,6 @@ def user_status(names: list[str]) -> Column:
     return F.col("status").isin(*names)
 
 
-def in_series() -> Column:
-    return blank_to_null("group_id").isNotNull()
-
-
 def bulk_reject_targets(photos: DataFrame, threshold: int) -> DataFrame:
     return photos.filter(~is_decided() & (F.col("ai_score") < threshold))
 
@@ -70,15 +69,9 @@ def in_project(name: str | None) -> Column:
     return own.isNull() if name is None else own == name
 
 
-def matches_search(query: str) -> Column:
-    """Case- and accent-insensitive substring of the file name, project, camera, persons or tags."""
-    q = norm_text(F.lit(query))
-    fields = [F.contains(F.coalesce(norm_text(c), F.lit("")), q) for c in ("file_name", "project", "camera")]
-    lists = [F.exists(c, lambda x: F.contains(norm_text(x), q)) for c in ("persons", "tags")]
-    out = fields[0]
-    for f in [*fields[1:], *lists]:
-        out = out | f
-    return out
+def matches_search(query: str, columns: tuple[str, ...] = SEARCHED) -> Column:
+    """What search.py finds in these columns of a view."""
+    return matches(query, search_texts(columns), "tags" if "tags" in columns else None)
 
 
 @dataclass(frozen=True)
@@ -197,5 +190,10 @@ def stale(last: Column, now: Column, days: float) -> Column:
     return last.isNull() | (now - last >= F.lit(int(days * 86_400_000)))
 
 
+def reading_order(name: str) -> Column:
+    """A key by which names sort as in a dictionary: letters first, then accents, then small before capital ones."""
+    return F.collate(F.col(name), "UNICODE")
+
+
 def uncertain(score: str = "ai_score", least: float = 0.5) -> Column:
     return uncertainty(score) >= least

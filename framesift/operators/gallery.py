@@ -55,15 +55,13 @@ def faces_first(batch: DataFrame, first: int = 150) -> DataFrame:
     return ranked(batch.withColumn("_key", key), ["_key", "ordinal"]).select("id", "place")
 
 
-def periods(earliest_ms: int, now_ms: int, covered_ms: int | None, period_ms: int, most: int = 240) -> Column:
+def periods(earliest: Column, now: Column, covered: Column, period_ms: int, most: int = 240) -> Column:
     """ARRAY of start, end and whether it is covered, of at most ``most`` periods from the earliest photo until now."""
-    until = earliest_ms if covered_ms is None else covered_ms
-    if earliest_ms >= now_ms or period_ms <= 0:
-        return F.expr("cast(array() as array<struct<start:bigint,end:bigint,covered:boolean>>)")
-    n = min(most, -(-(now_ms - earliest_ms) // period_ms))
-    start = lambda i: F.lit(earliest_ms).cast("long") + i.cast("long") * period_ms
-    end = lambda i: F.least(start(i) + period_ms, F.lit(now_ms).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(start(i).alias("start"), end(i).alias("end"), (end(i) <= until).alias("covered")))
+    n = F.least(F.lit(most), F.ceil((now - earliest) / period_ms)).cast("int")
+    start = lambda i: earliest + i.cast("long") * period_ms
+    end = lambda i: F.least(start(i) + period_ms, now)
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(start(i).alias("start"), end(i).alias("end"), (end(i) <= F.coalesce(covered, earliest)).alias("covered")))
+    return F.when((earliest < now) & F.lit(period_ms > 0), each).otherwise(F.filter(each, lambda x: F.lit(False)))
 
 
 def next_period(earliest: Column, now: Column, covered: Column, period_ms: int | None = None) -> Column:

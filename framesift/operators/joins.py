@@ -92,22 +92,36 @@ def relabel(faces: str, mapping: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def nearest_place(photos: DataFrame, places: DataFrame, km: float = 30.0) -> DataFrame:
-    """id, name, distance_km: the place with the smallest planar score in a latitude band, if the great circle is at most ``km``.
+    """id, the place's columns, distance_km: the place with the smallest planar score in a latitude band, if the great circle is at most ``km``.
 
-    Places and photos meet in cells of latitude and longitude at least as wide
-    as the band, so the join is an equi join; the score picks, the distance
-    only gates. Longitudes wrap at the antimeridian."""
+    Photos and places (name, lat, lon, ordinal and others) meet in cells of
+    latitude, as wide as the band, and of longitude, at least twice as wide in
+    every row of cells, so one city is one cell's; where a row is too near to a
+    pole it is one cell. The score picks, the distance only gates. Longitudes
+    wrap at the antimeridian."""
     band = km / 110.574
-    lat_cell = F.floor(F.col("lat") / band)
-    p = places.select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("ordinal"))
-    near = p.withColumn("_c", F.explode(F.array(*[F.floor(F.col("plat") / band) + d for d in (-1, 0, 1)])))
-    q = photos.filter("lat is not null").select("id", "lat", "lon").withColumn("_c", lat_cell)
+    wide = 2 * band
+    row = lambda lat: F.floor(lat / band)
+
+    def scale(r: Column) -> Column:
+        """Degrees of latitude that a degree of longitude is worth at the row's edge nearer to a pole."""
+        edge = F.cos(F.radians(F.least(F.greatest(F.abs(r), F.abs(r + 1)) * band, F.lit(90.0))))
+        return F.when(edge < 4 * wide / 360, 0.0).otherwise(edge)
+
+    column = lambda lon, r: F.floor((lon + 180) * scale(r) / wide)
+    rest = [c for c in places.columns if c not in ("name", "lat", "lon", "ordinal")]
+    p = places.select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "ordinal", *rest)
+    near = p.withColumn("_r", F.explode(F.array(*[row(F.col("plat")) + d for d in (-1, 0, 1)])))
+    near = near.withColumn("_turn", F.explode(F.array_compact(F.array(F.lit(0), F.when((F.col("plon") - 180) * scale(F.col("_r")) > -2 * wide, -360), F.when((F.col("plon") + 180) * scale(F.col("_r")) < 2 * wide, 360)))))
+    near = near.withColumn("_c", F.explode(F.array_distinct(F.array(*[column(F.col("plon") + F.col("_turn"), F.col("_r")) + d for d in (-1, 0, 1)]))))
+    q = photos.filter("lat is not null and lon is not null").select("id", "lat", "lon").withColumn("_r", row(F.col("lat")))
+    q = q.withColumn("_c", column(F.col("lon"), F.col("_r")))
     d = F.col("plon") - F.col("lon")
     d = F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d) * F.cos(F.radians("lat"))
-    j = q.join(near, "_c").filter((F.col("plat") >= F.col("lat") - band) & (F.col("plat") < F.col("lat") + band))
+    j = q.join(near.drop("_turn"), ["_r", "_c"]).filter((F.col("plat") >= F.col("lat") - band) & (F.col("plat") < F.col("lat") + band))
     j = j.withColumn("_score", F.pow(F.col("plat") - F.col("lat"), F.lit(2.0)) + F.pow(d, F.lit(2.0)))
-    best = j.groupBy("id").agg(F.min_by(F.struct("name", "lat", "lon", "plat", "plon"), F.struct("_score", "plat", "ordinal")).alias("b"))
-    return best.select("id", "b.name", haversine_km("b.lat", "b.lon", "b.plat", "b.plon").alias("distance_km")).filter(F.col("distance_km") <= km)
+    best = j.groupBy("id").agg(F.min_by(F.struct("name", "lat", "lon", "plat", "plon", *rest), F.struct("_score", "plat", "ordinal")).alias("b"))
+    return best.select("id", "b.name", *[f"b.{c}" for c in rest], haversine_km("b.lat", "b.lon", "b.plat", "b.plon").alias("distance_km")).filter(F.col("distance_km") <= km)
 
 
 def home_anchor(photos: DataFrame, cell: float = 0.5) -> DataFrame:
@@ -157,6 +171,27 @@ def undo_newest(base: DataFrame, history: DataFrame) -> DataFrame:
     return upsert(base, old)
 
 
+def keep_in_groups(photos: DataFrame, kept: DataFrame) -> DataFrame:
+    """id, status of all frames of the groups in ``kept`` (group_id, id; one or several for each): those are selected, the others rejected."""
+    g = photos.filter("coalesce(group_id, '') <> ''").join(kept.select("group_id").distinct(), "group_id", "left_semi")
+    k = kept.select(F.col("id").alias("_kept")).distinct()
+    return g.join(k, F.col("id") == F.col("_kept"), "left").select("id", "group_id", F.when(F.col("_kept").isNotNull(), "selected").otherwise("rejected").alias("status"))
+
+
+def choices_of(decided: DataFrame) -> DataFrame:
+    """winner_id, loser_id, pos: each kept frame against the rejected ones of its group (id, group_id, status); what a learner takes as choices."""
+    w = decided.filter("status = 'selected'").select("group_id", F.col("id").alias("winner_id"))
+    return w.join(decided.filter("status = 'rejected'").select("group_id", F.col("id").alias("loser_id")), "group_id").select("winner_id", "loser_id", F.col("loser_id").alias("pos"))
+
+
+def bulk_set(photos: DataFrame, chosen: DataFrame, **values: Column) -> DataFrame:
+    """A new snapshot in which the chosen (id) have other values in some columns; ratings are held within 0 and 5."""
+    if "rating" in values:
+        values["rating"] = F.greatest(F.lit(0), F.least(F.lit(5), F.floor(values["rating"] + 0.5))).cast("int")
+    j = photos.join(chosen.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    return j.select(*[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in photos.columns])
+
+
 def top_percent(photos: DataFrame, percent: float, order: list[Column]) -> DataFrame:
     """id, status of the undecided: the first percent of them by ``order`` selected, the rest rejected."""
     p = photos.filter(~is_decided())

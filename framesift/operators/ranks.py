@@ -44,3 +44,14 @@ def carried(rows: DataFrame, key: str, at: str, value: Column, name: str, stretc
     within = F.max("_v").over(Window.partitionBy(key, "_b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
     j = r.join(tops, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_of"))).withColumn(name, within)
     return j.withColumn(name, F.greatest(name, "_top")).drop("_v", "_b", "_key", "_of", "_top")
+
+
+def counted_within(rows: DataFrame, key: str, order: str, count: str, name: str) -> DataFrame:
+    """Add ``name``: how many there are up to each row within its key, by ``order`` (distinct in a key); each row stands for ``count``. By ranges of (key, order), written once."""
+    dealt = rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    parts = dealt.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_in")).agg(F.sum(count).alias("_n"))
+    before = parts.select("_key", "_in", (F.sum("_n").over(Window.partitionBy("_key").orderBy("_in")) - F.col("_n")).alias("_before"))
+    within = F.sum(count).over(Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    j = dealt.withColumn("_within", within).join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
+    return j.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_key", "_in", "_before", "_within")

@@ -94,13 +94,22 @@ def _masks(width: int, k: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), k)]
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, *, id: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
+#: Vectors of a block of cosine_pairs, at about.
+BLOCK = 4096
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, *, id: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """a < b with a cosine of at least ``threshold``: rows are dealt into blocks and each pair of blocks is one task's, compared as matrices.
 
-    Norms are taken once. Every row is sent to ``blocks`` tasks."""
+    Norms are taken once. Blocks are of BLOCK rows, whatever their number
+    (``blocks`` sets another one), so a task's memory is bounded; every row is
+    sent to as many tasks as there are blocks. That all pairs are compared is
+    the operator's meaning where nothing bounds a cosine."""
     import numpy as np
     import pandas as pd
 
+    blocks = blocks or max(4, -(-vectors.count() // BLOCK))
+
     v = vectors.select(F.col(id).alias("id"), F.transform(vector, lambda e: e.cast("double")).alias("v")).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.array(*[F.lit(i) for i in range(blocks)]))
     dealt = v.withColumn("o", other).select("id", "v", "g", F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"))
@@ -123,15 +132,54 @@ def cosine_pairs(vectors: DataFrame, threshold: float, *, id: str = "vec_id", ve
     return dealt.groupBy("p", "q").applyInPandas(compare, "a long, b long, cosine double")
 
 
+#: Reference vectors that a task holds, and faces that it compares with them, at about.
+REFERENCES, FACES = 8192, 1 << 16
+
+
 def best_match(faces: DataFrame, persons: DataFrame, least: float = 0.55) -> DataFrame:
-    """face_id, person_id, similarity: the most similar reference vector, if similar enough. persons: person_id, embedding (one row for each reference; checked small)."""
-    if persons.limit(50_001).count() > 50_000:
-        raise ValueError("person references are broadcast: at most 50 000")
-    p = persons.select("person_id", F.col("embedding").alias("_r"), norm("embedding").alias("_rn"))
-    f = faces.select("face_id", "embedding", norm("embedding").alias("_n"))
-    s = dot("embedding", "_r") / (F.col("_n") * F.col("_rn"))
-    j = f.crossJoin(F.broadcast(p)).withColumn("similarity", F.when(F.col("_n") * F.col("_rn") == 0, F.lit(0.0)).otherwise(s))
-    b = j.groupBy("face_id").agg(F.max_by("person_id", F.struct("similarity", "person_id")).alias("person_id"), F.max("similarity").alias("similarity"))
+    """face_id, person_id, similarity: the most similar reference vector, if similar enough; of equal ones the larger person_id. persons: person_id, embedding (one row for each reference).
+
+    References are cut into blocks and faces into parts, each pair of which is
+    one task's: it holds the block as a matrix, and faces pass it in batches.
+    Every face goes to as many tasks as there are blocks, whatever the sizes."""
+    import numpy as np
+    import pandas as pd
+
+    blocks, parts = max(1, -(-persons.count() // REFERENCES)), max(1, -(-faces.count() // FACES))
+    numbers = lambda n: F.array(*[F.lit(i) for i in range(n)])
+    double = F.transform("embedding", lambda v: v.cast("double")).alias("v")
+    r = persons.select(F.pmod(F.xxhash64("person_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), F.explode(numbers(parts)).alias("part"), F.lit(0).alias("kind"), F.col("person_id").cast("long").alias("id"), double)
+    f = faces.select(F.explode(numbers(blocks)).alias("block"), F.pmod(F.xxhash64("face_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("face_id").cast("long").alias("id"), double)
+
+    def unit(vs: list) -> np.ndarray:
+        m = np.stack([np.asarray(v, float) for v in vs])
+        n = np.linalg.norm(m, axis=1)
+        return m / np.where(n == 0, 1, n)[:, None]
+
+    def run(batches):
+        at, ids, held, m = None, [], [], None
+        for pdf in batches:
+            out = []
+            for key, g in pdf.groupby(["block", "part", "kind"], sort=False):
+                if key[:2] != at:
+                    at, ids, held, m = key[:2], [], [], None
+                if key[2] == 0:
+                    ids += g["id"].tolist()
+                    held += g["v"].tolist()
+                    continue
+                if not held:
+                    continue
+                if m is None:
+                    order = np.argsort(np.array(ids), kind="stable")[::-1]  # of equal ones the larger id comes first
+                    m, ids = unit(held)[order], np.array(ids)[order]
+                s = unit(g["v"].tolist()) @ m.T
+                best = s.argmax(axis=1)
+                out.append(pd.DataFrame({"face_id": g["id"].to_numpy(), "person_id": ids[best], "similarity": s[np.arange(len(s)), best]}))
+            yield pd.concat(out) if out else pd.DataFrame({"face_id": [], "person_id": [], "similarity": []})
+
+    dealt = r.unionByName(f).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    met = dealt.mapInPandas(run, "face_id long, person_id long, similarity double")
+    b = met.groupBy("face_id").agg(F.max_by("person_id", F.struct("similarity", "person_id")).alias("person_id"), F.max("similarity").alias("similarity"))
     return b.filter(F.col("similarity") >= least)
 
 

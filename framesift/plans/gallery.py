@@ -140,9 +140,13 @@ def gallery_new(s, d):
 SPAN = "select min(captured_at) as lo, max(captured_at) as hi from photos"
 
 
-@query("gallery_periods", "+ w as (select unnest(range(0, 30)) as i) select 1704067200000 + i * 86400000 as start, least(1704067200000 + (i + 1) * 86400000, 1706659200000) as end, least(1704067200000 + (i + 1) * 86400000, 1706659200000) <= 1705000000000 as covered from w")
+@query("gallery_periods", f"+ m as ({SPAN}), c as (select project, max(captured_at) filter (status <> 'pending') as till from photos group by 1), w as (select project, till, lo, hi, unnest(range(0, least(240, ceil((hi - lo) / 86400000))::bigint)) as i from c, m where lo < hi) select project, lo + i * 86400000 as start, least(lo + (i + 1) * 86400000, hi) as end, least(lo + (i + 1) * 86400000, hi) <= coalesce(till, lo) as covered from w")
 def gallery_periods(s, d):
-    return s.range(1).select(F.inline(G.periods(1_704_067_200_000, 1_706_659_200_000, 1_705_000_000_000, 86_400_000)))
+    """The days of the library's span, and for each project whether its decisions have come so far."""
+    p = photos(s, d, "project", "status", "captured_at")
+    m = p.agg(F.min("captured_at").alias("lo"), F.max("captured_at").alias("hi"))
+    till = p.groupBy("project").agg(F.max(F.when(F.col("status") != "pending", F.col("captured_at"))).alias("till"))
+    return till.crossJoin(F.broadcast(m)).select("project", F.inline(G.periods(F.col("lo"), F.col("hi"), F.col("till"), 86_400_000)))  # m is one row
 
 
 @query("gallery_coverage", f"+ m as ({SPAN}), c as (select project, max(captured_at) filter (status <> 'pending') as till from photos group by 1), j as (select project, lo, hi, till, case when till is null then lo else greatest(till, lo) end as st from c, m) select project, case when st < hi then st end as next_start, case when st < hi then least(st + 86400000, hi) end as next_end, cast(floor(case when till is null then 0 else greatest(0, least(till, hi) - lo) end / (hi - lo) * 100 + 0.5) as bigint) as percent from j")
@@ -200,13 +204,12 @@ def natural_tags(s, d):
     return photos(s, d, "id", "tags").select("id", G.natural_tag("tags", F.array(*map(F.lit, ABSTRACT))).alias("tag"))
 
 
-@query("places_of_photos", "+ l as (select id, case when lat > 45 then concat('T', cast(floor(lat)::bigint as varchar)) when id % 5 = 0 then '' end as locality from photos where lat is not null) select id, locality from l where coalesce(locality, '') <> ''")
+@query("places_of_photos")
 def places_of_photos(s, d):
     """Photos of a known locality, by it; the others are clustered by proximity (see proximity_clusters)."""
     p = photos(s, d, "id", "lat").filter("lat is not null")
     l = p.select("id", F.expr("case when lat > 45 then concat('T', cast(floor(lat) as string)) when id % 5 = 0 then '' end").alias("locality"))
-    every = G.best_of_places(p.select("id", F.lit(0).cast("long").alias("place")), l)
-    return every.filter("place like 'name:%'").select("id", F.substring("place", 6, 100).alias("locality"))
+    return G.best_of_places(C.proximity_clusters(photos(s, d, "id", "lat", "lon")), l)
 
 
 # library joins

@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import filters as P
 from ..operators import groups as G
 from ..operators import joins as J
+from ..operators import search as X_SEARCH
 from ..sources.bindings import CORRECTIONS_SQL, PHOTOS_SQL, corrections, photos
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +77,69 @@ def person_and_color(s, d):
     return photos(s, d, "id", "persons", "color_label", "project").filter(P.has_person("P4") & P.color_is("none") & P.in_project(None)).select("id")
 
 
-@query("search_text", "select id from photos where contains(lower(file_name), 'cam 3') or contains(lower(coalesce(project, '')), 'cam 3') or contains(lower(coalesce(camera, '')), 'cam 3') or len(list_filter(persons, lambda x: contains(lower(x), 'cam 3'))) > 0 or len(list_filter(tags, lambda x: contains(lower(x), 'cam 3'))) > 0")
+def duck_fold(x):
+    return f"strip_accents(lower({x}))"
+
+
+def duck_months(names):
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+MADE_TEXTS = {
+    "caption": "case when {id} % 6 = 0 then 'La plajă cu Ștefan' when {id} % 6 = 1 then 'Évora, é bom' end", "camera_make": "case when {id} % 4 > 0 then 'Canon' end", "lens": "case when {id} % 3 = 0 then 'RF 50mm' end",
+}
+LABELS_RO = {"tag1": "Pisică", "tag2": "Câine", "Texture": "textură"}
+#: A needle for each kind of text, and one for each way in which words are near.
+NEEDLES = ["img_00000", "ștefan", "EVORA", "zăpadă", "p4", "Canon Cam 2 RF", "pisic", "ianuarie", "9 ian. 2024", "langa ch", "iarna", "nothing of this"]
+
+
+def search_sql():
+    now = "make_timestamp(captured_at * 1000)"
+    year, month, day = f"year({now})::varchar", f"month({now})", f"day({now})::varchar"
+    long, short = (f"{duck_months(X_SEARCH.MONTHS['ro'][k])}[{month}]" for k in (0, 1))
+    label = "case " + " ".join(f"when t = '{k}' then '{v}'" for k, v in LABELS_RO.items()) + " else t end"
+    radius = "case when population <= 0 then 3.0::double else least(12.0::double, greatest(1.5::double, 0.6::double * sqrt(population / 1000))) end"
+    made = ", ".join(f"{v.format(id='p.id')} as {k}" for k, v in MADE_TEXTS.items())
+    texts = ", ".join(f"coalesce({duck_fold(c)}, '')" for c in ("file_name", "project", "caption", "place"))
+    camera = duck_fold("concat_ws(' ', nullif(camera_make, ''), nullif(camera, ''), nullif(lens, ''))")
+    dates = duck_fold(f"concat_ws(' ', {year}, {long}, {short}, {day} || ' ' || {short} || ' ' || {year})")
+    hits = []
+    for n in NEEDLES:
+        q, near = X_SEARCH.folded(n), X_SEARCH.related(X_SEARCH.folded(n))
+        more = " or " + " or ".join(f"list_contains(tags, '{t}')" for t in near) if near else ""
+        hits.append(f"case when len(list_filter(texts, lambda x: contains(x, '{q}'))) > 0{more} then '{n}' end")
+    return f"""+ {PLACES}, j as (select p.id, q.name, q.country, q.population, p.lat, p.lon, q.lat as plat, q.lon as plon, power(q.lat - p.lat, 2) + power((q.lon - p.lon) * cos(radians(p.lat)), 2) as s, q.ordinal from photos p join places q on q.lat >= p.lat - 30.0::double / 110.574::double and q.lat < p.lat + 30.0::double / 110.574::double),
+b as (select *, row_number() over (partition by id order by s, plat, ordinal) as r, power(sin((radians(plat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2) as h from j),
+w as (select id, case when 12742.0::double * atan2(sqrt(h), sqrt(1 - h)) <= {radius} then '' else 'lângă ' end || name || ', ' || country as place from b where r = 1 and 12742.0::double * atan2(sqrt(h), sqrt(1 - h)) <= 30),
+v as (select p.* exclude (tags), {made}, case when p.id % 9 = 0 then ['Zăpadă', 'k' || p.id % 3] else ['k' || p.id % 3] end as keywords, list_transform(p.tags, lambda t: case when t = 'tag3' then 'snow' else t end) as tags, w.place from (select * from photos) p left join w on p.id = w.id),
+x as (select id, tags, list_concat(list_concat([{texts}, {camera}, {dates}], list_concat(list_transform(persons, lambda t: {duck_fold('t')}), list_transform(keywords, lambda t: {duck_fold('t')}))), list_transform(tags, lambda t: {duck_fold(label)})) as texts from v),
+f as (select id, list_filter([{', '.join(hits)}], lambda n: n is not null) as found from x)
+select id, array_to_string(found, '|') as found from f where len(found) > 0"""
+
+
+def searched(s, d):
+    """The photo view with captions, keywords, lenses and the names of places."""
+    p = photos(s, d)
+    made = [F.expr(v.format(id="id")).alias(k) for k, v in MADE_TEXTS.items()]
+    keywords = F.expr("case when id % 9 = 0 then array('Zăpadă', concat('k', id % 3)) else array(concat('k', id % 3)) end").alias("keywords")
+    near = J.nearest_place(photos(s, d, "id", "lat", "lon"), gazetteer(s, d))
+    place = X_SEARCH.place_label(F.col("name"), F.col("country"), F.col("distance_km"), X_SEARCH.place_radius_km("population"))
+    tags = F.transform("tags", lambda t: F.when(t == "tag3", "snow").otherwise(t))
+    return p.select("*", *made, keywords).withColumn("tags", tags).join(near.select("id", place.alias("place")), "id", "left")
+
+
 def search_text(s, d):
-    return photos(s, d, "id", "file_name", "project", "camera", "persons", "tags").filter(P.matches_search("Càm 3")).select("id")
+    """What each of twelve searches finds: by name, caption, keyword, person, camera, subject, date, place, and words near a subject."""
+    p = searched(s, d)
+    x = p.select("id", "tags", X_SEARCH.search_texts(p.columns, LABELS_RO).alias("texts"))
+    found = F.array_compact(F.array(*[F.when(X_SEARCH.matches(n, F.col("texts")), F.lit(n)) for n in NEEDLES]))
+    return x.select("id", found.alias("found")).filter("size(found) > 0").select("id", F.array_join("found", "|").alias("found"))
+
+
+def search_first(s, d):
+    """The first sixty photos that a search shows, the newest first."""
+    p = searched(s, d)
+    return p.filter(X_SEARCH.matches("zăpadă", X_SEARCH.search_texts(p.columns, LABELS_RO))).orderBy(F.coalesce("captured_at", F.lit(0)).desc(), "id").limit(60).select("id", "captured_at")
 
 
 @query("real_gps", "select id, lat, lon from photos where lat is not null and lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0)")
@@ -440,13 +501,21 @@ def home_anchor(s, d):
     return J.home_anchor(photos(s, d, "id", "lat", "lon").filter(X.has_real_gps())).select(F.round("home_lat", 9).alias("home_lat"), F.round("home_lon", 9).alias("home_lon"))
 
 
-PLACES = "places as (select n_nationkey as ordinal, n_name as name, 44 + (n_nationkey % 10) * 0.21::double as lat, 25 + (n_nationkey % 5) * 0.17::double as lon from nation)"
+PLACES = "places as (select n_nationkey as ordinal, n_name as name, 44 + (n_nationkey % 10) * 0.21::double as lat, 25 + (n_nationkey % 5) * 0.17::double as lon, upper(n_name[1:2]) as country, n_nationkey * 2000 as population from nation)"
+
+
+def gazetteer(s, d):
+    """Places with their country and population, made from the nations."""
+    return s.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey as ordinal", "n_name as name", "44 + (n_nationkey % 10) * 0.21D as lat", "25 + (n_nationkey % 5) * 0.17D as lon", "upper(substring(n_name, 1, 2)) as country", "n_nationkey * 2000 as population")
+
+
+query("search_text", search_sql())(search_text)
+query("search_first", search_sql().replace("select id, array_to_string(found, '|') as found from f where len(found) > 0", "select f.id, photos.captured_at from f join photos on f.id = photos.id where list_contains(found, 'zăpadă') order by coalesce(photos.captured_at, 0) desc, f.id limit 60"))(search_first)
 
 
 @query("nearest_place", f"+ {PLACES}, j as (select p.id, q.name, p.lat, p.lon, q.lat as plat, q.lon as plon, power(q.lat - p.lat, 2) + power((q.lon - p.lon) * cos(radians(p.lat)), 2) as s, q.ordinal from photos p join places q on q.lat >= p.lat - 30.0::double / 110.574::double and q.lat < p.lat + 30.0::double / 110.574::double), b as (select *, row_number() over (partition by id order by s, plat, ordinal) as r, power(sin((radians(plat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2) as h from j) select id, name from b where r = 1 and 12742.0::double * atan2(sqrt(h), sqrt(1 - h)) <= 30")
 def nearest_place(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey as ordinal", "n_name as name", "44 + (n_nationkey % 10) * 0.21D as lat", "25 + (n_nationkey % 5) * 0.17D as lon")
-    return J.nearest_place(photos(s, d, "id", "lat", "lon"), n).select("id", "name")
+    return J.nearest_place(photos(s, d, "id", "lat", "lon"), gazetteer(s, d)).select("id", "name")
 
 
 @query("time_band_pairs", "select p.id as a, q.id as b from photos p join photos q on p.user_id = q.user_id and p.id < q.id and abs(p.captured_at - q.captured_at) <= 480000")
@@ -454,7 +523,7 @@ def time_band_pairs(s, d):
     return J.time_band_pairs(photos(s, d, "id", "captured_at", "user_id"), 480_000, by="user_id")
 
 
-@query("client_feedback", "+ f as (select id as ordinal, case when id % 2 = 0 then (id * 3) % 500 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 700 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
+@query("client_feedback", "+ f as (select id as ordinal, case when id % 2 = 0 then id * 3 end as photo_id, 'IMG_' || lpad(cast((id * 5) % 99991 as varchar), 7, '0') || '.jpg' as file_name, case when id % 3 = 0 then 'yes' else 'no' end as verdict from photos), m as (select ordinal, photo_id as id, verdict from f where photo_id in (select id from photos) union all select ordinal, p.id, verdict from f join photos p on p.file_name = f.file_name where f.photo_id is null or f.photo_id not in (select id from photos)) select id, arg_min(verdict, ordinal) as verdict from m group by 1")
 def client_feedback(s, d):
     """An entry for every photo."""
     return J.apply_feedback(feedback(s, d), photos(s, d, "id", "file_name"))
@@ -462,7 +531,7 @@ def client_feedback(s, d):
 
 def feedback(s, d):
     """ordinal, photo_id, file_name, verdict: an entry made from each photo."""
-    return photos(s, d, "id").selectExpr("id as ordinal", "case when id % 2 = 0 then (id * 3) % 500 end as photo_id", "concat('IMG_', lpad(cast((id * 5) % 700 as string), 7, '0'), '.jpg') as file_name", "case when id % 3 = 0 then 'yes' else 'no' end as verdict")
+    return photos(s, d, "id").selectExpr("id as ordinal", "case when id % 2 = 0 then id * 3 end as photo_id", "concat('IMG_', lpad(cast((id * 5) % 99991 as string), 7, '0'), '.jpg') as file_name", "case when id % 3 = 0 then 'yes' else 'no' end as verdict")
 
 
 @query("restore_backup", "+ b as (select file_name, captured_at, case when id % 4 = 0 then 'candidate' when id % 4 = 1 then 'selected' else status end as ns, rating as nr from photos where id % 2 = 1 or id % 4 = 0) select p.id, b.ns as new_status, b.nr as new_rating from photos p join b using (file_name, captured_at) where b.ns in ('selected', 'rejected', 'review', 'pending') and (p.status is distinct from b.ns or p.rating is distinct from b.nr)")
@@ -478,16 +547,16 @@ def set_status_upsert(s, d):
     return J.upsert(p.select("id", "status"), p.filter("ai_score < 20 and status = 'pending'").select("id", F.lit("rejected").alias("status")))
 
 
-@query("collections_members", "+ c as (select 'c' || user_id % 6 as name, id from photos where id % 10 = 0) select name, count(distinct id) as n from c group by 1")
+@query("collections_members", "+ c as (select 'c' || user_id % 6 as name, id from photos) select name, count(distinct id) as n from c group by 1")
 def collections_members(s, d):
-    c = photos(s, d, "id", "user_id").filter("id % 10 = 0").select(F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string")).alias("name"), F.array("id").alias("member_ids"))
+    c = photos(s, d, "id", "user_id").select(F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string")).alias("name"), F.array("id").alias("member_ids"))
     return J.union_of_members(c).select("name", F.size("member_ids").cast("long").alias("n"))
 
 
-@query("without_vault", "select id from photos where id % 10 <> 0 or user_id % 6 <> 2")
+@query("without_vault", "select id from photos where user_id % 6 <> 2")
 def without_vault(s, d):
     p = photos(s, d, "id", "user_id")
-    c = p.filter("id % 10 = 0").select(F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string")).alias("name"), (F.col("user_id") % 6 == 2).alias("is_private"), F.array("id").alias("member_ids"))
+    c = p.select(F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string")).alias("name"), (F.col("user_id") % 6 == 2).alias("is_private"), F.array("id").alias("member_ids"))
     return J.without_vault(p, c).select("id")
 
 

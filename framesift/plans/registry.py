@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import advanced, gallery, learning, library, pictures  # noqa: F401  (the others add their queries to library's)
+from . import advanced, gallery, learning, library, pictures, shelves  # noqa: F401  (the others add their queries to library's)
 
 
 def queries() -> dict:
