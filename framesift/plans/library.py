@@ -90,7 +90,7 @@ MADE_TEXTS = {
 }
 LABELS_RO = {"tag1": "Pisică", "tag2": "Câine", "Texture": "textură"}
 #: A needle for each kind of text, and one for each way in which words are near.
-NEEDLES = ["img_00000", "ștefan", "EVORA", "zăpadă", "p4", "Canon Cam 2 RF", "pisic", "ianuarie", "9 ian. 2024", "langa ch", "iarna", "nothing of this"]
+NEEDLES = ["img_00000", "ștefan", "EVORA", "zăpadă", "p4", "Canon Cam 2 RF", "pisic", "ianuarie", "9 ian. 2024", "langa", "iarna", "nothing of this"]
 
 
 def search_sql():
