@@ -47,7 +47,7 @@ LEAST, MOST = 50, 95
 #: Rows drawn as pivots; they go to the driver and to every task.
 PIVOTS = 48
 #: Anchors of a group, at about, and rows that meet them in one task.
-GROUP_ANCHORS, TASK_ROWS = 1024, 1 << 16
+GROUP_ANCHORS, TASK_ROWS = 1024, 1 << 13
 #: Candidates that are multiplied at once.
 BLOCK = 2048
 #: Scores below this are exact in float64 with a column number beside them.
