@@ -342,6 +342,29 @@ def draw(a: np.ndarray, edits: dict[str, float] | None = None, *, bands: dict |
     return out.astype(np.uint8)
 
 
+#: What a style may touch; the rest of a photo's edits stays.
+STYLE = ("exposure", "contrast", "saturation", "temperature", "tint", "highlights", "shadows", "whites", "blacks", "clarity", "vignette", "noise")
+#: The styles, sliders and hue bands (saturation, luminance).
+PRESETS: dict[str, tuple[dict[str, float], dict[str, tuple[float, float]]]] = {
+    "natural": ({"contrast": 12, "shadows": 12, "clarity": 10, "blacks": -5}, {}),
+    "portrait": ({"temperature": 8, "shadows": 16, "highlights": -8, "clarity": -8, "contrast": 6}, {"orange": (-6, 8), "red": (-4, 0)}),
+    "landscape": ({"contrast": 14, "clarity": 18, "whites": 8, "blacks": -8}, {"green": (14, -6), "blue": (16, -8)}),
+    "bw": ({"saturation": -100, "contrast": 22, "blacks": -14, "whites": 10, "clarity": 12}, {}),
+    "sunset": ({"temperature": 20, "highlights": -14, "shadows": 10, "contrast": 8}, {"orange": (18, 6), "magenta": (10, 0)}),
+    "indoor": ({"temperature": -14, "shadows": 22, "blacks": -6, "noise": 25, "contrast": 6}, {}),
+}
+
+
+def preset(edits: Column, name: str) -> tuple[Column, Column]:
+    """(edits, bands) after a style: its sliders, 0 for those that it leaves out, and what else there was (crop, rotation, sharpening)."""
+    sliders, bands = PRESETS[name]
+    kept = F.map_filter(F.coalesce(edits, F.create_map().cast("map<string,double>")), lambda k, _: ~k.isin(*STYLE))
+    styled = F.create_map(*[F.lit(x) for k in STYLE for x in (k, float(sliders.get(k, 0)))])
+    made = [x for k, (s, l) in bands.items() for x in (F.lit(k), F.struct(F.lit(0.0).alias("hue"), F.lit(float(s)).alias("saturation"), F.lit(float(l)).alias("luminance")))]
+    none = F.lit(None).cast("map<string,struct<hue:double,saturation:double,luminance:double>>")
+    return F.map_concat(kept, styled), F.create_map(*made).cast("map<string,struct<hue:double,saturation:double,luminance:double>>") if made else none
+
+
 PARTS = ("edits", "bands", "curves", "points", "heal", "crop")
 
 

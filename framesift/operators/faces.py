@@ -131,7 +131,7 @@ def text_coverage(boxes: str, width: str = "width", height: str = "height") -> C
     return F.when(frame > 0, F.least(F.lit(1.0), total / frame)).otherwise(0.0)
 
 
-def composition(faces: Column, thirds: Column, headroom: Column, leading_lines: Column, symmetry: Column, negative_space: Column) -> Column:
+def composition_score(faces: Column, thirds: Column, headroom: Column, leading_lines: Column, symmetry: Column, negative_space: Column) -> Column:
     """How well a frame is composed, to two digits: by the faces' place, else by lines, symmetry and some, not too much, empty space."""
     bare = F.greatest(F.lit(0.0), 1 - F.abs(negative_space - 0.3) / 0.7)
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)

@@ -232,6 +232,27 @@ def pillars() -> tuple[Column, Column]:
     return round_half_up(F.round(technical * 100, 9)), round_half_up(F.round(F.greatest(F.lit(0.0), 100 - penalty), 9))
 
 
+#: From where a frame is sharp, its faces are framed badly or well, and a face smiles.
+SHARP_HIGH, FRAMED_BADLY, FRAMED_WELL, SMILING, ALL_OPEN = 70, 0.35, 0.6, 0.6, 0.999
+
+
+def summaries() -> tuple[Column, Column, Column]:
+    """What there is to say first of a frame's technique, subject and framing, as "group.key"; what is wrong comes before what is right."""
+    from .filters import SHARP_LOW, effective_sharpness
+
+    s, off = effective_sharpness(), F.col("exposure") - 50
+    clip = lambda c: F.coalesce(c, F.lit(0.0)) > 0.06
+    technical = F.when(s < SHARP_LOW, "soft").when(off < -15, "under").when(off > 15, "over").when(clip("highlight_clipping"), "highlights").when(clip("shadow_clipping"), "shadows").when(s >= SHARP_HIGH, "clean").otherwise("fine")
+    many = F.col("face_count") > 1
+    subject = F.when(eyes_open() < ALL_OPEN, F.when(many, "someBlink").otherwise("blink")).when(smile_ratio() >= SMILING, "smiling").otherwise("eyesOpen")
+    half = lambda c: F.coalesce(c, F.lit(0.5))
+    faces = F.when(half("headroom") < FRAMED_BADLY, "headroom").when(half("thirds") < FRAMED_BADLY, "centered").when((half("thirds") >= FRAMED_WELL) & (half("headroom") >= FRAMED_WELL), "strong").otherwise("fine")
+    yes = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    bare = F.when(yes("symmetry") | yes("leading_lines"), "structure").when(half("negative_space") < FRAMED_BADLY, "crowded").otherwise("fine")
+    framing = F.when(F.col("face_count") > 0, faces).otherwise(bare)
+    return F.concat(F.lit("technical."), technical), F.concat(F.lit("subject."), subject), F.concat(F.lit("framing."), framing)
+
+
 def explain_choice(photos: DataFrame, best: DataFrame) -> DataFrame:
     """group_id, reasons (array) and confidence of each kept frame against the best of the others."""
     p = series(photos).join(best.select("group_id", "keep_id"), "group_id")

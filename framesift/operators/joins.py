@@ -91,6 +91,18 @@ def relabel(faces: str, mapping: DataFrame, analyses: DataFrame) -> DataFrame:
     return analyses.crossJoin(F.broadcast(m)).withColumn(faces, new).drop("_m")
 
 
+def merged_profiles(profiles: DataFrame, most: int = 60) -> DataFrame:
+    """target, embeddings: profiles (target, ordinal, embeddings) that become one person; of each its last vectors, as many as all of them may have, so that none is lost; the last ``most`` in all."""
+    n = profiles.groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
+    newest = Window.partitionBy("target").orderBy(F.desc("ordinal"))
+    p = profiles.join(n, "target").withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= most)  # a profile gives one vector at least
+    cap = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_n"))).cast("int")
+    size = F.size("embeddings")
+    own = F.when(size > 0, F.slice("embeddings", F.greatest(F.lit(1), size - cap + 1), cap)).otherwise(F.col("embeddings"))
+    g = p.withColumn("_own", own).groupBy("target").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "_own"))), lambda x: x["_own"])).alias("all"))
+    return g.select("target", F.slice("all", F.greatest(F.lit(1), F.size("all") - most + 1), F.lit(most)).alias("embeddings"))
+
+
 def nearest_place(photos: DataFrame, places: DataFrame, km: float = 30.0) -> DataFrame:
     """id, the place's columns, distance_km: the place with the smallest planar score in a latitude band, if the great circle is at most ``km``.
 

@@ -81,7 +81,7 @@ SCORED = "+ m as (select *, id % 3 = 0 as lines, id % 5 < 2 as sym, (id % 11) /
 @query("composition_scores", SCORED)
 def composition_scores(s, d):
     p, n = photos(s, d, "id", "face_count", "thirds", "scene_type"), F.col("id")
-    score = X.composition(F.col("face_count") > 0, F.coalesce("thirds", F.lit(0.5)), (n % 8) / F.lit(7.0), n % 3 == 0, n % 5 < 2, (n % 11) / F.lit(10.0))
+    score = X.composition_score(F.col("face_count") > 0, F.coalesce("thirds", F.lit(0.5)), (n % 8) / F.lit(7.0), n % 3 == 0, n % 5 < 2, (n % 11) / F.lit(10.0))
     return p.select("id", score.alias("composition"), X.scene_meaning(F.col("scene_type"), F.col("face_count"), F.when(n % 6 != 0, n % 40)).alias("meaning"))
 
 

@@ -176,3 +176,64 @@ def names_in_order(s, d):
 def located_share(s, d):
     """How many photos say where they were taken; the others are a group of their own among the places."""
     return photos(s, d, "lat", "lon").agg(F.count(F.lit(1)).alias("photos"), F.count_if(has_real_gps()).alias("located"))
+
+
+def said(name):
+    from .library import EYES, SHARP, SMILE_RATIO
+
+    texts = {
+        "technical": f"case when ({SHARP}) < 45 then 'soft' when exposure - 50 < -15 then 'under' when exposure - 50 > 15 then 'over' when coalesce(highlight_clipping, 0) > 0.06 then 'highlights' when coalesce(shadow_clipping, 0) > 0.06 then 'shadows' when ({SHARP}) >= 70 then 'clean' else 'fine' end",
+        "subject": f"case when {EYES} < 0.999 then case when face_count > 1 then 'someBlink' else 'blink' end when {SMILE_RATIO} >= 0.6 then 'smiling' else 'eyesOpen' end",
+        "framing": "case when face_count > 0 then case when head < 0.35 then 'headroom' when coalesce(thirds, 0.5) < 0.35 then 'centered' when coalesce(thirds, 0.5) >= 0.6 and head >= 0.6 then 'strong' else 'fine' end else case when id % 12 = 0 or id % 20 = 0 then 'structure' when bare < 0.35 then 'crowded' else 'fine' end end",
+    }
+    return f"'{name}.' || {texts[name]} as {name}"
+
+
+@query("metric_summaries", f"+ v as (select *, (id % 8) / 7.0::double as head, (id % 11) / 10.0::double as bare from photos) select id, {said('technical')}, {said('subject')}, {said('framing')} from v")
+def metric_summaries(s, d):
+    """The first thing to say of every photo's technique, subject and framing."""
+    n = F.col("id")
+    p = photos(s, d).select("*", ((n % 8) / F.lit(7.0)).alias("headroom"), (n % 12 == 0).alias("symmetry"), (n % 20 == 0).alias("leading_lines"), ((n % 11) / F.lit(10.0)).alias("negative_space"))
+    return p.select("id", *[c.alias(k) for c, k in zip(G.summaries(), ("technical", "subject", "framing"), strict=True)])
+
+
+def style_sql():
+    from ..operators.edits import PRESETS, STYLE
+
+    names = list(PRESETS)
+    of = lambda f: " ".join(f"when {i} then {f(k)}" for i, k in enumerate(names))
+    sliders = ", ".join(f"case id % {len(names)} {of(lambda k, x=x: PRESETS[k][0].get(x, 0))} end::double as {x}" for x in STYLE)
+    bands = of(lambda k: "'" + ",".join(f"{b}:{float(v[0])}:{float(v[1])}" for b, v in sorted(PRESETS[k][1].items())) + "'")
+    return f"select id, {sliders}, (id % 9)::double as sharpen, case id % {len(names)} {bands} end as bands from photos"
+
+
+@query("styled_edits", style_sql())
+def styled_edits(s, d):
+    """The edits of every photo after one of the styles; sharpening is none of its business."""
+    from ..operators import edits as E
+
+    p = photos(s, d, "id").withColumn("edits", F.create_map(F.lit("exposure"), F.lit(30.0), F.lit("sharpen"), (F.col("id") % 9).cast("double")))
+    out = None
+    for i, name in enumerate(E.PRESETS):
+        edits, bands = E.preset(F.col("edits"), name)
+        said_ = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(bands)), lambda b: F.concat_ws(":", b["key"], b["value"]["saturation"].cast("string"), b["value"]["luminance"].cast("string"))), ","), F.lit(""))
+        mine = F.struct(edits.alias("e"), said_.alias("bands"))
+        out = F.when(F.col("id") % len(E.PRESETS) == i, mine) if out is None else out.when(F.col("id") % len(E.PRESETS) == i, mine)
+    q = p.select("id", out.alias("o"))
+    return q.select("id", *[F.col("o.e")[k].alias(k) for k in (*E.STYLE, "sharpen")], "o.bands")
+
+
+MERGED = """+ e as (select label as target, vec_id // 20 as ordinal, vec_id from z), n as (select target, count(distinct ordinal) as n from e group by 1),
+k as (select e.*, greatest(1, 60 // n.n) as cap, row_number() over (partition by e.target, ordinal order by vec_id desc) as r from e join n on e.target = n.target),
+o as (select target, vec_id, row_number() over (partition by target order by ordinal desc, vec_id desc) as p from k where r <= cap)
+select target, count(*)::int as n, min(vec_id) as first_id, max(vec_id) as last_id, cast(sum(vec_id) as bigint) as ids from o where p <= 60 group by 1"""
+
+
+@query("merged_persons", MERGED, "z as (select * from embeddings)")
+def merged_persons(s, d):
+    """All profiles of a label made one person's, with some of the vectors of each."""
+    e = table(s, d, "embeddings").select(F.col("label").alias("target"), F.floor(F.col("vec_id") / 20).alias("ordinal"), "vec_id", "embedding")
+    v = F.concat(F.array(F.col("vec_id").cast("float")), "embedding")  # the number goes along, so that what was kept can be told
+    p = e.groupBy("target", "ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", v.alias("v")))), lambda x: x["v"]).alias("embeddings"))
+    ids = F.transform("embeddings", lambda x: x[0].cast("long"))
+    return J.merged_profiles(p).select("target", F.size("embeddings").alias("n"), F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
