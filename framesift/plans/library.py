@@ -13,6 +13,7 @@ from ..operators import filters as P
 from ..operators import groups as G
 from ..operators import joins as J
 from ..operators import search as X_SEARCH
+from ..operators.similarity import spread
 from ..sources.bindings import CORRECTIONS_SQL, PHOTOS_SQL, corrections, photos
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,7 +120,7 @@ select id, array_to_string(found, '|') as found from f where len(found) > 0"""
 
 def searched(s, d):
     """The photo view with captions, keywords, lenses and the names of places."""
-    p = photos(s, d)
+    p = spread(photos(s, d))
     made = [F.expr(v.format(id="id")).alias(k) for k, v in MADE_TEXTS.items()]
     keywords = F.expr("case when id % 9 = 0 then array('Zăpadă', concat('k', id % 3)) else array(concat('k', id % 3)) end").alias("keywords")
     near = J.nearest_place(photos(s, d, "id", "lat", "lon"), gazetteer(s, d))
