@@ -15,7 +15,8 @@ from ..sources.bindings import photos
 from .gallery import FACES
 from .library import query
 
-WIDTH, HEIGHT = 24, 16
+#: Size of a picture, and pictures that are made at once.
+WIDTH, HEIGHT, PICTURES = 24, 16, 256
 
 
 def picture(ids: np.ndarray, users: np.ndarray) -> np.ndarray:
@@ -29,7 +30,8 @@ def picture(ids: np.ndarray, users: np.ndarray) -> np.ndarray:
 
 def pixels_of(id: str, user: str):
     def run(ids: pd.Series, users: pd.Series) -> pd.Series:
-        return pd.Series([row.tobytes() for row in picture(ids.to_numpy(), users.to_numpy())])
+        some = lambda i: picture(ids.to_numpy()[i : i + PICTURES], users.to_numpy()[i : i + PICTURES])
+        return pd.Series([row.tobytes() for i in range(0, len(ids), PICTURES) for row in some(i)])
 
     return F.pandas_udf(run, "binary")(id, user)
 
