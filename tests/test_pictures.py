@@ -342,3 +342,42 @@ def test_automatic_adjustments(spark):
 def test_faces_of_the_query_are_adjusted(spark):
     rows = QUERIES["auto_face_adjustments"](spark, SF).collect()
     assert len(rows) > 500 and any(r["crop_x"] is not None for r in rows) and any(r["exposure"] < 0 for r in rows) and all(r["rotation"] == 0 for r in rows)
+
+
+def test_kernels_of_stacks():
+    """A kernel of many frames tells of each what it tells of that one alone, and numpy runs once for all."""
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.integers(0, 256, (40, 16, 24, 3)), rng.integers(100, 112, (40, 16, 24, 3))]).astype(np.uint8)
+    for name in ("dhash", "sharpness", "exposure", "highlight_clipping", "symmetry", "negative_space", "leading_lines", "light_quality", "colours", "histogram"):
+        kernel = K.KERNELS[name][1]
+        got = kernel.many(K.Frames(a))
+        assert list(got) == [kernel(x) for x in a]
+
+
+def test_strokes_healed_together():
+    """Strokes of a stack are healed as each alone: boxes of several sizes, several points, at edges, none."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (60, 16, 24, 3)).astype(np.uint8)
+    strokes = [[(rng.random((rng.integers(0, 4), 2)), rng.choice([0.02, 0.05, 0.08])) for _ in range(rng.integers(0, 3))] for _ in a]
+    want = []
+    for x, own in zip(a, strokes, strict=True):
+        x = x.astype(float)
+        for p, r in own:
+            x = E.healed(x, [tuple(q) for q in p], r)
+        want.append(x)
+    flat = [s for own in strokes for s in own]
+    points = np.concatenate([p for p, _ in flat])
+    E.heal(a, np.array([len(s) for s in strokes]), np.array([r for _, r in flat]), np.array([len(p) for p, _ in flat]), points[:, 0], points[:, 1])
+    assert (a == np.stack(want)).all()
+
+
+def test_pictures_are_made_some_at_a_time():
+    """A batch of Arrow is never one array of whole numbers."""
+    import tracemalloc
+
+    from framesift.plans.pictures import PICTURES, picture
+
+    tracemalloc.start()
+    picture(np.arange(PICTURES), np.arange(PICTURES))
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
