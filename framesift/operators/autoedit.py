@@ -9,12 +9,12 @@ never a strong one."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, round_half_up
-from .pixels import decode
+from .pixels import Boxes, Frames, luma, stacks
 
 TONES = "n int, p1 int, p2 int, p10 int, p90 int, p98 int, p99 int, neutral int, neutral_r long, neutral_g long, neutral_b long, coloured int, saturation double, face_n int, face_luma double"
 #: Luma and saturation of what counts as neutral, and luma of what counts as coloured.
@@ -23,40 +23,54 @@ NEUTRAL_LIGHT, NEUTRAL_SATURATION, COLOURED_LIGHT = (55, 245), 0.28, (30, 235)
 INSET = 0.18
 
 
-def measured(a: np.ndarray, boxes: list[list[float]]) -> tuple:
-    """TONES of one frame."""
-    px = a.reshape(-1, 3)[::4].astype(float)
+def measured(a: np.ndarray) -> list[np.ndarray]:
+    """TONES of a stack of frames, but for the faces."""
+    f = Frames(a)
+    px = a.reshape(f.n, -1, 3)[:, ::4].astype(float)
     y = px @ np.array([0.299, 0.587, 0.114])
-    h = np.bincount(np.clip(np.floor(y + 0.5), 0, 255).astype(int), minlength=256)
-    n, up, down = len(px), np.cumsum(h), np.cumsum(h[::-1])
-    at = lambda p: int(np.argmax(up / n >= p))
-    top, low = px.max(axis=1), px.min(axis=1)
+    of = np.broadcast_to(f.places, y.shape).ravel()
+    h = f.count(of, np.clip(np.floor(y + 0.5), 0, 255).astype(int).ravel(), 256)
+    n, up, down = px.shape[1], np.cumsum(h, axis=1), np.cumsum(h[:, ::-1], axis=1)
+    at = lambda p: np.argmax(up / n >= p, axis=1)
+    r, g, b = (np.ascontiguousarray(px[..., i]) for i in range(3))
+    top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
     s = np.where(top > 0, (top - low) / np.where(top > 0, top, 1), 0)
     plain = (y >= NEUTRAL_LIGHT[0]) & (y <= NEUTRAL_LIGHT[1]) & (top > 0) & (s <= NEUTRAL_SATURATION)
     rich = (top > 0) & (y >= COLOURED_LIGHT[0]) & (y <= COLOURED_LIGHT[1])
-    seen, light = 0, 0.0
-    hh, ww = a.shape[:2]
-    for x, t, w, high in boxes:
-        if w > 0 and high > 0:
-            edge = lambda v, size: int(min(size, max(0, np.floor(v * size + 0.5))))
-            part = a[edge(t + high * INSET, hh) : edge(t + high * (1 - INSET), hh), edge(x + w * INSET, ww) : edge(x + w * (1 - INSET), ww)]
-            seen += part.shape[0] * part.shape[1]
-            light += float((part.astype(float) @ np.array([0.299, 0.587, 0.114])).sum()) / 255
-    sums = px[plain].sum(axis=0)
-    return (n, at(0.01), at(0.02), at(0.10), at(0.90), 255 - int(np.argmax(down / n >= 0.02)), at(0.99), int(plain.sum()), *(int(v) for v in sums), int(rich.sum()), float(s[rich].sum()), seen, light)
+    sums = [(c * plain).sum(axis=1).astype(np.int64) for c in (r, g, b)]
+    saturation = np.array([float(x[k].sum()) for x, k in zip(s, rich, strict=True)])
+    return [np.full(f.n, n), at(0.01), at(0.02), at(0.10), at(0.90), 255 - np.argmax(down / n >= 0.02, axis=1), at(0.99), plain.sum(axis=1), *sums, rich.sum(axis=1), saturation]
+
+
+def inner_edges(b: np.ndarray, w: int, h: int) -> tuple[np.ndarray, ...]:
+    """The inner part of boxes, in pixels; nothing of boxes without a size."""
+    edge = lambda v, size: np.clip(np.floor(v * size + 0.5), 0, size)
+    x, top, wide, high = b.T
+    some = (wide > 0) & (high > 0)
+    x0, y0 = edge(x + wide * INSET, w), edge(top + high * INSET, h)
+    return x0, y0, np.where(some, edge(x + wide * (1 - INSET), w), x0), np.where(some, edge(top + high * (1 - INSET), h), y0)
 
 
 def tones(frames: DataFrame, boxes: str = "boxes") -> DataFrame:
     """Add a struct ``tones``; null for broken frames. Frames are as large as they are given: shrink large ones first."""
     names = [c.split()[0] for c in TONES.split(", ")]
-
-    @F.pandas_udf(TONES)
-    def run(pixels: pd.Series, width: pd.Series, height: pd.Series, faces: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, w, h, b in zip(pixels, width, height, faces, strict=True):
-            a = decode(p, w, h)
-            rows.append([None] * len(names) if a is None else measured(a, [] if b is None else [list(x) for x in b]))
-        return pd.DataFrame(rows, columns=names)
+    types = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in TONES.split(", ")]
+
+    @F.arrow_udf(TONES)
+    def run(pixels: pa.Array, width: pa.Array, height: pa.Array, faces: pa.Array) -> pa.Array:
+        b = Boxes(faces)
+        seen, light = np.zeros(len(b.at), np.int64), np.zeros(len(b.at))
+        of = np.repeat(np.arange(len(pixels)), b.n)
+        whole, cols = np.zeros(len(pixels), bool), [np.zeros(len(pixels)) for _ in names]
+        for places, a in stacks(pixels, width, height):
+            whole[places] = True
+            for c, v in zip(cols, measured(a), strict=False):
+                c[places] = v
+            for own, parts in b.parts(places, a, inner_edges):
+                seen[own] = parts.shape[1] * parts.shape[2]
+                light[own] = luma(parts).reshape(len(own), -1).sum(axis=1) / 255
+        cols[-2], cols[-1] = np.bincount(of, seen, len(pixels)), np.bincount(of, light, len(pixels))
+        return pa.StructArray.from_arrays([pa.array(c if t == pa.float64() else c.astype(np.int64), t, mask=~whole) for c, t in zip(cols, types, strict=True)], names=names)
 
     out = frames.withColumn("tones", run("pixels", "width", "height", boxes))
     return out.withColumn("tones", F.when(F.col("tones.n") > 0, F.col("tones")))
