@@ -4,9 +4,10 @@ Every language has a few raw-content zstandard dictionaries, cut from a bounded
 sample of its texts. A text is encoded in chunks with each dictionary; the
 language whose dictionaries give the fewest bytes wins. The score is the margin
 by which it beats the next language, mapped to 0..1; below ``reject_below`` the
-operator's column ``accepted`` is false. Of more than SHORTLIST languages, a
-text is encoded for those only whose dictionaries share most of its grams of
-GRAM bytes (whole text, all languages, one product of matrices).
+operator's column ``accepted`` is false. Of more than SHORTLIST languages,
+those whose dictionaries share most of its grams of GRAM bytes come first; the
+others are encoded until they take more bytes than the second best, which they
+can't come back from, so the result is that of all languages.
 
 The model is bounded: at most ``max_languages`` languages are learned, the most
 frequent, and their dictionaries share ``model_bytes``; the driver gathers about
@@ -37,7 +38,7 @@ from .common import fold, short_batches, table, texts
 UND = "und"
 #: Bytes of text that are gathered for each byte of a dictionary.
 SPARE = 3
-#: Languages up to which each text is encoded for all, candidates beyond; lang values that are counted in the driver; bytes of a gram and hash buckets.
+#: Languages up to which each text is encoded for all in their order, candidates that come first beyond; lang values that are counted in the driver; bytes of a gram and hash buckets.
 SHORTLIST, CANDIDATES, COUNTED = 16, 8, 20_000
 GRAM, BUCKETS = 4, 1 << 13
 SPLIT = re.compile(r"[\W\d_]+")
@@ -92,11 +93,21 @@ class Encoder:
             self.known = has * np.log((1 + len(has)) / (1 + has.sum(axis=0, keepdims=True))).astype(np.float32)
 
     def candidates(self, raw: bytes) -> list[int]:
-        """Languages that a text is encoded for."""
+        """Languages that a text is encoded for first."""
         if self.known is None:
             return list(range(len(self.coders)))
         return sorted(np.argsort(-(self.known @ np.minimum(grams(raw), 8)), kind="stable")[:CANDIDATES].tolist())
 
+    def size(self, i: int, pieces: list[bytes], most: int) -> int | None:
+        """Bytes that language i takes; None once they are more than ``most``."""
+        n = 0
+        for c in self.coders[i][1]:
+            for p in pieces:
+                n += len(c.compress(p))
+                if n > most:
+                    return None
+        return n
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.coders or not has_letter(text):
             return UND, 0.0, False
@@ -104,6 +115,9 @@ class Encoder:
         step = self.model.chunk
         pieces = [raw[i : i + step] for i in range(0, len(raw), step)]
         sizes = {i: sum(len(c.compress(p)) for c in self.coders[i][1] for p in pieces) for i in self.candidates(raw)}
+        for i in range(len(self.coders)):
+            if i not in sizes and (n := self.size(i, pieces, sorted(sizes.values())[1])) is not None:
+                sizes[i] = n
         order = sorted(sizes, key=lambda i: (sizes[i], i))
         best = order[0]
         if len(order) == 1:
