@@ -233,12 +233,13 @@ def as_log(decisions: DataFrame) -> DataFrame:
 def choice_log(choices: DataFrame, photos: DataFrame) -> DataFrame:
     """A log of choices (winner_id, loser_id, pos, ts): the winner's context, and for each loser the features of both.
 
-    photos: id, context_key, features. Losers that aren't there are passed over, and choices without a loser or a winner."""
+    photos: id, context_key, features. Losers that aren't there are passed over, and choices without a loser or a winner.
+    Maps of features take many times the bytes of the file that they are made of, so neither side is ever broadcast."""
     w = photos.select(F.col("id").alias("winner_id"), "context_key", "features")
     l = photos.select(F.col("id").alias("loser_id"), F.col("features").alias("rival"))  # noqa: E741
-    j = choices.join(w, "winner_id").join(l, "loser_id")
+    j = choices.join(w.hint("merge"), "winner_id").join(l.hint("merge"), "loser_id")
     last = j.groupBy("winner_id", "ts").agg(F.max("pos").alias("_last"))
-    j = j.join(last, ["winner_id", "ts"])
+    j = j.join(last.hint("merge"), ["winner_id", "ts"])
     none = F.lit(None).cast("boolean")
     return j.select("features", "rival", none.alias("ai_decision"), none.alias("user_decision"), "ts", F.col("winner_id").alias("id"), F.col("pos").cast("int").alias("pos"), (F.col("pos") == F.col("_last")).alias("last"), "context_key")
 
@@ -252,13 +253,18 @@ def _in_order(decisions: DataFrame) -> DataFrame:
     return as_log(decisions).repartition("context_key").sortWithinPartitions("context_key", "ts", "id", "pos")
 
 
+def for_both(decisions: DataFrame) -> DataFrame:
+    """Every row for its context and for the global model; what the rows are made of is made once."""
+    return decisions.withColumn("context_key", F.explode(F.array("context_key", F.lit(GLOBAL))))
+
+
 def replay(decisions: DataFrame) -> DataFrame:
     """One model for each context and one over all, by replaying decisions and choices (rows of EVENT, or of decisions alone) in one order.
 
     The order of a context's decisions is its meaning, so each context is one
     task's, and so is the global one; rows stream through and only the model is
     held."""
-    both = _in_order(decisions.unionByName(decisions.withColumn("context_key", F.lit(GLOBAL))))
+    both = _in_order(for_both(decisions))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, m = None, Model()
@@ -305,32 +311,35 @@ def predict(photos: DataFrame, models: DataFrame, *, enrolled: bool = True) -> D
     """id, score, personal_delta, uncertainty, stage, top: a blend n / (n + 12) of the context's and the global model.
 
     personal_delta is what learning has added to the score, top the four
-    largest contributions. Scoring is built-in functions over maps; models are
+    largest contributions. Scoring is built-in functions over arrays in the
+    order of the features, into which a model's maps are laid once; models are
     few, and broadcast if a count says so."""
     few = (lambda m: F.broadcast(m)) if models.limit(10_001).count() <= 10_000 else (lambda m: m)
-    literal = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])
-    prior, plain = literal(PRIOR), literal(seeds())
-    x = spread(photos).select("id", context_key().alias("context_key"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.alias("v")) for i, (k, v) in enumerate(feature_columns(photos.columns, enrolled=enrolled).items())]).alias("x"))
+    columns, fresh = feature_columns(photos.columns, enrolled=enrolled), seeds()
+    prior = F.array(*[F.lit(float(PRIOR.get(k, 0.0))) for k in columns])
+    plain = F.array(*[F.array(*map(F.lit, fresh[k])) if k in fresh else F.lit(None).cast("array<double>") for k in columns])
+    laid = lambda m: models.filter(m).select("context_key", F.array(*[F.coalesce(F.try_element_at("weights", F.lit(k)), F.lit(0.0)) for k in columns]).alias("w"), "bias", F.when(F.col("stats").isNotNull(), F.array(*[F.try_element_at("stats", F.lit(k)) for k in columns])).alias("s"), "n")
+    x = spread(photos).select("id", context_key().alias("context_key"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.alias("v")) for i, (k, v) in enumerate(columns.items())]).alias("x"))
     x = x.withColumn("x", F.filter("x", lambda e: e["v"].isNotNull()))
-    c = few(models.filter(F.col("context_key") != GLOBAL).toDF("context_key", "cw", "cb", "cs", "cn"))
-    g = models.filter(F.col("context_key") == GLOBAL).select(F.col("weights").alias("gw"), F.col("bias").alias("gb"), F.col("stats").alias("gs"))  # one row at most
+    c = few(laid(F.col("context_key") != GLOBAL).toDF("context_key", "cw", "cb", "cs", "cn"))
+    g = laid(F.col("context_key") == GLOBAL).select(F.col("w").alias("gw"), F.col("bias").alias("gb"), F.col("s").alias("gs"))  # one row at most
     j = x.join(c, "context_key", "left").join(F.broadcast(g), how="left")
+    j = j.select("id", "x", "cb", "gb", "cn", *[F.coalesce(w, prior).alias(w) for w in ("cw", "gw")], *[F.coalesce(s, plain).alias(s) for s in ("cs", "gs")], prior.alias("prior"))
 
     def z(e: Column, stats: str) -> Column:
-        s = F.try_element_at(F.coalesce(F.col(stats), plain), e["k"])
+        s = F.get(stats, e["i"])
         n, mean, m2 = s[0], s[1], s[2]
         far = F.when(F.coalesce(n, F.lit(0.0)) <= 2, e["v"]).otherwise((e["v"] - mean) / F.sqrt(F.greatest(F.lit(VAR_FLOOR), m2 / (n - 1))))
         return F.greatest(F.lit(-Z_LIMIT), F.least(F.lit(Z_LIMIT), far))
 
-    weight = lambda e, w: F.coalesce(F.try_element_at(F.coalesce(F.col(w), prior), e["k"]), F.lit(0.0))
     n = F.coalesce("cn", F.lit(0))
     j = j.withColumn("a", n / (n + BLEND))
-    parts = F.transform("x", lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), z(e, "cs").alias("z"), (F.col("a") * weight(e, "cw") * z(e, "cs") + (1 - F.col("a")) * weight(e, "gw") * z(e, "gs")).alias("c")))
-    j = j.withColumn("parts", parts)
+    far = F.transform("x", lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), z(e, "cs").alias("z"), z(e, "gs").alias("g")))
+    j = j.withColumn("parts", F.transform(far, lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), e["z"].alias("z"), (F.col("a") * F.get("cw", e["i"]) * e["z"] + (1 - F.col("a")) * F.get("gw", e["i"]) * e["g"]).alias("c"))))
     total = lambda f: F.aggregate("parts", F.lit(0.0), lambda t, e: t + f(e))
     chance = lambda t: 1 / (1 + F.exp(-t))
     p = chance(F.col("a") * F.coalesce("cb", F.lit(0.0)) + (1 - F.col("a")) * F.coalesce("gb", F.lit(0.0)) + total(lambda e: e["c"]))
-    naive = chance(total(lambda e: F.coalesce(F.try_element_at(prior, e["k"]), F.lit(0.0)) * e["z"]))
+    naive = chance(total(lambda e: F.get("prior", e["i"]) * e["z"]))
     j = j.withColumn("p", p).withColumn("naive", naive).withColumn("far", total(lambda e: F.abs(e["z"])) / F.greatest(F.size("parts"), F.lit(1)))
     order = F.array_sort(F.transform("parts", lambda e: F.struct((-F.abs(e["c"])).alias("d"), e["i"].alias("i"), e["k"].alias("feature"), e["c"].alias("contribution"))))
     top = F.transform(F.slice(order, 1, 4), lambda e: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution")))

@@ -83,21 +83,22 @@ def memory_rescore(s, d):
 
 
 def choices(s, d):
-    """Every series as a choice of its best frame against the others, at the time of its last frame's number."""
+    """Every series as a choice of its best frame against the others, at the time of its last frame's number. Written once; no side is small, whatever the size of the file says."""
     p = photos(s, d)
     best = G.best_frames(p).select("group_id", F.col("keep_id").alias("winner_id"))
-    rest = G.series(p).select("group_id", F.col("id").alias("loser_id")).join(best, "group_id").filter("loser_id <> winner_id")
+    rest = checkpointed(G.series(p).select("group_id", F.col("id").alias("loser_id")).join(best.hint("merge"), "group_id").filter("loser_id <> winner_id"))
     ends = rest.groupBy("group_id").agg(F.max(F.greatest("loser_id", "winner_id")).alias("ts"))
     place = F.row_number().over(Window.partitionBy("group_id").orderBy("loser_id"))
-    return rest.join(ends, "group_id").select("winner_id", "loser_id", place.alias("pos"), "ts")
+    return rest.join(ends.hint("merge"), "group_id").select("winner_id", "loser_id", place.alias("pos"), "ts")
 
 
 def event_log(s, d):
     """Decisions and choices in one log."""
     p = photos(s, d)
     known = p.select("id", S.context_key().alias("context_key"), S.features(p.columns).alias("features"))
-    decided = corrections(s, d).join(known, "id").join(p.select("id", "ai_score"), "id").withColumn("ai_decision", S.ai_decision())
-    return S.as_log(decided).unionByName(S.choice_log(choices(s, d), known))
+    scored = p.select("id", "ai_score", S.context_key().alias("context_key"), S.features(p.columns).alias("features"))
+    decided = corrections(s, d).join(scored.hint("merge"), "id").withColumn("ai_decision", S.ai_decision())
+    return S.as_log(decided).unionByName(S.choice_log(checkpointed(choices(s, d)), known))
 
 
 @query("preference_replay")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scoring import GLOBAL, Model, as_log
+from ..operators.scoring import Model, as_log, for_both
 
 DECISION = "context_key string, features map<string,double>, ai_decision boolean, user_decision boolean, ts long, id long"
 STATE = "weights map<string,double>, bias double, stats map<string,array<double>>, n long"
@@ -35,7 +35,7 @@ def hourly_usage(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> Dat
 def learner(decisions: DataFrame) -> DataFrame:
     """Models after each batch of decisions and choices: state is kept for each context and for the global one. Within a batch rows are taken in order of (ts, id); a batch of a context is held whole, so bound it by files a trigger."""
     decisions = as_log(decisions)
-    both = decisions.unionByName(decisions.withColumn("context_key", F.lit(GLOBAL)))
+    both = for_both(decisions)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m = Model()

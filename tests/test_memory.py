@@ -294,3 +294,13 @@ def test_photo_stream_is_bounded(spark):
     q = L.photo_stream(spark, at, "id long, captured_at long", files=2).writeStream.foreachBatch(lambda b, i: sizes.append(len(b.inputFiles()) or b.count())).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(sizes) == 3
+
+
+def test_maps_of_features_are_not_broadcast(spark):
+    """A small file may hold many maps: none of the joins of the log of decisions and choices is broadcast for its size, and the log is made once for both kinds of models."""
+    from framesift.operators import scoring as S
+    from framesift.plans.learning import event_log
+
+    log = S.replay(event_log(spark, "/root/testdata/sf0.001"))._jdf.queryExecution()
+    plan = log.executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Scan parquet") <= 10
