@@ -311,10 +311,12 @@ def series_persons(photos: DataFrame) -> DataFrame:
 
 
 def sidecars(decided: DataFrame, library: DataFrame) -> DataFrame:
-    """id, xmp of decided photos; whoever is known in a series is in all its frames."""
-    j = decided.filter("status <> 'pending'").join(series_persons(library.select("group_id", "persons")), "group_id", "left")
+    """id, xmp of decided photos; whoever is known in a series is in all its frames. Frames of no series, that all have one group_id, stay out of the join."""
+    d, in_series = decided.filter("status <> 'pending'"), "coalesce(group_id, '') <> ''"
+    j = d.filter(in_series).join(series_persons(library.select("group_id", "persons")), "group_id", "left")
     j = j.withColumn("persons", F.coalesce("everyone", F.array_sort("persons"))).drop("everyone")
-    return j.select("id", sidecar(j.columns).alias("xmp"))
+    both = j.unionByName(d.filter(f"not {in_series}").withColumn("persons", F.array_sort("persons")))
+    return both.select("id", sidecar(both.columns).alias("xmp"))
 
 
 def manifest(photos: DataFrame) -> DataFrame:
