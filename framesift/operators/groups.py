@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, clamp, clamp01, round_half_up
+from .joins import dimension
 from .ranks import carried, down, ranked, ranked_within
 from .similarity import checkpointed
 from .filters import eyes_open, inbox_category, is_decided, subject_rank
@@ -117,37 +118,40 @@ def after_grouping(photos: DataFrame, best: DataFrame) -> DataFrame:
 def stacks(photos: DataFrame, gap_ms: int = GAP_MS, least: int = 4, by: str | None = None) -> DataFrame:
     """id, moment: runs in time with no gap above ``gap_ms``, of at least ``least`` frames. moment is the first frame's id.
 
-    Breaks are found per time bucket wider than the gap, with the last time of
-    the bucket before, so the order is not one task's: see ``moment_starts``."""
-    p = photos.filter("captured_at is not null")
-    starts = moment_starts(p, gap_ms, by)
-    span = 86_400_000
+    Frames of one bucket of time as wide as the gap are of one run, so runs are
+    found on a row for each bucket (``runs_of_buckets``); frames themselves are
+    neither sorted nor held, and look up their bucket's run."""
+    p = photos.filter("captured_at is not null").withColumn("_b", F.expr(f"(captured_at - pmod(captured_at, {gap_ms + 1})) div {gap_ms + 1}"))
     keys = [by] if by else []
-    # every frame belongs to the last start at or before it: starts are few, so they are ranked per day and carried over empty days
-    day = F.expr(f"captured_at div {span}")
-    s = starts.withColumn("_day", day)
-    marked = p.withColumn("_day", day).join(s.select("id", F.lit(1).alias("_new")), "id", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
-    w = Window.partitionBy(*keys, "_day").orderBy("captured_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = marked.withColumn("_first", F.last(F.when(F.col("_new") == 1, F.col("id")), ignorenulls=True).over(w))
-    per_day = s.groupBy(*keys, "_day").agg(F.max_by("id", F.struct("captured_at", "id")).alias("_last"))
-    days = marked.select(*keys, "_day").distinct().join(per_day, [*keys, "_day"], "left")
-    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.withColumn("_carry", F.last("_last", ignorenulls=True).over(over)).select(*keys, "_day", "_carry")
-    m = inside.join(carried, [*keys, "_day"]).withColumn("moment", F.coalesce("_first", "_carry"))
-    size = m.groupBy("moment").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
-    return m.join(size.select("moment"), "moment").drop("_day", "_new", "_first", "_carry")
-
-
-def moment_starts(p: DataFrame, gap_ms: int, by: str | None = None) -> DataFrame:
-    """Frames that come more than ``gap_ms`` after the one before, over buckets of a day with what the days before end in."""
-    keys = [by] if by else []
-    day = F.expr("captured_at div 86400000")
-    d = p.withColumn("_day", day)
-    ends = d.groupBy(*keys, "_day").agg(F.max("captured_at").alias("_end"))
-    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_day"))).select(*keys, "_day", "_before")
-    w = Window.partitionBy(*keys, "_day").orderBy("captured_at", "id")
-    prev = F.coalesce(F.lag("captured_at").over(w), F.col("_before"))
-    return d.join(before, [*keys, "_day"]).withColumn("_prev", prev).filter(F.col("_prev").isNull() | (F.col("captured_at") - F.col("_prev") > gap_ms)).drop("_prev", "_before", "_day")
+    runs = runs_of_buckets(p, gap_ms, keys).filter(F.col("_n") >= least).select("moment", F.col("_b").alias("_of"), *[F.col(c).alias("_key") for c in keys])
+    same = F.col("_b") == F.col("_of")
+    return p.join(dimension(runs), same & F.col(by).eqNullSafe(F.col("_key")) if by else same).drop("_b", "_of", "_key")
+
+
+def runs_of_buckets(p: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:
+    """_b, moment, _n (and the key): for each bucket of time the first frame of its run, and how many frames the run has. Buckets are taken in days, with what the days before end in."""
+    ends = p.groupBy(*keys, "_b").agg(F.min("captured_at").alias("_lo"), F.max("captured_at").alias("_hi"), F.min(F.struct("captured_at", "id")).alias("_first"), F.count(F.lit(1)).alias("_c"))
+    ends = checkpointed(ends.withColumn("_first", F.col("_first.id")).withColumn("_day", F.expr("_lo div 86400000")))
+    days = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_day")
+    before = lambda c: F.last(c, ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1))
+    within = Window.partitionBy(*keys, "_day").orderBy("_lo")
+    named = [F.col(c).alias(f"_k_{c}") for c in keys]
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col("_day") == F.col("_d")]
+
+    def carried_over(rows: DataFrame, last: Column, name: str) -> DataFrame:
+        """Add what the days before a row's day end in."""
+        per_day = rows.groupBy(*keys, "_day").agg(last.alias("_last")).select(*named, F.col("_day").alias("_d"), "_last", *keys, "_day")
+        ended = per_day.select(*named, "_d", before("_last").alias(name))
+        return rows.join(ended, same).drop("_d", *[f"_k_{c}" for c in keys])
+
+    r = carried_over(ends, F.max("_hi"), "_before")
+    prev = F.coalesce(F.lag("_hi").over(within), F.col("_before"))
+    r = r.withColumn("_start", F.when(prev.isNull() | (F.col("_lo") - prev > gap_ms), F.struct("_lo", "_first"))).drop("_before")
+    r = carried_over(r, F.max("_start"), "_carry")
+    since = F.last("_start", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    r = checkpointed(r.select(*keys, "_b", "_c", F.coalesce(since, F.col("_carry"))["_first"].alias("moment")))
+    size = r.groupBy("moment").agg(F.sum("_c").alias("_n"))
+    return r.drop("_c").join(dimension(size), "moment")
 
 
 def moments(photos: DataFrame, gap_ms: int = GAP_MS, least: int = 4) -> DataFrame:
@@ -157,7 +161,8 @@ def moments(photos: DataFrame, gap_ms: int = GAP_MS, least: int = 4) -> DataFram
 def top_picks(photos: DataFrame, gap_ms: int = GAP_MS, least: int = 4, k: int = 3) -> DataFrame:
     """The k best frames of a moment, one of each series: people before others, documents (as the inbox tells them) last; whoever is known doesn't count."""
     one = F.when(blank_to_null("group_id").isNotNull(), F.col("group_id")).otherwise(F.concat(F.lit("solo:"), F.col("id").cast("string")))
-    s = stacks(photos, gap_ms, least).withColumn("_rank", F.when(inbox_category() == "document", 0).when(F.coalesce("face_count", F.lit(0)) > 0, 2).otherwise(1)).withColumn("_series", one)
+    rank = F.when(inbox_category() == "document", 0).when(F.coalesce("face_count", F.lit(0)) > 0, 2).otherwise(1)
+    s = stacks(photos.select("id", "captured_at", "ai_score", rank.alias("_rank"), one.alias("_series")), gap_ms, least)
     best = s.groupBy("moment", "_series").agg(F.min(F.struct((-F.col("_rank")).alias("a"), (-F.col("ai_score")).alias("b"), "id")).alias("o"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("moment").orderBy("o"))).filter(F.col("place") <= k).select("moment", F.col("o.id").alias("id"), "place")
 
