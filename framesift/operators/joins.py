@@ -104,9 +104,15 @@ def merged_profiles(profiles: DataFrame, most: int = 60) -> DataFrame:
 
 
 def nearest_place(photos: DataFrame, places: DataFrame, km: float = 30.0) -> DataFrame:
-    """id, the place's columns, distance_km: the place with the smallest planar score in a latitude band, if the great circle is at most ``km``.
+    """id, the place's columns, distance_km: the place with the smallest planar score in a latitude band, if the great circle is at most ``km``. It is looked for once for each spot (lat, lon)."""
+    near = places_of_spots(photos, places, km)
+    return photos.select("id", "lat", "lon").join(dimension(near), ["lat", "lon"]).drop("lat", "lon")
 
-    Photos and places (name, lat, lon, ordinal and others) meet in cells of
+
+def places_of_spots(photos: DataFrame, places: DataFrame, km: float = 30.0) -> DataFrame:
+    """lat, lon, the place's columns, distance_km: the nearest place (see ``nearest_place``) of every different spot of the photos that has one.
+
+    Spots and places (name, lat, lon, ordinal and others) meet in cells of
     latitude, as wide as the band, and of longitude, at least twice as wide in
     every row of cells, so one city is one cell's; where a row is too near to a
     pole it is one cell. The score picks, the distance only gates. Longitudes
@@ -126,14 +132,14 @@ def nearest_place(photos: DataFrame, places: DataFrame, km: float = 30.0) -> Dat
     near = p.withColumn("_r", F.explode(F.array(*[row(F.col("plat")) + d for d in (-1, 0, 1)])))
     near = near.withColumn("_turn", F.explode(F.array_compact(F.array(F.lit(0), F.when((F.col("plon") - 180) * scale(F.col("_r")) > -2 * wide, -360), F.when((F.col("plon") + 180) * scale(F.col("_r")) < 2 * wide, 360)))))
     near = near.withColumn("_c", F.explode(F.array_distinct(F.array(*[column(F.col("plon") + F.col("_turn"), F.col("_r")) + d for d in (-1, 0, 1)]))))
-    q = photos.filter("lat is not null and lon is not null").select("id", "lat", "lon").withColumn("_r", row(F.col("lat")))
+    q = photos.filter("lat is not null and lon is not null").select("lat", "lon").distinct().withColumn("_r", row(F.col("lat")))
     q = q.withColumn("_c", column(F.col("lon"), F.col("_r")))
     d = F.col("plon") - F.col("lon")
     d = F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d) * F.cos(F.radians("lat"))
     j = q.join(near.drop("_turn"), ["_r", "_c"]).filter((F.col("plat") >= F.col("lat") - band) & (F.col("plat") < F.col("lat") + band))
     j = j.withColumn("_score", F.pow(F.col("plat") - F.col("lat"), F.lit(2.0)) + F.pow(d, F.lit(2.0)))
-    best = j.groupBy("id").agg(F.min_by(F.struct("name", "lat", "lon", "plat", "plon", *rest), F.struct("_score", "plat", "ordinal")).alias("b"))
-    return best.select("id", "b.name", *[f"b.{c}" for c in rest], haversine_km("b.lat", "b.lon", "b.plat", "b.plon").alias("distance_km")).filter(F.col("distance_km") <= km)
+    best = j.groupBy("lat", "lon").agg(F.min_by(F.struct("name", "plat", "plon", *rest), F.struct("_score", "plat", "ordinal")).alias("b"))
+    return best.select("lat", "lon", "b.name", *[f"b.{c}" for c in rest], haversine_km("lat", "lon", "b.plat", "b.plon").alias("distance_km")).filter(F.col("distance_km") <= km)
 
 
 def home_anchor(photos: DataFrame, cell: float = 0.5) -> DataFrame:

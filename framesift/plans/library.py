@@ -123,24 +123,25 @@ def searched(s, d):
     p = spread(photos(s, d))
     made = [F.expr(v.format(id="id")).alias(k) for k, v in MADE_TEXTS.items()]
     keywords = F.expr("case when id % 9 = 0 then array('Zăpadă', concat('k', id % 3)) else array(concat('k', id % 3)) end").alias("keywords")
-    near = J.nearest_place(photos(s, d, "id", "lat", "lon"), gazetteer(s, d))
+    near = J.places_of_spots(photos(s, d, "lat", "lon"), gazetteer(s, d))
     place = X_SEARCH.place_label(F.col("name"), F.col("country"), F.col("distance_km"), X_SEARCH.place_radius_km("population"))
     tags = F.transform("tags", lambda t: F.when(t == "tag3", "snow").otherwise(t))
-    return p.select("*", *made, keywords).withColumn("tags", tags).join(near.select("id", place.alias("place")), "id", "left")
+    return p.select("*", *made, keywords).withColumn("tags", tags).join(J.dimension(near.select("lat", "lon", place.alias("place"))), ["lat", "lon"], "left")
 
 
 def search_text(s, d):
     """What each of twelve searches finds: by name, caption, keyword, person, camera, subject, date, place, and words near a subject."""
     p = searched(s, d)
-    x = p.select("id", "tags", X_SEARCH.search_texts(p.columns, LABELS_RO).alias("texts"))
-    found = F.array_compact(F.array(*[F.when(X_SEARCH.matches(n, F.col("texts")), F.lit(n)) for n in NEEDLES]))
-    return x.select("id", found.alias("found")).filter("size(found) > 0").select("id", F.array_join("found", "|").alias("found"))
+    # exploded, so that the filter behind is not worked out on the texts' expressions again
+    x = p.select("id", "tags", F.explode(F.array(X_SEARCH.searched_texts(p.columns, LABELS_RO))).alias("texts"))
+    found = F.concat_ws("|", *[F.when(X_SEARCH.found_in(n, F.col("texts")), F.lit(n)) for n in NEEDLES])
+    return x.select("id", found.alias("found")).filter("found <> ''")
 
 
 def search_first(s, d):
     """The first sixty photos that a search shows, the newest first."""
     p = searched(s, d)
-    return p.filter(X_SEARCH.matches("zăpadă", X_SEARCH.search_texts(p.columns, LABELS_RO))).orderBy(F.coalesce("captured_at", F.lit(0)).desc(), "id").limit(60).select("id", "captured_at")
+    return p.filter(X_SEARCH.found_in("zăpadă", X_SEARCH.searched_texts(p.columns, LABELS_RO))).orderBy(F.coalesce("captured_at", F.lit(0)).desc(), "id").limit(60).select("id", "captured_at")
 
 
 @query("real_gps", "select id, lat, lon from photos where lat is not null and lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0)")
