@@ -39,7 +39,7 @@ def hamming_pairs(s, d):
 
 @query("hamming_components", COMPONENTS_SQL, RECURSIVE_SQL)
 def hamming_components(s, d):
-    return M.components(M.hamming_pairs(hashes(s, d), 4).select("a", "b"))
+    return M.hamming_components(hashes(s, d), 4)
 
 
 @query("cosine_pairs", "+ x as (select vec_id, embedding::double[] as e from v) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from x a join x b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.35", "v as (select * from embeddings)")
