@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from framesift.operators import cluster as C
 from framesift.plans import advanced, gallery, registry
 from framesift.sources.bindings import photos, table
 
@@ -194,3 +195,34 @@ def test_face_tracks(spark):
         want |= {(series, t, f, face, rows[t][0], rows[t][1], places.index(t) + 1) for (t, f), face in cells.items()}
     got = {tuple(r) for r in QUERIES["face_tracks"](spark, SF).select("series", "track", "frame", "face", "match", "blink_count", "place").collect()}
     assert got == want and {w[4] for w in want} == {"person", "embedding", "position"} and any(w[3] is None for w in want)
+
+
+def shows(n, mixed=False):
+    """Frames with faces of one or two vectors, pictures, neither; some of no length (never alike) and, if mixed, of several lengths."""
+    rng = np.random.default_rng(7)
+    vector = lambda: [0.0] * 6 if rng.random() < 0.03 else rng.normal(size=4 + rng.integers(3) if mixed else 6).tolist()
+    out = []
+    for i in range(n):
+        r = {"faces": [vector() for _ in range(1 + i % 2)] if i % 3 == 0 else None, "image": vector() if i % 3 == 1 else None, "composition_score": None if i % 7 == 0 else float(rng.random()), "color_harmony": float(rng.random()), "face_count": i % 2}
+        out += [r, dict(r)] if i % 5 == 0 else [r]
+    return out
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_a_series_of_any_length_is_split(mixed):
+    rows = [r for r in shows(400, mixed) if r["faces"] or r["image"]]  # over 200 of them
+    assert len(rows) > 200
+    for kept in (rows, shows(60, mixed)):
+        root = list(range(len(kept)))
+        for i in range(len(kept)):
+            for j in range(i):
+                if root[i] != root[j] and maybe(kept[i], kept[j]):
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        assert C.split_series([C.Subject(tuple(r[c] for c in C.SUBJECT_COLUMNS)) for r in kept]) == root
+
+
+def test_a_long_series_of_two_subjects_is_two(spark):
+    rows = [(i, 0, i, [[1.0, 0.0]] if i % 2 else [[0.0, 1.0]]) for i in range(240)]
+    photos = spark.createDataFrame(rows, "id long, h long, captured_at long, faces array<array<double>>")
+    assert {tuple(r) for r in C.near_duplicate_series(photos).collect()} == {(i, i % 2) for i in range(240)}
