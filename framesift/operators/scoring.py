@@ -6,7 +6,10 @@ import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +211,103 @@ class Model:
             self.n += bool(r.last)
 
 
+#: Features of a fixed place in rows of numbers; rows of a log of which the statistics are worked out at once.
+NAMES, AHEAD = [*PRIOR, *(k for k in ORDINARY if k not in PRIOR)], 512
+
+
+#: A log of which features and rival are numbers in the order of NAMES, as bytes of doubles (NaN where there is none): x, and y of a choice. Rows with other features, or with numbers that aren't finite, have no bytes but their maps.
+NUMBERS = "context_key string, x binary, y binary, choice boolean, features map<string,double>, rival map<string,double>, ai_decision boolean, user_decision boolean, ts long, id long, pos int, last boolean"
+
+
+def as_numbers(log: DataFrame) -> DataFrame:
+    """Rows of EVENT as rows of NUMBERS; such rows stay as they are."""
+    if "x" in log.columns:
+        return log
+    names, size = pa.array(NAMES), 8 * len(NAMES)
+
+    def numbers(maps: pa.MapArray) -> tuple[np.ndarray, np.ndarray]:
+        """A matrix, and which rows are odd."""
+        at = maps.offsets.to_numpy()
+        flat = slice(at[0], at[-1])
+        row = np.repeat(np.arange(len(maps)), np.diff(at))
+        place = pc.fill_null(pc.index_in(maps.keys[flat], value_set=names), -1).to_numpy(zero_copy_only=False)
+        v = maps.items[flat].to_numpy(zero_copy_only=False)
+        out, good = np.full((len(maps), len(NAMES)), np.nan), (place >= 0) & np.isfinite(v)
+        out[row[good], place[good]] = v[good]
+        return out, np.bincount(row[~good], minlength=len(maps)) > 0
+
+    def packed(m: np.ndarray, there: np.ndarray) -> pa.Array:
+        ends = np.append(0, np.cumsum(there * size)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(m[there]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = dict(zip(batch.schema.names, batch.columns, strict=True))
+            choice = c["rival"].is_valid().to_numpy(zero_copy_only=False)
+            (x, odd), (y, also) = numbers(c["features"]), numbers(c["rival"])
+            odd = odd | also | c["features"].is_null().to_numpy(zero_copy_only=False)
+            kept = pa.array(np.arange(len(odd)), mask=~odd)
+            c |= {"x": packed(x, ~odd), "y": packed(y, ~odd & choice), "choice": pa.array(choice), "features": c["features"].take(kept), "rival": c["rival"].take(kept)}
+            yield pa.RecordBatch.from_arrays([c[n.split()[0]] for n in NUMBERS.split(", ")], names=[n.split()[0] for n in NUMBERS.split(", ")])
+
+    return log.mapInArrow(run, NUMBERS)
+
+
+def take_all(m: Model, x: np.ndarray, y: np.ndarray, choice: np.ndarray, user: np.ndarray, ai: np.ndarray, last: np.ndarray) -> None:
+    """Model.take for rows of numbers in their order.
+
+    All features are taken at once. Statistics don't depend on weights, so they
+    come first for AHEAD rows, by the same operations as in Model.observe: that
+    a distance from the mean is nothing at all decides whether a weight is
+    pulled back."""
+    w, anchor = np.array([m.weights.get(k, 0.0) for k in NAMES]), np.array([PRIOR.get(k, 0.0) for k in NAMES])
+    n, mean, m2 = np.array([m.stats.get(k, (0.0, 0.0, 0.0)) for k in NAMES]).T.copy()
+    low, high = np.maximum(-LIMIT, anchor - REACH), np.minimum(LIMIT, anchor + REACH)
+    known, seen = np.zeros(len(NAMES), bool), np.zeros(len(NAMES), bool)
+    bias, count, new = m.bias, m.n, np.empty_like(w)
+    for k in range(0, len(x), AHEAD):
+        rows = slice(k, min(k + AHEAD, len(x)))
+        v = np.stack([x[rows], np.where(choice[rows, None], y[rows], np.nan)], axis=1)  # the winner is observed before the loser
+        there = ~np.isnan(v)
+        ns = n + np.cumsum(there.reshape(-1, len(NAMES)), axis=0).reshape(there.shape)
+        means, m2s = np.empty((len(v), len(NAMES))), np.empty((len(v), len(NAMES)))
+        filled, one, over = np.where(there, v, 0.0), there.astype(float), np.maximum(ns, 1)
+        for i, two in enumerate(choice[rows].tolist()):
+            for j in (0, 1)[: 1 + two]:
+                far = (filled[i, j] - mean) * one[i, j]
+                mean = mean + far / over[i, j]
+                m2 = m2 + far * (filled[i, j] - mean)
+            means[i], m2s[i] = mean, m2
+        ns = ns[:, 1]
+        size = np.sqrt(np.maximum(VAR_FLOOR, m2s / np.maximum(ns - 1, 1)))
+        z = np.where(ns[:, None] <= 2, v, (v - means[:, None]) / size[:, None])
+        z = np.where(there, np.clip(z, -Z_LIMIT, Z_LIMIT), 0.0)
+        of_choice = choice[rows, None]
+        d = z[:, 0] - z[:, 1]
+        moved = np.where(of_choice, d != 0, there[:, 0])
+        for di, mi, c, yes, wrong, end in zip(d, moved, choice[rows].tolist(), user[rows].tolist(), (ai[rows] != user[rows]).tolist(), last[rows].tolist(), strict=True):
+            t = float(w @ di) + (0.0 if c else bias)
+            chance = 0.5 if not math.isfinite(t) else 1 / (1 + math.exp(-t)) if t > -700 else 0.0
+            error, rate = chance - (1.0 if c else float(yes)), RATE / math.sqrt(count + 1) * (SURPRISE if wrong and not c else 1.0)
+            np.subtract(w, anchor, out=new)
+            new *= PULL
+            new += error * di
+            new *= -rate
+            new += w
+            np.minimum(np.maximum(new, low, out=new), high, out=new)
+            np.copyto(w, new, where=mi)
+            if c:
+                count += end
+            else:
+                bias -= rate * error
+                count += 1
+        n, mean, m2 = ns[-1], means[-1], m2s[-1]
+        known, seen = known | moved.any(axis=0), seen | there.any(axis=(0, 1))
+    m.weights |= {NAMES[i]: float(w[i]) for i in np.flatnonzero(known)}
+    m.stats |= {NAMES[i]: [float(n[i]), float(mean[i]), float(m2[i])] for i in np.flatnonzero(seen)}
+    m.bias, m.n = bias, count
+
+
 def biggest_shift(before: dict[str, float], after: dict[str, float], x: dict[str, float]) -> tuple[str, float] | None:
     """The feature of this photo whose weight moved most, if by more than SHIFT, and its new weight; ties to the first."""
     moved = [(abs(after.get(k, 0.0) - before.get(k, 0.0)), k) for k in x if k not in SILENT]

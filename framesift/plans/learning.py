@@ -12,7 +12,7 @@ from ..operators import memory as M
 from ..operators import scoring as S
 from ..operators import undo as U
 from ..operators.similarity import checkpointed, shared_folder
-from ..sources.bindings import PHOTOS_SQL, corrections, photos, table
+from ..sources.bindings import COLUMNS, PHOTOS_SQL, corrections, photos, table
 from .library import query
 
 AFFINITIES = """+ d as (
@@ -93,12 +93,15 @@ def choices(s, d):
 
 
 def event_log(s, d):
-    """Decisions and choices in one log."""
-    p = photos(s, d)
+    """Decisions and choices in one log. Features are made of those photos only that are in one of them."""
+    made, chosen = corrections(s, d), checkpointed(choices(s, d))
+    ids = made.select("id").unionAll(chosen.select("winner_id")).unionAll(chosen.select("loser_id")).distinct()
+    e = checkpointed(table(s, d, "events").join(ids.withColumnRenamed("id", "event_id").hint("merge"), "event_id", "left_semi"))
+    p = e.select(*[F.expr(x[0]).alias(n) for n, x in COLUMNS.items()])
     known = p.select("id", S.context_key().alias("context_key"), S.features(p.columns).alias("features"))
     scored = p.select("id", "ai_score", S.context_key().alias("context_key"), S.features(p.columns).alias("features"))
-    decided = corrections(s, d).join(scored.hint("merge"), "id").withColumn("ai_decision", S.ai_decision())
-    return S.as_log(decided).unionByName(S.choice_log(checkpointed(choices(s, d)), known))
+    decided = made.join(scored.hint("merge"), "id").withColumn("ai_decision", S.ai_decision())
+    return S.as_log(decided).unionByName(S.choice_log(chosen, known))
 
 
 @query("preference_replay")
@@ -110,11 +113,10 @@ def preference_replay(s, d):
 @query("preference_stream")
 def preference_stream(s, d):
     """The same as a stream over a log in files."""
-    from ..streaming.library import learner
+    from ..streaming.library import in_slices, learner
 
     at = f"{shared_folder(s)}/choices-{uuid.uuid4().hex}"
-    event_log(s, d).repartitionByRange("ts", "id").write.parquet(f"{at}/in")
-    q = learner(s.readStream.schema(S.EVENT).parquet(f"{at}/in")).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{at}/out")).trigger(availableNow=True).start()
+    q = learner(in_slices(event_log(s, d), at)).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{at}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.parquet(f"{at}/out").groupBy("context_key").agg(F.max("n").alias("n"), F.round(F.max_by("bias", "n"), 9).alias("bias"))
 

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesift.operators import cluster as C
+from framesift.operators import scoring as S
 from framesift.operators import similarity as M
+from framesift.plans import learning
+from framesift.streaming import library as L
 
 
 def broadcasts(df):
@@ -39,3 +42,31 @@ def test_islands_are_joined_by_near_hashes(spark, monkeypatch, asked):
                 root = {k: a if r == b else r for k, r in root.items()}
     got = {r["node"]: r["root"] for r in M.components(C.near_islands(df, 14)).collect()}
     assert {k: got.get(k, k) for k in root} == root and len(set(root.values())) > 2
+
+
+def test_logs_are_learned_from_in_slices(spark, tmp_path, monkeypatch):
+    """Rows of numbers, in several triggers in order of time, and rows with other features or numbers that aren't finite, as one by one; each trigger takes a part."""
+    rng = np.random.default_rng(5)
+    some = lambda: {k: float(rng.choice([0.0, 0.5, rng.random(), 3.0])) for k in rng.choice(S.NAMES, 12, replace=False)}
+    rows = []
+    for i in rng.permutation(120).tolist():
+        for pos in range(1 + i % 3):
+            x = some() | ({"other": 0.3} if i % 20 == 7 else {"sharpness": float("nan")} if i % 20 == 8 else {})
+            rows.append((f"c{i % 2}", x, some() if i % 3 else None, bool(i % 5), bool(i % 4), i // 2, i, pos, pos == i % 3))
+    log = spark.createDataFrame(rows, S.EVENT)
+    triggers = []
+    q = L.learner(L.in_slices(log, str(tmp_path), 60)).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/at").foreachBatch(lambda b, i: triggers.append(b.collect())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["context_key"]: r for b in triggers for r in b}
+    assert len([b for b in triggers if b]) > 2 and got.keys() == {"c0", "c1", S.GLOBAL}
+    for k, r in got.items():
+        m = S.Model()
+        for e in sorted(log.collect(), key=lambda e: (e["ts"], e["id"], e["pos"])):
+            if k in (e["context_key"], S.GLOBAL):
+                m.take(e)
+        assert r["n"] == m.n and r["bias"] == pytest.approx(m.bias, abs=1e-10) and r["weights"] == pytest.approx(m.weights, abs=1e-10)
+
+
+def test_features_are_made_of_photos_of_the_log_only(spark):
+    """The joins of the log take no maps of all photos: what is read of them is cut first."""
+    assert not [f for f in learning.event_log(spark, "/root/testdata/sf0.001").inputFiles() if "events.parquet" in f]
