@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framesift.llm import compact_windows as W
 from framesift.operators import cluster as C
 from framesift.operators import scoring as S
 from framesift.operators import similarity as M
@@ -70,3 +71,35 @@ def test_logs_are_learned_from_in_slices(spark, tmp_path, monkeypatch):
 def test_features_are_made_of_photos_of_the_log_only(spark):
     """The joins of the log take no maps of all photos: what is read of them is cut first."""
     assert not [f for f in learning.event_log(spark, "/root/testdata/sf0.001").inputFiles() if "events.parquet" in f]
+
+
+def test_boxes_of_all_pairs_are_merged_as_those_of_one():
+    rng = np.random.default_rng(11)
+    at = rng.integers(0, 60, (900, 2))
+    rows = np.column_stack([rng.integers(-3, 3, (900, 2)), at[:, 0], at[:, 0] + rng.integers(0, 9, 900), at[:, 1], at[:, 1] + rng.integers(0, 9, 900)])
+    rows = rows[rng.random(900) < 0.2 + 0.8 * (rows[:, 0] > 0)]
+    want = {(x, y, *box) for x, y in {tuple(r[:2]) for r in rows.tolist()} for box in W.merged(np.unique(rows[(rows[:, :2] == (x, y)).all(axis=1), 2:], axis=0))}
+    got = [tuple(r) for r in W.merged_pairs(rows).tolist()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
+def test_pairs_that_share_too_little_are_passed_over_without_a_loss(monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs = []
+    for i in range(600):
+        x = rng.permutation(1000)[: rng.integers(46, 160)].astype(np.uint64)
+        y = x[rng.integers(0, 40) :].copy()
+        y[rng.random(len(y)) < rng.random() * 0.6] += np.uint64(5000)
+        if i % 3 == 0:  # tokens that come again, on one side or both
+            x = np.concatenate([x, x[:30]])
+        if i % 2 == 0:
+            y = np.concatenate([y[:20], y])
+        pairs.append((x, y))
+    told = [W.passages_of(x, y) for x, y in pairs]
+    asked = []
+    places = W.places
+    monkeypatch.setattr(W, "places", lambda *a: asked.append(1) or places(*a))
+    assert told == [W.passages_of(x, y) for x, y in pairs]
+    few = len(asked)
+    monkeypatch.setattr(W, "LEAST_SHARED", 0)
+    assert told == [W.passages_of(x, y) for x, y in pairs] and few < len(asked) - few and 50 < sum(map(bool, told)) < 550
